@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,16 +18,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows without their lineage, kept in the folder of spark.checkpoint.dir.
+    """The same rows as a table written below the folder of spark.checkpoint.dir.
 
-    Every executor can read that folder, so the rows outlive a lost executor. A folder
-    of our own is set only where the session names none (tests on one machine).
+    Every executor can read that folder, so the rows outlive a lost executor; the table
+    also tells the optimizer its real size. A folder of our own is set only where the
+    session names none (tests on one machine).
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+    path = f"{sc.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

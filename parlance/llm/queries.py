@@ -5,11 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import licences, quality, sharding
+from parlance.llm import licences, media, minhash, quality, sharding
 from parlance.llm.common import table
 from parlance.llm.oracles import ORACLES  # noqa: F401
 
 
+def op1_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(media.to_avi(table(spark, sf_dir, "documents")))
+
+
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -29,4 +37,4 @@ def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op5_histogram_shards, op6_licence_scan)}
+QUERIES = {f.__name__: f for f in (op1_avi_media, op2_near_duplicates, op3_quality_rules, op5_histogram_shards, op6_licence_scan)}
