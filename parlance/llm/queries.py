@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import language, licences, media, minhash, quality, sharding, toxicity
+from parlance.llm import language, licences, media, minhash, quality, sharding, suffixes, toxicity
 from parlance.llm.common import table
 from parlance.llm.oracles import ORACLES  # noqa: F401
 
@@ -50,4 +50,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), (score >= toxicity.TOXIC).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_avi_media, op2_near_duplicates, op3_quality_rules, op4_language_id, op5_histogram_shards, op6_licence_scan, op9_toxicity)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_spans(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_avi_media, op2_near_duplicates, op3_quality_rules, op4_language_id, op5_histogram_shards, op6_licence_scan, op9_toxicity, op10_suffix_dedup)}
