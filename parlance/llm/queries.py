@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import language, licences, media, minhash, quality, sharding, suffixes, toxicity
+from parlance.llm import language, licences, media, minhash, packing, pieces, quality, sharding, suffixes, toxicity
 from parlance.llm.common import table
 from parlance.llm.oracles import ORACLES  # noqa: F401
 
@@ -43,6 +43,14 @@ def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(table(spark, sf_dir, "documents"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.piece_digests(pieces.encode_pieces(table(spark, sf_dir, "documents")))
+
+
+def op8_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -54,4 +62,4 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_spans(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_avi_media, op2_near_duplicates, op3_quality_rules, op4_language_id, op5_histogram_shards, op6_licence_scan, op9_toxicity, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_avi_media, op2_near_duplicates, op3_quality_rules, op4_language_id, op5_histogram_shards, op6_licence_scan, op7_sentencepiece, op8_length_packing, op9_toxicity, op10_suffix_dedup)}
