@@ -15,14 +15,14 @@ def running_total(df: DataFrame, group: list[str], major: str, minor: str, value
     Three levels: rows inside one major, majors inside a block, blocks inside the group.
     `major` is a whole number; null values count 0.
     """
-    v = df.withColumn("__v", F.coalesce(value, F.lit(0))).withColumn("__b", F.floor(F.col(major) / block))
-    per = v.groupBy(*group, "__b", major).agg(F.sum("__v").alias("__t"))
-    up_to = lambda part, by: F.coalesce(F.sum("__t").over(Window.partitionBy(*part).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    in_block = per.withColumn("__m", up_to([*group, "__b"], major)).drop("__t")
-    whole = per.groupBy(*group, "__b").agg(F.sum("__t").alias("__t")).withColumn("__w", up_to(group, "__b")).drop("__t")
-    own = F.coalesce(F.sum("__v").over(Window.partitionBy(*group, major).orderBy(minor).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = v.withColumn("__o", own).join(in_block, [*group, "__b", major]).join(whole, [*group, "__b"])
-    return placed.withColumn(out, F.col("__o") + F.col("__m") + F.col("__w")).drop("__v", "__b", "__o", "__m", "__w")
+    v = df.withColumn("__rt_v", F.coalesce(value, F.lit(0))).withColumn("__rt_b", F.floor(F.col(major) / block))
+    per = v.groupBy(*group, "__rt_b", major).agg(F.sum("__rt_v").alias("__rt_t"))
+    up_to = lambda part, by: F.coalesce(F.sum("__rt_t").over(Window.partitionBy(*part).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    in_block = per.withColumn("__rt_m", up_to([*group, "__rt_b"], major)).drop("__rt_t")
+    whole = per.groupBy(*group, "__rt_b").agg(F.sum("__rt_t").alias("__rt_t")).withColumn("__rt_w", up_to(group, "__rt_b")).drop("__rt_t")
+    own = F.coalesce(F.sum("__rt_v").over(Window.partitionBy(*group, major).orderBy(minor).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = v.withColumn("__rt_o", own).join(in_block, [*group, "__rt_b", major]).join(whole, [*group, "__rt_b"])
+    return placed.withColumn(out, F.col("__rt_o") + F.col("__rt_m") + F.col("__rt_w")).drop("__rt_v", "__rt_b", "__rt_o", "__rt_m", "__rt_w")
 
 
 def with_neighbours(df: DataFrame, group: list[str], position: str, reach: int, add, block: int = BLOCK) -> DataFrame:
