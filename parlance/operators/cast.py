@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions import text as X
+from parlance.sources.tables import cut
 
 #: Evidence rules in the order in which they are tried.
 RULES = ("title", "nick", "surname", "bigram", "narration")
@@ -69,6 +70,7 @@ def resolve_aliases(links: DataFrame, most: int = 32) -> DataFrame:
     """
     now = links.where((F.col("alias") != F.col("name")) & X.is_name(F.col("name"))).groupBy("book", "alias").agg(F.min("name").alias("final"))
     for _ in range(max(1, most.bit_length() - 1)):
+        now = cut(now)
         step = now.select("book", F.col("alias").alias("final"), F.col("final").alias("__next"))
         far = now.join(step, ["book", "final"], "left")
         now = far.select("book", "alias", F.when(F.col("__next").isNull() | (F.col("__next") == F.col("alias")), F.col("final")).otherwise(F.col("__next")).alias("final"))
