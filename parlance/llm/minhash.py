@@ -22,6 +22,8 @@ ESTIMATE = 0.53
 BROADCAST_IDS = 1_000_000
 #: Words whose hash a task remembers.
 REMEMBERED = 250_000
+#: Members from which a component is large, and documents in a block that is compared with another.
+LARGE, BLOCK = 64, 512
 
 _random = np.random.default_rng(20240229)
 _TIMES = _random.integers(1 << 62, 1 << 63, MINIMA, dtype=np.uint64) | np.uint64(1)
@@ -114,12 +116,17 @@ def estimate(x: Column, y: Column) -> Column:
     return (1 - apart / MINIMA - chance) / (1 - chance)
 
 
+def _texts_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """(doc_id, text) of some documents, one row each."""
+    ids = cut(ids)
+    some = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return cut(texts.join(some, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
     pairs = cut(pairs)
-    ids = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    some = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    own = cut(texts.join(some, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    own = _texts_of(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), texts)
     rows = pairs.join(own.toDF("a", "ta"), "a").join(own.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
 
     def work(batches):
@@ -145,16 +152,71 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return cut(rows.mapInArrow(work, f"a {kind}, b {kind}"))
 
 
+def _against_large(open_: DataFrame, comp: DataFrame, large: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) of documents with a large component that they share a band with.
+
+    All of its members are compared on full sets, in blocks of at most BLOCK by BLOCK
+    documents, each pair of blocks in a group of its own. One link for each document and
+    block is enough, since the members hang together already; no pair becomes a row.
+    """
+    there = open_.where("size is not null").select("key", F.col("c").alias("large"), "size").distinct()
+    meets = open_.join(there.withColumnRenamed("size", "members"), "key").where("c <> large and (size is null or c < large)")
+    asked = cut(meets.select("rep", "large", "members").distinct())
+    share = lambda column, n: F.pmod(F.xxhash64(column), n)
+    ways = cut(asked.groupBy("large", "members").agg(F.count(F.lit(1)).alias("n")).select("large", F.ceil(F.col("n") / BLOCK).alias("nx"), F.ceil(F.col("members") / BLOCK).alias("ny")))
+    left = asked.select("rep", "large").join(ways, "large").select("rep", "large", F.lit(0).alias("side"), share("rep", F.col("nx")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("ny") - 1)).alias("j"))
+    inside = comp.toDF("rep", "large").join(ways, "large")
+    right = inside.select("rep", "large", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nx") - 1)).alias("i"), share("rep", F.col("ny")).alias("j"))
+    placed = cut(left.union(right))
+    own = _texts_of(placed.select(F.col("rep").alias("doc_id")).distinct(), texts)
+
+    def hashed(batches):
+        known = _Words()
+        for batch in batches:
+            sets = [shingles(t.as_py().encode(), known).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["rep", "shingles"])
+
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    sets = own.select("doc_id", "text").mapInArrow(hashed, f"rep {kind}, shingles binary")
+
+    def compared(rows: pa.Table) -> pa.Table:
+        side, rep = rows.column("side").to_numpy(), rows.column("rep").to_numpy()
+        each = [np.frombuffer(b, np.uint64) for b in rows.column("shingles").to_pylist()]
+        size = np.array([len(s) for s in each])
+        code = np.unique(np.concatenate(each), return_inverse=True)[1]
+        ends = np.cumsum(size)
+        ys = np.flatnonzero((side == 1) & (size > 0))
+        a, b = [], []
+        if len(ys):
+            flat = np.concatenate([code[ends[k] - size[k] : ends[k]] for k in ys])
+            starts = np.cumsum(size[ys]) - size[ys]
+            mark = np.zeros(int(code.max()) + 1, np.int32)
+            for k in np.flatnonzero((side == 0) & (size > 0)):
+                at = code[ends[k] - size[k] : ends[k]]
+                mark[at] = 1
+                both = np.add.reduceat(mark[flat], starts)
+                mark[at] = 0
+                hit = np.flatnonzero(100 * both >= SIMILAR * (size[k] + size[ys] - both))
+                if len(hit):
+                    a.append(rep[k])
+                    b.append(rep[ys[hit[0]]])
+        return pa.table({"a": pa.array(a, rows.schema.field("rep").type), "b": pa.array(b, rows.schema.field("rep").type)})
+
+    links = placed.join(sets, "rep").select("large", "i", "j", "side", "rep", "shingles").groupBy("large", "i", "j").applyInArrow(compared, f"a {kind}, b {kind}")
+    return cut(links)
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): near-duplicate groups over all documents.
 
     Texts with equal shingle sets form a class, known by its smallest id. Classes that
     share a band are candidates. First each is paired with the smallest class of each of
-    its bands, so a group of m copies costs m pairs a band, not m squared. Then, in bands
-    that still hold several components, each class outside the band's largest component is
-    compared with the classes of other components there, by packed signatures inside the
-    join. Only candidates above ESTIMATE are confirmed, on full sets. No candidate is
-    capped: skipped pairs join classes that are linked already.
+    its bands, so a group of m copies costs m pairs a band, not m squared. Then bands that
+    still hold several components are looked at again: classes of small components are
+    compared with each other by packed signatures inside the join, and those above ESTIMATE
+    are confirmed on full sets; a class that meets a large component is compared with all
+    of its members, block by block. No candidate is capped: skipped pairs join classes that
+    are linked already.
 
     Null and blank texts have no shingles and stand alone; a null id stays null and is
     kept. A doc_id names one document: rows that repeat it get the same component. Empty
@@ -177,15 +239,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     links = _confirmed(likely(stars), texts)
     comp = components(links)
 
-    mine = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
-    mine = cut(mine)
-    parts = mine.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
-    mixed = parts.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
-    open_ = cut(mine.join(mixed, "key").join(low, "rep"))
-    x = open_.where("c <> main").select("key", F.col("rep").alias("xr"), F.col("c").alias("xc"), F.col("low").alias("xl"))
-    y = open_.select("key", "main", F.col("rep").alias("yr"), F.col("c").alias("yc"), F.col("low").alias("yl"))
-    across = x.join(y, (x["key"] == y["key"]) & (x["xc"] != y["yc"]) & ((y["yc"] == y["main"]) | (x["xr"] < y["yr"])) & (estimate(x["xl"], y["yl"]) >= ESTIMATE))
-    more = _confirmed(across.select(F.least("xr", "yr").alias("a"), F.greatest("xr", "yr").alias("b")).distinct(), texts)
+    mine = cut(members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c")))
+    mixed = mine.groupBy("key").agg(F.min("c").alias("low_c"), F.max("c").alias("high_c")).where("low_c <> high_c").select("key")
+    large = cut(comp.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > LARGE).select(F.col("component").alias("c"), "size"))
+    open_ = cut(mine.join(mixed, "key").join(large, "c", "left").select("key", "rep", "c", "size"))
+    few = open_.where("size is null").join(low, "rep")
+    x, y = few.select("key", F.col("rep").alias("a"), F.col("c").alias("ca"), F.col("low").alias("la")), few.select("key", F.col("rep").alias("b"), F.col("c").alias("cb"), F.col("low").alias("lb"))
+    near = (x["key"] == y["key"]) & (x["a"] < y["b"]) & (x["ca"] != y["cb"]) & (estimate(x["la"], y["lb"]) >= ESTIMATE)
+    small = _confirmed(x.join(y, near).select("a", "b").distinct(), texts)
+    more = small.union(_against_large(open_, comp, large, texts))
     merged = components(
         more.join(comp.toDF("a", "ca"), "a", "left").join(comp.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct()
     )

@@ -62,8 +62,11 @@ def test_near_duplicates(spark):
     assert kept.columns == H.table(spark, rows).columns and kept.where("doc_id = 2").count() == 0
 
 
-def test_near_duplicates_chain_of_edits(spark):
+@pytest.mark.parametrize("large", [64, 3])
+def test_near_duplicates_chain_of_edits(spark, monkeypatch, large):
     """Each text is near the next; far ends are not near each other, and no pivot is near all."""
+    monkeypatch.setattr(minhash, "LARGE", large)
+    monkeypatch.setattr(minhash, "BLOCK", 8)
     base = H.words(200, 9).split()
     rows = []
     for k in range(60):
