@@ -49,7 +49,7 @@ add("seg_units", lambda s, d: Y.units(layout(s, d)))
 def quotes(s, d):
     u = U.dialogue(units(s, d))
     tail = F.when(F.col("id") % 3 == 0, F.concat(F.lit(" said "), F.col("speaker"), F.lit(" at once."))).when(F.col("id") % 3 == 1, F.concat(F.lit(", "), F.col("speaker"), F.lit(" replied."))).otherwise("")
-    head = F.when(F.col("id") % 6 == 5, F.concat(F.lit("Then "), F.col("speaker"), F.lit(" asked, "))).otherwise("")
+    head = F.when(F.col("id") % 6 == 5, F.concat(F.lit("then "), F.col("speaker"), F.lit(" asked, "))).otherwise("")
     return u.withColumn("after", tail).withColumn("before", head)
 
 

@@ -1,0 +1,170 @@
+"""Unit, voice, attribution, cast and validation operators on small tables."""
+
+from __future__ import annotations
+
+import difflib
+import random
+
+from pyspark.sql import functions as F
+
+from parlance.operators import attribution as A
+from parlance.operators import cast as C
+from parlance.operators import layout as Y
+from parlance.operators import units as U
+from parlance.operators import validate as D
+from parlance.operators import voice as O
+from parlance.operators.ordered import running_total, with_neighbours
+
+
+def test_running_total_and_neighbours(spark):
+    r = random.Random(1)
+    rows = [(b, k, r.randint(0, 9)) for b in "xy" for k in range(300)]
+    df = spark.createDataFrame(rows, "book string, id long, v long")
+    got = {(x["book"], x["id"]): x["t"] for x in running_total(df.withColumn("para", F.floor(F.col("id") / 3)), ["book"], "para", "id", F.col("v"), "t", block=7).collect()}
+    for b in "xy":
+        total = 0
+        for _, k, v in [q for q in rows if q[0] == b]:
+            assert got[b, k] == total
+            total += v
+    from pyspark.sql import Window
+
+    near = with_neighbours(df, ["book"], "id", 2, lambda d, p: d.withColumn("s", F.sum("v").over(Window.partitionBy(*p).orderBy("id").rangeBetween(-2, 2))), block=5)
+    value = {(b, k): v for b, k, v in rows}
+    for x in near.collect():
+        assert x["s"] == sum(value.get((x["book"], x["id"] + j), 0) for j in range(-2, 3))
+
+
+def utterances_plain(spans):
+    utts = []
+    for s, e in spans:
+        if utts and e - utts[-1][0] <= 14000 and s - utts[-1][1] <= 600:
+            utts[-1] = (utts[-1][0], e)
+        else:
+            utts.append((s, e))
+    merged = []
+    for s, e in utts:
+        if merged and e - s < 1000 and e - merged[-1][0] <= 14000:
+            merged[-1] = (merged[-1][0], e)
+        else:
+            merged.append((s, e))
+    return [(max(0, s - 150), e + 250) for s, e in merged if e - s >= 1000]
+
+
+def test_utterances(spark):
+    r = random.Random(3)
+    rows, want = [], set()
+    for clip in range(6):
+        at, spans = 0, []
+        for seq in range(120):
+            s = at + r.choice([0, 100, 600, 601, 1500])
+            at = s + r.choice([200, 300, 900, 1000, 4000, 9000])
+            spans.append((s, at))
+            rows.append((clip, seq + 1, s, at))
+        want |= {(clip, *u) for u in utterances_plain(spans)}
+    got = O.utterances(spark.createDataFrame(rows, "clip long, seq long, s_ms long, e_ms long"))
+    assert {tuple(x) for x in got.collect()} == want
+
+
+def test_levels(spark):
+    f = spark.createDataFrame([(1, 0, 0.0)] * 4 + [(2, 0, 0.5)] * 2 + [(3, k, v) for k, v in enumerate([0.5, 0.5, 0.001, 0.5])], "clip long, frame long, rms double")
+    got = {x["clip"]: x["dbfs"] for x in O.speech_level(f).collect()}
+    assert got[1] is None and got[2] is None and abs(got[3] + 6.0206) < 1e-3
+    g = O.smooth_gain(spark.createDataFrame([(1, 1, None), (1, 2, -20.0), (1, 3, -26.0), (1, 4, None)], "clip long, seq long, dbfs double"), -20.0)
+    assert [x["gain"] for x in g.orderBy("seq").collect()] == [None, 1.0, round(0.7 + 0.3 * 10 ** (6 / 20), 5), round(0.7 + 0.3 * 10 ** (6 / 20), 5)]
+
+
+def test_segments(spark):
+    rows = [("c", 1, 0, 1000, "a", 0.9, "sdh"), ("c", 1, 1500, 3000, "b", 0.5, "voice"), ("c", 1, 4000, 5000, "", 0.7, "sdh"), ("c", 2, 5000, 6000, "d", 0.7, "sdh")]
+    got = O.merge_segments(spark.createDataFrame(rows, "character string, episode long, s_ms long, e_ms long, text string, score double, source string")).orderBy("episode", "s_ms").collect()
+    assert [(x["s_ms"], x["e_ms"], x["text"], x["score"], x["source"]) for x in got] == [(0, 3000, "a b", 0.5, "voice"), (4000, 5000, "", 0.7, "sdh"), (5000, 6000, "d", 0.7, "sdh")]
+    same = spark.createDataFrame([([1.0, 0.0], [0.1, 0.2], 100.0, 2.0, 0.1, 1.0, 1.0, [1.0, 0.0], [0.1, 0.2], 100.0, 2.0, 0.1, 1.0, 1.0), ([1.0, 0.0], [0.0, 0.0], None, 2.0, 0.1, 1.0, 1.0, [0.0, 1.0], [0.0, 0.0], 100.0, 2.0, 0.1, 1.0, 1.0)],
+        ", ".join(f"{p}_{c}" for p in "rc" for c in ("embed array<double>", "ltas array<double>", "f0_med double", "f0_iqr double", "pause double", "rate double", "burst double")))
+    assert [x["score"] for x in O.match_scores(same).collect()] == [1.0, 0.4]
+
+
+def test_dominant_cluster(spark):
+    rows = [(1, k, [1.0, 0.02 * k]) for k in range(5)] + [(1, 9, [0.0, 1.0]), (2, 1, [1.0, 0.0]), (2, 2, [0.0, 1.0])]
+    unit = [(w, k, [x / sum(y * y for y in v) ** 0.5 for x in v]) for w, k, v in rows]
+    got = {(x["who"], x["vec_id"]) for x in O.dominant_cluster(spark.createDataFrame(unit, "who long, vec_id long, embedding array<double>"), "who").collect()}
+    assert got == {(1, k) for k in range(5)} | {(2, 1), (2, 2)}
+
+
+def alternate_plain(quotes):
+    pair, last, out = [], None, []
+    for tag, hint in quotes:
+        if tag:
+            if tag not in pair:
+                pair = [last, tag] if last and last != tag else [tag]
+            who = tag
+        else:
+            other = (pair[0] if pair[1] == last else pair[1]) if len(pair) == 2 and last in pair else None
+            who = other or ((hint if hint and hint != last else last) if last else hint)
+            if who and who not in pair:
+                pair = (pair + [who])[-2:]
+        last = who
+        out.append(who)
+    return out
+
+
+def test_alternate(spark):
+    r = random.Random(2)
+    rows, want = [], {}
+    for run in range(40):
+        q = [(r.choice([None, None, "A", "B", "C"]), r.choice([None, "A", "D"])) for _ in range(12)]
+        for k, (who, (tag, hint)) in enumerate(zip(alternate_plain(q), q)):
+            rows.append(("b", run, run * 100 + k, tag, hint))
+            want[run * 100 + k] = who
+    got = A.alternate(spark.createDataFrame(rows, "book string, run long, id long, tag string, hint string")).collect()
+    assert {x["id"]: x["speaker"] for x in got} == want
+
+
+def test_tags(spark):
+    rows = [("b", 1, "", " said Tamsin, softly"), ("b", 2, "then Orrin asked, ", ""), ("b", 3, "", ", Orrin Vale replied."), ("b", 4, "", "said Nobody"), ("b", 5, None, None)]
+    got = A.tag_speakers(spark.createDataFrame(rows, "book string, id long, before string, after string"), spark.createDataFrame([("b", "Tamsin Vale"), ("b", "Orrin")], "book string, name string"))
+    assert {x["id"]: x["tag"] for x in got.collect()} == {1: "Tamsin", 2: "Orrin", 3: "Orrin Vale", 4: None, 5: None}
+
+
+def test_layout_units(spark):
+    words = ["“Run!”", "said", "Mr.", "Vale.", "He", "ran.", "\"", "Odd", "one\"", "“unclosed", "speech"]
+    df = spark.createDataFrame([(words,)], "w array<string>").select(Y.units_of(F.col("w")).alias("u"))
+    assert [tuple(x) for x in df.first()["u"]] == [("dialogue", "Run!"), ("narration", "said Mr. Vale."), ("narration", "He ran."), ("dialogue", "Odd one"), ("dialogue", "unclosed speech")]
+    rows = [("b", 1, 0, l, 0, x, y, x + 9.0, y + 10.0, "w") for l, (x, y) in enumerate([(50.0, 0.0), (50.0, 12.0), (70.0, 24.0), (50.0, 36.0), (50.0, 80.0)])] + [("b", 1, 1, 0, 0, 50.0, 92.0, 59.0, 102.0, "w"), ("b", 1, 1, 0, 1, 60.0, 92.0, 69.0, 102.0, " ")]
+    got = Y.paragraphs(spark.createDataFrame(rows, "book string, page long, block long, line long, wno long, x0 double, y0 double, x1 double, y1 double, word string"))
+    assert [x["para"] for x in got.orderBy("block", "line").collect()] == [0, 0, 1, 1, 2, 3]
+
+
+def test_cast_resolution(spark):
+    cast = spark.createDataFrame([("b", "Tamsin", 120), ("b", "Tam", 20), ("b", "Captain Vale", 40), ("b", "Tamsin Vale", 5), ("b", "Orrin", 50), ("b", "Old Orrin", 3)], "book string, name string, lines long")
+    grams = spark.createDataFrame([("b", "tamsin", "vale", 6, "Tamsin Vale")], "book string, first string, last string, n long, surface string")
+    pairs = {(x["a"], x["b"]): x["rule"] for x in C.name_pairs(cast, grams).collect()}
+    assert pairs == {("Tam", "Tamsin"): "nick", ("Captain Vale", "Tamsin Vale"): "surname", ("Captain Vale", "Tamsin"): "bigram", ("Tamsin", "Tamsin Vale"): "bigram", ("Old Orrin", "Orrin"): "title"}
+    same = spark.createDataFrame([("b", "Tam", "Tamsin", 1), ("b", "Tamsin", "Orrin", 2), ("b", "Old Orrin", "Orrin", 3), ("b", "Tam", "Tamsin Vale", 4)], "book string, a string, b string, seq long")
+    apart = spark.createDataFrame([("b", "Tamsin Vale", "Tamsin")], "book string, a string, b string")
+    got = {x["name"]: x["group"] for x in C.components(cast, same, apart).collect()}
+    assert got["Tam"] == got["Tamsin"] == "Tamsin" and got["Old Orrin"] == "Orrin" and got["Tamsin Vale"] == "Tamsin Vale"
+    links = spark.createDataFrame([("b", "a", "b"), ("b", "b", "c"), ("b", "c", "d"), ("b", "x", "y"), ("b", "y", "x"), ("b", "q", "he")], "book string, alias string, name string")
+    chain = {x["alias"]: x["final"] for x in C.resolve_aliases(links).collect()}
+    assert (chain["a"], chain["b"], chain["c"]) == ("d", "d", "d") and "q" not in chain and chain["x"] == "y"
+
+
+def test_casting_falls_back(spark):
+    units = spark.createDataFrame([("b", 0, 1, "narration", "t", "Narrator"), ("b", 1, 1, "dialogue", "t", "Tam"), ("b", 2, 1, "dialogue", "t", "Orrin"), ("b", 3, 1, "dialogue", "t", "Unknown")], "book string, id long, para long, kind string, text string, speaker string")
+    casting = spark.createDataFrame([("b", "narrator", "n", 0.4), ("b", "Tam", "t", None), ("b", "Orrin", None, None)], "book string, role string, voice string, exaggeration double")
+    got = {x["id"]: (x["voice"], x["exaggeration"]) for x in U.cast_lines(units, casting).collect()}
+    assert got == {0: ("n", 0.4), 1: ("t", 0.5), 2: (None, 0.5), 3: ("n", 0.4)}
+
+
+def test_validation(spark):
+    rows = [("a" * 10, "a" * 10), ("abcd", "abxd"), ("ab" * 150, "c" + "ab" * 150), ("x", "y" * 50)]
+    got = D.similarity(spark.createDataFrame(rows, "t string, w string"), "t", "w").collect()
+    assert [round(x["score"], 6) for x in got] == [round(difflib.SequenceMatcher(None, a, b).ratio(), 6) for a, b in rows]
+    cands = spark.createDataFrame(
+        [(1, 1, 0, 1, 2000, 5.0, 0.9, 1, "t"), (1, 1, 1, 1, 2000, 4.0, 0.86, 1, "t"), (1, 2, 0, 1, 2000, 4.0, 0.9, 2, "longest"), (1, 2, 1, 1, 10, 1.0, 1.0, 2, "t")],
+        "doc_id long, chunk_idx long, cand_idx long, attempt long, bytes long, duration double, score double, round int, transcript string",
+    )
+    gated = D.gate(cands)
+    best = {x["chunk_idx"]: (x["cand_idx"], x["passed"]) for x in D.select_best(gated).collect()}
+    assert best == {1: (1, True), 2: (0, False)}
+    assert [x["chunk_idx"] for x in D.retry_queue(gated, 3).collect()] == [2]
+    ok = D.faithful(spark.createDataFrame([("", "x"), ("hello there", "hello there"), ("hello", "completely other")], "w string, h string"), "w", "h").collect()
+    assert [x["ok"] for x in ok] == [True, True, False]
