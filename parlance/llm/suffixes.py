@@ -14,6 +14,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,10 +24,14 @@ from parlance.llm.common import utf8
 #: Length of a string that counts, bytes that are hashed, and hashes in a string.
 GRAM, KEY = 50, 16
 SPAN = GRAM - KEY + 1
+#: Bits kept of a hash: an unlucky equality only brings more runs together.
+KEY_BITS = 48
 #: Most starts in a run (its duplicates are told by the bits of a long).
 STARTS = 48
 #: Depth of the multikey passes, in bytes.
 SHALLOW = 16
+#: Suffixes sorted at once, about.
+SORTED = 200_000
 #: Bytes of text hashed at once, and the least and most bytes in a batch.
 PIECE, LEAST_BATCH, MOST_BATCH = 1 << 19, 1 << 20, 1 << 25
 
@@ -84,16 +89,38 @@ class Batch:
                 turn = np.arange(len(base)) - np.repeat(np.cumsum(parts) - parts, parts)
                 size = np.minimum(STARTS, np.repeat(size, parts) - turn * STARTS)
                 first = base + turn * STARTS
-            yield h[first], first + at, size, row[first]
+            yield h[first] >> np.uint64(64 - KEY_BITS), first + at, size, row[first]
+
+
+def _out(a: np.ndarray | bytes) -> bytes:
+    """Bytes of an array as they are shuffled: compressed, since Spark's codec gains little on them."""
+    return zstandard.ZstdCompressor(level=1).compress(a if isinstance(a, bytes) else np.ascontiguousarray(a).tobytes())
+
+
+def _in(b: bytes, kind=None):
+    raw = zstandard.ZstdDecompressor().decompress(b)
+    return raw if kind is None else np.frombuffer(raw, kind)
 
 
 def _packed(**columns) -> pa.Table:
     return pa.table(columns)
 
 
+def _six(keys: np.ndarray) -> bytes:
+    """Keys as six planes of bytes."""
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T).tobytes()
+
+
+def _unsix(raw: bytes) -> np.ndarray:
+    n = len(raw) // 6
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(6, n).T
+    return out.view("<u8").ravel()
+
+
 def _by_part(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
     """(part, from, to) of sorted keys; the part is the top bits."""
-    part = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+    part = (keys >> np.uint64(KEY_BITS - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
     cuts = np.flatnonzero(np.diff(part, prepend=-1))
     return [(int(part[a]), int(a), int(b)) for a, b in zip(cuts, np.append(cuts[1:], len(part)))]
 
@@ -121,7 +148,7 @@ def _batch_keys(doc_id: str, text: str, bits: int):
         parts = _by_part(keys, bits)
         return _packed(
             part=pa.array([p for p, *_ in parts], pa.int32()), batch=pa.array([batch] * len(parts), pa.int32()),
-            keys=pa.array([keys[a:b].tobytes() for _, a, b in parts], pa.binary()), twice=pa.array([twice[a:b].tobytes() for _, a, b in parts], pa.binary()),
+            keys=pa.array([_out(_six(keys[a:b])) for _, a, b in parts], pa.binary()), twice=pa.array([np.packbits(twice[a:b]).tobytes() for _, a, b in parts], pa.binary()),
         )
 
     return work
@@ -129,8 +156,8 @@ def _batch_keys(doc_id: str, text: str, bits: int):
 
 def _shared(rows: pa.Table) -> pa.Table:
     """Of each batch of a part, the keys that two documents have."""
-    lists = [np.frombuffer(x, np.uint64) for x in rows.column("keys").to_pylist()]
-    twice = np.concatenate([np.frombuffer(x, np.uint8) for x in rows.column("twice").to_pylist()])
+    lists = [_unsix(_in(x)) for x in rows.column("keys").to_pylist()]
+    twice = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(k)) for x, k in zip(rows.column("twice").to_pylist(), lists)])
     keys, of = np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
     order = np.argsort(keys, kind="stable")
     sorted_ = keys[order]
@@ -142,10 +169,10 @@ def _shared(rows: pa.Table) -> pa.Table:
     wanted[order] = both
     # a batch has a key once, so an equal neighbour is another batch
     wanted |= twice > 0
-    out = [keys[(of == k) & wanted] if len(lists) < 8 else None for k in range(len(lists))] if len(lists) < 8 else np.split(keys[wanted], np.cumsum(np.bincount(of[wanted], minlength=len(lists)))[:-1])
+    out = np.split(keys[wanted], np.cumsum(np.bincount(of[wanted], minlength=len(lists)))[:-1])
     some = [k for k in range(len(lists)) if len(out[k])]
     batches = rows.column("batch").to_pylist()
-    return _packed(batch=pa.array([batches[k] for k in some], pa.int32()), keys=pa.array([out[k].tobytes() for k in some], pa.binary()))
+    return _packed(batch=pa.array([batches[k] for k in some], pa.int32()), keys=pa.array([_out(_six(out[k])) for k in some], pa.binary()))
 
 
 def _full(size: np.ndarray) -> np.ndarray:
@@ -162,7 +189,7 @@ def _batch_runs(doc_id: str, text: str, bits: int):
             return empty
         got = Batch(rows, doc_id, text)
         batch = rows.column("__batch")[0].as_py()
-        shared = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in replies.column("keys").to_pylist()]))
+        shared = np.sort(np.concatenate([_unsix(_in(x)) for x in replies.column("keys").to_pylist()]))
         blob = got.data.tobytes()
         seen: dict[bytes, list] = {}
         own_at, own_size = [], []
@@ -187,12 +214,12 @@ def _batch_runs(doc_id: str, text: str, bits: int):
         for part, a, b in _by_part(keys, bits):
             some = entries[a:b]
             out.append((
-                part, batch, 0, keys[a:b].tobytes(), np.array([e[1] for e in some], np.int64).tobytes(), np.array([len(e[0]) for e in some], np.uint8).tobytes(),
-                b"".join(e[0] for e in some), np.array([len(e[2]) for e in some], np.int32).tobytes(), np.array([p for e in some for p in e[2]], np.int64).tobytes(), b"",
+                part, batch, 0, _out(_six(keys[a:b])), _out(np.array([e[1] for e in some], np.int64)), _out(np.array([len(e[0]) for e in some], np.uint8)),
+                _out(b"".join(e[0] for e in some)), _out(np.array([len(e[2]) for e in some], np.int32)), _out(np.array([p for e in some for p in e[2]], np.int64)), b"",
             ))
         if own_at:
             none = b""
-            out.append((batch % (1 << bits), batch, 1, none, none, none, none, none, np.array(own_at, np.int64).tobytes(), _full(np.array(own_size)).tobytes()))
+            out.append((batch % (1 << bits), batch, 1, none, none, none, none, none, _out(np.array(own_at, np.int64)), _out(_full(np.array(own_size)))))
         if not out:
             return empty
         return _packed(**{name: pa.array(column, kind) for name, column, kind in zip(empty.schema.names, zip(*out), empty.schema.types)})
@@ -281,9 +308,9 @@ def _covers(rows: pa.Table) -> pa.Table:
         else:
             lists.append(r)
     if lists:
-        read = lambda name, kind: np.concatenate([np.frombuffer(r[name], kind) for r in lists])
-        keys, docs, sizes, counts, places = read("keys", np.uint64), read("docs", np.int64), read("sizes", np.uint8).astype(np.int64), read("counts", np.int32), read("places", np.int64)
-        blob = b"".join(r["text"] for r in lists)
+        read = lambda name, kind: np.concatenate([_in(r[name], kind) for r in lists])
+        keys, docs, sizes, counts, places = np.concatenate([_unsix(_in(r["keys"])) for r in lists]), read("docs", np.int64), read("sizes", np.uint8).astype(np.int64), read("counts", np.int32), read("places", np.int64)
+        blob = b"".join(_in(r["text"]) for r in lists)
         ends = np.cumsum(sizes)
         number: dict[bytes, int] = {}
         of = np.fromiter((number.setdefault(blob[e - s : e], len(number)) for s, e in zip(sizes.tolist(), ends.tolist())), np.int64, len(sizes))
@@ -301,8 +328,17 @@ def _covers(rows: pa.Table) -> pa.Table:
         same[1:] = k[1:] == k[:-1]
         same[:-1] |= same[1:].copy()
         several = seen[by][same]
-        if len(several):
-            entry = first_of[several]
+        bits = np.zeros(len(number), np.uint64)
+        grams_of = np.cumsum(sizes[first_of[several]] - GRAM + 1)
+        turns = np.flatnonzero(np.diff(key_of[several], prepend=key_of[several[:1]] + np.uint64(1))) if len(several) else np.zeros(0, np.int64)
+        at = 0
+        while at < len(several):  # whole keys at a time, about SORTED suffixes
+            after = turns[np.searchsorted(grams_of[np.minimum(turns, len(several) - 1)], (grams_of[at - 1] if at else 0) + SORTED) :]
+            after = after[after > at]
+            end = int(after[0]) if len(after) else len(several)
+            own = several[at:end]
+            at = end
+            entry = first_of[own]
             n = sizes[entry]
             text = np.frombuffer(b"".join(blob[e - s : e] for s, e in zip(n.tolist(), ends[entry].tolist())) + b"\0" * 8, np.uint8)
             base = np.cumsum(n) - n
@@ -310,21 +346,20 @@ def _covers(rows: pa.Table) -> pa.Table:
             owner = np.repeat(np.arange(len(entry)), grams)
             turn = np.arange(len(owner)) - np.repeat(np.cumsum(grams) - grams, grams)
             order, group = deep_shallow(text, base[owner] + turn)
-            doc = least[several][owner[order]]
+            doc = least[own][owner[order]]
             begin = np.flatnonzero(np.diff(group, prepend=-1))
             smallest = np.repeat(np.minimum.reduceat(doc, begin), np.diff(np.append(begin, len(group))))
             hit = order[smallest < doc]
-            bits = np.zeros(len(number), np.uint64)
-            np.bitwise_or.at(bits, several[owner[hit]], np.uint64(1) << turn[hit].astype(np.uint64))
-            mask[~later] = bits.view(np.int64)[of[~later]]
-        batches = np.repeat([r["batch"] for r in lists], [len(r["sizes"]) for r in lists])
+            np.bitwise_or.at(bits, own[owner[hit]], np.uint64(1) << turn[hit].astype(np.uint64))
+        mask[~later] = bits.view(np.int64)[of[~later]]
+        batches = np.repeat([r["batch"] for r in lists], [len(_in(r["sizes"])) for r in lists])
         at, masks, batch = places, np.repeat(mask, counts), np.repeat(batches, counts)
         at, masks, batch = at[masks != 0], masks[masks != 0], batch[masks != 0]
         order = np.argsort(batch, kind="stable")
         at, masks, batch = at[order], masks[order], batch[order]
         cuts = np.flatnonzero(np.diff(batch, prepend=-1))
         for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(batch)]):
-            out.append((int(batch[a]), at[a:b].tobytes(), masks[a:b].tobytes()))
+            out.append((int(batch[a]), _out(at[a:b]), _out(masks[a:b])))
     columns = list(zip(*out)) or [(), (), ()]
     return _packed(batch=pa.array(columns[0], pa.int32()), places=pa.array(columns[1], pa.binary()), masks=pa.array(columns[2], pa.binary()))
 
@@ -334,7 +369,7 @@ def _finish(doc_id: str, text: str, columns: list[str], digest: bool):
         got = Batch(rows, doc_id, text)
         edge = np.zeros(len(got.data) + 1, np.int32)
         for places, masks in zip(covers.column("places").to_pylist(), covers.column("masks").to_pylist()):
-            at, mask = np.frombuffer(places, np.int64), np.frombuffer(masks, np.int64)
+            at, mask = _in(places, np.int64), _in(masks, np.int64)
             for a in range(0, len(at), 1 << 14):
                 which, bit = np.nonzero((mask[a : a + (1 << 14), None] >> np.arange(STARTS)) & 1)
                 start = at[a : a + (1 << 14)][which] + bit
