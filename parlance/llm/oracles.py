@@ -37,7 +37,7 @@ m as (
   from w left join covered c on c.doc_id = w.doc_id),
 r as (
   select *, word_chars / greatest(n_words, 1) as mean_word_chars, n_symbols / greatest(n_words, 1) as symbol_ratio,
-         n_stop / greatest(n_words, 1) as stop_word_ratio, n_dup_lines / greatest(n_lines, 1) as dup_line_ratio,
+         (n_stop + 1) / greatest(n_words, 1) as stop_word_ratio, n_dup_lines / greatest(n_lines, 1) as dup_line_ratio,
          (n_words < 10 or 100 * n_repeat_words > 20 * n_words) as base_failed
   from m)
 select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols,

@@ -86,7 +86,7 @@ def score_quality(docs: DataFrame, text: str = "text", thresholds=THRESHOLDS) ->
     ratio = {
         "mean_word_chars": m["word_chars"] / n,
         "symbol_ratio": m["n_symbols"] / n,
-        "stop_word_ratio": m["n_stop_words"] / n,
+        "stop_word_ratio": (m["n_stop_words"] + 1) / n,  # a word more, so that a short text without one passes
         "dup_line_ratio": m["lines"]["dup"] / F.greatest(m["lines"]["all"], F.lit(1)),
     }
     good = F.lit(True)
