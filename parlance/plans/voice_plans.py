@@ -87,8 +87,8 @@ add(
     "win_ref_pick", lambda s, d: O.pick_reference(unique(segments(s, d)), 45_000).select("character", "s_ms", "e_ms", "before_ms"),
     f"with {UNIQUE}, r as (select *, coalesce(sum(e_ms - s_ms + 100) over (partition by character {RANK} rows between unbounded preceding and 1 preceding), 0) as before_ms from u where e_ms - s_ms >= 600) select character, s_ms, e_ms, cast(before_ms as bigint) as before_ms from r where before_ms < 45000",
 )
-_LONG = F.row_number().over(Window.partitionBy("clip").orderBy(F.desc("dur_ms"), "seq"))
-add("top_longest", lambda s, d: spans(s, d).withColumn("r", _LONG).where("r <= 3").select("clip", "seq", "dur_ms"), f"{S}, r as (select *, row_number() over (partition by clip order by dur_ms desc, seq) as r from spans) select clip, seq, dur_ms from r where r <= 3")
+_longest = lambda: F.row_number().over(Window.partitionBy("clip").orderBy(F.desc("dur_ms"), "seq"))
+add("top_longest", lambda s, d: spans(s, d).withColumn("r", _longest()).where("r <= 3").select("clip", "seq", "dur_ms"), f"{S}, r as (select *, row_number() over (partition by clip order by dur_ms desc, seq) as r from spans) select clip, seq, dur_ms from r where r <= 3")
 
 
 def _concat(s, d):
