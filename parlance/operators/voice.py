@@ -118,7 +118,7 @@ def speech_level(frames: DataFrame) -> DataFrame:
 def voice_level(levels: DataFrame, first: int = 10) -> DataFrame:
     """Mean level of a voice's first clips by name."""
     r = F.row_number().over(Window.partitionBy("voice").orderBy("clip"))
-    return levels.withColumn("r", r).where(F.col("r") <= first).groupBy("voice").agg(F.round(F.avg("dbfs"), 4).alias("dbfs"))
+    return levels.withColumn("r", r).where(F.col("r") <= first).groupBy("voice").agg(F.round(F.avg("dbfs"), 6).alias("dbfs"))
 
 
 def gain_db(level: Column, target: float, peak: Column) -> Column:

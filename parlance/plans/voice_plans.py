@@ -130,7 +130,7 @@ add(
 )
 _LEVEL = f"with {FRAMES}, m as (select clip, max(rms) as m, count(*) as n from frames group by 1), lv as (select f.clip, case when any_value(n) >= 3 then round(20 * log10(avg(case when rms > 0 and rms > m * 0.01 then rms end) + 1e-12), 4) end as dbfs from frames f join m using (clip) group by 1)"
 add("agg_loudness", lambda s, d: O.speech_level(frames(s, d)), f"{_LEVEL} select * from lv")
-add("agg_voice_level", lambda s, d: O.voice_level(O.speech_level(frames(s, d)).withColumn("voice", F.col("clip") % 7)), f"{_LEVEL}, r as (select clip % 7 as voice, dbfs, row_number() over (partition by clip % 7 order by clip) as r from lv) select voice, round(avg(dbfs), 4) as dbfs from r where r <= 10 group by 1")
+add("agg_voice_level", lambda s, d: O.voice_level(O.speech_level(frames(s, d)).withColumn("voice", F.col("clip") % 7)), f"{_LEVEL}, r as (select clip % 7 as voice, dbfs, row_number() over (partition by clip % 7 order by clip) as r from lv) select voice, round(avg(dbfs), 6) as dbfs from r where r <= 10 group by 1")
 add(
     "agg_pitch", lambda s, d: O.pitch_stats(frames(s, d)),
     f"with {FRAMES}, m as (select clip, max(rms) as m from frames group by 1), v as (select clip, f0, 12 * log2(f0 / 55.0) as st from frames join m using (clip) where rms > 0.1 * m and f0 > 60 and f0 < 400) select clip, case when count(*) >= 10 then round(quantile_cont(f0, 0.5), 4) end as f0_med, case when count(*) >= 10 then round(quantile_cont(st, 0.75) - quantile_cont(st, 0.25), 4) end as f0_iqr from v group by 1",
