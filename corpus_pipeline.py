@@ -11,7 +11,7 @@ from parlance.llm.common import cut, table
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality.score_quality(docs).where(F.col("quality.kept")).select(docs.columns)
+    return quality.score_quality(docs, out="__quality").where(F.col("__quality.kept")).select(docs.columns)
 
 
 def toxic_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

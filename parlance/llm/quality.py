@@ -74,12 +74,12 @@ def measures(text: Column) -> Column:
     return let(_words(text), of)
 
 
-def score_quality(docs: DataFrame, text: str = "text", thresholds=THRESHOLDS) -> DataFrame:
-    """docs with a struct column `quality`: the counts, base_failed and kept.
+def score_quality(docs: DataFrame, text: str = "text", thresholds=THRESHOLDS, out: str = "quality") -> DataFrame:
+    """docs with a struct column `out`: the counts, base_failed and kept.
 
     One narrow projection, no shuffle and no user function. Null or blank text has no
     words and fails the base rule. Repeated rows are measured alike, other columns pass
-    through; a column named `quality` is replaced.
+    through; a column of that name is replaced.
     """
     m = F.col("__m")
     n = F.greatest(m["n_words"], F.lit(1))
@@ -93,9 +93,9 @@ def score_quality(docs: DataFrame, text: str = "text", thresholds=THRESHOLDS) ->
     for name, least, most in thresholds:
         good = good & (ratio[name] >= least if least is not None else F.lit(True)) & (ratio[name] <= most if most is not None else F.lit(True))
     failed = (m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"])
-    out = F.struct(
+    made = F.struct(
         m["n_words"].alias("n_words"), m["word_chars"].alias("word_chars"), m["n_symbols"].alias("n_symbols"),
         m["lines"]["dup"].alias("n_dup_lines"), m["n_repeat_words"].alias("n_repeat_words"), m["n_stop_words"].alias("n_stop_words"),
         *[v.alias(k) for k, v in ratio.items()], failed.alias("base_failed"), (~failed & good).alias("kept"),
     )
-    return docs.withColumn("__m", measures(F.col(text))).withColumn("quality", out).drop("__m")
+    return docs.withColumn("__m", measures(F.col(text))).withColumn(out, made).drop("__m")

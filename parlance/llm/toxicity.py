@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parlance.llm.common import portions, utf8
+from parlance.llm.common import utf8
 
 #: Hash space; the dense weights take 1 MB, the sparse ones that are broadcast far less.
 DIM = 1 << 18
@@ -108,12 +108,13 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     return fit([(np.append(np.frombuffer(x, np.int32), np.int32(DIM)), int(y > 0)) for _, y, x in examples])
 
 
-def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: str = "text") -> DataFrame:
-    """docs with `toxic_score` (0 to 1). Every text is read whole; null and empty texts get the bias alone."""
+def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: str = "text", out: str = "toxic_score") -> DataFrame:
+    """docs with `out` (0 to 1), replaced if there. Every text is read whole; null and empty texts get the bias alone."""
     spark = docs.sparkSession
+    docs = docs.drop(out)
     sent = spark.sparkContext.broadcast(model)
     at = docs.columns.index(text)
-    schema = T.StructType([*docs.schema.fields, T.StructField("toxic_score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())])
 
     def work(batches):
         some, values, bias = sent.value
@@ -128,11 +129,11 @@ def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float],
                 x = np.unique(x[dense[x] != 0])
                 total[i] += float(dense[x].astype(np.float64).sum())
             score = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, "toxic_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, out])
 
     return docs.mapInArrow(work, schema)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the documents that score TOXIC or more; all columns stay."""
-    return score_toxicity(docs, train(docs, labels)).where(F.col("toxic_score") < TOXIC).select(docs.columns)
+    return score_toxicity(docs, train(docs, labels), out="__toxic").where(F.col("__toxic") < TOXIC).select(docs.columns)

@@ -28,7 +28,7 @@ def test_stages_take_effect(spark, folder):
     seen = {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, folder)
-        assert out.columns == docs.columns
+        assert out.columns == docs.columns and {r["quality"] for r in out.collect()} == {"q"}
         seen[name] = {r["doc_id"]: r["text"] for r in out.collect()}
         docs = spark.createDataFrame(out.collect(), out.schema)
     assert not {104, 105} & set(seen["quality_rules"]) and set(range(30)) <= set(seen["toxicity"])
