@@ -17,6 +17,7 @@ def name_pairs(cast: DataFrame, bigrams: DataFrame) -> DataFrame:
     """(book, a, b, rule) with a < b: names that may be one person, by equal keys only; the first rule that fires."""
     p = X.name_parts(F.col("name"))
     n = cast.select("book", "name", p["bare"].alias("bare"), p["single"].alias("single"), p["last"].alias("last")).where("bare is not null")
+    n = cut(n)  # a cast is small and joined several times
     l, r = n.toDF(*["book", *[f"l_{c}" for c in n.columns[1:]]]), n.toDF(*["book", *[f"r_{c}" for c in n.columns[1:]]])
 
     def found(pairs: DataFrame, rule: str) -> DataFrame:
