@@ -190,7 +190,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 def stat_pool(vectors: DataFrame, keys: list[str]) -> DataFrame:
     """Mean and deviation of each dimension over the rows of a key."""
-    return vectors.select(*keys, F.posexplode("embedding").alias("d", "x")).groupBy(*keys, "d").agg(F.round(F.avg("x"), 5).alias("mean"), F.round(F.stddev_samp("x"), 5).alias("std"))
+    return vectors.select(*keys, F.posexplode("embedding").alias("d", "x")).withColumn("d", F.col("d").cast("long")).groupBy(*keys, "d").agg(F.round(F.avg("x"), 5).alias("mean"), F.round(F.stddev_samp("x"), 5).alias("std"))
 
 
 def dominant_cluster(vectors: DataFrame, key: str, similarity: float = 0.55) -> DataFrame:

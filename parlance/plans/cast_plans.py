@@ -73,7 +73,7 @@ def tokens(s, d):
 
 def entities(s, d):
     t = tokens(s, d).where("fine_pos = 'NNP'")
-    return t.select("doc_id", F.col("token_id").alias("ent"), "para", F.col("token_id").alias("start_token"), (F.col("token_id") + F.col("token_id") % 3).alias("end_token"), (F.length("word") % 5).alias("coref"), F.lit("PROP").alias("prop"), F.when(F.col("token_id") % 4 != 0, "PER").otherwise("LOC").alias("cat"), F.col("word").alias("text"))
+    return t.select("doc_id", F.col("token_id").alias("ent"), "para", F.col("token_id").alias("start_token"), (F.col("token_id") + F.col("token_id") % 3).alias("end_token"), (F.length("word") % 5).cast("long").alias("coref"), F.lit("PROP").alias("prop"), F.when(F.col("token_id") % 4 != 0, "PER").otherwise("LOC").alias("cat"), F.col("word").alias("text"))
 
 
 def nlp_quotes(s, d):

@@ -108,3 +108,15 @@ add(
     f"with {V.UNITS}, {CASTING}, l as (select u.book, case when c.role is not null then c.voice else n.voice end as voice from units u left join casting c on c.book = u.book and c.role = case when kind = 'narration' then 'narrator' else speaker end left join casting n on n.book = u.book and n.role = 'narrator') select book, voice, count(*) as n from l where voice in (select voice from casting where role <> 'Tamsin') group by 1, 2",
 )
 add("txt_respell", lambda s, d: V.documents(s, d).select("doc_id", X.canonicalize(F.regexp_replace("text", "(?<![\\p{L}\\p{N}_])(?i)the(?![\\p{L}\\p{N}_])", "winned")).alias("out")))
+
+
+def _reply_sql() -> str:
+    from parlance.plans import text_plans as T
+
+    clean = T.squeeze(T.rep(T.rep("content", "(?s)<think>.*?</think>", ""), r"[*_#`]|\[[^\n]*?\]|\(laughs?\)", " "))
+    return f"""with {V.MESSAGES}, c as (select channel, turn, speaker, {clean} as text from messages),
+s as (select channel, turn, speaker, case when len({T.SENTENCES}) > 0 then {T.SENTENCES} else [{T.strip('text')}] end as parts from c)
+select channel, turn, unnest(range(len(parts)))::integer as n, unnest(parts) as sentence from s"""
+
+
+ORACLES["str_reply_sent"] = _reply_sql()

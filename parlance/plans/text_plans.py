@@ -196,3 +196,37 @@ ORACLES["seg_overlap"] = 'select doc_id, start, least(1000, length(text) - start
 QUERIES["json_first"] = lambda spark, sf: V.table(spark, sf, "events").select("event_id", X.parse_reply(F.concat(F.lit("Sure: ```json\n{\"speakers\": {\"1\": \""), F.col("event_type"), F.lit("\"}, \"new_characters\": [\""), F.col("event_type"), F.lit("\"]}\n```"))).alias("r")).select("event_id", F.element_at("r.speakers", "1").alias("speaker"), F.get("r.new_characters", 0).alias("new_character"))
 ORACLES["json_first"] = "select event_id, event_type as speaker, event_type as new_character from events"
 QUERIES["rect_merge"] = lambda spark, sf: V.table(spark, sf, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct((F.col("event_id") % 40 * 1.0).alias("x0"), F.floor(F.col("event_id") % 200 / 10).cast("double").alias("y0"), (F.col("event_id") % 40 + 5.0).alias("x1"), (F.floor(F.col("event_id") % 200 / 10) + 8).cast("double").alias("y1")))).alias("r")).select("user_id", X.merge_rects(F.col("r")).alias("lines"))
+
+
+def _number_sql(n: str) -> str:
+    """English words of a whole number, as in num_words."""
+    ones, tens = (f"[{', '.join(repr(w) for w in words)}]" for words in (L.ONES, L.TENS))
+
+    def to_99(v):
+        return f"case when {v} < 20 then {ones}[({v}) + 1] else {tens}[({v}) // 10 - 1] || case when ({v}) % 10 = 0 then '' else ' ' || {ones}[({v}) % 10 + 1] end end"
+
+    def to_999(v):
+        return f"case when {v} < 100 then {to_99(v)} else {ones}[({v}) // 100 + 1] || ' hundred' || case when ({v}) % 100 = 0 then '' else ' ' || ({to_99(f'(({v}) % 100)')}) end end"
+
+    thousands = f"({to_999(f'({n} // 1000)')}) || ' thousand' || case when {n} % 1000 = 0 then '' else ' ' || ({to_999(f'({n} % 1000)')}) end"
+    digits = f"array_to_string(list_transform(regexp_extract_all(cast({n} as varchar), '[0-9]'), lambda d: {ones}[cast(d as bigint) + 1]), ' ')"
+    return f"case when {n} < 1000 then {to_999(n)} when {n} < 1000000 then {thousands} else {digits} end"
+
+
+ORACLES["txt_numwords"] = f"select doc_id, {_number_sql('n')} as out from (select doc_id, length(text) * 37 as n from documents)"
+_NOT = ", ".join(f"'{w}'" for w in L.NOT_NAMES)
+ORACLES["prd_is_name"] = f"select doc_id, {rep('lower(' + strip('string_split(text, chr(32))[1]') + ')', '^[.]+|[.]+$', '')} not in ({_NOT}) as out from documents"
+
+
+def _half(parts: str) -> str:
+    return f"[array_to_string({parts}[1:len({parts}) // 2], ' '), array_to_string({parts}[len({parts}) // 2 + 1:], ' ')]"
+
+
+def _cut_after(marks: str) -> str:
+    return f"list_filter(string_split({rep(strip('text'), f'([{marks}]){W}+', chr(92) + '1' + chr(31))}, chr(31)), lambda x: x <> '')"
+
+
+ORACLES["seg_halve"] = f"""
+with p as (select doc_id, {_cut_after('.!?')} as a, {_cut_after(';:,')} as b, list_filter(string_split_regex({strip('text')}, '{W}+'), lambda x: x <> '') as c from documents)
+select doc_id, case when len(a) > 1 then {_half('a')} when len(b) > 1 then {_half('b')} when len(c) > 1 then {_half('c')} end as out from p
+"""
