@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from parlance.operators.ordered import running_total
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -27,21 +29,16 @@ _SPEAKERS = ((6, "Tamsin"), (9, "Orrin"), (11, "Tam"), (12, "Captain Vale"), (13
 def book_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(book, id, para, kind, text, speaker): a source is a book, a document a paragraph, a line a unit.
 
-    The running id is a count of a book's units in earlier documents plus the line's
-    place, so a large book is not gathered in one task.
+    The running id is a running total in blocks, so a large book is not gathered in one task.
     """
-    lines = doc_lines(spark, sf_dir).where("length(line) > 0")
-    here = lines.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    starts = here.select("source", "doc_id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    lines = running_total(doc_lines(spark, sf_dir).where("length(line) > 0"), ["source"], "doc_id", "line_no", F.lit(1), "id")
     k = F.pmod(F.col("doc_id") * 31 + F.col("line_no") * 17, F.lit(16))
     narration = (F.col("doc_id") + F.col("line_no")) % 3 == 0
     speaker = F.lit("Tamsin Vale")
     for most, name in reversed(_SPEAKERS):
         speaker = F.when(k < most, name).otherwise(speaker)
-    row = F.row_number().over(Window.partitionBy("source", "doc_id").orderBy("line_no"))
-    return lines.join(starts, ["source", "doc_id"]).select(
-        F.col("source").alias("book"), (F.col("start") + row - 1).cast("long").alias("id"), F.col("doc_id").alias("para"),
+    return lines.select(
+        F.col("source").alias("book"), F.col("id").cast("long").alias("id"), F.col("doc_id").alias("para"),
         F.when(narration, "narration").otherwise("dialogue").alias("kind"), F.col("line").alias("text"), F.when(narration, "Narrator").otherwise(speaker).alias("speaker"),
     )
 
