@@ -14,6 +14,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +31,9 @@ KEY_BITS = 48
 STARTS = 48
 #: Depth of the multikey passes, in bytes.
 SHALLOW = 16
+#: Documents (about) from which a shared hash is common: its strings are dealt one by one, by their own
+#: hash. That costs more bytes a string, but no task sorts more than the runs of so many documents.
+COMMON = 50_000
 #: Suffixes sorted at once, about.
 SORTED = 200_000
 #: Bytes of text hashed at once, and the least and most bytes in a batch.
@@ -125,8 +129,8 @@ def _by_part(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
     return [(int(part[a]), int(a), int(b)) for a, b in zip(cuts, np.append(cuts[1:], len(part)))]
 
 
-KEYS_OF = "part int, batch int, keys binary, twice binary"
-SHARED_OF = "batch int, keys binary"
+KEYS_OF = "part int, batch int, keys binary, many binary"
+SHARED_OF = "batch int, keys binary, common binary"
 RUNS_OF = "part int, batch int, kind int, keys binary, docs binary, sizes binary, text binary, counts binary, places binary, masks binary"
 COVERS_OF = "batch int, places binary, masks binary"
 
@@ -143,12 +147,14 @@ def _batch_keys(doc_id: str, text: str, bits: int):
         order = np.argsort(keys, kind="stable")
         keys, ids = keys[order], ids[order]
         first = np.flatnonzero(np.diff(keys, prepend=~keys[:1])) if len(keys) else np.zeros(0, np.int64)
-        twice = (np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first)).astype(np.uint8) if len(first) else np.zeros(0, np.uint8)
+        fresh = np.ones(len(ids), np.int64)
+        fresh[1:] = (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])
+        many = np.log2(np.add.reduceat(fresh, first)).astype(np.uint8) if len(first) else np.zeros(0, np.uint8)
         keys = keys[first]
         parts = _by_part(keys, bits)
         return _packed(
             part=pa.array([p for p, *_ in parts], pa.int32()), batch=pa.array([batch] * len(parts), pa.int32()),
-            keys=pa.array([_out(_six(keys[a:b])) for _, a, b in parts], pa.binary()), twice=pa.array([np.packbits(twice[a:b]).tobytes() for _, a, b in parts], pa.binary()),
+            keys=pa.array([_out(_six(keys[a:b])) for _, a, b in parts], pa.binary()), many=pa.array([_out(many[a:b]) for _, a, b in parts], pa.binary()),
         )
 
     return work
@@ -157,7 +163,7 @@ def _batch_keys(doc_id: str, text: str, bits: int):
 def _shared(rows: pa.Table) -> pa.Table:
     """Of each batch of a part, the keys that two documents have."""
     lists = [_unsix(_in(x)) for x in rows.column("keys").to_pylist()]
-    twice = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(k)) for x, k in zip(rows.column("twice").to_pylist(), lists)])
+    many = np.concatenate([_in(x, np.uint8) for x in rows.column("many").to_pylist()]).astype(np.int64)
     keys, of = np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
     order = np.argsort(keys, kind="stable")
     sorted_ = keys[order]
@@ -165,14 +171,17 @@ def _shared(rows: pa.Table) -> pa.Table:
     same[1:] = sorted_[1:] == sorted_[:-1]
     both = same.copy()
     both[:-1] |= same[1:]
-    wanted = np.zeros(len(keys), bool)
+    begin = np.flatnonzero(~same)
+    wanted, common = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
     wanted[order] = both
+    common[order] = np.repeat(np.add.reduceat(1 << many[order], begin) >= COMMON, np.diff(np.append(begin, len(keys))))
     # a batch has a key once, so an equal neighbour is another batch
-    wanted |= twice > 0
-    out = np.split(keys[wanted], np.cumsum(np.bincount(of[wanted], minlength=len(lists)))[:-1])
+    wanted |= many > 0
+    cuts = np.cumsum(np.bincount(of[wanted], minlength=len(lists)))[:-1]
+    out, often = np.split(keys[wanted], cuts), np.split(common[wanted], cuts)
     some = [k for k in range(len(lists)) if len(out[k])]
     batches = rows.column("batch").to_pylist()
-    return _packed(batch=pa.array([batches[k] for k in some], pa.int32()), keys=pa.array([_out(_six(out[k])) for k in some], pa.binary()))
+    return _packed(batch=pa.array([batches[k] for k in some], pa.int32()), keys=pa.array([_out(_six(out[k])) for k in some], pa.binary()), common=pa.array([np.packbits(often[k]).tobytes() for k in some], pa.binary()))
 
 
 def _full(size: np.ndarray) -> np.ndarray:
@@ -189,22 +198,39 @@ def _batch_runs(doc_id: str, text: str, bits: int):
             return empty
         got = Batch(rows, doc_id, text)
         batch = rows.column("__batch")[0].as_py()
-        shared = np.sort(np.concatenate([_unsix(_in(x)) for x in replies.column("keys").to_pylist()]))
+        lists = [_unsix(_in(x)) for x in replies.column("keys").to_pylist()]
+        often = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(k)) for x, k in zip(replies.column("common").to_pylist(), lists)]).astype(bool)
+        shared = np.concatenate(lists)
+        order = np.argsort(shared)
+        shared, often = shared[order], often[order]
         blob = got.data.tobytes()
         seen: dict[bytes, list] = {}
+        whole: dict[bytes, int] = {}
         own_at, own_size = [], []
+
+        def put(key: int | None, c: bytes, p: int, n: int, d: int) -> None:
+            e = seen.get(c)
+            if e is None:
+                seen[c] = [xxhash.xxh3_64_intdigest(c) >> (64 - KEY_BITS) if key is None else key, d, [p]]
+            elif e[1] == d:
+                e[2].append(p)
+            else:  # rows are in the order of their documents
+                own_at.append(p)
+                own_size.append(n)
+
         for h, first, size, row in got.runs():
-            hit = shared[np.minimum(np.searchsorted(shared, h), len(shared) - 1)] == h
-            for key, p, n, d in zip(h[hit].tolist(), first[hit].tolist(), size[hit].tolist(), got.ids[row[hit]].tolist()):
+            at = np.minimum(np.searchsorted(shared, h), len(shared) - 1)
+            hit = shared[at] == h
+            for key, p, n, d, many in zip(h[hit].tolist(), first[hit].tolist(), size[hit].tolist(), got.ids[row[hit]].tolist(), often[at[hit]].tolist()):
                 c = blob[p : p + n + GRAM - 1]
-                e = seen.get(c)
-                if e is None:
-                    seen[c] = [key, d, [p]]
-                elif e[1] == d:
-                    e[2].append(p)
-                else:  # rows are in the order of their documents
+                if not many:
+                    put(key, c, p, n, d)
+                elif whole.setdefault(c, d) != d:
                     own_at.append(p)
                     own_size.append(n)
+                else:
+                    for j in range(n):
+                        put(None, c[j : j + GRAM], p + j, 1, d)
         texts = list(seen)
         keys = np.array([seen[c][0] for c in texts], np.uint64)
         order = np.argsort(keys, kind="stable")
@@ -385,6 +411,7 @@ def _finish(doc_id: str, text: str, columns: list[str], digest: bool):
             left = (got.data[a:b][~g] if n else got.data[a:b]).tobytes()
             kept.append(hashlib.sha256(left).hexdigest() if digest else left.decode("utf-8", "ignore"))
         extra = {"n_bytes": pa.array(np.diff(got.offsets), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256" if digest else "kept_text": pa.array(kept, pa.string())}
+        extra = extra if digest else {f"__{k}": v for k, v in extra.items()}
         return pa.table([*(got.rows.column(c) for c in columns), *extra.values()], names=[*columns, *extra])
 
     return work
@@ -393,14 +420,16 @@ def _finish(doc_id: str, text: str, columns: list[str], digest: bool):
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest: bool = True) -> DataFrame:
     """docs without bytes covered by a GRAM-byte string that starts in a smaller document too.
 
-    Returns the columns of docs (with digest: doc_id alone), n_bytes, n_removed, n_spans and
-    either kept_sha256 or kept_text (cut characters are left out there). Exact: strings are
+    Returns doc_id, n_bytes, n_removed, n_spans and kept_sha256, or without digest all columns
+    of docs and the same as __n_bytes and so on, with __kept_text for the digest (cut
+    characters are left out there), so that names don't clash. Exact: strings are
     judged on the input, overlaps count, matches stay inside documents.
 
     Texts are dealt into batches of bounded size by a hash, once; the same shuffle serves
     all passes. What a batch sends is combined first: each hash once, each run of text
-    once, so copies by the thousand cost one row a batch. No task gathers a group larger
-    than a share of one hash range.
+    once, so copies by the thousand cost one row a batch. The strings under a hash that
+    about COMMON documents share are dealt one by one by their own hash, so the many surroundings of
+    one common passage spread over all tasks.
 
     Null texts are empty; rows with a null id lose nothing and cost nobody anything; rows
     that share an id count as one document. Empty tables give empty results.
@@ -419,6 +448,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     covers = runs.groupBy("part").applyInArrow(_covers, COVERS_OF)
     fields = [own.schema[c] for c in columns]
     more = [("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256" if digest else "kept_text", T.StringType())]
+    more = more if digest else [(f"__{n}", t) for n, t in more]
     schema = T.StructType([*fields, *(T.StructField(n, t) for n, t in more)])
     return dealt.groupBy("__batch").cogroup(covers.groupBy("batch")).applyInArrow(_finish(doc_id, text, columns, digest), schema)
 
@@ -426,5 +456,5 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def drop_repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the text that is left; documents stay even where nothing is left, n_chars follows the text."""
     cut = repeated_spans(docs, doc_id, text, digest=False)
-    new = {text: F.when(F.col(text).isNotNull(), F.col("kept_text")).alias(text), "n_chars": F.length("kept_text").cast("long").alias("n_chars")}
+    new = {text: F.when(F.col(text).isNotNull(), F.col("__kept_text")).alias(text), "n_chars": F.length("__kept_text").cast("long").alias("n_chars")}
     return cut.select(*[new.get(c, F.col(c)) for c in docs.columns])

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard string, label string, kept string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard string, label string, kept string, n_bytes long, toxic_score double, kept_text string, quality string"
 
 
 def words(n: int, seed: int) -> str:
@@ -25,7 +25,7 @@ def cases() -> list[tuple[int | None, str | None]]:
 
 
 def table(spark, rows):
-    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x", "y", "z") for i, t in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x", "y", "z", 1, 0.5, "k", "q") for i, t in rows], SCHEMA)
 
 
 def shingles(text: str | None) -> set:

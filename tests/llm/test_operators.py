@@ -23,8 +23,6 @@ def test_avi_gives_the_bytes_back(spark):
     rows = H.cases()
     got = media.digests(media.to_avi(H.table(spark, rows))).collect()
     assert len(got) == len(rows)
-    for (i, t), r in zip(sorted(rows, key=str), sorted(got, key=lambda r: str((r["doc_id"], None)))):
-        pass
     want = sorted((str(i), len(b := (t or "").encode()), hashlib.sha256(p := b + bytes(max(1, -(-len(b) // 64)) * 64 - len(b))).hexdigest(), zlib.crc32(p[-64:]), len(p)) for i, t in rows)
     assert sorted((str(r["doc_id"]), r["n_bytes"], r["payload_sha256"], r["tail_crc32"], r["payload_bytes"]) for r in got) == want
 
@@ -104,8 +102,8 @@ def test_quality_repeats_against_brute_force(spark):
 
 
 def test_language(spark):
-    made = [(k, {"en": "the house and the tree ", "de": "das haus und der baum ", "es": "la casa y el árbol "}[x] * 20, x, "s", 1, "", "", "") for k, x in enumerate(["en", "de", "es"] * 60)]
-    docs = spark.createDataFrame(made + [(900, None, "en", "s", 1, "", "", ""), (901, "12 34", None, "s", 1, "", "", ""), (None, "das haus und", "de", "s", 1, "", "", "")], H.SCHEMA)
+    made = [(k, {"en": "the house and the tree ", "de": "das haus und der baum ", "es": "la casa y el árbol "}[x] * 20, x, "s", 1, "", "", "", 1, 0.5, "", "") for k, x in enumerate(["en", "de", "es"] * 60)]
+    docs = spark.createDataFrame(made + [(900, None, "en", "s", 1, "", "", "", 1, 0.5, "", ""), (901, "12 34", None, "s", 1, "", "", "", 1, 0.5, "", ""), (None, "das haus und", "de", "s", 1, "", "", "", 1, 0.5, "", "")], H.SCHEMA)
     model = language.train(docs)
     got = {r["doc_id"]: r for r in language.identify(docs, model).collect()}
     held = [k for k, *_ in made if zlib.crc32(str(k).encode()) % 5 == 0]
@@ -211,8 +209,10 @@ def test_toxicity(spark):
     assert toxicity.drop_toxic(docs, labels.limit(0)).count() == len(rows)
 
 
-def test_suffix_dedup(spark, monkeypatch):
+@pytest.mark.parametrize("common", [50_000, 2])
+def test_suffix_dedup(spark, monkeypatch, common):
     monkeypatch.setattr(suffixes, "LEAST_BATCH", 4096)
+    monkeypatch.setattr(suffixes, "COMMON", common)
     rows = H.cases() + [(50, "a" * 300), (51, "a" * 60), (52, "xy" * 100 + "b"), (53, "ĩ" + "é" * 60), (54, "xy" * 90)]
     got = suffixes.repeated_spans(H.table(spark, rows)).collect()
     assert sorted((tuple(r) for r in got), key=str) == H.spans(rows)
