@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parlance.llm.common import utf8
+from parlance.llm.common import cut, utf8
 
 #: Hash space; the dense weights take 1 MB, the sparse ones that are broadcast far less.
 DIM = 1 << 18
@@ -58,8 +58,8 @@ def fit(examples: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray,
     often = np.zeros(DIM + 1, np.int64)
     for x, _ in examples:
         often[x] += 1
-    often[DIM] = LEAST_DOCS
-    examples = [(x[often[x] >= LEAST_DOCS], y) for x, y in examples]
+    for k, (x, y) in enumerate(examples):  # with the bias, which every example has
+        examples[k] = np.append(x[often[x] >= LEAST_DOCS], np.int32(DIM)), y
     rng = np.random.default_rng(7)
 
     def weights(zi: np.ndarray, ni: np.ndarray) -> np.ndarray:
@@ -101,11 +101,12 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
                 x = np.unique(features((batch.column(1)[i].as_py() or "").encode(), known))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(2).slice(i, 1).cast(pa.int32()), pa.array([x.tobytes()])], ["doc_id", "toxic", "x"])
 
-    got = chosen.select("doc_id", "text", "toxic").mapInArrow(work, "doc_id long, toxic int, x binary").collect()
-    examples = sorted((r["doc_id"], r["toxic"], bytes(r["x"])) for r in got)
+    found = cut(chosen.select("doc_id", "text", "toxic").mapInArrow(work, "doc_id long, toxic int, x binary"))
+    # read row by row, so that the driver holds the sample once
+    examples = sorted(((r["doc_id"], r["toxic"], np.frombuffer(bytes(r["x"]), np.int32)) for r in found.toLocalIterator()), key=lambda e: (e[0], e[1], len(e[2])))
     if not examples:
         return np.zeros(0, np.int32), np.zeros(0, np.float32), -35.0
-    return fit([(np.append(np.frombuffer(x, np.int32), np.int32(DIM)), int(y > 0)) for _, y, x in examples])
+    return fit([(x, int(y > 0)) for _, y, x in examples])
 
 
 def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: str = "text", out: str = "toxic_score") -> DataFrame:
