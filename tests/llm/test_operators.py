@@ -197,6 +197,13 @@ def test_packing(spark):
     assert packing.pack(H.table(spark, [])).count() == 0
 
 
+def test_packing_keeps_lengths_exact_beside_a_very_long_document(spark):
+    rows = [(k, "w " * (k % 7 + 1)) for k in range(70)] + [(1000, "w " * 400_000)]
+    got = packing.pack(H.table(spark, rows), buckets=8).collect()
+    assert sorted({r["bucket_len"] for r in got}) == [*range(1, 8), 400_000]
+    assert len(got) == len(rows) and all(r["padding"] == 0 for r in got)
+
+
 def test_toxicity(spark):
     rows = [(k, H.words(40, k) + (" vile brute" if k % 3 == 0 else "")) for k in range(400)] + [(990, None), (991, ""), (None, "vile")]
     docs = H.table(spark, rows)
