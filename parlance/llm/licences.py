@@ -60,10 +60,40 @@ def blocks(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
     return lines.select(*keys, "__block", F.array_distinct(F.filter(F.split("__line", GAPS), lambda w: w != "")).alias("__words"))
 
 
+def wrapped_blocks(docs: DataFrame, keys: list[str], text: str, most: int) -> DataFrame:
+    """The words around every line end, one row each, numbered by the line that ends there.
+
+    Up to `most` words before and after it, over as many lines as that takes, but not past
+    a line without words. __seq has these words in order, __at says how many stand before
+    the line end, __words are the distinct ones.
+    """
+    line_end = F.regexp_replace(F.lower(F.col(text)), "\n", " N ")  # no lower-case word is N
+
+    def at_ends(w):
+        def around(i):
+            before = F.slice(w, F.greatest(F.lit(1), i - 2 * most), F.least(i - 1, F.lit(2 * most)))
+            after = F.slice(w, i + 1, F.lit(2 * most))
+            before = F.split(F.regexp_replace(F.concat(F.lit(" "), F.array_join(before, " "), F.lit(" N ")), "(?s)^.* N(?= N )", ""), " ")
+            after = F.split(F.regexp_replace(F.concat(F.lit(" N "), F.array_join(after, " "), F.lit(" ")), "(?s) N N .*$", ""), " ")
+            own = lambda x: (x != "") & (x != "N")
+            before = F.reverse(F.slice(F.reverse(F.filter(before, own)), 1, most))
+            return F.struct(before.alias("before"), F.slice(F.filter(after, own), 1, most).alias("after"))
+
+        ends = F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: F.element_at(w, i) == "N")
+        return F.transform(ends, around)
+
+    w = F.filter(F.split(line_end, GAPS), lambda x: x != "")
+    ends = docs.where(F.contains(F.col(text), F.lit("\n"))).select(*keys, F.posexplode(let(w, at_ends)).alias("__block", "__end"))
+    ends = ends.select(*keys, "__block", F.concat("__end.before", "__end.after").alias("__seq"), F.size("__end.before").alias("__at"))
+    return ends.where((F.col("__at") > 0) & (F.size("__seq") > F.col("__at"))).withColumn("__words", F.array_distinct("__seq"))
+
+
 def template_matches(docs: DataFrame, keys: list[str], text: str = "text", templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
     """One row (keys, block, template, label, containment) for each line that holds enough of a template.
 
-    Exact. Template words are ordered by how many lines of the corpus hold them, rarest
+    Exact. A notice may be wrapped: every run of as many words as the template has that goes
+    over the end of a line, but not over a line without words, counts as that line's too.
+    Such runs are formed only in texts that hold a key of the join. Template words are ordered by how many lines of the corpus hold them, rarest
     first (counts of the fixed template vocabulary only reach the driver). A line can hold
     a share of a template only if it holds one of the template's first words in that order,
     which is the key of the join; the length and positional bounds drop candidates before
@@ -78,26 +108,30 @@ def template_matches(docs: DataFrame, keys: list[str], text: str = "text", templ
     count = {r["w"]: r["count"] for r in held}
     order = sorted(vocabulary, key=lambda w: (count.get(w, 0), w))
     rank = {w: i for i, w in enumerate(order)}
+    length = [len("".join(c if c.isalnum() else " " for c in t).split()) for _, t in templates]
     heads = []
     for i, label, t in sets:
         t = sorted(t, key=rank.get)
         least = needed(len(t), containment)
-        heads += [(w, i, label, p, t, least) for p, w in enumerate(t[: len(t) - least + 1])]
-    right = F.broadcast(spark.createDataFrame(heads, "w string, template int, label string, p int, t array<string>, least int"))
+        heads += [(w, i, label, p, t, least, length[i]) for p, w in enumerate(t[: len(t) - least + 1])]
+    right = F.broadcast(spark.createDataFrame(heads, "w string, template int, label string, p int, t array<string>, least int, n int"))
     first = F.array(*[F.lit(w) for w in sorted({h[0] for h in heads})])
     shortest = min(h[5] for h in heads)
+    wrapped = wrapped_blocks(docs.where(F.lower(F.col(text)).rlike("|".join(sorted({h[0] for h in heads})))), keys, text, max(length) - 1)
     near = (
-        lines.where(F.size("__words") >= shortest)
+        lines.unionByName(wrapped, allowMissingColumns=True).where(F.size("__words") >= shortest)
         .withColumn("__hits", F.array_intersect("__words", first)).where(F.size("__hits") > 0)
         .withColumn("__own", F.array_intersect(F.array(*[F.lit(w) for w in order]), F.col("__words")))
-        .select(*keys, "__block", "__own", F.explode("__hits").alias("w"))
+        .select(*keys, "__block", "__own", "__seq", "__at", F.explode("__hits").alias("w"))
         .join(right, "w")
         .where(F.size("__own") >= F.col("least"))
         .where(1 + F.least(F.size("t") - F.col("p") - 1, F.size("__own") - F.array_position("__own", F.col("w")).cast("int")) >= F.col("least"))
     )
-    overlap = F.size(F.array_intersect("t", "__own"))
+    run = lambda p: F.size(F.array_intersect(F.col("t"), F.slice(F.col("__seq"), p, F.col("n"))))
+    runs = F.array_max(F.transform(F.sequence(F.greatest(F.lit(1), F.col("__at") - F.col("n") + 2), F.col("__at")), run))
+    overlap = F.when(F.col("__seq").isNull(), F.size(F.array_intersect("t", "__own"))).otherwise(runs)
     sure = near.withColumn("__n", overlap).where(F.col("__n") >= F.col("least"))
-    return sure.select(*keys, F.col("__block").alias("block"), "template", "label", (F.col("__n") / F.size("t")).alias("containment")).distinct()
+    return sure.select(*keys, F.col("__block").alias("block"), "template", "label", (F.col("__n") / F.size("t")).alias("share")).groupBy(*keys, "block", "template", "label").agg(F.max("share").alias("containment"))
 
 
 def scan_licences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:

@@ -159,6 +159,18 @@ def test_licences(spark):
     assert licences.scan_licences(H.table(spark, [])).count() == 0
 
 
+def test_licences_find_wrapped_notices(spark):
+    texts = dict(licences.TEMPLATES)
+    wrap = lambda t, n, lead="": "\n".join(lead + " ".join(t.split()[k : k + n]) for k in range(0, len(t.split()), n))
+    rows = [
+        (1, wrap(texts["mit"], 13)), (2, "Code here.\n" + wrap(texts["bsd"], 11) + "\nmore"), (3, wrap(texts["mpl"], 10)),
+        (4, wrap(texts["bsd"], 3, " * ") + "\n\nend"), (5, wrap(texts["bsd"], 11).replace("\n", "\n\n")), (6, "a\nb\n\nc"), (7, "\n"), (8, None),
+        (9, "It was released under the\nsame roof where his license hung."), (10, "It was Released\nunder the MIT License here"),
+    ]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licences.scan_licences(H.table(spark, rows)).collect()}
+    assert got == {1: ("mit", 1.0), 2: ("bsd", 1.0), 3: ("mpl", 1.0), 4: ("bsd", 1.0), 5: ("", 0.0), 6: ("", 0.0), 7: ("", 0.0), 8: ("", 0.0), 9: ("", 0.0), 10: ("mit", 1.0)}
+
+
 def test_pieces_equal_the_library(spark):
     sp = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=pieces.MODEL)
     rows = H.cases() + [(40, "  Hello   world\nx é\t "), (41, "     "), (42, "don't stop-me now!!  1234 \x01")]
