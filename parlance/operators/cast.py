@@ -64,18 +64,91 @@ def nickname_merges(cast: DataFrame, support: DataFrame, veto: DataFrame, small:
     return good.groupBy("book", "alias").agg(F.max_by("name", F.struct("lines", "name")).alias("name"))
 
 
-def resolve_aliases(links: DataFrame, most: int = 32) -> DataFrame:
-    """(book, alias, final): chains of alias -> name followed to their end; cycles stay where they are.
-
-    Pointer jumping: each round doubles the distance followed, so few rounds are needed.
+def _loop_ends(t: pa.Table) -> pa.Table:
+    """Where names that lead into a cycle end: before the walk would meet a name again."""
+    after = {r["alias"]: r["final"] for r in t.to_pylist()}
+    end: dict[str, str] = {}
+    for start in after:
+        path, place, at = [], {}, start
+        while at not in end and at not in place:
+            place[at] = len(path)
+            path.append(at)
+            at = after[at]
+        if at in place:  # a new cycle: each of its names ends at the one before it
+            loop = path[place[at] :]
+            end |= {n: loop[k - 1] for k, n in enumerate(loop)}
+            path, last = path[: place[at]], loop[-1]
+        else:
+            last = end[at]
+        end |= {n: last for n in path}
+    names = sorted(after)
+    return pa.table({"book": pa.array([t["book"][0].as_py()] * len(names), pa.string()), "alias": pa.array(names, pa.string()), "final": pa.array([end[n] for n in names], pa.string())})
+
+
+def resolve_aliases(links: DataFrame) -> DataFrame:
+    """(book, alias, final): chains of alias -> name followed to their end; a cycle ends before it meets a name again.
+
+    An alias has one name, the smallest. Pointer jumping: each round doubles the distance
+    followed, until a round settles no more chains; what is open then leads into a cycle
+    and is walked book by book.
     """
-    now = links.where((F.col("alias") != F.col("name")) & X.is_name(F.col("name"))).groupBy("book", "alias").agg(F.min("name").alias("final"))
-    for _ in range(max(1, most.bit_length() - 1)):
-        now = cut(now)
+    first = cut(links.where((F.col("alias") != F.col("name")) & X.is_name(F.col("name"))).groupBy("book", "alias").agg(F.min("name").alias("final")))
+    now, before, still = first.withColumn("__open", F.lit(True)), None, -1
+    while still != before and still != 0:
         step = now.select("book", F.col("alias").alias("final"), F.col("final").alias("__next"))
         far = now.join(step, ["book", "final"], "left")
-        now = far.select("book", "alias", F.when(F.col("__next").isNull() | (F.col("__next") == F.col("alias")), F.col("final")).otherwise(F.col("__next")).alias("final"))
-    return now
+        now = cut(far.select("book", "alias", F.coalesce("__next", "final").alias("final"), F.col("__next").isNotNull().alias("__open")))
+        before, still = still, now.where("__open").count()
+    ended = now.where("not __open").select("book", "alias", "final")
+    if not still:
+        return ended
+    loops = first.join(now.where("__open").select("book", "alias"), ["book", "alias"], "left_semi").select("book", "alias", "final")
+    return ended.unionByName(loops.groupBy("book").applyInArrow(_loop_ends, "book string, alias string, final string"))
+
+
+def _linked(links: DataFrame) -> DataFrame:
+    """(book, name, part): the smallest name that links (book, a, b) reach from each name, by joins until no label changes."""
+    ways = cut(links.select("book", "a", "b").union(links.select("book", "b", "a")).distinct())
+    labels = cut(ways.groupBy("book", F.col("a").alias("name")).agg(F.min("b").alias("__b")).select("book", "name", F.least("name", "__b").alias("part")))
+    changed = 1
+    while changed:
+        jumped = labels.join(labels.select("book", F.col("name").alias("part"), F.col("part").alias("__to")), ["book", "part"])
+        near = ways.join(labels.select("book", F.col("name").alias("b"), "part"), ["book", "b"]).groupBy("book", F.col("a").alias("name")).agg(F.min("part").alias("__near"))
+        rows = cut(jumped.join(near, ["book", "name"]).select("book", "name", F.least("part", "__to", "__near").alias("__new"), "part"))
+        changed = rows.where("__new < part").count()
+        labels = rows.select("book", "name", F.col("__new").alias("part"))
+    return labels
+
+
+def _fold_links(t: pa.Table) -> pa.Table:
+    """Links of one part in their order: all of a's names go over to b and take b's display."""
+    group: dict[str, dict] = {}
+    for r in sorted(t.to_pylist(), key=lambda r: (r["seq"], r["a"], r["b"])):
+        x, y = (group.setdefault(n, {"names": [n], "display": n}) for n in (r["a"], r["b"]))
+        if x is y:
+            continue
+        small, big = sorted((x, y), key=lambda g: len(g["names"]))
+        big["display"] = y["display"]
+        big["names"] += small["names"]
+        for n in small["names"]:
+            group[n] = big
+    names = sorted(group)
+    return pa.table({"book": pa.array([t["book"][0].as_py()] * len(names), pa.string()), "name": pa.array(names, pa.string()), "display": pa.array([group[n]["display"] for n in names], pa.string())})
+
+
+def identities(links: DataFrame) -> DataFrame:
+    """(book, name, display): names that links (book, a, b, seq) make one person; b is the better known one.
+
+    All links count. Where each name is at most once an `a` and there is no cycle, the name
+    that is never an `a` is shown; only other parts are folded in the order of seq, then a, b.
+    """
+    links = cut(links.where("a <> b").groupBy("book", "a", "b").agg(F.min(F.col("seq").cast("long")).alias("seq")))
+    names = cut(_linked(links).join(links.groupBy("book", F.col("a").alias("name")).agg(F.count(F.lit(1)).alias("__n")), ["book", "name"], "left"))
+    parts = cut(names.groupBy("book", "part").agg(F.max("__n").alias("__most"), F.min(F.when(F.col("__n").isNull(), F.col("name"))).alias("display")))
+    plain = "__most = 1 and display is not null"
+    chains = names.join(parts.where(plain), ["book", "part"]).select("book", "name", "display")
+    folded = links.join(names.select("book", F.col("name").alias("a"), "part"), ["book", "a"]).join(parts.where(f"not ({plain})").select("book", "part"), ["book", "part"])
+    return chains.unionByName(folded.select("book", "part", "a", "b", "seq").groupBy("book", "part").applyInArrow(_fold_links, "book string, name string, display string"))
 
 
 def components(cast: DataFrame, same: DataFrame, different: DataFrame, established: int = 30) -> DataFrame:

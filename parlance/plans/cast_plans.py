@@ -165,7 +165,7 @@ add(
     "cast_merge_chain", lambda s, d: C.resolve_aliases(units(s, d).where("id % 28 < 21").select("book", F.concat(F.lit("N"), F.col("id").cast("string")).alias("alias"), F.concat(F.lit("N"), (F.col("id") + 7).cast("string")).alias("name"))),
     f"with recursive {V.UNITS}, l as (select book, id, id + 7 as nxt from units where id % 28 < 21), r as (select book, id, nxt from l union all select r.book, r.id, l.nxt from r join l on l.book = r.book and l.id = r.nxt) select book, 'N' || id as alias, 'N' || max(nxt) as final from r group by book, id",
 )
-add("cast_identity", lambda s, d: C.resolve_aliases(pairs(s, d).where("rule in ('nick', 'bigram')").select("book", F.col("a").alias("alias"), F.col("b").alias("name"))).groupBy("book", "final").agg(F.array_sort(F.collect_set("alias")).alias("aliases")))
+add("cast_identity", lambda s, d: C.identities(pairs(s, d).where("rule in ('nick', 'bigram')").select("book", "a", "b", F.lit(0).alias("seq"))).where("name <> display").groupBy("book", F.col("display").alias("final")).agg(F.array_sort(F.collect_set("name")).alias("aliases")))
 add(
     "cast_reassign", lambda s, d: C.reassign(units(s, d), units(s, d).where("id % 10 = 1").select("book", "id", F.when(F.col("id") % 20 == 1, "Orrin").otherwise("Nobody Known").alias("name")), cast(s, d)),
     f"with {V.UNITS} select book, id, case when id % 20 = 1 then 'Orrin' else speaker end as speaker from units",

@@ -147,6 +147,21 @@ def test_cast_resolution(spark):
     assert (chain["a"], chain["b"], chain["c"]) == ("d", "d", "d") and "q" not in chain and chain["x"] == "y"
 
 
+def test_long_chains_and_cycles_of_aliases(spark):
+    links = [("b", f"N{k}", f"N{k + 1}") for k in range(100)] + [("c", "A", "B"), ("c", "B", "C"), ("c", "C", "A"), ("c", "T", "A"), ("c", "S", "T")]
+    got = {(x["book"], x["alias"]): x["final"] for x in C.resolve_aliases(spark.createDataFrame(links, "book string, alias string, name string")).collect()}
+    assert all(got["b", f"N{k}"] == "N100" for k in range(100))
+    assert {n: got["c", n] for n in "ABCST"} == {"A": "C", "B": "A", "C": "B", "T": "C", "S": "C"}
+
+
+def test_identities_keep_every_link(spark):
+    links = [("b", "A", "B", 1), ("b", "A", "C", 2), ("c", "A", "C", 1), ("c", "A", "B", 2), ("d", "A", "B", 1), ("d", "B", "A", 2)] + [("e", f"N{k}", f"N{k + 1}", k) for k in range(100)]
+    got: dict = {}
+    for x in C.identities(spark.createDataFrame(links, "book string, a string, b string, seq long")).collect():
+        got.setdefault((x["book"], x["display"]), set()).add(x["name"])
+    assert got == {("b", "C"): set("ABC"), ("c", "B"): set("ABC"), ("d", "B"): set("AB"), ("e", "N100"): {f"N{k}" for k in range(101)}}
+
+
 def test_casting_falls_back(spark):
     units = spark.createDataFrame([("b", 0, 1, "narration", "t", "Narrator"), ("b", 1, 1, "dialogue", "t", "Tam"), ("b", 2, 1, "dialogue", "t", "Orrin"), ("b", 3, 1, "dialogue", "t", "Unknown")], "book string, id long, para long, kind string, text string, speaker string")
     casting = spark.createDataFrame([("b", "narrator", "n", 0.4), ("b", "Tam", "t", None), ("b", "Orrin", None, None)], "book string, role string, voice string, exaggeration double")
