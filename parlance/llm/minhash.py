@@ -18,12 +18,14 @@ MINIMA = BANDS * IN_BAND
 SIMILAR, SHINGLE = 75, 5
 #: Candidates under this estimate are not confirmed: 4.8 standard errors of 128 two-bit minima below 0.75.
 ESTIMATE = 0.53
+#: The same bound as a count of minima whose low bits differ.
+MOST_APART = int(MINIMA * (1 - 2.0**-LOW_BITS) * (1 - ESTIMATE))
 #: Ids up to this many are sent to all executors to pick the candidates' texts; more are joined.
 BROADCAST_IDS = 1_000_000
 #: Words whose hash a task remembers.
 REMEMBERED = 250_000
-#: Members from which a component is large, and documents in a block that is compared with another.
-LARGE, BLOCK = 64, 512
+#: Documents in a block that is compared with another, and shingles in it, about.
+BLOCK, IN_BLOCK = 512, 1 << 20
 
 _random = np.random.default_rng(20240229)
 _TIMES = _random.integers(1 << 62, 1 << 63, MINIMA, dtype=np.uint64) | np.uint64(1)
@@ -152,23 +154,72 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return cut(rows.mapInArrow(work, f"a {kind}, b {kind}"))
 
 
-def _against_large(open_: DataFrame, comp: DataFrame, large: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) of documents with a large component that they share a band with.
+def _placed(reps: DataFrame, shares: DataFrame) -> DataFrame:
+    """reps (rep, c, g) dealt into pairs of blocks (g, i, j), i <= j, with `low_side` and `high_side`.
 
-    All of its members are compared on full sets, in blocks of at most BLOCK by BLOCK
-    documents, each pair of blocks in a group of its own. One link for each document and
-    block is enough, since the members hang together already; no pair becomes a row.
+    A cluster g has `others` blocks of its smaller components and then `inside` blocks of
+    its largest one, whose members hang together already: those meet the others only.
     """
-    there = open_.where("size is not null").select("key", F.col("c").alias("large"), "size").distinct()
-    meets = open_.join(there.withColumnRenamed("size", "members"), "key").where("c <> large and (size is null or c < large)")
-    asked = cut(meets.select("rep", "large", "members").distinct())
-    share = lambda column, n: F.pmod(F.xxhash64(column), n)
-    ways = cut(asked.groupBy("large", "members").agg(F.count(F.lit(1)).alias("n")).select("large", F.ceil(F.col("n") / BLOCK).alias("nx"), F.ceil(F.col("members") / BLOCK).alias("ny")))
-    left = asked.select("rep", "large").join(ways, "large").select("rep", "large", F.lit(0).alias("side"), share("rep", F.col("nx")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("ny") - 1)).alias("j"))
-    inside = comp.toDF("rep", "large").join(ways, "large")
-    right = inside.select("rep", "large", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nx") - 1)).alias("i"), share("rep", F.col("ny")).alias("j"))
-    placed = cut(left.union(right))
-    own = _texts_of(placed.select(F.col("rep").alias("doc_id")).distinct(), texts)
+    dealt = reps.join(shares, "g")
+    pick = lambda n: F.pmod(F.xxhash64("rep"), n)
+    own = F.when(F.col("c") == F.col("top"), F.col("others") + pick(F.col("inside"))).otherwise(pick(F.greatest("others", F.lit(1).cast("long"))))
+    dealt = dealt.withColumn("own", own)
+    last = F.when(F.col("own") < F.col("others"), F.col("others") + F.col("inside")).otherwise(F.col("others"))
+    dealt = dealt.where(last > 0).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last - 1)))
+    i, j = F.least("own", "other"), F.greatest("own", "other")
+    return dealt.select("g", i.alias("i"), j.alias("j"), "rep", "c", (F.col("own") == i).alias("low_side"), (F.col("own") == j).alias("high_side"))
+
+
+def _compared(rows: pa.Table) -> pa.Table:
+    """Links (a, b) that join components of a pair of blocks: estimates first, then full sets.
+
+    A link joins its two components here too, so at most one link for each component
+    leaves, however many pairs there are.
+    """
+    kind = rows.schema.field("rep").type
+    rep, comp = rows.column("rep"), np.unique(rows.column("c").to_numpy(), return_inverse=True)[1]
+    low_side, high_side = np.asarray(rows.column("low_side")), np.asarray(rows.column("high_side"))
+    low = np.array(rows.column("low").to_pylist(), np.int64).view(np.uint64)
+    sets = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
+    size = np.array([len(x) for x in sets])
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    ends = np.cumsum(size)
+    mark = np.zeros(int(code.max()) + 1, bool)
+    ys = np.flatnonzero(high_side)
+    a, b = [], []
+    for k in np.flatnonzero(low_side).tolist():
+        meets = ys[comp[ys] != comp[k]]
+        differ = (low[meets, :2] ^ low[k, :2]) | (low[meets, 2:] ^ low[k, 2:])
+        meets = meets[np.bitwise_count(differ).sum(1) <= MOST_APART]
+        if not len(meets):
+            continue
+        at = code[ends[k] - size[k] : ends[k]]
+        mark[at] = True
+        both = np.array([np.count_nonzero(mark[code[ends[y] - size[y] : ends[y]]]) for y in meets.tolist()])
+        mark[at] = False
+        for y in meets[100 * both >= SIMILAR * (size[k] + size[meets] - both)].tolist():
+            if comp[y] != comp[k]:
+                a.append(k)
+                b.append(y)
+                comp[comp == comp[y]] = comp[k]
+    return pa.table({"a": rep.take(pa.array(a, pa.int64())), "b": rep.take(pa.array(b, pa.int64()))}, schema=pa.schema([("a", kind), ("b", kind)]))
+
+
+def _across(open_: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between components that share a band, found in pairs of blocks; no pair becomes a row.
+
+    open_ holds (key, rep, c, low_c): the classes of bands with several components. Components
+    that hang together by such bands form a cluster, and only its classes in these bands
+    are compared, with a signature first and on full sets where that is close enough.
+    """
+    reps = open_.select("rep", "c").distinct()
+    clusters = components(open_.where("c <> low_c").select(F.col("c").alias("a"), F.col("low_c").alias("b")).distinct())
+    reps = cut(reps.join(clusters.toDF("c", "g"), "c").join(classes.select("rep", "n_shingles", "low"), "rep"))
+    sizes = reps.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
+    top = sizes.groupBy("g").agg(F.max_by("c", F.struct("n", "c")).alias("top"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.max(F.struct("n", "c", "s")).alias("t"))
+    blocks = lambda n, s: F.greatest(F.ceil(n / BLOCK), F.ceil(s / IN_BLOCK))
+    shares = top.select("g", "top", blocks(F.col("t.n"), F.col("t.s")).alias("inside"), blocks(F.col("n") - F.col("t.n"), F.col("s") - F.col("t.s")).alias("others"))
+    own = _texts_of(reps.select(F.col("rep").alias("doc_id")), texts)
 
     def hashed(batches):
         known = _Words()
@@ -177,33 +228,9 @@ def _against_large(open_: DataFrame, comp: DataFrame, large: DataFrame, texts: D
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["rep", "shingles"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    sets = own.select("doc_id", "text").mapInArrow(hashed, f"rep {kind}, shingles binary")
-
-    def compared(rows: pa.Table) -> pa.Table:
-        side, rep = rows.column("side").to_numpy(), rows.column("rep").to_numpy()
-        each = [np.frombuffer(b, np.uint64) for b in rows.column("shingles").to_pylist()]
-        size = np.array([len(s) for s in each])
-        code = np.unique(np.concatenate(each), return_inverse=True)[1]
-        ends = np.cumsum(size)
-        ys = np.flatnonzero((side == 1) & (size > 0))
-        a, b = [], []
-        if len(ys):
-            flat = np.concatenate([code[ends[k] - size[k] : ends[k]] for k in ys])
-            starts = np.cumsum(size[ys]) - size[ys]
-            mark = np.zeros(int(code.max()) + 1, np.int32)
-            for k in np.flatnonzero((side == 0) & (size > 0)):
-                at = code[ends[k] - size[k] : ends[k]]
-                mark[at] = 1
-                both = np.add.reduceat(mark[flat], starts)
-                mark[at] = 0
-                hit = np.flatnonzero(100 * both >= SIMILAR * (size[k] + size[ys] - both))
-                if len(hit):
-                    a.append(rep[k])
-                    b.append(rep[ys[hit[0]]])
-        return pa.table({"a": pa.array(a, rows.schema.field("rep").type), "b": pa.array(b, rows.schema.field("rep").type)})
-
-    links = placed.join(sets, "rep").select("large", "i", "j", "side", "rep", "shingles").groupBy("large", "i", "j").applyInArrow(compared, f"a {kind}, b {kind}")
-    return cut(links)
+    sets = own.select("doc_id", "text").mapInArrow(hashed, f"rep {kind}, shingles binary").join(reps.select("rep", "low"), "rep")
+    rows = _placed(reps.select("rep", "c", "g"), shares).join(sets, "rep")
+    return cut(rows.groupBy("g", "i", "j").applyInArrow(_compared, f"a {kind}, b {kind}"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -211,12 +238,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     Texts with equal shingle sets form a class, known by its smallest id. Classes that
     share a band are candidates. First each is paired with the smallest class of each of
-    its bands, so a group of m copies costs m pairs a band, not m squared. Then bands that
-    still hold several components are looked at again: classes of small components are
-    compared with each other by packed signatures inside the join, and those above ESTIMATE
-    are confirmed on full sets; a class that meets a large component is compared with all
-    of its members, block by block. No candidate is capped: skipped pairs join classes that
-    are linked already.
+    its bands, so a group of m copies costs m pairs a band, not m squared; pairs whose
+    packed signatures estimate ESTIMATE or more are confirmed on full sets. Then bands that
+    still hold several components are looked at again in pairs of blocks, with the same
+    estimate and the same confirmation inside a task. No candidate is capped: skipped pairs
+    join classes that are linked already.
 
     Null and blank texts have no shingles and stand alone; a null id stays null and is
     kept. A doc_id names one document: rows that repeat it get the same component. Empty
@@ -225,29 +251,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     made = cut(sketches(texts))
     keyed = made.where("k1 is not null and doc_id is not null")
-    classes = cut(keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("bands", "low"), "doc_id").alias("s")).select("k1", "k2", "rep", "s.bands", "s.low"))
+    classes = cut(keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n_shingles", "bands", "low"), "doc_id").alias("s")).select("k1", "k2", "rep", "s.n_shingles", "s.bands", "s.low"))
     banded = classes.select("rep", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     members = cut(banded.join(shared, "key"))
     low = classes.select("rep", "low")
-
-    def likely(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.join(low.toDF("a", "la"), "a").join(low.toDF("b", "lb"), "b")
-        return pairs.where(estimate(F.col("la"), F.col("lb")) >= ESTIMATE).select("a", "b")
-
     stars = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    links = _confirmed(likely(stars), texts)
+    stars = stars.join(low.toDF("a", "la"), "a").join(low.toDF("b", "lb"), "b")
+    links = _confirmed(stars.where(estimate(F.col("la"), F.col("lb")) >= ESTIMATE).select("a", "b"), texts)
     comp = components(links)
 
     mine = cut(members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c")))
-    mixed = mine.groupBy("key").agg(F.min("c").alias("low_c"), F.max("c").alias("high_c")).where("low_c <> high_c").select("key")
-    large = cut(comp.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > LARGE).select(F.col("component").alias("c"), "size"))
-    open_ = cut(mine.join(mixed, "key").join(large, "c", "left").select("key", "rep", "c", "size"))
-    few = open_.where("size is null").join(low, "rep")
-    x, y = few.select("key", F.col("rep").alias("a"), F.col("c").alias("ca"), F.col("low").alias("la")), few.select("key", F.col("rep").alias("b"), F.col("c").alias("cb"), F.col("low").alias("lb"))
-    near = (x["key"] == y["key"]) & (x["a"] < y["b"]) & (x["ca"] != y["cb"]) & (estimate(x["la"], y["lb"]) >= ESTIMATE)
-    small = _confirmed(x.join(y, near).select("a", "b").distinct(), texts)
-    more = small.union(_against_large(open_, comp, large, texts))
+    mixed = mine.groupBy("key").agg(F.min("c").alias("low_c"), F.max("c").alias("high_c")).where("low_c <> high_c").select("key", "low_c")
+    more = _across(cut(mine.join(mixed, "key")), classes, texts)
     merged = components(
         more.join(comp.toDF("a", "ca"), "a", "left").join(comp.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct()
     )

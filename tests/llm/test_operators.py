@@ -60,11 +60,10 @@ def test_near_duplicates(spark):
     assert kept.columns == H.table(spark, rows).columns and kept.where("doc_id = 2").count() == 0
 
 
-@pytest.mark.parametrize("large", [64, 3])
-def test_near_duplicates_chain_of_edits(spark, monkeypatch, large):
+@pytest.mark.parametrize("block", [512, 8])
+def test_near_duplicates_chain_of_edits(spark, monkeypatch, block):
     """Each text is near the next; far ends are not near each other, and no pivot is near all."""
-    monkeypatch.setattr(minhash, "LARGE", large)
-    monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "BLOCK", block)
     base = H.words(200, 9).split()
     rows = []
     for k in range(60):
@@ -76,6 +75,36 @@ def test_near_duplicates_chain_of_edits(spark, monkeypatch, large):
     assert got == H.near_groups(rows)
 
 
+def test_near_duplicates_of_one_base_by_many_edits(spark, monkeypatch):
+    """Copies are near their base, whose id is in the middle, and mostly not near each other."""
+    monkeypatch.setattr(minhash, "BLOCK", 32)
+    r, base = random.Random(6), H.words(200, 21).split()
+    rows = [(500, " ".join(base))]
+    for k in range(150):
+        w = list(base)
+        for at in r.sample(range(40), 5):
+            w[at * 5] = f"edit{k}x{at}"
+        rows.append((k if k % 2 else 1000 + k, " ".join(w)))
+    rows += [(2000 + k, H.words(60, 300 + k)) for k in range(20)]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(H.table(spark, rows)).collect()}
+    assert got == H.near_groups(rows)
+
+
+def test_near_duplicates_recall_of_planted_pairs(spark):
+    """2,000 pairs from 0.75 to 0.80, and 500 just below 0.75: every one is told right."""
+    rows, linked = [], {}
+    for k in range(2500):
+        n = 204 + k % 60
+        apart = int((n - 4) * 0.25 / 1.75) - k % 6 if k < 2000 else int((n - 4) * 0.25 / 1.75) + 1  # shingles that differ on each side
+        w = [f"w{k}x{i}" for i in range(n)]
+        other = w[: n - apart] + [f"v{k}x{i}" for i in range(apart)]
+        linked[k] = 100 * (n - 4 - apart) >= 75 * (n - 4 + apart)
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(other))]
+    assert sum(linked.values()) == 2000
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(H.table(spark, rows)).collect()}
+    assert [k for k in linked if (got[2 * k + 1] == 2 * k) != linked[k]] == []
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(30)] + [(100, k) for k in range(101, 140)] + [(500, 500)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
