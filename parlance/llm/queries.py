@@ -44,7 +44,7 @@ def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.piece_digests(pieces.encode_pieces(table(spark, sf_dir, "documents")))
+    return pieces.encode_digests(table(spark, sf_dir, "documents"))
 
 
 def op8_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import sys
+import time
 import zlib
 from itertools import combinations
 from pathlib import Path
@@ -202,13 +203,34 @@ def test_licences_find_wrapped_notices(spark):
 
 def test_pieces_equal_the_library(spark):
     sp = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=pieces.MODEL)
-    rows = H.cases() + [(40, "  Hello   world\nx é\t "), (41, "     "), (42, "don't stop-me now!!  1234 \x01")]
+    rows = H.cases() + [(40, "  Hello   world\nx é\t "), (41, "     "), (42, "don't stop-me now!!  1234 \x01"), (43, "a▁b ▁ c"), (44, H.words(20_000, 5)), (45, "x" * 20_000), (46, " the" + " " * 40 + "▁the")]
+    rows += [(100 + n, "the" + " " * n + "é" + " " * n + "\n" + " " * n) for n in range(70)]
     coded = pieces.encode_pieces(H.table(spark, rows))
     got = {(r["doc_id"], tuple(r["ids"])) for r in coded.collect()}
     assert got == {(i, tuple(sp.encode(t or ""))) for i, t in rows}
-    assert sorted(str((r["doc_id"], r["text"])) for r in pieces.decode_pieces(coded).collect()) == sorted(str((i, t or "")) for i, t in rows)
-    for r in pieces.piece_digests(coded).collect():
-        assert r["text_sha256"] in {hashlib.sha256((t or "").encode()).hexdigest() for i, t in rows if i == r["doc_id"]}
+    assert sorted(str((r["doc_id"], r["text"])) for r in pieces.decode_pieces(coded).collect()) == sorted(str((i, (t or "").replace("▁", " "))) for i, t in rows)
+    digests = sorted(map(str, pieces.piece_digests(coded).collect()))
+    assert digests == sorted(map(str, pieces.encode_digests(H.table(spark, rows)).collect()))
+    for r in pieces.encode_digests(H.table(spark, rows)).collect():
+        assert r["text_sha256"] in {hashlib.sha256((t or "").replace("▁", " ").encode()).hexdigest() for i, t in rows if i == r["doc_id"]}
+    assert pieces.encode_digests(H.table(spark, [])).count() == pieces.encode_pieces(H.table(spark, [])).count() == 0
+    nothing = spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")
+    assert {r["text_sha256"] for r in pieces.piece_digests(nothing).collect()} == {hashlib.sha256(b"").hexdigest()}
+
+
+def test_pieces_of_long_blank_runs_take_little_time():
+    sp = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=pieces.MODEL)
+    text = ("a" + " " * 100_000 + "b").encode()
+    began = time.perf_counter()
+    ids, _ = pieces.Pieces().encode(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    assert ids.tolist() == sp.encode(text.decode()) and time.perf_counter() - began < 5
+
+
+def test_pieces_states_equal_the_merges():
+    """The forward states give what the merge rule gives, word by word."""
+    r, p = random.Random(8), pieces.Pieces()
+    words = sorted({"▁" * r.randint(0, 1) + "".join(r.choice("abehinorst'é.") for _ in range(r.randint(1, 14))) for _ in range(3000)})
+    assert [parts for _, parts in p.walk(words)] == [p.merged(w) for w in words]
 
 
 def test_packing_is_optimal():
