@@ -17,6 +17,16 @@ C = r"[\p{L}\p{N}_]"
 PUNCTUATION = r"""[!"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]"""
 
 
+#: Marks and what the synthesizer reads for them, in this order.
+PLAIN_MARKS = (
+    ("...", ", "), ("…", ", "), (":", ","), (" - ", ", "), (";", ", "), ("—", "-"), ("–", "-"), (" ,", ","), ("“", '"'), ("”", '"'), ("‘", "'"), ("’", "'"),
+)
+#: What is tidied after the sound-word rules, in this order.
+TIDY = (
+    ("([a-z])([A-Z])", "$1 $2"), (f"(?:(?:,|{W})+,)+", ","), (f",{W}*,+", ","), (f"{W}{{2,}}", " "), (f"{W}+,|,{W}+", ", "), (rf"(^|[.!?]{W}*),+", "$1"), (rf",+{W}*([.!?])", "$1"),
+)
+
+
 def let(value: Column, body) -> Column:
     """body(value), value evaluated once."""
     return F.transform(F.array(value), body)[0]
@@ -56,7 +66,7 @@ def punc_norm(c: Column) -> Column:
     head = F.substring(c, 1, 1)
     c1 = F.when(head != F.upper(head), F.concat(F.upper(head), F.substring(c, 2, 2**31 - 1))).otherwise(c)
     out = squeeze(c1)
-    for old, new in (("...", ", "), ("…", ", "), (":", ","), (" - ", ", "), (";", ", "), ("—", "-"), ("–", "-"), (" ,", ","), ("“", '"'), ("”", '"'), ("‘", "'"), ("’", "'")):
+    for old, new in PLAIN_MARKS:
         out = F.replace(out, F.lit(old), F.lit(new))
     out = F.rtrim(out)
     ended = F.when(out.rlike("[.!?,-]$"), out).otherwise(F.concat(out, F.lit(".")))
@@ -167,13 +177,8 @@ def apply_rules(c: Column, rules: Sequence[tuple[str, str]]) -> Column:
             c = F.regexp_replace(c, p, r)
         else:
             c = F.regexp_replace(c, f"(?i)(?<!{C}){p}(?!{C})", r)
-    c = F.regexp_replace(c, "([a-z])([A-Z])", "$1 $2")
-    c = F.regexp_replace(c, f"(?:(?:,|{W})+,)+", ",")
-    c = F.regexp_replace(c, f",{W}*,+", ",")
-    c = F.regexp_replace(c, f"{W}{{2,}}", " ")
-    c = F.regexp_replace(c, f"{W}+,|,{W}+", ", ")
-    c = F.regexp_replace(c, rf"(^|[.!?]{W}*),+", "$1")
-    c = F.regexp_replace(c, rf",+{W}*([.!?])", "$1")
+    for pattern, new in TIDY:
+        c = F.regexp_replace(c, pattern, new)
     return strip(c)
 
 
@@ -234,6 +239,25 @@ def is_nick(short: Column, long: Column) -> Column:
     return F.coalesce((short != "") & (F.length(short) < F.length(long)) & hit, F.lit(False))
 
 
+def mention_token(c: Column) -> Column:
+    """The word by which a text mentions a name: its last one of three letters or more that is no title; null if there is none."""
+    words = F.filter(F.regexp_extract_all(c, F.lit("([A-Za-z'’-]+)"), F.lit(1)), lambda w: (F.length(w) >= 3) & ~name_key(w, True).isin(L.TITLES))
+    return F.try_element_at(words, F.lit(-1))
+
+
+def mentions(text: Column, token: Column) -> Column:
+    """Whether a text holds a token as a whole word (null token: false)."""
+    whole = F.concat(F.lit(f"(?<!{C})\\Q"), token, F.lit(f"\\E(?!{C})"))
+    return F.coalesce(F.contains(text, token) & F.regexp_like(text, whole), F.lit(False))
+
+
+def keep_case(original: Column, new: Column) -> Column:
+    """`new` in the case of the word that it replaces: Title or UPPER."""
+    title = F.substring(original, 1, 1).rlike("^\\p{Lu}")
+    upper = (F.length(original) > 1) & (original == F.upper(original)) & (original != F.lower(original))
+    return F.when(upper, F.upper(new)).when(title, F.concat(F.upper(F.substring(new, 1, 1)), F.substring(new, F.lit(2), F.length(new)))).otherwise(new)
+
+
 def safe_name(c: Column, squeeze_marks: bool = False) -> Column:
     """A file name: other characters become _; squeezed names are trimmed and never empty."""
     if not squeeze_marks:

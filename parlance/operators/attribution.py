@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pyspark.sql import types as T
+
 from parlance.functions import lexicon as L
 from parlance.functions import text as X
-from parlance.operators.ordered import with_neighbours
+from parlance.operators.ordered import in_turn, running_total, with_neighbours
 
+#: Fixed value: what a name in a speech tag looks like.
 NAME = r"[A-Z][a-zA-Z'’.-]+(?:\s+[A-Z][a-zA-Z'’.-]+)?"
 
 
@@ -35,26 +38,38 @@ def tag_speakers(quotes: DataFrame, roster: DataFrame) -> DataFrame:
     return quotes.select("book", "id").join(best, ["book", "id"], "left")
 
 
+def _turns():
+    """Two people taking turns: a tag is trusted and, if new, starts a pair with the last speaker."""
+    pair, last = [], None
+
+    def step(tag, hint):
+        nonlocal pair, last
+        if tag is not None:
+            if tag not in pair:
+                pair = [tag] if last in (None, tag) else [last, tag]
+            last = tag
+            return tag
+        if len(pair) == 2 and last in pair:
+            who = pair[1] if last == pair[0] else pair[0]
+        elif last is None or (hint is not None and hint != last):
+            who = hint
+        else:
+            who = last
+        if who is not None and who not in pair:
+            pair = [*pair, who][-2:]
+        last = who
+        return who
+
+    return step
+
+
 def alternate(quotes: DataFrame) -> DataFrame:
     """Speakers of quotes (book, run, id, tag, hint): tags first, two people taking turns between them.
 
-    A run is a stretch without a scene break and is folded in order.
+    A run is a stretch without a scene break; it streams through in order.
     """
-    listed = quotes.groupBy("book", "run").agg(F.array_sort(F.collect_list(F.struct("id", "tag", "hint"))).alias("q"))
-    zero = F.struct(F.array().cast("array<string>").alias("pair"), F.lit(None).cast("string").alias("last"), F.array().cast("array<struct<id:bigint,speaker:string>>").alias("out"))
-
-    def put(s, x):
-        pair, last, tag = s["pair"], s["last"], x["tag"]
-        other = F.when((F.size(pair) == 2) & F.array_contains(pair, F.coalesce(last, F.lit(""))), F.when(F.get(pair, 1) == last, F.get(pair, 0)).otherwise(F.get(pair, 1)))
-        guess = F.coalesce(other, F.when(last.isNull(), x["hint"]).when(x["hint"].isNotNull() & (x["hint"] != last), x["hint"]).otherwise(last))
-        who = F.coalesce(tag, guess)
-        fresh = F.when(last.isNotNull() & (last != tag), F.array(last, tag)).otherwise(F.array(tag))
-        there = F.array_contains(pair, F.coalesce(who, F.lit("")))
-        added = F.slice(F.concat(pair, F.array(who)), F.greatest(F.size(pair), F.lit(1)), F.lit(2))
-        grown = F.when(who.isNull() | there, pair).when(tag.isNotNull(), fresh).otherwise(F.when(F.size(pair) < 2, F.concat(pair, F.array(who))).otherwise(added))
-        return F.struct(grown.alias("pair"), who.alias("last"), F.concat(s["out"], F.array(F.struct(x["id"].cast("long").alias("id"), who.alias("speaker")))).alias("out"))
-
-    return listed.select("book", F.explode(F.aggregate("q", zero, put, lambda s: s["out"])).alias("r")).select("book", "r.id", "r.speaker")
+    rows = quotes.select("book", "run", "id", "tag", "hint")
+    return in_turn(rows, ["book", "run"], ["id"], ["tag", "hint"], "speaker", T.StringType(), _turns).select("book", "id", "speaker")
 
 
 def token_coref(tokens: DataFrame, entities: DataFrame) -> DataFrame:
@@ -70,27 +85,78 @@ def coref_names(entities: DataFrame) -> DataFrame:
 
 
 def classify_quotes(quotes: DataFrame, tokens: DataFrame, reach: int = 4) -> DataFrame:
-    """explicit, anaphoric or implicit by the distance and kind of the mention (doc_id, q, quote_start, quote_end, mention_start, mention_end)."""
-    pos = tokens.select("doc_id", F.col("token_id").alias("mention_start"), "fine_pos")
+    """(doc_id, q, kind, coref): explicit, anaphoric or implicit by the distance and kind of the mention.
+
+    quotes: (doc_id, q, quote_start, quote_end, mention_start, mention_end, mention_phrase, char_id),
+    tokens: (doc_id, token_id, pos, fine_pos). A mention over `reach` tokens away, or none, is
+    implicit and has no coref. The mention's first token, or else its last, tells whether
+    it is a proper name; if neither is there, the phrase does.
+    """
+    kinds = tokens.select("doc_id", "token_id", ((F.col("pos") == "PROPN") | (F.col("fine_pos") == "NNP")).alias("__proper"))
+    head, tail = kinds.toDF("doc_id", "mention_start", "__head"), kinds.toDF("doc_id", "mention_end", "__tail")
     near = F.least(F.abs(F.col("mention_start") - F.col("quote_end")), F.abs(F.col("quote_start") - F.col("mention_end")))
-    kind = F.when(F.coalesce(near, F.lit(999)) > reach, "implicit").when(F.col("fine_pos").isin("NNP", "NNPS", "PROPN"), "explicit").otherwise("anaphoric")
-    return quotes.join(pos, ["doc_id", "mention_start"], "left").select("doc_id", "q", kind.alias("kind"))
+    far = F.col("mention_start").isNull() | F.col("mention_end").isNull() | F.coalesce(near > reach, F.lit(True))
+    phrase = F.trim(F.coalesce("mention_phrase", F.lit("")))
+    shaped = phrase.rlike("^\\p{Lu}") & ~F.lower(phrase).isin(L.PRONOUNS)
+    named = F.coalesce("__head", "__tail", shaped)
+    rows = quotes.join(head, ["doc_id", "mention_start"], "left").join(tail, ["doc_id", "mention_end"], "left")
+    return rows.select("doc_id", "q", F.when(far, "implicit").when(named, "explicit").otherwise("anaphoric").alias("kind"), F.when(~far, F.col("char_id")).alias("coref"))
 
 
 def vocatives(quotes: DataFrame, roster: DataFrame) -> DataFrame:
-    """(book, id, name): roster names addressed in a quote, that is, between punctuation or its ends."""
-    first = roster.select("book", F.substring_index("name", " ", 1).alias("name")).distinct()
-    words = quotes.select("book", "id", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Z][A-Za-z'’-]+)"), F.lit(1)))).alias("name"))
-    hit = F.concat(F.lit("(?:^|[,.!?;:—-]\\s*|my dear )"), F.col("name"), F.lit("\\s*(?:[,.!?;:—-]|$)"))
-    return words.join(first, ["book", "name"], "left_semi").where(F.regexp_like("text", hit)).select("book", "id", "name")
+    """(book, id, vocs, addressee): roster names (book, name) that a quote addresses.
+
+    A name, or its first word, counts after the start, a comma, semicolon, dash, question or
+    exclamation mark or `my dear`, and before punctuation or the end. A quote that is
+    nothing but a name addresses its bearer and lists the name last. Names are in
+    alphabetical order; quotes that address nobody have no row.
+    """
+    first_run = lambda c: F.lower(F.regexp_extract(c, "(\\p{L}+)", 1))
+    names = roster.select("book", "name", F.substring_index("name", " ", 1).alias("__first"), first_run(F.col("name")).alias("__k")).where("__k <> ''").distinct()
+    text = F.trim(F.regexp_replace("text", "[“”]", ""))
+    runs = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit("(\\p{L}+)"), F.lit(1)), F.lower))
+    rows = quotes.select("book", "id", text.alias("text")).withColumn("__k", F.explode(runs)).join(names, ["book", "__k"])
+    either = F.concat(F.lit("(?:\\Q"), F.col("name"), F.lit("\\E|\\Q"), F.col("__first"), F.lit("\\E)"))
+    called = F.regexp_like("text", F.concat(F.lit("(?:^|[,;!?—–-]\\s*|\\b[Mm]y dear\\s+)"), either, F.lit("\\s*(?:[,.!?;:—–-]|$)")))
+    bare = F.lower(F.regexp_replace("text", "^[\\s.,!?—–\"'“”‘’-]+|[\\s.,!?—–\"'“”‘’-]+$", ""))
+    alone = (bare == F.lower("name")) | (bare == F.lower("__first"))
+    got = rows.groupBy("book", "id").agg(F.array_sort(F.collect_set(F.when(called, F.col("name")))).alias("vocs"), F.min(F.when(alone, F.col("name"))).alias("addressee"))
+    listed = F.when(F.col("addressee").isNull() | F.array_contains("vocs", F.col("addressee")), F.col("vocs")).otherwise(F.concat("vocs", F.array("addressee")))
+    return got.select("book", "id", listed.alias("vocs"), "addressee").where(F.size("vocs") > 0)
+
+
+def _in_quotes(at: str, df: DataFrame, quotes: DataFrame, how: str) -> DataFrame:
+    """Rows of df (doc_id, para, `at`) that a quote of their paragraph covers (left_semi) or none does (left_anti)."""
+    q = quotes.select(F.col("doc_id").alias("__d"), F.col("para").alias("__p"), F.col("quote_start").alias("__s"), F.col("quote_end").alias("__e"))
+    return df.join(q, (F.col("doc_id") == F.col("__d")) & (F.col("para") == F.col("__p")) & F.col(at).between(F.col("__s"), F.col("__e")), how)
 
 
 def outside_mentions(entities: DataFrame, quotes: DataFrame) -> DataFrame:
-    """Person mentions that no quote of their paragraph covers."""
-    q = quotes.select("doc_id", "para", F.col("quote_start").alias("qs"), F.col("quote_end").alias("qe"))
-    e = entities.where("cat = 'PER'")
-    inside = (e["doc_id"] == q["doc_id"]) & (e["para"] == q["para"]) & (e["start_token"] >= q["qs"]) & (e["end_token"] <= q["qe"])
-    return e.join(q, inside, "left_anti")
+    """Person mentions that begin in no quote of their paragraph."""
+    return _in_quotes("start_token", entities.where("cat = 'PER'"), quotes, "left_anti")
+
+
+def paragraph_context(tokens: DataFrame, quotes: DataFrame, entities: DataFrame, names: DataFrame) -> DataFrame:
+    """(doc_id, q, beat, pfinal, bare) of quotes (doc_id, q, para, quote_start, quote_end).
+
+    beat: the named person of the paragraph's one mention outside its quotes. pfinal: the
+    last named mention before a quote that ends its paragraph, closing marks aside. bare: a
+    paragraph without a word outside its quotes. tokens: (doc_id, para, token_id, pos),
+    names: (doc_id, coref, name).
+    """
+    key = ["doc_id", "para"]
+    told = outside_mentions(entities, quotes).join(names.select("doc_id", "coref", "name"), ["doc_id", "coref"], "left")
+    told = told.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("start_token", "name"))).alias("__m"))
+    words = tokens.where("pos <> 'PUNCT'")
+    last = tokens.groupBy(*key).agg(F.coalesce(F.max(F.when(F.col("pos") != "PUNCT", F.col("token_id"))), F.max("token_id")).alias("__last"))
+    spoken = _in_quotes("token_id", words, quotes, "left_anti").select(*key, F.lit(False).alias("__bare")).distinct()
+    rows = quotes.join(told, key, "left").join(last, key, "left").join(spoken, key, "left")
+    before = F.filter("__m", lambda m: (m["start_token"] < F.col("quote_start")) & m["name"].isNotNull())
+    ends = F.col("quote_end") >= F.coalesce("__last", F.lit(-1))
+    return rows.select(
+        "doc_id", "q", F.when(F.size("__m") == 1, F.get("__m", 0)["name"]).alias("beat"),
+        F.when(ends, F.try_element_at(before, F.lit(-1))["name"]).alias("pfinal"), (F.col("__last").isNotNull() & F.coalesce("__bare", F.lit(True))).alias("bare"),
+    )
 
 
 def span_overlap(unit_spans: DataFrame, quote_spans: DataFrame, block: int = 512) -> DataFrame:
@@ -113,49 +179,124 @@ def text_speakers(docs: DataFrame) -> DataFrame:
 def learn_aliases(quotes: DataFrame, reach: int = 2) -> DataFrame:
     """(book, alias, name): a vocative answered by one tag only, at least twice, within `reach` paragraphs, and never a tag itself.
 
-    quotes: (book, id, para, vocative, tag), ids gapless.
+    quotes: (book, id, para, vocs, tag).
     """
 
     def add(rows, part):
-        w = Window.partitionBy(*part).orderBy("id")
+        w = Window.partitionBy(*part).orderBy("__q")
         return rows.withColumn("__tag", F.lead("tag").over(w)).withColumn("__para", F.lead("para").over(w))
 
-    rows = with_neighbours(quotes, ["book"], "id", 1, add).where("vocative is not null and __tag is not null and __para - para <= " + str(reach))
-    at = rows.groupBy("book", F.col("vocative").alias("alias")).agg(F.count(F.lit(1)).alias("n"), F.min("__tag").alias("name"), F.max("__tag").alias("__other"))
+    rows = with_neighbours(running_total(quotes, ["book"], "para", "id", F.lit(1), "__q"), ["book"], "__q", 1, add).where(f"__tag is not null and __para - para <= {reach}")
+    at = rows.select("book", F.explode("vocs").alias("alias"), "__tag").groupBy("book", "alias").agg(F.count(F.lit(1)).alias("n"), F.min("__tag").alias("name"), F.max("__tag").alias("__other"))
     tags = quotes.where("tag is not null").select("book", F.col("tag").alias("alias")).distinct()
     return at.where("n >= 2 and name = __other").select("book", "alias", "name").join(tags, ["book", "alias"], "left_anti")
 
 
+def _not_addressed(name: Column) -> Column:
+    return F.when(~F.array_contains(F.coalesce("vocs", F.array().cast("array<string>")), name), name)
+
+
 def sieves(quotes: DataFrame) -> DataFrame:
-    """Speakers in passes: the paragraph's beat, the last vocative of the quote before, the final mention; never the addressee.
+    """quotes with `speaker`: the tag, else the paragraph's beat, the last vocative of the quote before in the run, the final mention.
 
-    quotes: (book, id, para, beat, last_voc, pfinal, addressee), ids gapless.
+    quotes: (book, run, id, para, tag, beat, pfinal, vocs). Nobody whom the quote itself
+    addresses speaks it; tags stand.
     """
 
     def add(rows, part):
-        w = Window.partitionBy(*part).orderBy("id")
-        return rows.withColumn("__voc", F.when((F.col("para") - F.lag("para").over(w)).between(0, 2), F.lag("last_voc").over(w)))
-
-    rows = with_neighbours(quotes, ["book"], "id", 1, add)
-    ok = lambda c: F.when(F.col("addressee").isNull() | (F.col(c) != F.col("addressee")), F.col(c))
-    return rows.select("book", "id", F.coalesce(ok("beat"), ok("__voc"), ok("pfinal")).alias("speaker"))
+        w = Window.partitionBy(*part).orderBy("__q")
+        near = (F.lag("run").over(w) == F.col("run")) & (F.col("para") - F.lag("para").over(w)).between(0, 2)
+        return rows.withColumn("__voc", F.when(near, F.try_element_at(F.lag("vocs").over(w), F.lit(-1))))
 
+    rows = with_neighbours(running_total(quotes, ["book"], "para", "id", F.lit(1), "__q"), ["book"], "__q", 1, add)
+    return rows.withColumn("speaker", F.coalesce("tag", *[_not_addressed(F.col(c)) for c in ("beat", "__voc", "pfinal")])).drop("__voc", "__q")
 
-def two_apart(paragraphs: DataFrame, rounds: int = 4) -> DataFrame:
-    """(book, para, speaker, bare): a bare paragraph takes the speaker two paragraphs away if the one between has one; repeated."""
-    now = paragraphs
-    for _ in range(rounds):
 
-        def add(rows, part):
-            w = Window.partitionBy(*part).orderBy("para")
-            at = lambda k, c: F.when(F.lag("para", k).over(w) == F.col("para") - k, F.lag(c, k).over(w))
-            ahead = lambda k, c: F.when(F.lead("para", k).over(w) == F.col("para") + k, F.lead(c, k).over(w))
-            back = F.when(at(1, "speaker").isNotNull(), at(2, "speaker"))
-            then = F.when(ahead(1, "speaker").isNotNull(), ahead(2, "speaker"))
-            return rows.withColumn("__s", F.coalesce("speaker", F.when(F.col("bare"), F.coalesce(back, then))))
+def two_apart(quotes: DataFrame) -> DataFrame:
+    """quotes with `speaker` filled in bare paragraphs from two paragraphs away, to the fixpoint.
 
-        now = with_neighbours(now, ["book"], "para", 2, add).select("book", "para", F.col("__s").alias("speaker"), "bare")
-    return now
+    quotes: (book, run, id, para, speaker, bare, vocs). A paragraph with quotes must lie
+    between; the earlier neighbour is asked first; nobody takes a line that addresses them.
+    A stretch of open paragraphs, every second one, has one speaker before it and one
+    after it, so it is settled at once: the former holds up to the first line that
+    addresses them, the latter from behind the last line that addresses them, and where
+    both could, the former does.
+    """
+    key = ["book", "run"]
+    paras = quotes.groupBy(*key, "para").agg(F.min_by(F.struct("id", "speaker", "bare", "vocs"), "id").alias("q")).select(*key, "para", "q.*")
+    paras = paras.withColumn("__free", F.col("speaker").isNull() & F.col("bare")).withColumn("__odd", F.pmod("para", F.lit(2)))
+
+    def exactly(part, k, value):
+        return F.max(value).over(Window.partitionBy(*part).orderBy("para").rangeBetween(k, k))
+
+    def ends(rows, part):
+        there = lambda k: exactly(part, k, F.lit(True)).isNotNull()
+        beside = lambda k, c: F.when(there(k // 2), exactly(part, k, F.col(c)))
+        return rows.withColumns({"__on": F.coalesce(beside(-2, "__free"), F.lit(False)), "__goes_on": F.coalesce(beside(2, "__free"), F.lit(False)), "__left": beside(-2, "speaker"), "__right": beside(2, "speaker")})
+
+    paras = with_neighbours(paras, key, "para", 2, ends)
+    stretch = [*key, "__odd", "__stretch"]
+    free = running_total(paras.where("__free"), [*key, "__odd"], "para", "para", F.when(F.col("__on"), 0).otherwise(1), "__before")
+    free = free.withColumn("__stretch", F.col("__before") + F.when(F.col("__on"), 0).otherwise(1)).select(*stretch, "para", "vocs", "__on", "__goes_on", "__left", "__right")
+    sides = free.groupBy(*stretch).agg(F.max(F.when(~F.col("__on"), F.col("__left"))).alias("__l"), F.max(F.when(~F.col("__goes_on"), F.col("__right"))).alias("__r"))
+    rows = free.join(sides, stretch)
+    at = lambda side: F.when(F.array_contains("vocs", F.col(side)), F.col("para"))
+    stops = rows.groupBy(*stretch).agg(F.min(at("__l")).alias("__l_stop"), F.max(at("__r")).alias("__r_stop"))
+    filled = F.when(F.coalesce(F.col("para") < F.col("__l_stop"), F.lit(True)), F.col("__l")), F.when(F.coalesce(F.col("para") > F.col("__r_stop"), F.lit(True)), F.col("__r"))
+    settled = rows.join(stops, stretch).select(*key, "para", F.coalesce(*filled).alias("__fill"))
+    paras = paras.select(*key, "para", F.col("id").alias("__first"), "speaker").join(settled, [*key, "para"], "left").withColumn("__now", F.coalesce("speaker", "__fill"))
+
+    def beside(rows, part):
+        there = lambda k: exactly(part, k, F.lit(True)).isNotNull()
+        return rows.withColumns({"__back": F.when(there(-1), exactly(part, -2, F.col("__now"))), "__then": F.when(there(1), exactly(part, 2, F.col("__now")))})
+
+    around = with_neighbours(paras, key, "para", 2, beside).drop("speaker", "__now")
+    rows = quotes.join(around, [*key, "para"], "left")
+    later = F.coalesce(_not_addressed(F.col("__back")), _not_addressed(F.col("__then")))  # another quote of the same paragraph
+    guess = F.when(F.col("bare"), F.when(F.col("id") == F.col("__first"), F.col("__fill")).otherwise(later))
+    return rows.withColumn("speaker", F.coalesce("speaker", guess)).select(*quotes.columns)
+
+
+def _run_turns():
+    """Untagged lines of a run go round its participants, most frequent first, never to somebody whom the line addresses."""
+    last = None
+
+    def step(speaker, vocs, addressee, parts):
+        nonlocal last
+        addressed = {*(vocs or ()), addressee}
+        if len(parts) < 2:  # one known voice and an unnamed other
+            if speaker is None and not vocs and last is None:
+                speaker = parts[0] if parts else None
+        elif speaker is None or speaker in addressed:
+            may = [p for p in parts if p not in addressed] or parts
+            speaker = next((p for p in may if p != last), may[0])
+        last = speaker
+        return speaker
+
+    return step
+
+
+def alternate_run(quotes: DataFrame) -> DataFrame:
+    """(book, run, id, speaker): what the other sieves leave open alternates among the run's participants.
+
+    quotes: (book, run, id, speaker, vocs, addressee). Participants are all speakers of the
+    run by their number of lines, then those who are only addressed, the first seen first.
+    A speaker whom the own line addresses is taken back. With fewer than two participants
+    the known one alternates with an unnamed other (null).
+    """
+    key = ["book", "run"]
+    spoke = quotes.where("speaker is not null").select(*key, F.col("speaker").alias("name"), F.lit(1).alias("n"), "id", F.lit(-1).alias("at"))
+    called = F.array_compact(F.concat(F.coalesce("vocs", F.array().cast("array<string>")), F.array("addressee")))
+    heard = quotes.select(*key, "id", F.posexplode(called).alias("at", "name")).select(*key, "name", F.lit(0).alias("n"), "id", "at")
+    rank = spoke.unionByName(heard).groupBy(*key, "name").agg((-F.sum("n")).alias("m"), F.min(F.struct(F.when(F.col("n") == 0, F.lit(1)).otherwise(0).alias("k"), F.col("id"), F.col("at"))).alias("first"))
+    parts = rank.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("m", "first", "name"))), lambda p: p["name"]).alias("parts"))
+    rows = quotes.select(*key, "id", F.col("speaker").alias("__s"), "vocs", "addressee").join(parts, key, "left").withColumn("parts", F.coalesce("parts", F.array().cast("array<string>")))
+    return in_turn(rows, key, ["id"], ["__s", "vocs", "addressee", "parts"], "speaker", T.StringType(), _run_turns).select(*key, "id", "speaker")
+
+
+def resolve_runs(quotes: DataFrame) -> DataFrame:
+    """(book, run, id, speaker) of marked quotes: tags, sieves, the two-apart pattern, then alternation."""
+    return alternate_run(two_apart(sieves(quotes)))
 
 
 def speaking_names(names: DataFrame, agents: DataFrame) -> DataFrame:

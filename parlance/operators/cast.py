@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions import text as X
+from parlance.operators.evidence import evidence_lines
+from parlance.operators.units import cast_line, companions, excerpts, in_scene, partner_text, resolve_at
 from parlance.sources.tables import cut
 
 #: Evidence rules in the order in which they are tried.
@@ -42,13 +44,29 @@ def evidence(*tables: DataFrame) -> DataFrame:
     return rows.groupBy("book", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.array_sort(F.collect_set("rule")).alias("rules"))
 
 
-def askable_pairs(pairs: DataFrame, cast: DataFrame, veto: DataFrame, main: int = 100, few: int = 5) -> DataFrame:
-    """Pairs worth deciding: not two main characters, no tiny surname entry without a bigram, none that is vetoed."""
+def reveal_pairs(reveals: DataFrame) -> DataFrame:
+    """(book, a, b): names that a reveal (book, alias, real, at, seq) turns into one another in the end."""
+    names = reveals.select("book", F.col("alias").alias("speaker")).union(reveals.select("book", "real")).distinct()
+    ends = resolve_at(names.withColumns({"id": F.lit(0).cast("long"), "para": F.lit(2**62)}), reveals)
+    return ends.where("who <> speaker").select("book", F.least("speaker", "who").alias("a"), F.greatest("speaker", "who").alias("b")).distinct()
+
+
+def askable_pairs(pairs: DataFrame, cast: DataFrame, veto: DataFrame, revealed: DataFrame | None = None, main: int = 100, few: int = 5) -> DataFrame:
+    """Pairs worth deciding: not two main characters, no tiny entry with a surname but without a bigram, none that is revealed later or vetoed.
+
+    The smaller entry is the one with fewer lines, of equals the later by name. veto and
+    revealed (book, a, b) count in either order.
+    """
     lines = cast.select("book", "name", "lines")
     rows = pairs.join(lines.toDF("book", "a", "a_lines"), ["book", "a"]).join(lines.toDF("book", "b", "b_lines"), ["book", "b"])
     big, small = F.greatest("a_lines", "b_lines"), F.least("a_lines", "b_lines")
-    rows = rows.where(~((big >= main) & (small >= main)) & ~((small <= few) & ~F.array_contains("rules", "bigram") & F.array_contains("rules", "surname")))
-    return rows.join(veto.select("book", "a", "b"), ["book", "a", "b"], "left_anti")
+    tiny = F.when(F.col("a_lines") < F.col("b_lines"), F.col("a")).otherwise(F.col("b"))
+    has_surname = F.coalesce(X.name_parts(tiny)["last"].isNotNull(), F.lit(False))
+    rows = rows.where(~((big >= main) & (small >= main)) & ~((small <= few) & has_surname & ~F.array_contains("rules", "bigram")))
+    for gone in (veto, revealed):
+        if gone is not None:
+            rows = rows.join(gone.select("book", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["book", "a", "b"], "left_anti")
+    return rows
 
 
 def apply_verdicts(pairs: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -56,12 +74,20 @@ def apply_verdicts(pairs: DataFrame, verdicts: DataFrame) -> DataFrame:
     return pairs.join(verdicts.select("book", "a", "b", "verdict"), ["book", "a", "b"], "left").withColumn("verdict", F.coalesce("verdict", F.lit("different")))
 
 
-def nickname_merges(cast: DataFrame, support: DataFrame, veto: DataFrame, small: int = 30) -> DataFrame:
-    """Without verdicts: small single names that are short forms of a bigger one which narration supports."""
-    rows = support.where("n >= 2").join(cast.select("book", F.col("name").alias("alias"), F.col("lines").alias("al")), ["book", "alias"]).join(cast.select("book", "name", "lines"), ["book", "name"])
-    good = rows.where((F.col("al") <= small) & (F.col("lines") > F.col("al")) & X.is_nick(F.lower("alias"), F.lower("name")))
-    good = good.join(veto.select("book", F.col("a").alias("alias"), F.col("b").alias("name")), ["book", "alias", "name"], "left_anti")
-    return good.groupBy("book", "alias").agg(F.max_by("name", F.struct("lines", "name")).alias("name"))
+def nickname_merges(cast: DataFrame, support: DataFrame, veto: DataFrame, revealed: DataFrame | None = None, small: int = 30) -> DataFrame:
+    """(book, alias, name) without verdicts: small single names that are short forms of a bigger single one which narration supports.
+
+    cast: (book, name, lines, first); of several names the one seen first is taken.
+    """
+    one = cast.select("book", "name", "lines", "first", X.name_parts(F.col("name"))["single"].alias("single")).where("single is not null")
+    short = one.select("book", F.col("name").alias("alias"), F.col("lines").alias("al"), F.col("single").alias("short"))
+    rows = support.where("n >= 2").select("book", "alias", "name").join(short, ["book", "alias"]).join(one, ["book", "name"])
+    good = rows.where((F.col("al") <= small) & (F.col("lines") > F.col("al")) & X.is_nick(F.col("short"), F.col("single")))
+    for gone in (veto, revealed):
+        if gone is not None:
+            both = gone.select("book", F.col("a").alias("alias"), F.col("b").alias("name")).union(gone.select("book", "b", "a")).distinct()
+            good = good.join(both, ["book", "alias", "name"], "left_anti")
+    return good.groupBy("book", "alias").agg(F.min_by("name", F.struct("first", "name")).alias("name"))
 
 
 def _loop_ends(t: pa.Table) -> pa.Table:
@@ -191,10 +217,19 @@ def canonical_names(groups: DataFrame, cast: DataFrame, bigrams: DataFrame, main
     return big.join(full, ["book", "group"], "left").select("book", "group", F.when(F.col("most") >= main, F.col("big")).otherwise(F.coalesce("full", "big")).alias("name"))
 
 
-def reassign(units: DataFrame, moves: DataFrame, cast: DataFrame) -> DataFrame:
-    """Units with verdicts applied: a move to the same or an unknown name is ignored."""
-    ok = moves.join(cast.select("book", "name"), ["book", "name"], "left_semi").unionByName(moves.where("name = 'Unknown'"))
-    return units.join(ok.select("book", "id", F.col("name").alias("__to")).dropDuplicates(["book", "id"]), ["book", "id"], "left").select("book", "id", F.coalesce("__to", "speaker").alias("speaker"))
+def reassign(units: DataFrame, moves: DataFrame, cast: DataFrame, radius: int = 25) -> DataFrame:
+    """(book, id, speaker): units with line verdicts (book, id, name) applied.
+
+    `keep`, the same name, names outside the cast and names that are not in the scene
+    change nothing; a line may always go to Unknown. Of several verdicts for a line the
+    first by name counts.
+    """
+    asked = moves.where(F.lower("name") != "keep")
+    known = in_scene(asked.join(cast.select("book", "name"), ["book", "name"], "left_semi"), units, radius)
+    ok = known.unionByName(asked.where("name = 'Unknown'")).groupBy("book", "id").agg(F.min("name").alias("__to"))
+    rows = units.join(ok, ["book", "id"], "left")
+    same = X.name_key(F.col("__to"), True) == X.name_key(F.col("speaker"), True)
+    return rows.select("book", "id", F.when(same, F.col("speaker")).otherwise(F.coalesce("__to", "speaker")).alias("speaker"))
 
 
 def suspects(cast: DataFrame, pairs: DataFrame, merged: DataFrame, few: int = 5) -> DataFrame:
@@ -202,3 +237,35 @@ def suspects(cast: DataFrame, pairs: DataFrame, merged: DataFrame, few: int = 5)
     flagged = pairs.select("book", F.explode(F.array("a", "b")).alias("name")).distinct()
     rows = cast.join(flagged, ["book", "name"], "left_semi").join(merged.select("book", "name"), ["book", "name"], "left_anti")
     return rows.where((F.col("lines") <= few) & X.name_parts(F.col("name"))["last"].isNotNull()).select("book", "name", "lines")
+
+
+def briefings(pairs: DataFrame, units: DataFrame, cast: DataFrame) -> DataFrame:
+    """(book, a, b, briefing): what an external judge reads about a pair (book, a, b, rules).
+
+    The cast, then for each entry its lines, its companions and excerpts around its evidence
+    lines (four each; a's lie far from b's where they can), and why the pair was flagged.
+    """
+    sides = lambda x, y, spread: evidence_lines(units, pairs.select("book", F.col(x).alias("name"), F.col(y).alias("other")), 4, spread).withColumn("side", F.lit(x))
+    lines = cut(sides("a", "b", True).unionByName(sides("b", "a", False)))
+    cuts = lines.join(excerpts(units, lines.select("book", "id").distinct()).withColumnRenamed("centre", "id"), ["book", "id"])
+    shown = cuts.groupBy("book", "side", "name", "other").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "excerpt"))), lambda x: F.concat(F.lit("--- around line "), x["id"].cast("string"), F.lit(":\n"), x["excerpt"])), "\n").alias("t"))
+    near = partner_text(companions(units))
+    out = pairs.join(cast_line(cast), "book")
+    for side, other in (("a", "b"), ("b", "a")):
+        own = shown.where(F.col("side") == side).select("book", F.col("name").alias(side), F.col("other").alias(other), F.col("t").alias(f"t_{side}"))
+        met = near.select("book", F.col("name").alias(side), F.col("partners").alias(f"p_{side}"))
+        out = out.join(cast.select("book", F.col("name").alias(side), F.col("lines").alias(f"n_{side}")), ["book", side], "left").join(met, ["book", side], "left").join(own, ["book", "a", "b"], "left")
+    entry = lambda x: F.concat(F.lit(f"Entry {x.upper()}: "), F.col(x), F.lit(" ("), F.coalesce(F.col(f"n_{x}"), F.lit(0)).cast("string"), F.lit(" lines); shares scenes with "), F.coalesce(F.col(f"p_{x}"), F.lit("nobody")))
+    told = lambda x: F.concat(F.lit(f"Excerpts of {x.upper()}:\n"), F.coalesce(F.col(f"t_{x}"), F.lit("")))
+    text = F.concat_ws("\n", F.concat(F.lit("Cast: "), F.col("cast_line")), entry("a"), entry("b"), F.concat(F.lit("Flagged by: "), F.array_join("rules", "; ")), told("a"), told("b"))
+    return out.select("book", "a", "b", text.alias("briefing"))
+
+
+def line_briefings(suspects: DataFrame, units: DataFrame, cast: DataFrame) -> DataFrame:
+    """(book, name, briefing): every line of a suspect entry (book, name, lines) with what stands around it."""
+    own = units.where("kind = 'dialogue'").join(suspects.select("book", F.col("name").alias("speaker")), ["book", "speaker"], "left_semi").select("book", "id", F.col("speaker").alias("name"))
+    cuts = own.join(excerpts(units, own.select("book", "id"), 4).withColumnRenamed("centre", "id"), ["book", "id"])
+    shown = cuts.groupBy("book", "name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "excerpt"))), lambda x: F.concat(F.lit("--- line "), x["id"].cast("string"), F.lit(":\n"), x["excerpt"])), "\n").alias("t"))
+    rows = suspects.join(cast_line(cast), "book").join(shown, ["book", "name"])
+    text = F.concat_ws("\n", F.concat(F.lit("Cast: "), F.col("cast_line")), F.concat(F.lit("Suspect entry: "), F.col("name"), F.lit(" ("), F.col("lines").cast("string"), F.lit(" lines)")), F.col("t"))
+    return rows.select("book", "name", text.alias("briefing"))

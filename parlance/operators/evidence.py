@@ -1,39 +1,45 @@
-"""Lines that tell two names apart, and turn taking by frequency inside a run."""
+"""Lines that tell two names apart."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from parlance.functions import text as X
+from parlance.operators.ordered import running_total
+from parlance.operators.units import _beside, dialogue, near_narration
 
-def evidence_lines(units: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """(book, name, other, id): up to k lines of a name: quoting ones first, then those at its quartiles, then the earliest."""
-    rows = units.where("kind = 'dialogue'").join(pairs.select("book", F.col("name").alias("speaker"), "other"), ["book", "speaker"])
-    w = Window.partitionBy("book", "speaker")
-    rows = rows.withColumn("__pos", F.row_number().over(w.orderBy("id")) - 1).withColumn("__n", F.count(F.lit(1)).over(w))
-    quarter = F.lit(False)
-    for part in (1, 2, 3):
-        quarter = quarter | (F.col("__pos") == F.floor(F.col("__n") * part / 4))
-    prio = F.when(F.contains("text", F.lit('"')), 0).when(quarter, 1).otherwise(2)
-    rank = F.row_number().over(w.orderBy(prio, "id"))
-    return rows.withColumn("__r", rank).where(F.col("__r") <= k).select("book", F.col("speaker").alias("name"), "other", "id")
+#: Units from another entry's lines within which a line is not far from them.
+FAR = 20
 
 
-def alternate_run(quotes: DataFrame) -> DataFrame:
-    """(book, id, speaker): untagged quotes of a run alternate between its two most frequent tagged speakers.
+def evidence_lines(units: DataFrame, pairs: DataFrame, k: int, spread: bool = False) -> DataFrame:
+    """(book, name, other, id): up to k lines of a name that bear on whether it is `other`.
 
-    quotes: (book, run, id, tag). With one speaker the other turn is `Other`; without any
-    all stay null. A run is a stretch without a scene break and is folded in order.
+    First lines beside narration that mentions the other, then lines that mention it
+    themselves, each in order; what is left of k is filled with the name's first line, those
+    at one and two thirds, and its last. With spread, only lines over FAR units from all of
+    the other's count, if there are any, and at least three places are left for the latter.
     """
-    n = quotes.where("tag is not null").groupBy("book", "run", "tag").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
-    top = n.groupBy("book", "run").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "first", "tag"))), lambda x: x["tag"]), 1, 2).alias("two"))
-    listed = quotes.groupBy("book", "run").agg(F.array_sort(F.collect_list(F.struct("id", "tag"))).alias("q")).join(top, ["book", "run"], "left")
-    zero = F.struct(F.lit(None).cast("string").alias("last"), F.array().cast("array<struct<id:bigint,speaker:string>>").alias("out"))
-    a, b = F.get("two", 0), F.coalesce(F.get("two", 1), F.lit("Other"))
-
-    def put(s, x):
-        guess = F.when(F.size("two") < 1, F.lit(None)).when(s["last"] == a, b).otherwise(a)
-        who = F.coalesce(x["tag"], guess)
-        return F.struct(who.alias("last"), F.concat(s["out"], F.array(F.struct(x["id"].cast("long").alias("id"), who.alias("speaker")))).alias("out"))
-
-    return listed.select("book", F.explode(F.aggregate("q", zero, put, lambda s: s["out"])).alias("r")).select("book", "r.id", "r.speaker")
+    key = ["book", "name", "other"]
+    pairs = pairs.select(*key).distinct()
+    lines = dialogue(units).select("book", F.col("speaker").alias("name"), "id", "text")
+    own = lines.join(pairs, ["book", "name"])
+    if spread:
+        close = _beside(own.select(*key, "id"), lines.select("book", F.col("name").alias("other"), F.col("id").alias("at")), ["book", "other"], FAR)
+        marked = own.join(close.withColumn("__close", F.lit(True)), [*key, "id"], "left").withColumn("__close", F.coalesce("__close", F.lit(False)))
+        some = marked.where("not __close").select(*key).distinct().withColumn("__some", F.lit(True))
+        own = marked.join(some, key, "left").where("not __close or __some is null").drop("__close", "__some")
+    strong = near_narration(units, pairs.select("book", F.col("name").alias("alias"), F.col("other").alias("name"))).select("book", F.col("alias").alias("name"), F.col("name").alias("other"), "id").withColumn("__strong", F.lit(True))
+    placed = running_total(own, key, "id", "id", F.lit(1), "__pos").join(own.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")), key).join(strong, [*key, "id"], "left")
+    prio = F.when(F.col("__strong"), 0).when(X.mentions(F.col("text"), X.mention_token(F.col("other"))), 1)
+    turn = F.lit(None).cast("int")
+    for at, place in reversed(list(enumerate((F.lit(0), F.floor(F.col("__n") / 3), F.floor(2 * F.col("__n") / 3), F.col("__n") - 1)))):
+        turn = F.when(F.col("__pos") == place, at).otherwise(turn)
+    rows = placed.withColumns({"__prio": prio, "__turn": turn}).where("__prio is not null or __turn is not null").select(*key, "id", "__prio", "__turn")
+    most = max(1, k - 3) if spread else k
+    named = rows.where("__prio is not null").withColumn("__r", F.row_number().over(Window.partitionBy(*key).orderBy("__prio", "id"))).where(F.col("__r") <= most).select(*key, "id")
+    count = named.groupBy(*key).agg(F.count(F.lit(1)).alias("__p"))
+    rest = rows.where("__turn is not null").join(named, [*key, "id"], "left_anti").join(count, key, "left")
+    rest = rest.withColumn("__r", F.row_number().over(Window.partitionBy(*key).orderBy("__turn"))).where(F.col("__r") <= k - F.coalesce("__p", F.lit(0)))
+    return named.unionByName(rest.select(*key, "id"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Positions in a block.
 BLOCK = 4096
@@ -35,3 +39,32 @@ def with_neighbours(df: DataFrame, group: list[str], position: str, reach: int,
     dealt = df.withColumn("__block", F.explode(lent))
     done = add(dealt, [*group, "__block"])
     return done.where(F.col("__block") == F.floor(F.col(position) / block)).drop("__block")
+
+
+def in_turn(df: DataFrame, keys: Sequence[str], order: Sequence[str], inputs: Sequence[str], out: str, kind: T.DataType, start: Callable[[], Callable]) -> DataFrame:
+    """df with `out`: what a small state machine says of each row, in the order of its key.
+
+    start() gives a fresh function of the inputs for each key. Rows come sorted from Spark
+    and stream through; a task holds one batch and one state, whatever the size of a key,
+    and work is linear in the rows.
+    """
+    columns = df.columns
+    at = [columns.index(c) for c in inputs]
+    key_at = [columns.index(c) for c in keys]
+    schema = T.StructType([*df.schema.fields, T.StructField(out, kind)])
+
+    def work(batches):
+        last, step = None, start()
+        for batch in batches:
+            own = list(zip(*(batch.column(k).to_pylist() for k in key_at)))
+            got = []
+            for key, row in zip(own, zip(*(batch.column(k).to_pylist() for k in at))):
+                if key != last:
+                    last, step = key, start()
+                got.append(step(*row))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, _ARROW[kind.simpleString()])], [*columns, out])
+
+    return df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order).mapInArrow(work, schema)
+
+
+_ARROW = {"string": pa.string(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}

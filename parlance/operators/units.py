@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parlance.functions import lexicon as L
 from parlance.functions import text as X
-from parlance.operators.ordered import running_total, with_neighbours
+from parlance.operators.ordered import in_turn, running_total, with_neighbours
+
+#: Settings of a voice where its casting row has none (fixed values).
+VOICE_DEFAULTS = {"exaggeration": 0.5, "cfg_weight": 0.5, "temperature": 0.8, "seed": None}
+#: What is spoken for a character without lines (fixed value).
+SAMPLE = "The quick brown fox jumps over the lazy dog."
 
 
 def dialogue(units: DataFrame) -> DataFrame:
@@ -19,6 +25,11 @@ def cast_counts(units: DataFrame) -> DataFrame:
     return dialogue(units).groupBy("book", F.col("speaker").alias("name")).agg(F.count(F.lit(1)).alias("lines"))
 
 
+def first_seen(units: DataFrame) -> DataFrame:
+    """(book, name, first): where each speaker's first line stands."""
+    return dialogue(units).groupBy("book", F.col("speaker").alias("name")).agg(F.min("id").alias("first"))
+
+
 def coverage(units: DataFrame, read: Column) -> DataFrame:
     """Lines read, lines in all, and whether all are read."""
     return dialogue(units).groupBy("book").agg(F.count_if(read).alias("lines_read"), F.count(F.lit(1)).alias("lines_total"), F.every(read).alias("complete"))
@@ -39,7 +50,7 @@ def role_counts(units: DataFrame) -> DataFrame:
 def name_bigrams(units: DataFrame) -> DataFrame:
     """Capitalised word pairs that may be names: counts and the first spelling."""
     part = r"[A-Z][a-zA-Z'’-]+"
-    hit = F.posexplode(F.regexp_extract_all("text", F.lit(rf"(?<![\p{{L}}\p{{N}}_])({part} {part})(?![\p{{L}}\p{{N}}_])"), F.lit(1)))
+    hit = F.posexplode(F.regexp_extract_all("text", F.lit(rf"(?U)\b({part} {part})\b"), F.lit(1)))
     rows = units.select("book", "id", hit.alias("at", "surface"))
     word = lambda k: X.name_key(F.substring_index(F.col("surface"), " ", 1 if k == 0 else -1), True)
     rows = rows.select("book", "id", "at", "surface", word(0).alias("first"), word(1).alias("last"))
@@ -48,13 +59,14 @@ def name_bigrams(units: DataFrame) -> DataFrame:
 
 
 def companions(units: DataFrame, radius: int = 5) -> DataFrame:
-    """How often another speaker has a unit within `radius` units."""
+    """How often another speaker has a line within `radius` units of one's own; Unknown and Narrator are nobody."""
 
     def add(rows, part):
         near = Window.partitionBy(*part).orderBy("id").rangeBetween(-radius, radius)
         return rows.withColumn("__near", F.collect_list("speaker").over(near))
 
-    seen = with_neighbours(units.where("speaker <> 'Narrator'").select("book", "id", "speaker"), ["book"], "id", radius, add)
+    lines = dialogue(units).where("speaker not in ('Narrator', 'Unknown')").select("book", "id", "speaker")
+    seen = with_neighbours(lines, ["book"], "id", radius, add)
     pairs = seen.select("book", F.col("speaker").alias("name"), F.explode("__near").alias("other")).where("other <> name")
     return pairs.groupBy("book", "name", "other").agg(F.count(F.lit(1)).alias("n"))
 
@@ -68,28 +80,46 @@ def partner_text(pairs: DataFrame, k: int = 5) -> DataFrame:
 
 
 def anchor_veto(pairs: DataFrame, seen: DataFrame, share: float = 0.6, least: int = 3) -> DataFrame:
-    """Pairs (a, b) that differ: a's main companion has `share` of its meetings, and b, which meets some, never meets them."""
-    main = seen.groupBy("book", "name").agg(F.max_by("other", F.struct(F.col("n"), F.col("other"))).alias("who"), (F.max("n") / F.sum("n")).alias("part"), F.count(F.lit(1)).alias("known"))
-    a = main.where(F.col("part") >= share).select("book", F.col("name").alias("a"), "who")
-    b = main.where(F.col("known") >= least).select("book", F.col("name").alias("b"))
-    asked = pairs.join(a, ["book", "a"]).join(b, ["book", "b"]).where("who <> b")
+    """Pairs (a, b) that differ: a's main companion `who` has `share` of its meetings, and b, with `least` meetings, never meets them.
+
+    Meetings of a and b with each other don't count. Of companions met equally often the
+    last by name is the main one.
+    """
+    met = lambda side, other: pairs.join(seen.select("book", F.col("name").alias(side), F.col("other").alias("who"), "n"), ["book", side]).where(F.col("who") != F.col(other))
+    top = met("a", "b").groupBy("book", "a", "b").agg(F.max_by("who", F.struct("n", "who")).alias("who"), F.max("n").alias("__most"), F.sum("n").alias("__all")).where(F.col("__most") >= share * F.col("__all"))
+    enough = met("b", "a").groupBy("book", "a", "b").agg(F.sum("n").alias("__n")).where(F.col("__n") >= least)
+    asked = top.join(enough, ["book", "a", "b"])
     return asked.join(seen.select("book", F.col("name").alias("b"), F.col("other").alias("who")), ["book", "b", "who"], "left_anti").select("book", "a", "b", "who")
 
 
 def cast_lines(units: DataFrame, casting: DataFrame) -> DataFrame:
-    """Each unit with its voice: its speaker's row, else the narrator's; a row without a voice stays null."""
-    rows = casting.select("book", F.col("role").alias("speaker"), "voice", "exaggeration", F.lit(True).alias("__own"))
-    main = casting.where("role = 'narrator'").select("book", F.col("voice").alias("__voice"), F.col("exaggeration").alias("__ex"))
+    """Each unit with its voice and settings: its speaker's casting row, else the narrator's.
+
+    casting: (book, role, voice) and any of VOICE_DEFAULTS. A row without any value counts
+    as missing; a row without a voice gives nulls; settings that a row lacks get defaults.
+    """
+    kinds = {"exaggeration": "double", "cfg_weight": "double", "temperature": "double", "seed": "long"}
+    settings = [F.coalesce(F.col(c).cast(k) if c in casting.columns else F.lit(None).cast(k), F.lit(VOICE_DEFAULTS[c]).cast(k)).alias(c) for c, k in kinds.items()]
+    given = F.lit(False)
+    for c in ("voice", *kinds):
+        given = given | F.col(c).isNotNull() if c in casting.columns else given
+    row = F.when(F.col("voice").isNotNull(), F.struct("voice", *settings))
+    rows = casting.where(given).select("book", F.col("role").alias("speaker"), row.alias("__own"), F.lit(True).alias("__is"))
+    main = rows.where("speaker = 'narrator'").select("book", F.col("__own").alias("__main"))
     key = units.withColumn("speaker", F.when(F.col("kind") == "narration", "narrator").otherwise(F.col("speaker")))
     out = key.join(rows, ["book", "speaker"], "left").join(main, "book", "left")
-    own = F.coalesce("__own", F.lit(False))
-    return out.select("book", "id", "speaker", F.when(own, F.col("voice")).otherwise(F.col("__voice")).alias("voice"), F.coalesce(F.when(own, F.col("exaggeration")).otherwise(F.col("__ex")), F.lit(0.5)).alias("exaggeration"))
+    return out.withColumn("__v", F.when(F.col("__is"), F.col("__own")).otherwise(F.col("__main"))).select("book", "id", "speaker", *[F.col(f"__v.{c}") for c in ("voice", *kinds)])
 
 
 def voice_usage(lines: DataFrame) -> DataFrame:
     return lines.groupBy("book", "voice").agg(F.count(F.lit(1)).alias("n"))
 
 
+def valid_voices(plan: DataFrame, voices: DataFrame) -> DataFrame:
+    """Rows of a plan (book, voice, ..) whose voice is available."""
+    return plan.join(voices.select("voice").distinct(), "voice", "left_semi").select(plan.columns)
+
+
 def runs(quotes: DataFrame, max_gap: int = 3) -> DataFrame:
     """Quotes with `run`: a new run begins where the next quote is more than max_gap paragraphs on."""
 
@@ -104,6 +134,11 @@ def runs(quotes: DataFrame, max_gap: int = 3) -> DataFrame:
     return total.withColumn("run", (F.col("__before") + F.col("__new")).cast("long")).drop("__q", "__new", "__before")
 
 
+def breaks_where(units: DataFrame, is_break: Column) -> DataFrame:
+    """(book, para): paragraphs with a unit that the caller's predicate calls a break."""
+    return units.where(is_break).select("book", "para").distinct()
+
+
 def exchanges(quotes: DataFrame, breaks: DataFrame) -> DataFrame:
     """Quotes with `exchange`: breaks (book, para) at or before the quote's paragraph."""
     marks = quotes.select("book", "para", "id", F.lit(0).alias("w")).unionByName(breaks.select("book", "para", F.lit(-1).cast("long").alias("id"), F.lit(1).alias("w")))
@@ -143,15 +178,15 @@ def auto_cast(cast: DataFrame, voices: list[str], saved: DataFrame) -> DataFrame
 
 
 def near_narration(units: DataFrame, pairs: DataFrame, reach: int = 2) -> DataFrame:
-    """(book, alias, name, id): lines of the alias beside narration that names the other as a whole word."""
+    """(book, alias, name, id): lines of the alias beside narration that mentions the other by its token."""
 
     def add(rows, part):
         w = Window.partitionBy(*part).orderBy("id").rangeBetween(-reach, reach)
         return rows.withColumn("__around", F.array_join(F.collect_list(F.when(F.col("kind") == "narration", F.col("text"))).over(w), " \n "))
 
     told = with_neighbours(units, ["book"], "id", reach, add).where("kind = 'dialogue'").select("book", "id", F.col("speaker").alias("alias"), "__around")
-    words = F.split("__around", r"[^\p{L}\p{N}_]+")
-    return told.join(pairs.select("book", "alias", "name"), ["book", "alias"]).where(F.array_contains(words, F.col("name"))).select("book", "alias", "name", "id")
+    asked = pairs.select("book", "alias", "name", X.mention_token(F.col("name")).alias("__token"))
+    return told.join(asked, ["book", "alias"]).where(X.mentions(F.col("__around"), F.col("__token"))).select("book", "alias", "name", "id")
 
 
 def narration_support(near: DataFrame, cast: DataFrame, least: int = 2, share: float = 0.15, small: int = 30) -> DataFrame:
@@ -164,27 +199,83 @@ def narration_support(near: DataFrame, cast: DataFrame, least: int = 2, share: f
     return rows.where(good).select("book", "alias", "name", "n")
 
 
-def in_scene(moves: DataFrame, units: DataFrame, radius: int = 25, block: int = 64) -> DataFrame:
-    """Moves (book, id, name) whose name speaks within `radius` units."""
-    near = moves.withColumn("__b", F.explode(F.sequence(F.floor((F.col("id") - radius) / block), F.floor((F.col("id") + radius) / block))))
-    seen = units.select("book", F.col("speaker").alias("name"), F.col("id").alias("__at"), F.floor(F.col("id") / block).alias("__b"))
-    return near.join(seen, ["book", "name", "__b"]).where(F.abs(F.col("__at") - F.col("id")) <= radius).select(*moves.columns).distinct()
+def _beside(rows: DataFrame, events: DataFrame, keys: list[str], radius: int, block: int = 64) -> DataFrame:
+    """rows (.., id) with an event (keys, at) within `radius` positions, once each."""
+    near = rows.withColumn("__b", F.explode(F.sequence(F.floor((F.col("id") - radius) / block), F.floor((F.col("id") + radius) / block))))
+    seen = events.select(*keys, F.col("at").alias("__at"), F.floor(F.col("at") / block).alias("__b"))
+    return near.join(seen, [*keys, "__b"]).where(F.abs(F.col("__at") - F.col("id")) <= radius).select(*rows.columns).distinct()
 
 
-def locate(selections: DataFrame, units: DataFrame, head: int = 60) -> DataFrame:
-    """The unit of a selection (sel_id, book, para, sel): one that holds its start, else one that it holds, else the paragraph's first."""
-    form = units.select("book", "para", "id", X.selection_form(F.col("text")).alias("__u"))
-    rows = selections.withColumn("__s", X.selection_form(F.col("sel"))).join(form, ["book", "para"], "left")
-    start = F.substring("__s", 1, head)
-    prio = F.when(F.contains("__u", start), 1).when(F.contains("__s", F.col("__u")), 2).otherwise(3)
-    return rows.groupBy("sel_id").agg(F.min(F.struct(prio.alias("p"), F.col("id").alias("id"))).alias("m")).select("sel_id", F.col("m.id").alias("unit_id"), F.col("m.p").alias("rule"))
+def mentioned(units: DataFrame, names: DataFrame) -> DataFrame:
+    """(book, name, at): units whose text mentions a name (book, name) by its token, found by the token's first letters."""
+    first = lambda c: F.regexp_extract(c, "(\\p{L}+)", 1)
+    asked = names.select("book", "name", X.mention_token(F.col("name")).alias("__token")).where("__token is not null").withColumn("__k", first(F.col("__token")))
+    runs = units.select("book", "id", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("(\\p{L}+)"), F.lit(1)))).alias("__k"))
+    return runs.join(asked, ["book", "__k"]).where(X.mentions(F.col("text"), F.col("__token"))).select("book", "name", F.col("id").alias("at")).distinct()
+
+
+def in_scene(moves: DataFrame, units: DataFrame, radius: int = 25) -> DataFrame:
+    """Moves (book, id, name) whose name speaks or is mentioned within `radius` units."""
+    spoken = units.select("book", F.col("speaker").alias("name"), F.col("id").alias("at"))
+    told = mentioned(units, moves.select("book", "name").distinct())
+    return _beside(moves, spoken.unionByName(told), ["book", "name"], radius)
+
+
+def _needle(c: Column) -> Column:
+    """A key that every text with this part has: its longest inner word, or else its first characters."""
+    words = F.split(c, " ")
+    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
+    return F.coalesce(F.concat(F.lit("w:"), longest["w"]), F.concat(F.lit("g:"), F.substring(c, 1, 4)))
+
+
+def _keys(c: Column) -> Column:
+    """All keys that a part of this text can have."""
+    at = F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1)))
+    grams = F.flatten(F.transform(at, lambda i: F.array(*[F.concat(F.lit("g:"), F.substring(c, i, F.lit(n))) for n in (1, 2, 3, 4)])))
+    return F.array_distinct(F.concat(F.transform(F.split(c, " "), lambda w: F.concat(F.lit("w:"), w)), grams))
 
 
-def resolve_at(lines: DataFrame, reveals: DataFrame) -> DataFrame:
-    """Lines with `who`: the last reveal of the speaker's alias at or before the paragraph, else the speaker."""
-    told = lines.join(reveals.select("book", F.col("alias").alias("speaker"), "real", "at", "seq"), ["book", "speaker"], "left")
-    hit = F.when(F.col("at") <= F.col("para"), F.col("seq"))
-    return told.groupBy("book", "id", "para", "speaker").agg(F.coalesce(F.max_by("real", hit), F.col("speaker")).alias("who"))
+def locate(selections: DataFrame, units: DataFrame, head: int = 60) -> DataFrame:
+    """(sel_id, unit_id, rule) of selections (sel_id, book, para, sel): the first unit that holds the selection's start (1),
+    else the first of the book that the selection holds (2), else the paragraph's first (3).
+
+    The first rule looks in the selection's paragraph, or in the whole book if that is
+    null. Blank selections and those without any match have null. Whole-book matches are
+    found by an equal key: an inner word, or the first characters of a shorter part.
+    """
+    form = units.select("book", "para", "id", X.selection_form(F.col("text")).alias("__u"))
+    asked = selections.select("sel_id", "book", "para", X.selection_form(F.col("sel")).alias("__s")).withColumn("__h", F.substring("__s", 1, head))
+    some = asked.where("__s <> ''")
+    here = some.join(form, ["book", "para"]).select("sel_id", "id", F.when(F.contains("__u", F.col("__h")), 1).otherwise(3).alias("rule"))
+    loose = some.where("para is null").withColumn("__key", _needle(F.col("__h"))).drop("para")
+    books = loose.select("book").distinct()
+    held = form.join(books, "book", "left_semi").select("book", "id", "__u", F.explode(_keys(F.col("__u"))).alias("__key"))
+    far = loose.join(held, ["book", "__key"]).where(F.contains("__u", F.col("__h"))).select("sel_id", "id", F.lit(1).alias("rule"))
+    parts = form.where("__u <> ''").select("book", "id", "__u", _needle(F.col("__u")).alias("__key"))
+    inside = some.select("sel_id", "book", "__s", F.explode(_keys(F.col("__s"))).alias("__key")).join(parts, ["book", "__key"]).where(F.contains("__s", F.col("__u"))).select("sel_id", "id", F.lit(2).alias("rule"))
+    best = here.unionByName(far).unionByName(inside).groupBy("sel_id").agg(F.min(F.struct("rule", "id")).alias("m"))
+    return selections.select("sel_id").join(best, "sel_id", "left").select("sel_id", F.col("m.id").alias("unit_id"), F.col("m.rule").alias("rule"))
+
+
+def resolve_at(lines: DataFrame, reveals: DataFrame, identity: DataFrame | None = None) -> DataFrame:
+    """Lines with `who`: the speaker's identity after every reveal reached at the line's paragraph, in the order of seq.
+
+    reveals: (book, alias, real, at, seq); a reveal may lead to another one further on.
+    identity: (book, name, display) of names that are known to be one; others stand for
+    themselves. A book's reveals are few and travel as one list.
+    """
+    if identity is not None:
+        shown = lambda df, c: df.join(identity.select("book", F.col("name").alias(c), F.col("display").alias("__d")), ["book", c], "left").withColumn(c, F.coalesce("__d", c)).drop("__d")
+        reveals = shown(shown(reveals, "alias"), "real")
+        known = shown(lines.select("book", "speaker", F.col("speaker").alias("__who")).distinct(), "__who")
+        lines = lines.join(known, ["book", "speaker"])
+    else:
+        lines = lines.withColumn("__who", F.col("speaker"))
+    steps = reveals.groupBy("book").agg(F.array_sort(F.collect_list(F.struct("seq", "alias", "real", "at"))).alias("__r"))
+    told = lines.join(steps, "book", "left")
+    who = F.aggregate("__r", F.col("__who"), lambda w, r: F.when((w == r["alias"]) & (F.col("para") >= r["at"]), r["real"]).otherwise(w))
+    return told.select("book", "id", "para", "speaker", F.coalesce(who, "__who").alias("who"))
 
 
 def excerpts(units: DataFrame, centres: DataFrame, radius: int = 3, chars: int = 100) -> DataFrame:
@@ -194,8 +285,19 @@ def excerpts(units: DataFrame, centres: DataFrame, radius: int = 3, chars: int =
     return rows.groupBy("book", "centre").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", line.alias("line")))), lambda x: x["line"]), "\n").alias("excerpt"))
 
 
-def sample_lines(units: DataFrame, chars: int = 220) -> DataFrame:
-    return dialogue(units).groupBy("book", "speaker").agg(F.min_by(F.substring("text", 1, chars), "id").alias("sample"))
+def sample_lines(units: DataFrame, cast: DataFrame | None = None, chars: int = 220) -> DataFrame:
+    """(book, speaker, sample): each speaker's first unit; names of cast (book, name) without any get a fixed line."""
+    first = units.groupBy("book", F.when(F.coalesce("speaker", F.lit("")) == "", "Narrator").otherwise(F.col("speaker")).alias("speaker")).agg(F.min_by("text", "id").alias("text"))
+    if cast is not None:
+        first = cast.select("book", F.col("name").alias("speaker")).join(first, ["book", "speaker"], "left")
+    return first.select("book", "speaker", F.substring(F.coalesce("text", F.lit(SAMPLE)), 1, chars).alias("sample"))
+
+
+def near_lines(units: DataFrame, k: int = 2, near: int = 110) -> DataFrame:
+    """(book, speaker, r, text): the k lines of a speaker whose length is nearest to `near`; Unknown's count as the Narrator's."""
+    who = F.when(F.col("speaker") == "Unknown", "Narrator").otherwise(F.col("speaker"))
+    rank = F.row_number().over(Window.partitionBy("book", "speaker").orderBy(F.abs(F.length("text") - near), "id"))
+    return units.withColumn("speaker", who).withColumn("r", rank).where(F.col("r") <= k).select("book", "speaker", F.col("r").cast("long").alias("r"), "text")
 
 
 def cast_line(cast: DataFrame, k: int = 80) -> DataFrame:
@@ -222,10 +324,24 @@ def default_speakers(units: DataFrame) -> DataFrame:
     return units.withColumn("speaker", who)
 
 
-def pending(units: DataFrame, previous: DataFrame, percent: float) -> DataFrame:
-    """Units to read: not attributed before, and within the first `percent` of the book."""
-    last = units.groupBy("book").agg((F.max("id") * percent / 100).alias("__most"))
-    return units.join(previous.select("book", "id"), ["book", "id"], "left_anti").join(last, "book").where("kind = 'dialogue' and id <= __most").select("book", "id")
+def carry_over(units: DataFrame, previous: DataFrame) -> DataFrame:
+    """Units with `attr`, and the speaker that an earlier run (book, id, speaker, attr) gave to those it read (null: Unknown)."""
+    seen = previous.where("attr").select("book", "id", F.coalesce("speaker", F.lit("Unknown")).alias("__was"), F.lit(True).alias("__attr"))
+    rows = units.join(seen, ["book", "id"], "left")
+    return rows.withColumns({"speaker": F.coalesce("__was", "speaker"), "attr": F.coalesce("__attr", F.lit(False))}).drop("__was", "__attr")
+
+
+def pending(units: DataFrame, chunks: DataFrame, percent: int = 100) -> DataFrame:
+    """(book, chunk, id): unread lines of the chunks (book, para, chunk) that begin within the first `percent` of the book's units.
+
+    units: as carry_over gives them. The percentage is a whole number from 1 to 100; at
+    least one unit is in range.
+    """
+    percent = max(1, min(int(percent or 100), 100))
+    most = units.groupBy("book").agg(F.greatest(F.lit(1).cast("long"), F.floor(F.count(F.lit(1)) * percent / 100)).alias("__most"))
+    rows = units.join(chunks, ["book", "para"])
+    begun = rows.groupBy("book", "chunk").agg(F.min("id").alias("__first")).join(most, "book").where("__first < __most")
+    return rows.where("kind = 'dialogue' and not attr").join(begun, ["book", "chunk"], "left_semi").select("book", "chunk", "id")
 
 
 def apply_replies(units: DataFrame, replies: DataFrame) -> DataFrame:
@@ -248,21 +364,29 @@ def build_document(units: DataFrame) -> DataFrame:
     return total.select("book", "id", start.cast("long").alias("start"), (start + F.col("__len")).cast("long").alias("end"))
 
 
+def _chunk_of(most: int):
+    def start():
+        chunk = size = 0
+
+        def step(n):
+            nonlocal chunk, size
+            if size >= most:
+                chunk, size = chunk + 1, 0
+            size += n
+            return chunk
+
+        return step
+
+    return start
+
+
 def context_chunks(units: DataFrame, chunk_chars: int = 3500) -> DataFrame:
     """(book, para, chunk): a chunk ends at a paragraph once it holds chunk_chars characters.
 
-    The rule is sequential; only paragraph sizes are folded, in one native pass a book.
+    The rule is sequential; only paragraph sizes stream through it.
     """
-    sizes = units.groupBy("book", "para").agg(F.sum(F.length("text")).alias("n"))
-    listed = sizes.groupBy("book").agg(F.array_sort(F.collect_list(F.struct("para", "n"))).alias("p"))
-    zero = F.struct(F.lit(0).cast("long").alias("chunk"), F.lit(0).cast("long").alias("size"), F.array().cast("array<struct<para:bigint,chunk:bigint>>").alias("out"))
-
-    def put(a, x):
-        full = a["size"] >= chunk_chars
-        chunk = a["chunk"] + F.when(full, 1).otherwise(0)
-        return F.struct(chunk.alias("chunk"), (F.when(full, 0).otherwise(a["size"]) + x["n"]).alias("size"), F.concat(a["out"], F.array(F.struct(x["para"].alias("para"), chunk.alias("chunk")))).alias("out"))
-
-    return listed.select("book", F.explode(F.aggregate("p", zero, put, lambda a: a["out"])).alias("c")).select("book", "c.para", "c.chunk")
+    sizes = units.groupBy("book", "para").agg(F.sum(F.length("text")).alias("__n"))
+    return in_turn(sizes, ["book"], ["para"], ["__n"], "chunk", T.LongType(), _chunk_of(chunk_chars)).drop("__n")
 
 
 def render(units: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import difflib
+from collections.abc import Callable
 
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parlance.functions import text as X
+from parlance.functions.matching import ratios
+from parlance.functions.segments import halve
+from parlance.sources.tables import cut
 
 
 def attempt_plan(chunks: DataFrame, generations: int, candidates: int, tries: int, seed: int) -> DataFrame:
@@ -25,26 +28,24 @@ def ceiling(a: Column, b: Column) -> Column:
     return F.when(both == 0, 1.0).otherwise(2.0 * F.least(F.length(a), F.length(b)) / both)
 
 
-def similarity(pairs: DataFrame, first: str, second: str, floor: float = 0.0, autojunk: bool = True) -> DataFrame:
-    """pairs with `score`: matching-block ratio of two text columns.
+@F.pandas_udf(T.DoubleType())
+def _ratio(first: pd.Series, second: pd.Series) -> pd.Series:
+    """Ratios of the pairs that have both texts; null for the others."""
+    asked = (first.notna() & second.notna()).to_numpy()
+    out = pd.Series(float("nan"), index=first.index)
+    out[asked] = ratios(first[asked].tolist(), second[asked].tolist())
+    return out.astype(object).where(asked, None)
 
-    Equal texts score 1, and pairs whose lengths alone keep them under `floor` score
-    their ceiling; only the others are compared in Python, batch by batch.
-    """
-    schema = T.StructType([*pairs.schema.fields, T.StructField("__ask", T.BooleanType()), T.StructField("score", T.DoubleType())])
-    ask = (F.col(first) != F.col(second)) & (ceiling(F.col(first), F.col(second)) >= floor)
-    rows = pairs.withColumn("__ask", F.coalesce(ask, F.lit(False)))
-    at = (pairs.columns.index(first), pairs.columns.index(second), len(pairs.columns))
 
-    def work(batches):
-        for b in batches:
-            a, c, ask_ = (b.column(k).to_pylist() for k in at)
-            score = [difflib.SequenceMatcher(None, x, y, autojunk).ratio() if z else None for x, y, z in zip(a, c, ask_)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score, pa.float64())], [*b.schema.names, "score"])
+def similarity(pairs: DataFrame, first: str, second: str, floor: float = 0.0) -> DataFrame:
+    """pairs with `score`: matching-block ratio of two text columns (null if one is null).
 
-    out = rows.mapInArrow(work, schema)
+    Equal texts score 1, and pairs whose lengths alone keep them under `floor` score their
+    ceiling; only the texts of the others are compared, by numpy in batches.
+    """
+    ask = (F.col(first) != F.col(second)) & (ceiling(F.col(first), F.col(second)) >= floor)
     easy = F.when(F.col(first) == F.col(second), 1.0).otherwise(ceiling(F.col(first), F.col(second)))
-    return out.withColumn("score", F.coalesce("score", easy)).drop("__ask")
+    return pairs.withColumn("score", F.coalesce(_ratio(F.when(ask, F.col(first)), F.when(ask, F.col(second))), easy))
 
 
 def gate(scored: DataFrame, first: float = 0.85, retry: float = 0.95, least_bytes: int = 1024) -> DataFrame:
@@ -81,7 +82,36 @@ def faithful(pairs: DataFrame, want: str, heard: str, least: float = 0.80) -> Da
 
 def resplit(failed: DataFrame, text: str = "target", least: int = 25) -> DataFrame:
     """Chunks that failed, cut in halves where they are long enough and have two words."""
-    from parlance.functions.segments import halve
-
     two = F.when(F.length(text) >= least, halve(F.col(text)))
     return failed.withColumn("__two", two).where("__two is not null").select(*[c for c in failed.columns if c != text], F.posexplode("__two").alias("half", text))
+
+
+def with_transcripts(candidates: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """Candidates with what a transcriber heard (doc_id, chunk_idx, cand_idx, transcript); nothing heard is empty text."""
+    key = ["doc_id", "chunk_idx", "cand_idx"]
+    return candidates.join(transcripts.select(*key, "transcript"), key, "left").withColumn("transcript", F.coalesce("transcript", F.lit("")))
+
+
+def speak(chunks: DataFrame, attempt: Callable[[DataFrame], DataFrame], tries: int = 3, least: int = 25) -> DataFrame:
+    """(doc_id, chunk_idx, path, text, attempt, score, ok): the attempt that is kept of every chunk, or of its parts.
+
+    attempt() takes (doc_id, chunk_idx, path, text) and gives rows of these with attempt
+    (from 0), score and ok. The first one that is ok counts; a chunk that fails `tries`
+    times and has `least` characters and two words is cut in halves, path 0 and 1, which
+    are tried anew, until nothing is left to cut; of a chunk that can't be cut the best
+    attempt stays, the first of equals.
+    """
+    key = ["doc_id", "chunk_idx", "path", "text"]
+    todo, done = chunks.select("doc_id", "chunk_idx", F.lit("").alias("path"), "text"), None
+    while True:
+        made = attempt(todo).where(F.col("attempt") < tries)
+        row = F.struct("attempt", "score", "ok")
+        best = F.coalesce(F.min_by(row, F.when(F.col("ok"), F.col("attempt"))), F.max_by(row, F.struct(F.col("score"), -F.col("attempt"))))
+        tried = cut(made.groupBy(*key).agg(best.alias("b")).select(*key, "b.*"))
+        two = F.when(~F.col("ok") & (F.length("text") >= least), halve(F.col("text")))
+        kept = tried.where(two.isNull())
+        done = kept if done is None else done.unionByName(kept)
+        todo = tried.select("doc_id", "chunk_idx", F.col("path").alias("__p"), F.posexplode(two).alias("half", "text"))
+        todo = todo.select("doc_id", "chunk_idx", F.concat("__p", F.col("half").cast("string")).alias("path"), "text")
+        if todo.isEmpty():
+            return done

@@ -8,32 +8,32 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from parlance.operators.ordered import running_total, with_neighbours
+from parlance.operators.ordered import in_turn, running_total, with_neighbours
 
-_SPANS = "array<struct<s:bigint,e:bigint>>"
+def _islands(spans: DataFrame, keys: list[str], start) -> DataFrame:
+    """Spans of each key joined where the state machine of start() numbers them alike: first start, last end."""
+    numbered = in_turn(spans.select(*keys, "s_ms", "e_ms"), keys, ["s_ms", "e_ms"], ["s_ms", "e_ms"], "__i", T.LongType(), start)
+    return numbered.groupBy(*keys, "__i").agg(F.min("s_ms").alias("s_ms"), F.max_by("e_ms", F.struct("s_ms", "e_ms")).alias("e_ms")).drop("__i")
 
 
-def _pair(s: Column, e: Column) -> Column:
-    return F.struct(s.cast("long").alias("s"), e.cast("long").alias("e"))
+def _joining(fits):
+    """A state machine that numbers spans; one goes on while fits(start, end so far, s, e)."""
 
+    def start():
+        n, first, end = -1, 0, 0
 
-def _last(a: Column) -> Column:
-    return F.element_at(a, -1)
+        def step(s, e):
+            nonlocal n, first, end
+            if n < 0 or not fits(first, end, s, e):
+                n, first = n + 1, s
+            end = e
+            return n
 
+        return step
 
-def _but_last(a: Column) -> Column:
-    return F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))
-
-
-def _folded(spans: DataFrame, keys: list[str], joins) -> DataFrame:
-    """Spans of each key in order, a span extending the last one where joins(last, span) says so."""
-    listed = spans.groupBy(*keys).agg(F.array_sort(F.collect_list(_pair(F.col("s_ms"), F.col("e_ms")))).alias("__p"))
-
-    def put(a, x):
-        return F.when((F.size(a) > 0) & joins(_last(a), x), F.concat(_but_last(a), F.array(_pair(_last(a)["s"], x["e"])))).otherwise(F.concat(a, F.array(x)))
-
-    return listed.select(*keys, F.explode(F.aggregate("__p", F.array().cast(_SPANS), put)).alias("__x")).select(*keys, F.col("__x.s").alias("s_ms"), F.col("__x.e").alias("e_ms"))
+    return start
 
 
 def fix_overlaps(spans: DataFrame, keys: Sequence[str] = ("clip",)) -> DataFrame:
@@ -48,8 +48,8 @@ def utterances(spans: DataFrame, most: int = 14_000, gap: int = 600, least: int
     """Bursts (clip, seq, s_ms, e_ms) to padded utterances.
 
     A burst joins while the pause is at most `gap` and the whole at most `most`; a short
-    utterance then joins the one before it if the two fit. Folds run inside pauses and
-    inside stretches of short utterances, so a long clip is not gathered.
+    utterance then joins the one before it if the two fit. The rules are followed inside
+    pauses and inside stretches of short utterances, so a long clip is not gathered.
     """
 
     def add(rows, part):
@@ -57,10 +57,10 @@ def utterances(spans: DataFrame, most: int = 14_000, gap: int = 600, least: int
 
     flagged = with_neighbours(spans, ["clip"], "seq", 1, add).withColumn("__new", F.coalesce("__new", F.lit(1)))
     islands = running_total(flagged, ["clip"], "seq", "seq", F.col("__new"), "__b").withColumn("island", F.col("__b") + F.col("__new"))
-    utts = _folded(islands, ["clip", "island"], lambda m, x: (x["e"] - m["s"] <= most) & (x["s"] - m["e"] <= gap)).drop("island")
+    utts = _islands(islands, ["clip", "island"], _joining(lambda first, end, s, e: e - first <= most and s - end <= gap)).drop("island")
     base = (F.col("e_ms") - F.col("s_ms") >= least).cast("int")
     runs = running_total(utts, ["clip"], "s_ms", "s_ms", base, "__b", block=1 << 22).withColumn("run", F.col("__b") + base)
-    merged = _folded(runs, ["clip", "run"], lambda m, x: (x["e"] - x["s"] < least) & (x["e"] - m["s"] <= most)).drop("run")
+    merged = _islands(runs, ["clip", "run"], _joining(lambda first, end, s, e: e - s < least and e - first <= most)).drop("run")
     kept = merged.where(F.col("e_ms") - F.col("s_ms") >= least)
     return kept.select("clip", F.greatest(F.lit(0).cast("long"), F.col("s_ms") - before).alias("s_ms"), (F.col("e_ms") + after).alias("e_ms"))
 
@@ -116,9 +116,18 @@ def speech_level(frames: DataFrame) -> DataFrame:
 
 
 def voice_level(levels: DataFrame, first: int = 10) -> DataFrame:
-    """Mean level of a voice's first clips by name."""
+    """(voice, dbfs): the level of a voice's reference clip where it has one, else the mean over its first clips by name.
+
+    levels: (voice, clip, dbfs) and, if there are references, is_reference. Clips without a
+    level count among the first ones but not in the mean.
+    """
+    if "is_reference" not in levels.columns:
+        levels = levels.withColumn("is_reference", F.lit(False))
+    plain = levels.where("not is_reference")
     r = F.row_number().over(Window.partitionBy("voice").orderBy("clip"))
-    return levels.withColumn("r", r).where(F.col("r") <= first).groupBy("voice").agg(F.round(F.avg("dbfs"), 6).alias("dbfs"))
+    mean = plain.withColumn("r", r).where(F.col("r") <= first).groupBy("voice").agg(F.avg("dbfs").alias("__mean"))
+    alone = levels.where("is_reference").groupBy("voice").agg(F.min_by("dbfs", "clip").alias("__alone"))
+    return mean.join(alone, "voice", "full").select("voice", F.round(F.coalesce("__alone", "__mean"), 6).alias("dbfs"))
 
 
 def gain_db(level: Column, target: float, peak: Column) -> Column:
@@ -127,21 +136,25 @@ def gain_db(level: Column, target: float, peak: Column) -> Column:
     return F.when(peak * g > 0.985, 0.985 / peak).otherwise(g)
 
 
-def smooth_gain(levels: DataFrame, target: float, key: str = "clip", order: str = "seq") -> DataFrame:
-    """Smoothed gain of each chunk in order: 0.7 of the last and 0.3 of the new; without a level the last one stays.
+def _smoothed(target: float):
+    def start():
+        g = None
 
-    The recursion is linear, so it is a fold; a stream's chunks are one array.
-    """
-    listed = levels.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, "dbfs"))).alias("__p"))
-    zero = F.array().cast(f"array<struct<{order}:bigint,g:double>>")
+        def step(level):
+            nonlocal g
+            if level is not None:
+                new = 10.0 ** (max(-12.0, min(12.0, target - level)) / 20)
+                g = new if g is None else 0.7 * g + 0.3 * new
+            return g
+
+        return step
+
+    return start
 
-    def put(a, x):
-        new = F.pow(F.lit(10.0), F.greatest(F.lit(-12.0), F.least(F.lit(12.0), target - x["dbfs"])) / 20)
-        old = F.when(F.size(a) > 0, _last(a)["g"])
-        g = F.when(x["dbfs"].isNull(), old).when(old.isNull(), new).otherwise(0.7 * old + 0.3 * new)
-        return F.concat(a, F.array(F.struct(x[order].cast("long").alias(order), g.alias("g"))))
 
-    return listed.select(key, F.explode(F.aggregate("__p", zero, put)).alias("__x")).select(key, f"__x.{order}", F.round("__x.g", 5).alias("gain"))
+def smooth_gain(levels: DataFrame, target: float, key: str = "clip", order: str = "seq") -> DataFrame:
+    """Smoothed gain of each chunk in order: 0.7 of the last and 0.3 of the new; without a level the last one stays (null at first)."""
+    return in_turn(levels.select(key, order, "dbfs"), [key], [order], ["dbfs"], "gain", T.DoubleType(), _smoothed(target)).select(key, order, F.round("gain", 5).alias("gain"))
 
 
 def pitch_stats(frames: DataFrame) -> DataFrame:
@@ -254,20 +267,16 @@ def training_segments(segments: DataFrame, least_ms: int = 1000, most_ms: int =
 
 def merge_segments(segments: DataFrame, gap: int = 600, most: int = 14_000) -> DataFrame:
     """Neighbouring segments of an episode joined while pause and length allow; text joined, least score, `voice` unless all are `sdh`."""
-    item = F.struct("s_ms", "e_ms", "text", "score", "source")
-    listed = segments.groupBy("character", "episode").agg(F.array_sort(F.collect_list(item)).alias("__p"))
-    zero = F.array().cast("array<struct<s_ms:bigint,e_ms:bigint,text:string,score:double,source:string>>")
-
-    def put(a, x):
-        m = _last(a)
-        joined = F.struct(
-            m["s_ms"].alias("s_ms"), x["e_ms"].alias("e_ms"), F.trim(F.concat(m["text"], F.lit(" "), x["text"])).alias("text"), F.least(m["score"], x["score"]).alias("score"),
-            F.when((m["source"] == "sdh") & (x["source"] == "sdh"), "sdh").otherwise("voice").alias("source"),
-        )
-        fits = (F.size(a) > 0) & (x["s_ms"] - m["e_ms"]).between(0, gap) & (x["e_ms"] - m["s_ms"] <= most)
-        return F.when(fits, F.concat(_but_last(a), F.array(joined))).otherwise(F.concat(a, F.array(x)))
-
-    return listed.select("character", "episode", F.explode(F.aggregate("__p", zero, put)).alias("x")).select("character", "episode", "x.*")
+    keys = ["character", "episode"]
+    fits = _joining(lambda first, end, s, e: 0 <= s - end <= gap and e - first <= most)
+    rows = in_turn(segments.select(*keys, "s_ms", "e_ms", "text", "score", "source"), keys, ["s_ms", "e_ms", "text"], ["s_ms", "e_ms"], "__i", T.LongType(), fits)
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("s_ms", "e_ms", "text"))), lambda x: F.rtrim(x["text"]))
+    text = F.when(F.count(F.lit(1)) == 1, F.min("text")).otherwise(F.ltrim(F.array_join(F.filter(texts, lambda t: t != ""), " ")))
+    joined = rows.groupBy(*keys, "__i").agg(
+        F.min("s_ms").alias("s_ms"), F.max_by("e_ms", F.struct("s_ms", "e_ms")).alias("e_ms"), text.alias("text"), F.min("score").alias("score"),
+        F.when(F.every(F.col("source") == "sdh"), "sdh").otherwise("voice").alias("source"),
+    )
+    return joined.drop("__i")
 
 
 def gender_filter(spans: DataFrame, low: float, high: float) -> DataFrame:
@@ -302,3 +311,35 @@ def partial_windows(n_frames: Column, width: int = 160, step: int = 77, least: f
     rest = (n_frames - (whole * step)) / F.lit(float(width))
     count = whole + F.when((rest >= least) | (whole == 0), 1).otherwise(0)
     return F.transform(F.sequence(F.lit(0).cast("long"), count.cast("long") - 1), lambda k: k * step)
+
+
+def dataset_rows(spans: DataFrame, least_ms: int = 1000, most_ms: int = 14_500, quiet: float = 1e-4, block: int = 4096) -> DataFrame:
+    """(voice, utt_id, text, dur_ms): spans (voice, seq, s_ms, e_ms, text, peak) that are fit for training, numbered in the order of seq.
+
+    Text is kept without `|` and outer blanks and must not be empty; too short, too long and
+    silent spans go. Numbers come from blocked totals, so a voice is not gathered.
+    """
+    text = F.trim(F.replace("text", F.lit("|"), F.lit(" ")))
+    dur = F.col("e_ms") - F.col("s_ms")
+    kept = spans.withColumn("text", text).where((F.col("text") != "") & dur.between(least_ms, most_ms) & (F.col("peak") > quiet))
+    numbered = running_total(kept, ["voice"], "seq", "seq", F.lit(1), "__before", block)
+    return numbered.select("voice", F.format_string("%s_%04d", F.col("voice"), (F.col("__before") + 1).cast("long")).alias("utt_id"), "text", dur.alias("dur_ms"))
+
+
+def dataset_summary(rows: DataFrame) -> DataFrame:
+    """Rows, minutes and a warning under one minute for each voice (voice, dur_ms)."""
+    return rows.groupBy("voice").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("dur_ms") / 60000, 4).alias("minutes"), (F.sum("dur_ms") < 60000).alias("thin"))
+
+
+def latency_report(chunks: DataFrame) -> DataFrame:
+    """(run, first_ms, rtf): time from the request to the first output, and time spent for a second of audio.
+
+    chunks: (run, asked_ms, began_ms, ended_ms, audio_ms); failed ones have no ended_ms and don't count.
+    """
+    done = chunks.where("ended_ms is not null")
+    return done.groupBy("run").agg((F.min("ended_ms") - F.min("asked_ms")).alias("first_ms"), F.round(F.sum(F.col("ended_ms") - F.col("began_ms")) / F.sum("audio_ms"), 6).alias("rtf"))
+
+
+def cast_plan_summary(plan: DataFrame) -> DataFrame:
+    """Characters and seconds of audio by status (character, status, seconds)."""
+    return plan.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("seconds"), 3).alias("seconds"))

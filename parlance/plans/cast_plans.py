@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from parlance.functions import lexicon as L
 from parlance.operators import attribution as A
 from parlance.operators import cast as C
 from parlance.operators import layout as Y
 from parlance.operators import units as U
 from parlance.operators import validate as D
 from parlance.plans import views as V
+from parlance.sources.tables import cut
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -46,133 +48,160 @@ select book, page, block, line, cast(sum(case when pos > 1 and (x0 > margin + 6.
 add("seg_units", lambda s, d: Y.units(layout(s, d)))
 
 
-def quotes(s, d):
-    u = U.dialogue(units(s, d))
-    tail = F.when(F.col("id") % 3 == 0, F.concat(F.lit(" said "), F.col("speaker"), F.lit(" at once."))).when(F.col("id") % 3 == 1, F.concat(F.lit(", "), F.col("speaker"), F.lit(" replied."))).otherwise("")
-    head = F.when(F.col("id") % 6 == 5, F.concat(F.lit("then "), F.col("speaker"), F.lit(" asked, "))).otherwise("")
-    return u.withColumn("after", tail).withColumn("before", head)
+def _quote_spans(s, d):
+    return U.build_document(units(s, d)).select("book", F.col("id").alias("q"), (F.col("start") - 10).alias("qs"), (F.col("end") - 5).alias("qe"))
 
 
-names = lambda s, d: units(s, d).where("speaker in ('Tamsin', 'Orrin', 'Captain Vale')").select("book", F.col("speaker").alias("name")).distinct()
-add("att_tag", lambda s, d: A.tag_speakers(quotes(s, d), names(s, d)))
-add("join_roster", lambda s, d: A.known_names(units(s, d).select("book", "id", F.col("speaker").alias("tag")), names(s, d)), f"with {V.UNITS} select book, id, speaker as tag from units where string_split(speaker, ' ')[1] in ('Tamsin', 'Orrin', 'Captain')")
+add(
+    "join_span_overlap", lambda s, d: A.span_overlap(U.build_document(units(s, d)), _quote_spans(s, d)),
+    f"""with {V.UNITS}, n as (select *, length(text) + case when kind = 'dialogue' then 2 else 0 end as len, lag(para) over (partition by book order by id) as pp from units), e as (select *, case when pp is null then 0 when pp = para then 1 else 2 end as sep from n),
+sp as (select book, id, sum(len + sep) over w - len as s, sum(len + sep) over w as e from e window w as (partition by book order by id)),
+o as (select q.book, q.id as q, u.id, least(u.e, q.e - 5) - greatest(u.s, q.s - 10) as ov from sp q join sp u on u.book = q.book and u.id between q.id - 20 and q.id + 20)
+select book, q, id as unit_id from (select *, row_number() over (partition by book, q order by ov desc, id) as r from o where ov > 0) where r = 1""",
+)
 
+def cast(s, d):
+    return U.cast_counts(units(s, d))
 
-def turns(s, d):
-    q = units(s, d).where("kind = 'dialogue'")
-    return q.select("book", F.floor(F.col("para") / 7).alias("run"), "id", F.when(F.col("id") % 4 == 0, F.col("speaker")).alias("tag"), F.when(F.col("id") % 5 == 0, F.col("speaker")).alias("hint"))
 
+def _grams(s, d):
+    """Two-word names where every speaker is said to speak, and where the Vales are told of."""
+    told = F.when(F.col("id") % 3 == 0, F.concat(F.lit(" Tam Vale "), F.col("text"))).otherwise(F.col("text"))
+    return U.name_bigrams(units(s, d).withColumn("text", F.concat(F.col("speaker"), F.lit(" said."), told)))
 
-add("att_alternate", lambda s, d: A.alternate(turns(s, d)))
 
+def pairs(s, d):
+    return C.name_pairs(cast(s, d), _grams(s, d))
 
-def tokens(s, d):
-    w = V.documents(s, d).select("doc_id", F.posexplode(F.split("text", "[ \\n]+")).alias("p", "word"))
-    return w.select("doc_id", F.col("p").cast("long").alias("token_id"), F.floor(F.col("p") / 20).alias("para"), "word", F.when(F.col("word").rlike("^[A-Z]"), "NNP").otherwise("NN").alias("fine_pos"))
 
+def told(s, d):
+    """Units with narration that names Tamsin here and there."""
+    text = F.when((F.col("kind") == "narration") & (F.col("id") % 5 == 0), F.concat(F.lit("Then Tamsin spoke. "), F.col("text"))).otherwise(F.col("text"))
+    return units(s, d).withColumn("text", text)
 
-def entities(s, d):
-    t = tokens(s, d).where("fine_pos = 'NNP'")
-    return t.select("doc_id", F.col("token_id").alias("ent"), "para", F.col("token_id").alias("start_token"), (F.col("token_id") + F.col("token_id") % 3).alias("end_token"), (F.length("word") % 5).cast("long").alias("coref"), F.lit("PROP").alias("prop"), F.when(F.col("token_id") % 4 != 0, "PER").otherwise("LOC").alias("cat"), F.col("word").alias("text"))
 
+def _short(s, d):
+    """(book, alias, name): short forms and what they may stand for."""
+    return pairs(s, d).where("rule = 'nick'").select("book", F.when(F.length("a") < F.length("b"), F.col("a")).otherwise(F.col("b")).alias("alias"), F.when(F.length("a") < F.length("b"), F.col("b")).otherwise(F.col("a")).alias("name"))
 
-def nlp_quotes(s, d):
-    t = tokens(s, d).where("token_id % 17 = 5")
-    return t.select("doc_id", F.col("token_id").alias("q"), "para", F.col("token_id").alias("quote_start"), (F.col("token_id") + 6).alias("quote_end"), (F.col("token_id") + 6 + F.col("token_id") % 8).alias("mention_start"), (F.col("token_id") + 6 + F.col("token_id") % 8).alias("mention_end"))
 
+def support(s, d):
+    return U.narration_support(U.near_narration(told(s, d), _short(s, d)), cast(s, d), small=10**6)
 
-TOKENS = """t as (select doc_id, unnest(range(len(ws))) as token_id, unnest(ws) as word from (select doc_id, string_split_regex(text, '[ \\n]+') as ws from documents)),
-tokens as (select doc_id, token_id, token_id // 20 as para, word, case when regexp_matches(word, '^[A-Z]') then 'NNP' else 'NN' end as fine_pos from t),
-entities as (select doc_id, token_id as ent, para, token_id as start_token, token_id + token_id % 3 as end_token, length(word) % 5 as coref, case when token_id % 4 <> 0 then 'PER' else 'LOC' end as cat, word as text from tokens where fine_pos = 'NNP'),
-quotes as (select doc_id, token_id as q, para, token_id as quote_start, token_id + 6 as quote_end, token_id + 6 + token_id % 8 as mention_start from tokens where token_id % 17 = 5)"""
-add(
-    "join_coref", lambda s, d: A.token_coref(tokens(s, d), entities(s, d)),
-    f"with {TOKENS} select t.doc_id, t.token_id, arg_max(e.coref, e.ent) as coref from tokens t join entities e on e.doc_id = t.doc_id and t.token_id between e.start_token and e.end_token and e.start_token >= t.token_id - 2 group by 1, 2",
-)
-add(
-    "agg_coref_name", lambda s, d: A.coref_names(entities(s, d)),
-    f"with {TOKENS}, n as (select doc_id, coref, text, count(*) as n, min(start_token) as f from entities where cat = 'PER' group by 1, 2, 3) select doc_id, coref, text as name from (select *, row_number() over (partition by doc_id, coref order by n desc, f) as r from n) where r = 1",
-)
-add(
-    "att_classify", lambda s, d: A.classify_quotes(nlp_quotes(s, d), tokens(s, d)),
-    f"with {TOKENS} select q.doc_id, q.q, case when mention_start - quote_end > 4 then 'implicit' when t.fine_pos = 'NNP' then 'explicit' else 'anaphoric' end as kind from quotes q left join tokens t on t.doc_id = q.doc_id and t.token_id = q.mention_start",
-)
-add(
-    "join_mention_outside", lambda s, d: A.outside_mentions(entities(s, d), nlp_quotes(s, d)).select("doc_id", "ent", "text"),
-    f"with {TOKENS} select doc_id, ent, text from entities e where cat = 'PER' and not exists (select 1 from quotes q where q.doc_id = e.doc_id and q.para = e.para and e.start_token >= q.quote_start and e.end_token <= q.quote_end)",
-)
-add("att_speaker_names", lambda s, d: A.speaking_names(A.coref_names(entities(s, d)), entities(s, d).where("coref = 2 and doc_id % 2 = 0").select("doc_id", "coref").distinct()))
-add("att_para_ctx", lambda s, d: A.outside_mentions(entities(s, d), nlp_quotes(s, d)).groupBy("doc_id", "para").agg(F.when(F.count_distinct("coref") == 1, F.min("coref")).alias("beat"), F.max_by("coref", "start_token").alias("pfinal")))
-ORACLES["att_para_ctx"] = f"with {TOKENS}, o as (select * from entities e where cat = 'PER' and not exists (select 1 from quotes q where q.doc_id = e.doc_id and q.para = e.para and e.start_token >= q.quote_start and e.end_token <= q.quote_end)) select doc_id, para, case when count(distinct coref) = 1 then min(coref) end as beat, arg_max(coref, start_token) as pfinal from o group by 1, 2"
 
+_TITLES = "[" + ", ".join(f"'{t}'" for t in L.TITLES) + "]"
 
-def _spoken(s, d):
-    u = units(s, d)
-    return u.withColumn("vocative", F.when(F.col("id") % 5 == 0, "Mayor")).withColumn("tag", F.when(F.col("id") % 5 == 1, "Jahns").when(F.col("id") % 7 == 3, F.col("speaker")))
 
+def _nick(short: str, long: str) -> str:
+    ends = " or ".join(f"({short} like '%{e}' and length({short}) - {len(e)} >= 3 and starts_with({long}, left({short}, length({short}) - {len(e)})))" for e in L.NICK_ENDINGS)
+    return f"(length({short}) < length({long}) and ({ends}))"
 
-add(
-    "agg_alias_learn", lambda s, d: A.learn_aliases(_spoken(s, d)),
-    f"with {V.UNITS}, q as (select book, id, para, case when id % 5 = 0 then 'Mayor' end as voc, case when id % 5 = 1 then 'Jahns' when id % 7 = 3 then speaker end as tag from units), n as (select *, lead(tag) over w as t2, lead(para) over w as p2 from q window w as (partition by book order by id)) select book, voc as alias, min(t2) as name from n where voc is not null and t2 is not null and p2 - para <= 2 group by 1, 2 having count(*) >= 2 and min(t2) = max(t2)",
-)
-add("att_vocative", lambda s, d: A.vocatives(quotes(s, d).withColumn("text", F.concat("speaker", F.lit(", "), F.col("text"))), names(s, d)))
+
+CAST = f"""{V.UNITS}, c as (select book, speaker as name, count(*) as lines, min(id) as first from units where kind = 'dialogue' group by 1, 2),
+g as (select book, id, unnest(range(len(m))) as place, unnest(m) as surface from (select book, id, regexp_extract_all(speaker || ' said.' || case when id % 3 = 0 then ' Tam Vale ' || text else text end, '\\b[A-Z][a-zA-Z''’-]+ [A-Z][a-zA-Z''’-]+\\b') as m from units)),
+g2 as (select *, regexp_replace(lower(string_split(surface, ' ')[1]), '[^a-z0-9 ]', '', 'g') as first, regexp_replace(lower(string_split(surface, ' ')[2]), '[^a-z0-9 ]', '', 'g') as last from g),
+grams as (select book, first, last, count(*) as n, arg_min(surface, (id, place)) as surface from g2 where first <> '' and last <> '' and not list_contains({_TITLES}, first) and not list_contains({_TITLES}, last) group by 1, 2, 3),
+w as (select *, list_filter(string_split(trim(regexp_replace(lower(name), '[^a-z0-9 ]', '', 'g')), ' '), lambda x: x <> '') as t from c),
+l as (select *, coalesce(list_min(list_filter(range(1, len(t) + 1), lambda i: not list_contains({_TITLES}, t[i]))), len(t) + 1) as k from w),
+parts as (select book, name, lines, first, array_to_string(t[k:], ' ') as bare, case when len(t[k:]) = 1 and k = 1 then t[k] end as single, case when len(t[k:]) > 1 or k > 1 then t[-1] end as last from l where len(t[k:]) between 1 and 3),
+rules as (select a.book, a.name as a, b.name as b, case when a.bare = b.bare then 'title'
+    when not contains(a.bare, ' ') and not contains(b.bare, ' ') and ({_nick('a.bare', 'b.bare')} or {_nick('b.bare', 'a.bare')}) then 'nick'
+    when a.last = b.last or a.last = b.single or b.last = a.single then 'surname'
+    when exists (select 1 from grams g where g.book = a.book and g.n >= 2 and ((g.first = a.single and g.last = b.last) or (g.first = b.single and g.last = a.last))) then 'bigram' end as rule
+  from parts a join parts b on a.book = b.book and a.name < b.name),
+pairs as (select * from rules where rule is not null),
+short as (select book, case when length(a) < length(b) then a else b end as alias, case when length(a) < length(b) then b else a end as name from pairs where rule = 'nick'),
+told as (select book, id, kind, speaker, case when kind = 'narration' and id % 5 = 0 then 'Then Tamsin spoke. ' || text else text end as text from units),
+near as (select distinct s.book, s.alias, s.name, a.id from short s join told a on a.book = s.book and a.speaker = s.alias and a.kind = 'dialogue' join told b on b.book = a.book and b.kind = 'narration' and b.id between a.id - 2 and a.id + 2
+  where list_contains(string_split_regex(b.text, '[^\\p{{L}}\\p{{N}}_]+'), s.name)),
+support as (select n.book, n.alias, n.name, count(*) as n from near n join c x on x.book = n.book and x.name = n.alias join c y on y.book = n.book and y.name = n.name
+  where y.lines > x.lines and lower(left(n.alias, 1)) = lower(left(n.name, 1)) group by n.book, n.alias, n.name, x.lines having count(*) >= 2 and count(*) >= 0.15 * x.lines),
+ev as (select book, a, b, list_sort(list_distinct(list(rule))) as rules from (select book, a, b, rule from pairs union all select book, least(alias, name), greatest(alias, name), 'narration' from support) group by 1, 2, 3)"""
+add("join_blocked_pairs", pairs, f"with {CAST} select * from pairs")
+
+
+def evidence(s, d):
+    told_of = support(s, d).select("book", F.col("alias").alias("a"), F.col("name").alias("b"), F.lit("narration").alias("rule"))
+    return C.evidence(pairs(s, d), told_of)
+
+
+add("set_evidence", evidence, f"with {CAST} select * from ev")
+
+
+def _apart(s, d):
+    """Pairs that are known to differ."""
+    return pairs(s, d).where("a = 'Old Orrin' or b = 'Old Orrin'").select("book", "a", "b")
 
 
-def _sieve(s, d):
-    k = lambda m, r: F.when(F.col("id") % m == r, F.col("speaker"))
-    return units(s, d).select("book", "id", "para", k(3, 0).alias("beat"), k(4, 1).alias("last_voc"), k(5, 2).alias("pfinal"), F.when(F.col("id") % 6 == 0, F.col("speaker")).alias("addressee"))
+def _told_later(s, d):
+    """Reveals: Captain Vale turns out to be Tamsin Vale."""
+    first = units(s, d).groupBy("book").agg(F.min("para").alias("at"))
+    return first.select("book", F.lit("Captain Vale").alias("alias"), F.lit("Tamsin Vale").alias("real"), "at", F.lit(1).alias("seq"))
 
 
 add(
-    "att_sieves", lambda s, d: A.sieves(_sieve(s, d)),
-    f"""with {V.UNITS}, q as (select book, id, para, case when id % 3 = 0 then speaker end as beat, case when id % 4 = 1 then speaker end as voc, case when id % 5 = 2 then speaker end as pf, case when id % 6 = 0 then speaker end as ad from units),
-l as (select *, case when para - lag(para) over w between 0 and 2 then lag(voc) over w end as pv from q window w as (partition by book order by id))
-select book, id, coalesce(case when ad is null or beat <> ad then beat end, case when ad is null or pv <> ad then pv end, case when ad is null or pf <> ad then pf end) as speaker from l""",
+    "cast_pair_filter", lambda s, d: C.askable_pairs(evidence(s, d), cast(s, d), _apart(s, d), C.reveal_pairs(_told_later(s, d)), main=40, few=20).select("book", "a", "b", "rules"),
+    f"""with {CAST}, n as (select ev.*, x.lines as al, y.lines as bl, p.last as al_last, q.last as bl_last from ev join c x on x.book = ev.book and x.name = a join c y on y.book = ev.book and y.name = b
+  left join parts p on p.book = ev.book and p.name = a left join parts q on q.book = ev.book and q.name = b)
+select book, a, b, rules from n where not (al >= 40 and bl >= 40) and not (least(al, bl) <= 20 and case when al < bl then al_last else bl_last end is not null and not list_contains(rules, 'bigram'))
+  and 'Old Orrin' not in (a, b) and not (a = 'Captain Vale' and b = 'Tamsin Vale')""",
+)
+_said = lambda s, d: pairs(s, d).where("rule = 'nick'").select("book", "a", "b", F.lit("same").alias("verdict"))
+add(
+    "cast_verdict", lambda s, d: C.apply_verdicts(pairs(s, d).select("book", "a", "b"), _said(s, d)),
+    f"with {CAST} select book, a, b, case when rule = 'nick' then 'same' else 'different' end as verdict from pairs",
+)
+add(
+    "cast_fallback", lambda s, d: C.nickname_merges(cast(s, d).join(U.first_seen(units(s, d)), ["book", "name"]), support(s, d), _apart(s, d), small=10**6),
+    f"""with {CAST} select s.book, s.alias, arg_min(s.name, (y.first, s.name)) as name from support s join parts x on x.book = s.book and x.name = s.alias join parts y on y.book = s.book and y.name = s.name
+where x.single is not null and y.single is not null and y.lines > x.lines and {_nick('x.single', 'y.single')} and 'Old Orrin' not in (s.alias, s.name) group by 1, 2""",
 )
-add("att_two_apart", lambda s, d: A.two_apart(units(s, d).groupBy("book", "para").agg(F.min(F.when((F.col("para") % 3 != 0) & (F.col("kind") == "dialogue"), F.col("speaker"))).alias("speaker")).withColumn("bare", F.col("para") % 2 == 0)))
-add("agg_text_speakers", lambda s, d: A.text_speakers(quotes(s, d).select("book", F.concat("before", "text", "after").alias("text"))))
 
 
-def _quote_spans(s, d):
-    return U.build_document(units(s, d)).where("id % 9 = 4").select("book", F.col("id").alias("q"), (F.col("start") - 10).alias("qs"), (F.col("end") - 5).alias("qe"))
+def _joined(s, d):
+    same = pairs(s, d).where("rule in ('nick', 'bigram')").select("book", "a", "b", F.lit(1).alias("seq"))
+    return C.components(cast(s, d), same, _apart(s, d), established=10**6)
 
 
+add("cast_components", _joined)
+_GROUPS = """ways as (select book, a, b from pairs where rule in ('nick', 'bigram') and 'Old Orrin' not in (a, b)),
+e as (select book, a, b from ways union select book, b, a from ways union select book, name, name from c),
+reach(book, a, b) as (select book, a, b from e union select r.book, r.a, e.b from reach r join e on e.book = r.book and e.a = r.b),
+grp as (select r.book, r.a as name, arg_max(r.b, (c.lines, r.b)) as grp from reach r join c on c.book = r.book and c.name = r.b group by 1, 2)"""
+ORACLES["cast_components"] = f'with recursive {CAST}, {_GROUPS} select book, name, grp as "group" from grp'
 add(
-    "join_span_overlap", lambda s, d: A.span_overlap(U.build_document(units(s, d)), _quote_spans(s, d)),
-    f"""with {V.UNITS}, n as (select *, length(text) + case when kind = 'dialogue' then 2 else 0 end as len, lag(para) over (partition by book order by id) as pp from units), e as (select *, case when pp is null then 0 when pp = para then 1 else 2 end as sep from n),
-sp as (select book, id, sum(len + sep) over w - len as s, sum(len + sep) over w as e from e window w as (partition by book order by id)),
-o as (select q.book, q.id as q, u.id, least(u.e, q.e - 5) - greatest(u.s, q.s - 10) as ov from sp q join sp u on u.book = q.book and u.id between q.id - 20 and q.id + 20 where q.id % 9 = 4)
-select book, q, id as unit_id from (select *, row_number() over (partition by book, q order by ov desc, id) as r from o where ov > 0) where r = 1""",
+    "cast_canonical", lambda s, d: C.canonical_names(_joined(s, d), cast(s, d), _grams(s, d), main=10**6),
+    f"""with recursive {CAST}, {_GROUPS}, m as (select g.book, g.grp, p.name, p.lines, p.single from grp g join c using (book, name) left join parts p on p.book = g.book and p.name = g.name),
+big as (select g.book, g.grp, arg_max(c.name, (c.lines, c.name)) as big from grp g join c using (book, name) group by 1, 2),
+full_ as (select m.book, m.grp, arg_max(surface, (n, surface)) as f from m join grams on grams.book = m.book and grams.first = m.single where n >= 5 group by 1, 2)
+select big.book, big.grp as "group", coalesce(f, big) as name from big left join full_ using (book, grp)""",
+)
+_next = lambda s, d: units(s, d).where("id % 210 < 203").select("book", F.concat(F.lit("N"), F.col("id").cast("string")).alias("alias"), F.concat(F.lit("N"), (F.col("id") + 7).cast("string")).alias("name"))
+add(
+    "cast_merge_chain", lambda s, d: C.resolve_aliases(_next(s, d)),
+    f"""with recursive {V.UNITS}, l as (select book, id, id + 7 as nxt from units where id % 210 < 203),
+r as (select book, id, nxt from l union all select r.book, r.id, l.nxt from r join l on l.book = r.book and l.id = r.nxt)
+select book, 'N' || id as alias, 'N' || max(nxt) as final from r group by book, id""",
 )
+_links = lambda s, d: pairs(s, d).where("rule in ('nick', 'bigram')").select("book", F.col("a"), F.col("b"), F.lit(0).alias("seq"))
+add("cast_identity", lambda s, d: C.identities(_links(s, d)))
 
-cast = lambda s, d: U.cast_counts(units(s, d))
-CAST = f"with {V.UNITS}, c as (select book, speaker as name, count(*) as lines from units where kind = 'dialogue' group by 1, 2)"
-_grams = lambda s, d: U.name_bigrams(units(s, d).withColumn("text", F.concat("speaker", F.lit(" said."))))
-pairs = lambda s, d: C.name_pairs(cast(s, d), _grams(s, d))
-add("join_blocked_pairs", pairs)
-add("set_evidence", lambda s, d: C.evidence(pairs(s, d), U.narration_support(U.near_narration(units(s, d).withColumn("text", F.when(F.col("id") % 5 == 0, F.concat(F.lit("So Tamsin went. "), F.col("text"))).otherwise(F.col("text"))), units(s, d).where("speaker = 'Tam'").select("book", F.col("speaker").alias("alias"), F.lit("Tamsin").alias("name")).distinct()), cast(s, d), small=10**6).select("book", F.col("alias").alias("a"), F.col("name").alias("b"), F.lit("narration").alias("rule"))))
-_none = lambda s, d: pairs(s, d).where("a = 'Old Orrin'").select("book", "a", "b")
-add("cast_pair_filter", lambda s, d: C.askable_pairs(C.evidence(pairs(s, d)), cast(s, d), _none(s, d)).select("book", "a", "b", "rules"))
-_verdicts = lambda s, d: pairs(s, d).where("rule = 'nick'").select("book", "a", "b", F.lit("same").alias("verdict"))
-add("cast_verdict", lambda s, d: C.apply_verdicts(pairs(s, d).select("book", "a", "b"), _verdicts(s, d)))
-add("cast_fallback", lambda s, d: C.nickname_merges(cast(s, d), pairs(s, d).where("rule = 'nick'").select("book", F.col("a").alias("alias"), F.col("b").alias("name"), F.lit(2).alias("n")), _none(s, d), small=10**6))
-_joined = lambda s, d: C.components(cast(s, d), pairs(s, d).where("rule in ('nick', 'bigram')").select("book", "a", "b", F.lit(1).alias("seq")), _none(s, d), established=10**6)
-add("cast_components", _joined)
-add("cast_canonical", lambda s, d: C.canonical_names(_joined(s, d), cast(s, d), _grams(s, d), main=10**6))
+
+def _moves(s, d):
+    name = F.when(F.col("id") % 3 == 0, "Orrin").when(F.col("id") % 3 == 1, "Nobody Known").when(F.col("id") % 2 == 0, "Unknown").otherwise("keep")
+    return U.dialogue(units(s, d)).select("book", "id", name.alias("name"))
 
 
 add(
-    "cast_merge_chain", lambda s, d: C.resolve_aliases(units(s, d).where("id % 28 < 21").select("book", F.concat(F.lit("N"), F.col("id").cast("string")).alias("alias"), F.concat(F.lit("N"), (F.col("id") + 7).cast("string")).alias("name"))),
-    f"with recursive {V.UNITS}, l as (select book, id, id + 7 as nxt from units where id % 28 < 21), r as (select book, id, nxt from l union all select r.book, r.id, l.nxt from r join l on l.book = r.book and l.id = r.nxt) select book, 'N' || id as alias, 'N' || max(nxt) as final from r group by book, id",
+    "cast_reassign", lambda s, d: C.reassign(units(s, d), _moves(s, d), cast(s, d), radius=3),
+    f"""with {V.UNITS}, o as (select distinct m.book, m.id from units m join units u on u.book = m.book and u.id between m.id - 3 and m.id + 3 and (u.speaker = 'Orrin' or list_contains(string_split_regex(u.text, '[^\\p{{L}}\\p{{N}}_]+'), 'Orrin')))
+select u.book, u.id, case when kind = 'dialogue' and u.id % 3 = 0 and o.id is not null then 'Orrin' when kind = 'dialogue' and u.id % 6 = 2 then 'Unknown' else speaker end as speaker from units u left join o on o.book = u.book and o.id = u.id""",
 )
-add("cast_identity", lambda s, d: C.identities(pairs(s, d).where("rule in ('nick', 'bigram')").select("book", "a", "b", F.lit(0).alias("seq"))).where("name <> display").groupBy("book", F.col("display").alias("final")).agg(F.array_sort(F.collect_set("name")).alias("aliases")))
 add(
-    "cast_reassign", lambda s, d: C.reassign(units(s, d), units(s, d).where("id % 10 = 1").select("book", "id", F.when(F.col("id") % 20 == 1, "Orrin").otherwise("Nobody Known").alias("name")), cast(s, d)),
-    f"with {V.UNITS} select book, id, case when id % 20 = 1 then 'Orrin' else speaker end as speaker from units",
+    "set_suspects", lambda s, d: C.suspects(cast(s, d), pairs(s, d), cast(s, d).where("name = 'Tamsin'"), few=10**6),
+    f"with {CAST} select c.book, c.name, c.lines from c join parts p using (book, name) where p.last is not null and c.name <> 'Tamsin' and exists (select 1 from pairs x where x.book = c.book and c.name in (x.a, x.b))",
 )
-add("set_suspects", lambda s, d: C.suspects(cast(s, d), pairs(s, d), cast(s, d).where("name = 'Tamsin'"), few=10**6))
-_P = lambda s, d: pairs(s, d).select("book", F.col("a").alias("name"))
-add("cast_prompts", lambda s, d: U.partner_text(U.companions(units(s, d))).join(U.sample_lines(units(s, d)).withColumnRenamed("speaker", "name"), ["book", "name"]).join(_P(s, d).distinct(), ["book", "name"], "left_semi").select("book", "name", F.concat(F.lit("Near: "), F.col("partners"), F.lit("\nSays: "), F.col("sample")).alias("briefing")))
+add("cast_prompts", lambda s, d: C.briefings(cut(evidence(s, d)), cut(told(s, d)), cut(cast(s, d))))
 
 candidates = V.candidates
 add(
@@ -190,5 +219,28 @@ add(
 )
 add("val_select_bypass", lambda s, d: D.select_first(cheap(s, d)).select("doc_id", "chunk_idx", "cand_idx"), f"with {V.CANDIDATES} select doc_id, chunk_idx, min(cand_idx) as cand_idx from candidates where bytes > 1024 group by 1, 2")
 add("val_retry_queue", lambda s, d: D.retry_queue(D.gate(cheap(s, d)), 3), f"{_SC} select doc_id, chunk_idx, 1 as attempts from p group by 1, 2 having not bool_or(passed)")
-add("val_faithful", lambda s, d: D.faithful(candidates(s, d).where("cand_idx <> 1"), "target", "transcript").select("doc_id", "chunk_idx", "cand_idx", "ok"))
-add("val_resplit", lambda s, d: D.resplit(D.gate(cheap(s, d)).where("not passed").select("doc_id", "chunk_idx", "cand_idx", "target")).select("doc_id", "chunk_idx", "cand_idx", "half", "target"))
+add("val_faithful", lambda s, d: D.faithful(candidates(s, d), "target", "transcript").select("doc_id", "chunk_idx", "cand_idx", "ok"))
+
+
+def _lines(s, d):
+    return V.doc_lines(s, d).where("length(line) > 0").select("doc_id", F.col("line_no").alias("chunk_idx"), F.col("line").alias("text"))
+
+
+def _tried(todo):
+    """Three attempts at each chunk; how well they go hangs on the text and the attempt alone."""
+    rows = todo.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    score = F.pmod(F.crc32(F.concat("text", F.col("attempt").cast("string")).cast("binary")), F.lit(101)) / 100.0
+    return rows.withColumn("score", score).withColumn("ok", F.col("score") >= 0.8)
+
+
+add("val_resplit", lambda s, d: D.speak(_lines(s, d), _tried))
+_heard = lambda s, d: candidates(s, d).where("cand_idx < 2").select("doc_id", "chunk_idx", "cand_idx", "transcript")
+add(
+    "udf_transcribe", lambda s, d: D.with_transcripts(candidates(s, d).select("doc_id", "chunk_idx", "cand_idx", "target"), _heard(s, d)),
+    f"with {V.CANDIDATES} select doc_id, chunk_idx, cand_idx, target, case when cand_idx < 2 then transcript else '' end as transcript from candidates",
+)
+_judged = lambda s, d: pairs(s, d).where("rule <> 'surname'").select("book", "a", "b", F.when(F.col("rule") == "bigram", "different").otherwise("same").alias("verdict"))
+add(
+    "udf_adjudicate", lambda s, d: C.apply_verdicts(pairs(s, d).select("book", "a", "b"), _judged(s, d)),
+    f"with {CAST} select book, a, b, case when rule in ('title', 'nick') then 'same' else 'different' end as verdict from pairs",
+)

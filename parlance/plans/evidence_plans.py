@@ -1,17 +1,15 @@
-"""Evidence lines, run alternation and streams run to their end."""
+"""Evidence lines, and streams run to their end."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.operators import evidence as E
 from parlance.plans import views as V
-from parlance.plans.cast_plans import turns
+from parlance.plans.voice_plans import GAINS
 from parlance.sources import files as S
-from parlance.sources.tables import cut
+from parlance.sources.tables import scratch
 from parlance.streaming import chat as C
 
 QUERIES: dict = {}
@@ -21,8 +19,7 @@ ORACLES: dict = {}
 def finished(stream: DataFrame) -> DataFrame:
     """What a stream over the files that are there now gives, written below the checkpoint folder."""
     spark = stream.sparkSession
-    cut(spark.range(1))  # makes sure that there is a folder
-    path = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    path = scratch(spark, "stream")
     q = stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").option("path", f"{path}/out").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
@@ -31,7 +28,7 @@ def finished(stream: DataFrame) -> DataFrame:
 def _events(spark, sf_dir) -> DataFrame:
     """The events as a stream of files."""
     batch = V.table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
-    path = f"{cut(spark.range(1)).inputFiles()[0].rsplit('/', 2)[0]}/events-{uuid.uuid4().hex}"
+    path = scratch(spark, "events")
     batch.write.parquet(path)
     return spark.readStream.schema(batch.schema).parquet(path)
 
@@ -47,29 +44,57 @@ def str_gain(spark, sf_dir):
 
 
 def str_files(spark, sf_dir):
-    path = f"{cut(spark.range(1)).inputFiles()[0].rsplit('/', 2)[0]}/texts-{uuid.uuid4().hex}"
+    path = scratch(spark, "texts")
     V.documents(spark, sf_dir).select(F.regexp_replace("text", "\n", " ").alias("value")).write.text(path)
     return finished(C.chunk_stream(spark, path)).select("chunk_idx", "chunk")
 
 
 def src_nlp_tsv(spark, sf_dir):
-    path = f"{cut(spark.range(1)).inputFiles()[0].rsplit('/', 2)[0]}/tokens-{uuid.uuid4().hex}"
+    path = scratch(spark, "tokens")
     V.documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "[ \\n\\t]+")).alias("token_id", "word")).write.csv(path, sep="\t", quote="", header=True)
     return S.read_nlp(spark, path, ("doc_id", "token_id"))
 
 
 QUERIES["str_maxlen"] = str_maxlen
 QUERIES["str_gain"] = str_gain
+ORACLES["str_gain"] = f"""
+with recursive l as (select user_id as clip, event_id as seq, case when event_id % 7 <> 0 then -30.0::double + event_id % 15 end as dbfs, row_number() over (partition by user_id order by event_id) as rn from events),
+{GAINS} select clip, seq, round(g, 5) as gain from r where rn > 0"""
 QUERIES["str_files"] = str_files
 QUERIES["src_nlp_tsv"] = src_nlp_tsv
 ORACLES["src_nlp_tsv"] = "select doc_id, unnest(range(len(w))) as token_id, unnest(w) as word from (select doc_id, string_split_regex(text, '[ \\n\\t]+') as w from documents)"
-QUERIES["att_run_alternate"] = lambda s, d: E.alternate_run(turns(s, d))
-QUERIES["top_excerpt_ids"] = lambda s, d: E.evidence_lines(V.book_units(s, d), V.book_units(s, d).where("speaker in ('Tam', 'Orrin')").select("book", F.col("speaker").alias("name"), F.when(F.col("speaker") == "Tam", "Tamsin").otherwise("Old Orrin").alias("other")).distinct(), 4)
-ORACLES["top_excerpt_ids"] = f"""
-with {V.UNITS}, p as (select distinct book, speaker as name, case when speaker = 'Tam' then 'Tamsin' else 'Old Orrin' end as other from units where speaker in ('Tam', 'Orrin')),
-l as (select u.book, u.speaker as name, p.other, u.id, contains(u.text, '"') as quoting from units u join p on p.book = u.book and p.name = u.speaker where u.kind = 'dialogue'),
-r as (select *, row_number() over (partition by book, name order by id) - 1 as pos, count(*) over (partition by book, name) as n from l),
-k as (select *, case when quoting then 0 when pos in (n // 4, n // 2, n * 3 // 4) then 1 else 2 end as prio from r),
-o as (select *, row_number() over (partition by book, name order by prio, id) as rank from k)
-select book, name, other, id from o where rank <= 4
-"""
+
+
+def _asked(spark, sf_dir):
+    """Tam, who may be Tamsin, and Orrin, who may be Old Orrin."""
+    two = V.book_units(spark, sf_dir).where("speaker in ('Tam', 'Orrin')").select("book", F.col("speaker").alias("name")).distinct()
+    return two.withColumn("other", F.when(F.col("name") == "Tam", "Tamsin").otherwise("Old Orrin"))
+
+
+def _named(spark, sf_dir):
+    """Units that name Tamsin here and there, in narration and in speech."""
+    at = ((F.col("kind") == "narration") & (F.col("id") % 50 == 0)) | ((F.col("kind") == "dialogue") & (F.col("id") % 30 == 1))
+    return V.book_units(spark, sf_dir).withColumn("text", F.when(at, F.concat(F.lit("Then Tamsin spoke. "), F.col("text"))).otherwise(F.col("text")))
+
+
+def _evidence_sql(most: int, k: int, spread: bool) -> str:
+    far = "exists (select 1 from units o where o.book = p.book and o.kind = 'dialogue' and o.speaker = p.other and o.id between u.id - 20 and u.id + 20)" if spread else "false"
+    word = lambda t: f"list_contains(string_split_regex({t}, '[^\\p{{L}}\\p{{N}}_]+'), token)"
+    return f"""
+with {V.UNITS}, x as (select book, id, kind, speaker, case when (kind = 'narration' and id % 50 = 0) or (kind = 'dialogue' and id % 30 = 1) then 'Then Tamsin spoke. ' || text else text end as text from units),
+p as (select distinct book, speaker as name, case when speaker = 'Tam' then 'Tamsin' else 'Old Orrin' end as other, case when speaker = 'Tam' then 'Tamsin' else 'Orrin' end as token from units where speaker in ('Tam', 'Orrin')),
+o0 as (select p.*, u.id, u.text, {far} as close from p join x u on u.book = p.book and u.speaker = p.name and u.kind = 'dialogue'),
+own as (select * from (select *, bool_and(close) over (partition by book, name) as none from o0) where none or not close),
+st as (select distinct o.book, o.name, o.id from own o join x n on n.book = o.book and n.kind = 'narration' and n.id between o.id - 2 and o.id + 2 and {word('n.text')}),
+f as (select o.*, row_number() over (partition by o.book, o.name order by o.id) - 1 as pos, count(*) over (partition by o.book, o.name) as n, case when st.id is not null then 0 when {word('o.text')} then 1 end as prio
+  from own o left join st on st.book = o.book and st.name = o.name and st.id = o.id),
+named as (select book, name, other, id from (select *, row_number() over (partition by book, name order by prio, id) as r from f where prio is not null) where r <= {most}),
+rest as (select f.*, case when pos = 0 then 0 when pos = n // 3 then 1 when pos = 2 * n // 3 then 2 when pos = n - 1 then 3 end as turn from f where pos in (0, n // 3, 2 * n // 3, n - 1) and not exists (select 1 from named m where m.book = f.book and m.name = f.name and m.id = f.id)),
+ranked as (select *, row_number() over (partition by book, name order by turn) as r from rest)
+select * from named union all select book, name, other, id from ranked where r <= {k} - (select count(*) from named m where m.book = ranked.book and m.name = ranked.name)"""
+
+
+QUERIES["top_excerpt_ids"] = lambda s, d: E.evidence_lines(_named(s, d), _asked(s, d), 4)
+ORACLES["top_excerpt_ids"] = _evidence_sql(4, 4, False)
+QUERIES["top_excerpt_far"] = lambda s, d: E.evidence_lines(_named(s, d), _asked(s, d), 4, spread=True)
+ORACLES["top_excerpt_far"] = _evidence_sql(1, 4, True)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that hold QUERIES (name -> function) and ORACLES (name -> DuckDB SQL).
-MODULES: tuple[str, ...] = ("text_plans", "units_plans", "voice_plans", "cast_plans", "stream_plans", "evidence_plans")
+MODULES: tuple[str, ...] = ("text_plans", "units_plans", "voice_plans", "speaker_plans", "cast_plans", "stream_plans", "evidence_plans")
 
 
 def _merged(what: str) -> dict:

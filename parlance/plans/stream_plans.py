@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parlance.functions import lexicon as L
 from parlance.functions import text as X
 from parlance.operators import units as U
 from parlance.plans import views as V
-from parlance.plans.units_plans import CASTING, casting
+from parlance.plans.units_plans import CASTING, LINES, casting
 from parlance.sources import files as S
+from parlance.sources.tables import scratch
 from parlance.streaming import chat as C
 
 QUERIES: dict = {}
@@ -73,7 +73,7 @@ _ST = "e as (select event_id, case when event_id % 7 = 0 then 0.75 else event_id
 add("src_settings", lambda s, d: settings(s, d).select("event_id", F.element_at("settings", "temperature").try_cast("double").alias("temperature"), F.element_at("settings", "cfg_weight").alias("cfg_weight")), f"with {_ST} select event_id, temperature, '0.5' as cfg_weight from e")
 add("src_settings_coerce", lambda s, d: settings(s, d).select("event_id", *S.coerce_settings(F.col("settings"))), f"with {_ST} select event_id, 0.5::double as exaggeration, 0.5::double as cfg_weight, temperature, candidates from e")
 add(
-    "src_text", lambda s, d: V.documents(s, d).groupBy(F.col("source").alias("folder"), F.floor(F.col("doc_id") / 10).alias("part")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "\n\n").alias("text")),
+    "src_text", lambda s, d: S.merge_texts(V.documents(s, d).select(F.col("source").alias("folder"), F.floor(F.col("doc_id") / 10).alias("part"), "doc_id", "text"), ["folder", "part"], "doc_id"),
     "select source as folder, doc_id // 10 as part, string_agg(text, chr(10) || chr(10) order by doc_id) as text from documents group by 1, 2",
 )
 
@@ -83,17 +83,39 @@ def _rows(s, d):
 
 
 add(
-    "src_metadata", lambda s, d: S.read_dataset(_rows(s, d), V.documents(s, d).where("doc_id % 2 = 0").select(F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("utt_id"))),
-    "select 'u' || doc_id as utt_id, replace(text, '|', ' ') as text from documents where doc_id % 2 = 0 and doc_id % 9 <> 0",
-)
-add(
-    "src_nlp_chars", lambda s, d: S.speech_agents(V.table(s, d, "events").select(F.col("event_id").alias("doc_id"), F.when(F.col("event_id") % 5 == 0, "{bad").otherwise(F.concat(F.lit('{"characters":[{"id":"7","agent":[{"w":"'), F.when(F.col("event_id") % 2 == 0, "Said").otherwise("ran"), F.lit('"}]}]}'))).alias("json")), L.SAYS_AFTER),
-    "select event_id as doc_id, '7' as coref from events where event_id % 5 <> 0 and event_id % 2 = 0",
+    "src_metadata", lambda s, d: S.read_dataset(_rows(s, d), V.documents(s, d).where("lang <> 'de'").select(F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("utt_id"))),
+    "select 'u' || doc_id as utt_id, replace(text, '|', ' ') as text from documents where lang <> 'de' and doc_id % 9 <> 0",
 )
+
+
+def _characters(s, d):
+    """A character file for each event, some of them broken; a few verbs are verbs of speech."""
+    verb = F.element_at(F.array(*[F.lit(v) for v in ("Said", "ran", "Warned", "slept", "began")]), (F.col("event_id") % 5 + 1).cast("int"))
+    good = F.concat(F.lit('{"characters":[{"id":"7","agent":[{"w":"'), verb, F.lit('"}]}]}'))
+    return V.table(s, d, "events").select(F.col("event_id").alias("doc_id"), F.when(F.col("event_id") % 7 == 0, "{bad").otherwise(good).alias("json"))
+
+
+add("src_nlp_chars", lambda s, d: S.speech_agents(_characters(s, d)), "select event_id as doc_id, '7' as coref from events where event_id % 7 <> 0 and event_id % 5 in (0, 2, 4)")
+
+
+def _runs(s, d):
+    return V.documents(s, d).select(F.col("doc_id").alias("run_id"), F.col("text").alias("prompt"), F.array("source", "lang").alias("files"), (F.col("doc_id") % 10 / 10.0).alias("temperature"))
+
+
 add(
-    "snk_manifest", lambda s, d: V.documents(s, d).select("doc_id", S.manifest_row({"run_id": F.col("doc_id"), "prompt": F.col("text"), "files": F.array_join(F.array("source", "lang"), "|")}).alias("manifest")),
-    """select doc_id, '{"run_id":' || doc_id || ',"prompt":"","files":"' || source || '|' || lang || '"}' as manifest from documents""",
+    "snk_manifest", lambda s, d: S.manifest_json(_runs(s, d), "run_id"),
+    """select doc_id as run_id, '{"run_id":' || doc_id || ',"prompt":"","files":"' || source || '|' || lang || '","temperature":' || (doc_id % 10 / 10.0::double)::varchar || '}' as manifest from documents""",
 )
+
+
+def _stored(s, d):
+    path = scratch(s, "manifest")
+    S.write_manifest(_runs(s, d), path)
+    rows = s.read.option("header", True).csv(f"{path}/csv")
+    return rows.select(F.col("run_id").cast("long").alias("run_id"), F.coalesce("prompt", F.lit("")).alias("prompt"), "files", F.col("temperature").cast("double").alias("temperature"))
+
+
+add("snk_manifest_csv", _stored, "select doc_id as run_id, '' as prompt, source || '|' || lang as files, doc_id % 10 / 10.0::double as temperature from documents")
 add("snk_analysis", lambda s, d: V.documents(s, d).select("doc_id", S.book_key(F.col("text").cast("binary")).alias("book_key")), "select doc_id, left(sha1(text), 16) as book_key from documents")
 add(
     "snk_progress", lambda s, d: S.progress(V.table(s, d, "events").select(F.col("user_id").alias("book"), "ts", "event_id", (F.col("event_id") % 50 - 5).alias("start"), (F.col("event_id") % 3).alias("at"))),
@@ -104,10 +126,9 @@ add(
     f"with {V.UNITS}, {CASTING} select lower(voice) as key, min(voice) as voice from (select voice from casting where voice is not null union all select upper(source) from documents union all select source from documents) group by 1",
 )
 add(
-    "join_valid_voice", lambda s, d: U.voice_usage(U.cast_lines(V.book_units(s, d), casting(s, d))).join(casting(s, d).where("role <> 'Tamsin'").select("voice").distinct(), "voice", "left_semi").select("book", "voice", "n"),
-    f"with {V.UNITS}, {CASTING}, l as (select u.book, case when c.role is not null then c.voice else n.voice end as voice from units u left join casting c on c.book = u.book and c.role = case when kind = 'narration' then 'narrator' else speaker end left join casting n on n.book = u.book and n.role = 'narrator') select book, voice, count(*) as n from l where voice in (select voice from casting where role <> 'Tamsin') group by 1, 2",
+    "join_valid_voice", lambda s, d: U.valid_voices(U.voice_usage(U.cast_lines(V.book_units(s, d), casting(s, d))), casting(s, d).where("role <> 'Tamsin'")),
+    f"with {V.UNITS}, {CASTING}, {LINES} select book, voice, count(*) as n from lines where voice in (select voice from casting where role <> 'Tamsin') group by 1, 2",
 )
-add("txt_respell", lambda s, d: V.documents(s, d).select("doc_id", X.canonicalize(F.regexp_replace("text", "(?<![\\p{L}\\p{N}_])(?i)the(?![\\p{L}\\p{N}_])", "winned")).alias("out")))
 
 
 def _reply_sql() -> str:

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from parlance.functions import lexicon as L
 from parlance.functions import segments as S
 from parlance.functions import text as X
+from parlance.operators import heteronyms as H
 from parlance.plans import views as V
+from parlance.sources import files as S_
 
 W = X.W
 QUERIES: dict = {}
@@ -76,12 +78,8 @@ scalar(
     f"list_filter(list_transform(string_split({rep(_KEPT, f'([.!?][{chr(34)}{chr(39)}”’»)]*){W}+', chr(92) + '1' + chr(3))}, chr(3)), lambda s: {strip('replace(s, chr(2), chr(46))')}), lambda s: s <> '')",
 )
 scalar("prd_speakable", X.has_word, r"regexp_matches(text, '[\p{L}\p{N}_]')")
-scalar("prd_name_shaped", lambda c: X.name_shaped(F.substring_index(c, " ", 2)), None)
-scalar("prd_is_name", lambda c: X.is_name(F.substring_index(c, " ", 1)), None)
 scalar("name_key", X.name_key, f"trim({rep('lower(text)', chr(91) + '^' + chr(92) + 'p{L}' + chr(92) + 'p{N} ' + chr(93), '')})")
 scalar("snk_filename", lambda c: X.safe_name(c, True), f"coalesce(nullif({rep(rep('text', '[^A-Za-z0-9_-]+', '_'), '^_+|_+$', '')}, ''), 'TV_Voice')")
-scalar("txt_numwords", lambda c: X.num_words(F.length(c) * 37), None)
-scalar("txt_normwords", X.norm_words, None)
 scalar("seg_long", S.split_long, None)
 scalar("seg_halve", S.halve, None)
 _PACK = f"case when {LAST} <> '' and length({LAST}) + length(x) + 1 > 250 then a || chr(30) || x else rtrim(a || ' ' || x) end"
@@ -129,6 +127,21 @@ select doc_id, case when contains(x, '=>') then {strip("left(x, instr(x, '=>') -
 QUERIES["txt_rules_apply"] = lambda spark, sf: V.documents(spark, sf).select("doc_id", X.apply_rules(F.col("text"), RULES).alias("out"))
 
 
+def _rules_sql() -> str:
+    """The rules by hand: whole words twice, since neighbours share the blank between them."""
+    out = rep(rep("text", "(?i)ness[’']s?", "less's"), "(?i)([\"'])ness([\"'])", r"\1less\2")
+    for _ in range(2):
+        out = rep(out, r"(?i)(^|[^\p{L}\p{N}_])ness($|[^\p{L}\p{N}_])", r"\1less\2")
+    out = rep(out, "(?i)tion", "")
+    out = rep(rep(rep(out, "—[’']s?", "-'s"), "([\"'])—([\"'])", r"\1-\2"), "—", "-")
+    for pattern, new in X.TIDY:
+        out = rep(out, pattern, new.replace("$", chr(92)))
+    return strip(out)
+
+
+ORACLES["txt_rules_apply"] = f"select doc_id, {_rules_sql()} as out from documents"
+
+
 def name_parts(spark, sf):
     units = V.book_units(spark, sf).select("book", "speaker").distinct()
     p = X.name_parts(F.col("speaker"))
@@ -163,32 +176,51 @@ _BLOCKED = ", ".join(f"'{b}'" for b in L.BLOCKED)
 ORACLES["prd_blocklist"] = f"with {V.UNITS} select book, id, case when trim(regexp_replace(lower(speaker), '[^a-z0-9 ]', '', 'g')) in ({_BLOCKED}) then 'Unknown' else speaker end as speaker from units"
 
 
-def seg_heteronym(spark, sf):
-    """Every ambiguous word with its place and 40 characters of context on each side."""
-    words = list(L.HETERONYMS)
-    parts = F.regexp_extract_all(F.col("text"), F.lit(r"([\p{L}\p{N}_]+|[^\p{L}\p{N}_]+)"), F.lit(1))
-    ends = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,word:string>>").alias("hits")), lambda a, w: F.struct((a["at"] + F.length(w)).alias("at"), F.when(F.lower(w).isin(words), F.concat(a["hits"], F.array(F.struct(a["at"].alias("start"), w.alias("word"))))).otherwise(a["hits"]).alias("hits")))
-    rows = V.documents(spark, sf).where(F.col("text").rlike("(?i)" + "|".join(words))).select("doc_id", "text", F.posexplode(ends["hits"]).alias("hit_no", "h"))
-    start, stop = F.col("h.start"), F.col("h.start") + F.length("h.word")
-    return rows.select("doc_id", "hit_no", start.alias("start"), stop.alias("end"), F.lower("h.word").alias("word"), F.substring("text", F.greatest(start - 40, F.lit(0)) + 1, stop + 40 - F.greatest(start - 40, F.lit(0))).alias("context"))
+def spelt_alike(spark, sf):
+    """Documents with ambiguous words in place of common ones, in several cases."""
+    text = F.col("text")
+    for old, new in ALIKE:
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return V.documents(spark, sf).select("doc_id", text.alias("text"))
+
+
+ALIKE = ((" the ", " Lead "), (" and ", " wind "), (" und ", " READ "), (" les ", " live "), (" de ", " lives "))
+_AMBIGUOUS = ", ".join(f"'{w}'" for w in L.HETERONYMS)
+_SAYS_OF = "map {" + ", ".join(f"'{w}': [{', '.join(repr(r[2]) for r in readings)}]" for w, readings in L.HETERONYMS.items()) + "}"
+HITS = f"""x as (select doc_id, {replaced('text', ALIKE)} as text from documents),
+p as (select doc_id, text, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+') as ps from x), e as (select doc_id, text, unnest(range(len(ps))) as i, unnest(ps) as w from p),
+c as (select *, (sum(length(w)) over (partition by doc_id order by i) - length(w))::bigint as start, lower(w) in ({_AMBIGUOUS}) as hit from e),
+h as (select *, count(*) filter (where hit) over (partition by doc_id order by i) - 1 as hit_no from c)"""
+QUERIES["seg_heteronym"] = lambda spark, sf: H.heteronym_hits(spelt_alike(spark, sf))
+ORACLES["seg_heteronym"] = f"""with {HITS} select doc_id, hit_no, start, start + length(w) as "end", lower(w) as word,
+  substr(text, greatest(start - 40, 0) + 1, start + length(w) + 40 - greatest(start - 40, 0)) as context, {_SAYS_OF}[lower(w)] as says from h where hit"""
 
 
-QUERIES["seg_heteronym"] = seg_heteronym
+def respelled(spark, sf):
+    """Every second hit respelled, by its readings in turn."""
+    docs = spelt_alike(spark, sf)
+    hits = H.heteronym_hits(docs).where("hit_no % 2 = 0")
+    return H.respell(docs, hits.select("doc_id", "hit_no", F.element_at("says", (F.floor(F.col("hit_no") / 2) % 2 + 1).cast("int")).alias("say")))
+
+
+QUERIES["txt_respell"] = respelled
+ORACLES["txt_respell"] = f"""with {HITS}, s as (select *, case when hit and hit_no % 2 = 0 then {_SAYS_OF}[lower(w)][hit_no // 2 % 2 + 1] end as say from h)
+select doc_id, string_agg(case when say is null then w when length(w) > 1 and w = upper(w) then upper(say) when left(w, 1) <> lower(left(w, 1)) then upper(left(say, 1)) || substr(say, 2) else say end, '' order by i) as text from s group by 1"""
 
 
 def src_dict(spark, sf):
     """The heteronym dictionary joined with how often each word occurs."""
-    rows = [(w, k + 1, ipa, hint, say) for w, r in L.HETERONYMS.items() for k, (ipa, hint, say) in enumerate(r)]
-    readings = spark.createDataFrame(rows, "word string, opt int, ipa string, hint string, say string")
-    seen = V.documents(spark, sf).select(F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    return F.broadcast(readings).join(seen, "word", "left").select("word", "opt", "ipa", "hint", "say", F.coalesce("n", F.lit(0)).alias("n"))
+    readings = S_.heteronyms(spark)
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"), lambda w: w.isin(*L.HETERONYMS))
+    seen = spelt_alike(spark, sf).select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return readings.join(seen, "word", "left").select("word", "opt", "ipa", "hint", "say", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 QUERIES["src_dict"] = src_dict
-_READ = ", ".join(f"('{w}', {k + 1}, '{i}', '{h}', '{s}')" for w, r in L.HETERONYMS.items() for k, (i, h, s) in enumerate(r))
+_READ = ", ".join(f"('{w}', {k + 1}, '{i}', '{h.replace(chr(39), chr(39) * 2)}', '{s}')" for w, r in L.HETERONYMS.items() for k, (i, h, s) in enumerate(r))
 ORACLES["src_dict"] = f"""
-with r(word, opt, ipa, hint, say) as (values {_READ}),
-n as (select w, count(*) as n from (select unnest(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}_]+')) as w from documents) group by 1)
+with r(word, opt, ipa, hint, say) as (values {_READ}), {HITS},
+n as (select lower(w) as w, count(*) as n from h where hit group by 1)
 select word, opt, ipa, hint, say, coalesce(n, 0) as n from r left join n on w = word
 """
 QUERIES["seg_overlap"] = lambda spark, sf: V.documents(spark, sf).select("doc_id", F.explode(S.overlap_plan(F.length("text"), 1000, 200)).alias("c")).select("doc_id", "c.start", "c.size")
@@ -213,9 +245,27 @@ def _number_sql(n: str) -> str:
     return f"case when {n} < 1000 then {to_999(n)} when {n} < 1000000 then {thousands} else {digits} end"
 
 
-ORACLES["txt_numwords"] = f"select doc_id, {_number_sql('n')} as out from (select doc_id, length(text) * 37 as n from documents)"
+_N = "length(line) * (doc_id % 50 + 1) * 37"
+QUERIES["txt_numwords"] = lambda spark, sf: V.doc_lines(spark, sf).select("doc_id", "line_no", X.num_words(F.length("line") * (F.col("doc_id") % 50 + 1) * 37).alias("out"))
+ORACLES["txt_numwords"] = f"with {V.LINES} select doc_id, line_no, {_number_sql('n')} as out from (select doc_id, line_no, {_N} as n from doc_lines)"
+QUERIES["txt_normwords"] = lambda spark, sf: _numbered(spark, sf).select("doc_id", "line_no", X.norm_words(F.col("line")).alias("out"))
+
+
+def _numbered(spark, sf):
+    """Lines with numbers in front of them, some with a thousands comma, some stuck to a word."""
+    n = F.length("line") * (F.col("doc_id") % 50 + 1) * 37
+    return V.doc_lines(spark, sf).withColumn("line", F.concat(n.cast("string"), F.when(F.col("doc_id") % 3 == 0, F.lit(",250x")).otherwise("th "), F.col("line")))
+
+
+_C = rep(rep("lower(line)", "([0-9]),([0-9])", r"\1\2"), "[^a-z0-9'' ]+".replace("''", "'"), " ")
+_C = rep(rep(_C, "([0-9])([a-z])", r"\1 \2"), "([a-z])([0-9])", r"\1 \2")
+ORACLES["txt_normwords"] = f"""with {V.LINES}, x as (select doc_id, line_no, ({_N})::varchar || case when doc_id % 3 = 0 then ',250x' else 'th ' end || line as line from doc_lines),
+c as (select doc_id, line_no, regexp_extract_all({_C}, '[0-9]+|[^0-9]+') as ps from x), e as (select doc_id, line_no, unnest(range(len(ps))) as i, unnest(ps) as w from c),
+n as (select *, try_cast(case when regexp_matches(w, '^[0-9]') then w end as bigint) as n from e)
+select doc_id, line_no, {squeeze(f"string_agg(case when n is null then w else {_number_sql('n')} end, '' order by i)")} as out from n group by 1, 2"""
 _NOT = ", ".join(f"'{w}'" for w in L.NOT_NAMES)
-ORACLES["prd_is_name"] = f"select doc_id, {rep('lower(' + strip('string_split(text, chr(32))[1]') + ')', '^[.]+|[.]+$', '')} not in ({_NOT}) as out from documents"
+QUERIES["prd_is_name"] = lambda spark, sf: V.documents(spark, sf).select("doc_id", F.explode(F.array_distinct(F.split("text", "[ \\n]+"))).alias("name")).select("doc_id", "name", X.is_name(F.col("name")).alias("out"))
+ORACLES["prd_is_name"] = f"select doc_id, name, {rep('lower(' + strip('name') + ')', '^[.]+|[.]+$', '')} not in ({_NOT}) as out from (select distinct doc_id, unnest(string_split_regex(text, '[ \\n]+')) as name from documents)"
 
 
 def _half(parts: str) -> str:

@@ -11,16 +11,22 @@ from parlance.functions import lexicon as L
 DEFAULTS = {"exaggeration": 0.5, "cfg_weight": 0.5, "temperature": 0.75, "candidates": 3}
 
 
+def merge_texts(rows: DataFrame, group: list[str], order: str, text: str = "text") -> DataFrame:
+    """One text for each group: its texts in order, blank lines between them."""
+    listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))
+    return rows.groupBy(*group).agg(F.array_join(F.transform(listed, lambda x: x["t"]), "\n\n").alias(text))
+
+
 def read_texts(spark: SparkSession, paths, merge: bool = False) -> DataFrame:
-    """(path, base, text) of whole text files; merged: one text for each folder, in the order of the paths.
+    """(path, base, text) of whole text files; merged: (path, text), one text for each folder, in the order of the paths.
 
     Merging gathers a folder's texts in one row, as it is asked for; keep folders to what a book is.
     """
-    rows = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("base"), F.col("value").alias("text"))
+    base = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
+    rows = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), base.alias("base"), F.col("value").alias("text"))
     if not merge:
         return rows
-    folder = F.regexp_replace("path", "/[^/]*$", "")
-    return rows.groupBy(folder.alias("path")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
+    return merge_texts(rows.withColumn("folder", F.regexp_replace("path", "/[^/]*$", "")), ["folder"], "path").withColumnRenamed("folder", "path")
 
 
 def read_nlp(spark: SparkSession, path: str, ints: tuple[str, ...]) -> DataFrame:
@@ -29,7 +35,7 @@ def read_nlp(spark: SparkSession, path: str, ints: tuple[str, ...]) -> DataFrame
     return rows.select(*[F.col(c).try_cast("long").alias(c) if c in ints else F.col(c) for c in rows.columns])
 
 
-def speech_agents(chars: DataFrame, verbs) -> DataFrame:
+def speech_agents(chars: DataFrame, verbs=tuple(L.SPEAK_VERBS)) -> DataFrame:
     """Ids of characters one of whose agent verbs is a verb of speech; a broken file gives none (doc_id, json)."""
     parsed = F.from_json("json", "characters array<struct<id:string,agent:array<struct<w:string>>>>")
     each = chars.select("doc_id", F.explode(parsed["characters"]).alias("c"))
@@ -65,9 +71,22 @@ def coerce_settings(settings: Column, defaults: dict = DEFAULTS) -> list[Column]
     return [F.coalesce(F.element_at(settings, k).try_cast("int" if isinstance(v, int) else "double"), F.lit(v)).alias(k) for k, v in defaults.items()]
 
 
-def manifest_row(columns: dict[str, Column], blank: tuple[str, ...] = ("prompt",)) -> Column:
-    """One JSON text of a run's settings: lists joined by |, prompt text left out."""
-    return F.to_json(F.struct(*[(F.lit("") if k in blank else c).alias(k) for k, c in columns.items()]))
+def manifest(runs: DataFrame, blank: tuple[str, ...] = ("prompt",)) -> DataFrame:
+    """Settings of runs, one row each, as they are stored: lists joined by |, prompt text left out, the rest as it is."""
+    joined = lambda f: F.array_join(F.transform(f.name, lambda x: x.cast("string")), "|") if f.dataType.typeName() == "array" else F.col(f.name)
+    return runs.select(*[(F.lit("") if f.name in blank else joined(f)).alias(f.name) for f in runs.schema.fields])
+
+
+def manifest_json(runs: DataFrame, key: str) -> DataFrame:
+    """(key, manifest): the stored settings of each run as one JSON text."""
+    return manifest(runs).select(F.col(key), F.to_json(F.struct("*")).alias("manifest"))
+
+
+def write_manifest(runs: DataFrame, path: str) -> None:
+    """One JSON line and one CSV row, with a header, for each run, below path/json and path/csv."""
+    rows = manifest(runs)
+    rows.write.json(f"{path}/json")
+    rows.write.option("header", True).option("emptyValue", "").csv(f"{path}/csv")
 
 
 def book_key(content: Column) -> Column:

@@ -5,20 +5,30 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows as a table written below the folder of spark.checkpoint.dir.
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new path below the folder of spark.checkpoint.dir, which every executor can read.
 
-    Every executor can read that folder, so the rows outlive a lost executor; the table
-    also tells the optimizer its real size. A folder of our own is set only where the
-    session names none (tests on one machine).
+    Only a session on one machine that names no folder (as in tests) gets a folder of its
+    own; on a cluster that is an error. All paths of an application lie in one folder,
+    which can be removed when it has ended.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    path = f"{sc.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    return f"{sc.getCheckpointDir()}/{kind}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows as a table written below the folder of spark.checkpoint.dir.
+
+    The rows outlive a lost executor, and the table tells the optimizer its real size.
+    """
+    path = scratch(df.sparkSession, "cut")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

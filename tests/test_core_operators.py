@@ -7,8 +7,10 @@ import random
 
 from pyspark.sql import functions as F
 
+from parlance.functions.matching import ratios
 from parlance.operators import attribution as A
 from parlance.operators import cast as C
+from parlance.operators import heteronyms as H
 from parlance.operators import layout as Y
 from parlance.operators import units as U
 from parlance.operators import validate as D
@@ -164,9 +166,63 @@ def test_identities_keep_every_link(spark):
 
 def test_casting_falls_back(spark):
     units = spark.createDataFrame([("b", 0, 1, "narration", "t", "Narrator"), ("b", 1, 1, "dialogue", "t", "Tam"), ("b", 2, 1, "dialogue", "t", "Orrin"), ("b", 3, 1, "dialogue", "t", "Unknown")], "book string, id long, para long, kind string, text string, speaker string")
-    casting = spark.createDataFrame([("b", "narrator", "n", 0.4), ("b", "Tam", "t", None), ("b", "Orrin", None, None)], "book string, role string, voice string, exaggeration double")
-    got = {x["id"]: (x["voice"], x["exaggeration"]) for x in U.cast_lines(units, casting).collect()}
-    assert got == {0: ("n", 0.4), 1: ("t", 0.5), 2: (None, 0.5), 3: ("n", 0.4)}
+    casting = spark.createDataFrame([("b", "narrator", "n", 0.4), ("b", "Tam", "t", None), ("b", "Orrin", None, 0.9), ("b", "Unknown", None, None)], "book string, role string, voice string, exaggeration double")
+    got = {x["id"]: (x["voice"], x["exaggeration"], x["cfg_weight"], x["temperature"], x["seed"]) for x in U.cast_lines(units, casting).collect()}
+    assert got == {0: ("n", 0.4, 0.5, 0.8, None), 1: ("t", 0.5, 0.5, 0.8, None), 2: (None,) * 5, 3: ("n", 0.4, 0.5, 0.8, None)}
+
+
+def test_ratios_equal_the_plain_ones():
+    r, pairs = random.Random(1), []
+    for _ in range(400):
+        a = "".join(r.choice("abcde fghi"[: r.randint(1, 10)]) for _ in range(r.choice([0, 1, 5, 30, 100, 250, 400])))
+        b = list(a)
+        for _ in range(r.randint(0, 8)):
+            b[r.randint(0, len(b)) : r.randint(0, len(b))] = r.choice(["x", "zz", "é", "\U0001f600", ""])
+        pairs.append((a, "".join(b)))
+    for frequent in (True, False):
+        want = [difflib.SequenceMatcher(None, a, b, frequent).ratio() for a, b in pairs]
+        assert ratios([a for a, _ in pairs], [b for _, b in pairs], frequent).tolist() == want
+    assert ratios([], []).tolist() == []
+
+
+def test_speaking_again_until_it_passes(spark):
+    good = {"one two": 0, "three four five six seven.": 2}
+    chunks = spark.createDataFrame([(1, 0, "one two"), (1, 1, "three four five six seven."), (1, 2, "left side of all; the right side of it"), (1, 3, "tiny"), (1, 4, "unsplittable" * 3)], "doc_id long, chunk_idx long, text string")
+
+    def attempt(todo):
+        rows = [(*x, k, 0.5 + 0.1 * (k == 1), good.get(x["text"], 9) <= k) for x in todo.select("doc_id", "chunk_idx", "path", "text").collect() for k in range(4)]
+        return spark.createDataFrame(rows, "doc_id long, chunk_idx long, path string, text string, attempt int, score double, ok boolean")
+
+    got = {(x["chunk_idx"], x["path"]): (x["text"], x["attempt"], x["ok"]) for x in D.speak(chunks, attempt).collect()}
+    assert got == {
+        (0, ""): ("one two", 0, True), (1, ""): ("three four five six seven.", 2, True), (2, "0"): ("left side of all;", 1, False), (2, "1"): ("the right side of it", 1, False),
+        (3, ""): ("tiny", 1, False), (4, ""): ("unsplittable" * 3, 1, False),
+    }
+
+
+def test_respelling(spark):
+    docs = spark.createDataFrame([(1, "Read the LEAD; lead, read. Unread."), (2, None), (3, "nothing here"), (4, "wind")], "doc_id long, text string")
+    hits = {(x["doc_id"], x["hit_no"]): (x["start"], x["end"], x["word"]) for x in H.heteronym_hits(docs).collect()}
+    assert hits == {(1, 0): (0, 4, "read"), (1, 1): (9, 13, "lead"), (1, 2): (15, 19, "lead"), (1, 3): (21, 25, "read"), (4, 0): (0, 4, "wind")}
+    choices = spark.createDataFrame([(1, 0, "red"), (1, 1, "led"), (1, 3, "reed"), (1, 9, "x"), (4, 0, "wined"), (4, 0, "winned"), (5, 0, "x")], "doc_id long, hit_no int, say string")
+    assert {x["doc_id"]: x["text"] for x in H.respell(docs, choices).collect()} == {1: "Red the LED; lead, reed. Unread.", 2: None, 3: "nothing here", 4: "wined"}
+
+
+def test_dataset_rows_are_numbered(spark):
+    rows = [("v", k, 0, d, t, p) for k, (d, t, p) in enumerate([(2000, "a|b ", 0.5), (900, "short", 0.5), (2000, " ", 0.5), (2000, "silent", 0.0), (14500, "last", 0.5)])]
+    got = O.dataset_rows(spark.createDataFrame(rows, "voice string, seq long, s_ms long, e_ms long, text string, peak double"), block=2)
+    assert [(x["utt_id"], x["text"]) for x in got.orderBy("utt_id").collect()] == [("v_0001", "a b"), ("v_0002", "last")]
+    levels = spark.createDataFrame([("v", "reference", -20.0, True), ("v", "a", -30.0, False), ("w", "a", -30.0, False), ("w", "b", -10.0, False), ("x", "reference", None, True), ("x", "a", -5.0, False)], "voice string, clip string, dbfs double, is_reference boolean")
+    assert {x["voice"]: x["dbfs"] for x in O.voice_level(levels).collect()} == {"v": -20.0, "w": -20.0, "x": -5.0}
+
+
+def test_resuming(spark):
+    units = spark.createDataFrame([("b", k, k // 2, "dialogue" if k % 3 else "narration", "t", "S") for k in range(10)], "book string, id long, para long, kind string, text string, speaker string")
+    before = spark.createDataFrame([("b", 1, "Ann", True), ("b", 2, None, True), ("b", 4, "Bo", False)], "book string, id long, speaker string, attr boolean")
+    now = U.carry_over(units, before)
+    assert {x["id"]: x["speaker"] for x in now.where("attr").collect()} == {1: "Ann", 2: "Unknown"}
+    chunks = units.select("book", "para", F.floor(F.col("para") / 2).alias("chunk")).distinct()
+    assert sorted(x["id"] for x in U.pending(now, chunks, 50).collect()) == [4, 5, 7] and sorted(x["id"] for x in U.pending(now, chunks, 1).collect()) == []
 
 
 def test_validation(spark):
