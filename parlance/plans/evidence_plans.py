@@ -43,6 +43,13 @@ def str_gain(spark, sf_dir):
     return finished(C.gain_stream(levels, -20.0))
 
 
+def str_history(spark, sf_dir):
+    path = scratch(spark, "messages")
+    batch = V.messages(spark, sf_dir).withColumn("turn", F.col("turn").cast("long"))
+    batch.write.parquet(path)
+    return finished(C.history_stream(spark.readStream.schema(batch.schema).parquet(path)))
+
+
 def str_files(spark, sf_dir):
     path = scratch(spark, "texts")
     V.documents(spark, sf_dir).select(F.regexp_replace("text", "\n", " ").alias("value")).write.text(path)
@@ -61,7 +68,9 @@ ORACLES["str_gain"] = f"""
 with recursive l as (select user_id as clip, event_id as seq, case when event_id % 7 <> 0 then -30.0::double + event_id % 15 end as dbfs, row_number() over (partition by user_id order by event_id) as rn from events),
 {GAINS} select clip, seq, round(g, 5) as gain from r where rn > 0"""
 QUERIES["str_files"] = str_files
+QUERIES["str_history"] = str_history
 QUERIES["src_nlp_tsv"] = src_nlp_tsv
+ORACLES["str_history"] = f"with {V.MESSAGES} select channel, turn, list(speaker || ': ' || content) over (partition by channel order by turn rows between 23 preceding and current row) as context from messages"
 ORACLES["src_nlp_tsv"] = "select doc_id, unnest(range(len(w))) as token_id, unnest(w) as word from (select doc_id, string_split_regex(text, '[ \\n\\t]+') as w from documents)"
 
 

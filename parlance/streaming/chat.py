@@ -71,16 +71,18 @@ def history(messages: DataFrame, k: int = 24) -> DataFrame:
 
 
 def history_stream(messages: DataFrame, k: int = 24) -> DataFrame:
-    """Streaming: the last k messages of each channel after each batch."""
+    """Streaming: each message (channel, turn, speaker, content) with the last k of its channel as they came, itself included."""
 
     def work(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        old = list(state.get[0]) if state.exists else []
-        rows = sorted((int(t), f"{s}: {c}") for f in frames for t, s, c in zip(f["turn"], f["speaker"], f["content"]))
-        new = (old + [line for _, line in rows])[-k:]
-        state.update((new,))
-        yield pd.DataFrame({"channel": [key[0]], "context": [new]})
+        kept = list(state.get[0]) if state.exists else []
+        out = []
+        for turn, line in sorted((int(t), f"{s}: {c}") for f in frames for t, s, c in zip(f["turn"], f["speaker"], f["content"])):
+            kept = [*kept, line][-k:]
+            out.append((key[0], turn, kept))
+        state.update((kept,))
+        yield pd.DataFrame(out, columns=["channel", "turn", "context"])
 
-    return messages.groupBy("channel").applyInPandasWithState(work, "channel long, context array<string>", "lines array<string>", "update", "NoTimeout")
+    return messages.groupBy("channel").applyInPandasWithState(work, "channel long, turn long, context array<string>", "lines array<string>", "append", "NoTimeout")
 
 
 def reply_sentences(replies: DataFrame, text: str = "content") -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
+import pytest
 from pyspark.sql import functions as F
 
 from parlance.sources import files as S
+from parlance.sources.tables import scratch
 
 
 def test_texts(spark, tmp_path):
@@ -36,3 +40,19 @@ def test_datasets(spark, tmp_path):
     assert lines == ["v_0001|a b|a b"]
     clips = spark.createDataFrame([("u1",)], "utt_id string")
     assert [tuple(r) for r in S.read_dataset(spark.createDataFrame([("u1|x|x",), ("u1",), ("u2|y|y",)], "row string"), clips).collect()] == [("u1", "x")]
+
+
+def test_manifests(spark, tmp_path):
+    runs = spark.createDataFrame([(1, "secret text", ["a.wav", "b.wav"], 0.5, None), (2, None, [], None, "x,y")], "run_id long, prompt string, files array<string>, temperature double, note string")
+    S.write_manifest(runs, str(tmp_path / "out"))
+    rows = spark.read.option("header", True).csv(str(tmp_path / "out" / "csv")).orderBy("run_id").collect()
+    assert [(r["run_id"], r["prompt"], r["files"], r["temperature"], r["note"]) for r in rows] == [("1", None, "a.wav|b.wav", "0.5", None), ("2", None, None, None, "x,y")]
+    lines = {r["run_id"]: r.asDict() for r in spark.read.json(str(tmp_path / "out" / "json")).collect()}
+    assert lines[1] == {"run_id": 1, "prompt": "", "files": "a.wav|b.wav", "temperature": 0.5, "note": None}
+
+
+def test_cut_needs_a_shared_folder():
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://somewhere:7077")
+    session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default: default))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch(session, "cut")
