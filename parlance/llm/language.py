@@ -11,9 +11,9 @@ from parlance.llm.common import portions, utf8
 
 #: Bytes in a window, filter widths, filters of each width, dimensions of a byte.
 WINDOW, WIDTHS, FILTERS, DIM = 256, (2, 3, 4), 16, 8
-#: At most so many labelled documents are fitted on, and windows of each (evenly over the whole text).
-FIT_ROWS, FIT_WINDOWS = 3_000, 4
-PASSES, BATCH, RATE = 4, 64, 0.004
+#: The bound of the fitted sample: at most so many labelled documents, drawn among those of at most so many bytes; all their windows are used.
+FIT_ROWS, FIT_BYTES = 2_000, 1 << 16
+PASSES, BATCH, RATE = 3, 64, 0.004
 #: Windows handled at once inside a task.
 AT_ONCE = 1024
 
@@ -110,29 +110,20 @@ def _windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = FIT_ROWS) -> dict | None:
     """A network learnt from a bounded sample of labelled documents that aren't held out.
 
-    At most `rows` documents (smallest id hashes) with FIT_WINDOWS windows each reach the
-    driver. None where there is nothing to learn from.
+    At most `rows` documents (smallest id hashes) of at most FIT_BYTES bytes reach the
+    driver, whole. Null and empty texts teach nothing; an id that repeats counts once, with
+    its first text and label in order. None where there is nothing to learn from.
     """
-    own = docs.where(F.col(lang).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id)))
-    drawn = own.select(F.col(doc_id).alias("doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).distinct()
-    chosen = own.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).join(F.broadcast(drawn), "doc_id", "left_semi")
-
-    def work(batches):
-        for batch in batches:
-            data, offsets = utf8(batch.column(1))
-            for i in range(batch.num_rows):
-                w, _ = _windows(data[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]]))
-                if len(w):
-                    w = w[np.unique(np.linspace(0, len(w) - 1, FIT_WINDOWS).astype(int))]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(2).slice(i, 1), pa.array([w.tobytes()])], ["doc_id", "lang", "w"])
-
-    kind = docs.schema[doc_id].dataType.simpleString()
-    got = sorted((r["doc_id"], r["lang"], bytes(r["w"])) for r in chosen.select("doc_id", "text", "lang").mapInArrow(work, f"doc_id {kind}, lang string, w binary").collect())
+    own = docs.where(F.col(lang).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id)) & F.octet_length(text).between(1, FIT_BYTES))
+    own = own.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    drawn = own.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    chosen = own.join(F.broadcast(drawn), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("x")).select("doc_id", "x.*")
+    got = sorted((r["doc_id"], r["lang"], r["text"].encode()) for r in chosen.collect())
     if not got:
         return None
     names = sorted({lang for _, lang, _ in got})
-    x = np.concatenate([np.frombuffer(w, np.uint8).reshape(-1, WINDOW) for *_, w in got])
-    y = np.concatenate([np.full(len(w) // WINDOW, names.index(lang)) for _, lang, w in got])
+    x, many = _windows(np.frombuffer(b"".join(t for *_, t in got), np.uint8), np.concatenate([[0], np.cumsum([len(t) for *_, t in got])]))
+    y = np.repeat([names.index(lang) for _, lang, _ in got], many)
     net, rng = Network(len(names)), np.random.default_rng(11)
     for _ in range(max(PASSES, -(-300 * BATCH // len(x)))):
         order = rng.permutation(len(x))

@@ -389,8 +389,19 @@ def to_avi(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     return docs.select(doc_id, text).mapInArrow(work, f"doc_id {kind}, n_bytes long, media binary")
 
 
-def _read(files: list[bytes]) -> list[tuple[bytes, list[tuple[int, int]], int, float]]:
-    """(payload, shots as (first frame, end frame), frames, frames a second) of each file."""
+def _read(files: list[bytes | None]) -> list[tuple[bytes, list[tuple[int, int]], int, float] | None]:
+    """(payload, shots as (first frame, end frame), frames, frames a second) of each file; None for a null or broken one."""
+    some = [f for f in files if f is not None]
+    try:
+        got = iter(_read_all(some) if some else [])
+    except (ValueError, IndexError, KeyError, OverflowError, struct.error):
+        if len(files) == 1:
+            return [None]
+        return [x for f in files for x in _read([f])]  # only the broken ones are lost
+    return [None if f is None else next(got) for f in files]
+
+
+def _read_all(files: list[bytes]) -> list[tuple[bytes, list[tuple[int, int]], int, float]]:
     known: dict[bytes, dict] = {}
     films = [parse_avi(f) for f in files]
     groups: dict[bytes, list[tuple[int, int]]] = {}
@@ -423,7 +434,7 @@ def _each(media: DataFrame, made, schema: str, carried: list[str]) -> DataFrame:
     def work(batches):
         for batch in batches:
             files = batch.column(len(carried)).to_pylist()
-            offsets = np.concatenate([[0], np.cumsum([len(f) for f in files])])
+            offsets = np.concatenate([[0], np.cumsum([len(f or b"") for f in files])])
             for i, j in portions(offsets, 2 * PORTION):
                 yield from made([batch.column(c).slice(i, j - i) for c in range(len(carried))], files[i:j])
 
@@ -431,13 +442,17 @@ def _each(media: DataFrame, made, schema: str, carried: list[str]) -> DataFrame:
 
 
 def clips(media: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """Timed clip rows of AVI files: (doc_id, clip, first_frame, end_frame, start_s, end_s)."""
+    """Timed clip rows of AVI files: (doc_id, clip, first_frame, end_frame, start_s, end_s).
+
+    Null and broken files have no rows; repeated files repeat theirs; other columns than
+    doc_id and media are not read.
+    """
     kind = media.schema[doc_id].dataType.simpleString()
 
     def made(carried, files):
         got = _read(files)
-        of = np.repeat(np.arange(len(files)), [len(x[1]) for x in got])
-        rows = [(k, a, b, a / fps, b / fps) for _, cut, _, fps in got for k, (a, b) in enumerate(cut)]
+        of = np.repeat(np.arange(len(files)), [len(x[1]) if x else 0 for x in got])
+        rows = [(k, a, b, a / fps, b / fps) for _, cut, _, fps in filter(None, got) for k, (a, b) in enumerate(cut)]
         cols = list(zip(*rows)) or [()] * 5
         yield pa.RecordBatch.from_arrays(
             [carried[0].take(pa.array(of)), *(pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64())))],
@@ -448,18 +463,24 @@ def clips(media: DataFrame, doc_id: str = "doc_id") -> DataFrame:
 
 
 def digests(media: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """What is read back from AVI files: payload and file digests, and the clips as text."""
+    """What is read back from AVI files (doc_id, n_bytes, media): payload and file digests, and the clips as text.
+
+    A null or broken file gives nulls, but for the size and digest of the file itself if it
+    is there. Repeated rows give repeated rows.
+    """
     kind = media.schema[doc_id].dataType.simpleString()
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def made(carried, files):
         got = _read(files)
-        feature = [f"frames={n};clips=" + ",".join(f"{a / fps:.2f}-{b / fps:.2f}" for a, b in cut) for _, cut, n, fps in got]
+        feature = [f"frames={x[2]};clips=" + ",".join(f"{a / x[3]:.2f}-{b / x[3]:.2f}" for a, b in x[1]) if x else None for x in got]
+        payload = [x[0] if x else None for x in got]
+        of = lambda f, values, kind: pa.array([None if v is None else f(v) for v in values], kind)
+        sha = lambda v: hashlib.sha256(v).hexdigest()
         yield pa.RecordBatch.from_arrays(
             [
-                *carried, pa.array([len(x[0]) for x in got], pa.int64()), pa.array([hashlib.sha256(x[0]).hexdigest() for x in got]),
-                pa.array([zlib.crc32(x[0][-64:]) for x in got], pa.int64()), pa.array([len(f) for f in files], pa.int64()),
-                pa.array([hashlib.sha256(f).hexdigest() for f in files]), pa.array(feature),
+                *carried, of(len, payload, pa.int64()), of(sha, payload, pa.string()), of(lambda v: zlib.crc32(v[-64:]), payload, pa.int64()),
+                of(len, files, pa.int64()), of(sha, files, pa.string()), pa.array(feature, pa.string()),
             ],
             names,
         )

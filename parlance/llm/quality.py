@@ -81,21 +81,23 @@ def score_quality(docs: DataFrame, text: str = "text", thresholds=THRESHOLDS, ou
     words and fails the base rule. Repeated rows are measured alike, other columns pass
     through; a column of that name is replaced.
     """
-    m = F.col("__m")
-    n = F.greatest(m["n_words"], F.lit(1))
-    ratio = {
-        "mean_word_chars": m["word_chars"] / n,
-        "symbol_ratio": m["n_symbols"] / n,
-        "stop_word_ratio": (m["n_stop_words"] + 1) / n,  # a word more, so that a short text without one passes
-        "dup_line_ratio": m["lines"]["dup"] / F.greatest(m["lines"]["all"], F.lit(1)),
-    }
-    good = F.lit(True)
-    for name, least, most in thresholds:
-        good = good & (ratio[name] >= least if least is not None else F.lit(True)) & (ratio[name] <= most if most is not None else F.lit(True))
-    failed = (m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"])
-    made = F.struct(
-        m["n_words"].alias("n_words"), m["word_chars"].alias("word_chars"), m["n_symbols"].alias("n_symbols"),
-        m["lines"]["dup"].alias("n_dup_lines"), m["n_repeat_words"].alias("n_repeat_words"), m["n_stop_words"].alias("n_stop_words"),
-        *[v.alias(k) for k, v in ratio.items()], failed.alias("base_failed"), (~failed & good).alias("kept"),
-    )
-    return docs.withColumn("__m", measures(F.col(text))).withColumn(out, made).drop("__m")
+
+    def of(m: Column) -> Column:
+        n = F.greatest(m["n_words"], F.lit(1))
+        ratio = {
+            "mean_word_chars": m["word_chars"] / n,
+            "symbol_ratio": m["n_symbols"] / n,
+            "stop_word_ratio": (m["n_stop_words"] + 1) / n,  # a word more, so that a short text without one passes
+            "dup_line_ratio": m["lines"]["dup"] / F.greatest(m["lines"]["all"], F.lit(1)),
+        }
+        good = F.lit(True)
+        for name, least, most in thresholds:
+            good = good & (ratio[name] >= least if least is not None else F.lit(True)) & (ratio[name] <= most if most is not None else F.lit(True))
+        failed = (m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"])
+        return F.struct(
+            m["n_words"].alias("n_words"), m["word_chars"].alias("word_chars"), m["n_symbols"].alias("n_symbols"),
+            m["lines"]["dup"].alias("n_dup_lines"), m["n_repeat_words"].alias("n_repeat_words"), m["n_stop_words"].alias("n_stop_words"),
+            *[v.alias(k) for k, v in ratio.items()], failed.alias("base_failed"), (~failed & good).alias("kept"),
+        )
+
+    return docs.withColumn(out, let(measures(F.col(text)), of))

@@ -91,7 +91,8 @@ def histogram_shards(rows: DataFrame, key: Column, size: Column, n_shards: int =
     (at most 4,096 bins, and so many for each open splitter) reach the driver. Ranks come
     from a window over small ranges plus offsets, so no shard is gathered in one task: a
     range with many rows is dealt further by row number. Null sizes count 0; null keys
-    form one group; an empty table gives an empty result.
+    form one group; repeated rows each get a slot; an empty table gives an empty result.
+    Other columns pass through; columns named `shard` or `slot` are replaced.
     """
     base = cut(rows.withColumns({"__h": F.xxhash64(key), "__size": F.coalesce(size, F.lit(0)).cast("long"), "__row": F.monotonically_increasing_id()}))
     shift = 64 - ROUND_BITS[0]

@@ -84,15 +84,18 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """A model learnt from a bounded sample of labelled documents that aren't held out.
 
     `rows` bounds the sample: ids are drawn from the labels by their hash, so only so many
-    ids are broadcast and so many rows of feature indices reach the driver. Without
-    labelled rows the model scores 0 everywhere.
+    ids are broadcast and so many rows of feature indices reach the driver. Null texts count
+    as empty; an id that repeats counts once, with its first text in order and its highest
+    label. Without labelled rows the model scores 0 everywhere.
     """
     drawn = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(rows)
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     )
-    chosen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(drawn), "doc_id")
+    chosen = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id")
+    chosen = chosen.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    kind = chosen.schema["doc_id"].dataType.simpleString()
 
     def work(batches):
         known = _Words()
@@ -101,7 +104,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
                 x = np.unique(features((batch.column(1)[i].as_py() or "").encode(), known))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(2).slice(i, 1).cast(pa.int32()), pa.array([x.tobytes()])], ["doc_id", "toxic", "x"])
 
-    found = cut(chosen.select("doc_id", "text", "toxic").mapInArrow(work, "doc_id long, toxic int, x binary"))
+    found = cut(chosen.select("doc_id", "text", "toxic").mapInArrow(work, f"doc_id {kind}, toxic int, x binary"))
     # read row by row, so that the driver holds the sample once
     examples = sorted(((r["doc_id"], r["toxic"], np.frombuffer(bytes(r["x"]), np.int32)) for r in found.toLocalIterator()), key=lambda e: (e[0], e[1], len(e[2])))
     if not examples:

@@ -49,6 +49,38 @@ def test_avi_shots_and_clips(spark):
         media.parse_avi(b"RIFF....WAVE")
 
 
+def test_broken_media_lose_nothing_else(spark):
+    film = media.to_avi(H.table(spark, [(1, "text of a film"), (2, None)])).collect()
+    rows = [(1, 14, film[0]["media"]), (2, 0, None), (3, 5, bytearray(b"RIFF....")), (4, 5, bytearray(film[0]["media"][:300])), (5, 0, film[1]["media"]), (6, 0, bytearray(b""))]
+    df = spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary").coalesce(1)
+    got = {r["doc_id"]: r for r in media.digests(df).collect()}
+    assert got[1]["payload_sha256"] == hashlib.sha256(b"text of a film" + bytes(50)).hexdigest() and got[5]["payload_bytes"] == 64
+    assert all(got[k]["payload_sha256"] is None and got[k]["feature"] is None for k in (2, 3, 4, 6)) and got[2]["media_bytes"] is None and got[3]["media_bytes"] == 8
+    assert {r["doc_id"] for r in media.clips(df).collect()} == {1, 5}
+    assert media.digests(media.to_avi(H.table(spark, []))).count() == media.clips(media.to_avi(H.table(spark, []))).count() == 0
+
+
+def test_shots_equal_the_plain_rule():
+    r = np.random.default_rng(3)
+    images, owner = [], []
+    for film in range(6):
+        level = 60
+        for _ in range(r.integers(1, 40)):
+            level = int(r.integers(0, 200)) if r.random() < 0.15 else level
+            images.append(np.clip(r.normal(level, 12, (8, 16)), 0, 255).astype(np.uint8))
+            owner.append(film)
+    want = []
+    for k, image in enumerate(images):
+        own = [j for j in range(k + 1) if owner[j] == owner[k]]
+        bins = [[int((images[j] >> 4 == b).sum()) / 128 for b in range(media.BINS)] for j in own]
+        diff = [round(sum(abs(x - y) for x, y in zip(bins[j], bins[j - 1])) / 2, 9) for j in range(1, len(own))]
+        back = diff[:-1][-media.BACK :] if diff else []
+        mean = sum(back) / len(back) if back else 0.0
+        spread = max(sum(d * d for d in back) / len(back) - mean * mean, 0) ** 0.5 if back else 0.0
+        want.append(not diff or bool(back) and diff[-1] >= media.FLOOR and diff[-1] > mean + media.SIGMAS * spread)
+    assert media.shots(np.stack(images), np.array(owner)).tolist() == want
+
+
 def test_near_duplicates(spark):
     rows = H.cases()
     got = minhash.near_duplicates(H.table(spark, rows)).collect()
@@ -142,6 +174,38 @@ def test_language(spark):
     assert language.train(docs.limit(0)) is None and language.identify(docs, None).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_of_repeated_rows_and_no_rows(spark):
+    docs = spark.createDataFrame([(1, "das haus", "de")] * 50 + [(2, "the house", "en"), (3, "la casa", "es"), (4, "x" * 70_000, "zz"), (6, None, "de")], "doc_id long, text string, lang string")
+    model = language.train(docs)
+    assert set(model["names"]) <= {"de", "en", "es"}
+    assert language.identify(docs, model).count() == 54 and language.identify(docs.limit(0), model).count() == 0
+
+
+def test_language_gradients():
+    """One training step moves every weight as the numeric gradient of the loss says."""
+    net = language.Network(3, 1)
+    r = np.random.default_rng(2)
+    x, y = r.integers(1, 256, (4, language.WINDOW)), np.array([0, 1, 2, 1])
+    p0 = {k: v.astype(np.float64) for k, v in net.p.items()}
+
+    def loss(p):
+        pooled = []
+        for k in language.WIDTHS:
+            z = np.stack([p["e"][x][:, i : i + k].reshape(4, -1) @ p[f"w{k}"] + p[f"b{k}"] for i in range(language.WINDOW - k + 1)], 1)
+            pooled.append(np.maximum(z.max(1), 0))
+        logits = np.concatenate(pooled, 1) @ p["v"] + p["c"]
+        return float(np.mean(np.log(np.exp(logits).sum(1)) - logits[np.arange(4), y]))
+
+    net.step(x, y)
+    for name in ("v", "c", "w2", "b3", "w4", "e"):
+        slope = net.m[name][0].ravel() / 0.1  # Adam's first moment after one step
+        for at in np.argsort(-np.abs(slope))[:3]:
+            up, down = ({k: v.copy() for k, v in p0.items()} for _ in range(2))
+            up[name].ravel()[at] += 1e-5
+            down[name].ravel()[at] -= 1e-5
+            assert abs((loss(up) - loss(down)) / 2e-5 - slope[at]) < 1e-3 * max(1, abs(slope[at]))
+
+
 def test_language_tables_equal_the_convolution():
     net = language.Network(3)
     x = np.random.default_rng(1).integers(0, 256, (5, language.WINDOW)).astype(np.uint8)
@@ -279,6 +343,50 @@ def test_toxicity(spark):
     assert toxicity.drop_toxic(docs, labels.limit(0)).count() == len(rows)
 
 
+def test_ftrl_equals_the_plain_update():
+    """Weight by weight, in the order of the passes."""
+    r = random.Random(4)
+    data = [(np.unique(np.array([r.randint(0, 40) for _ in range(12)], np.int32)), r.randint(0, 1)) for _ in range(120)]
+    often = {f: sum(f in x for x, _ in data) for f in range(41)}
+    z, n = {}, {}
+
+    def weight(f):
+        shrunk = max(abs(z.get(f, 0.0)) - toxicity.L1, 0.0) * (1 if z.get(f, 0.0) > 0 else -1)
+        return -shrunk / ((toxicity.BETA + n.get(f, 0.0) ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    order = np.random.default_rng(7)
+    for _ in range(toxicity.PASSES):
+        for k in order.permutation(len(data)):
+            x, label = data[k]
+            x = [f for f in x.tolist() if often[f] >= toxicity.LEAST_DOCS] + ["bias"]
+            w = {f: weight(f) for f in x}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - label
+            for f in x:
+                old = n.get(f, 0.0)
+                n[f] = old + g * g
+                z[f] = z.get(f, 0.0) + g - (n[f] ** 0.5 - old**0.5) / toxicity.ALPHA * w[f]
+    some, values, bias = toxicity.fit(list(data))
+    assert abs(bias - weight("bias")) < 1e-9 and some.tolist() == [f for f in range(41) if weight(f) != 0]
+    assert np.allclose(values, [weight(f) for f in some.tolist()], atol=1e-6)
+
+
+def test_toxicity_of_repeated_rows_and_other_ids(spark):
+    rows = [(f"d{k % 200}", H.words(40, k % 200) + (" vile brute" if k % 2 else "")) for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    labels = spark.createDataFrame([(f"d{k}", k % 2) for k in range(200)], "doc_id string, toxic int")
+    got = toxicity.score_toxicity(docs, toxicity.train(docs, labels)).collect()
+    assert len(got) == 600 and sum((r["toxic_score"] >= toxicity.TOXIC) == ("vile" in r["text"]) for r in got) >= 590
+    assert toxicity.score_toxicity(docs.limit(0), toxicity.train(docs, labels)).count() == 0
+
+
+def test_quality_and_shards_keep_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b c", 5, "own", "q")], "doc_id long, text string, __m long, shard string, quality string")
+    row = quality.score_quality(docs).first()
+    assert row["__m"] == 5 and row["shard"] == "own" and row["quality"]["n_words"] == 3
+    placed = sharding.histogram_shards(docs, F.col("text"), F.lit(3))
+    assert sorted(placed.columns) == ["__m", "doc_id", "quality", "shard", "slot", "text"] and placed.first()["slot"] == 0 and placed.first()["__m"] == 5
+
+
 @pytest.mark.parametrize("common", [50_000, 2])
 def test_suffix_dedup(spark, monkeypatch, common):
     monkeypatch.setattr(suffixes, "LEAST_BATCH", 4096)
