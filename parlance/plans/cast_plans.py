@@ -60,33 +60,38 @@ o as (select q.book, q.id as q, u.id, least(u.e, q.e - 5) - greatest(u.s, q.s -
 select book, q, id as unit_id from (select *, row_number() over (partition by book, q order by ov desc, id) as r from o where ov > 0) where r = 1""",
 )
 
-def cast(s, d):
-    return U.cast_counts(units(s, d))
+def over(name: str, fn, sql: str | None = None) -> None:
+    """A query over the units, which are written once and read by all of its parts."""
+    add(name, lambda s, d: fn(cut(units(s, d))), sql)
 
 
-def _grams(s, d):
+def cast(u):
+    return U.cast_counts(u)
+
+
+def _grams(u):
     """Two-word names where every speaker is said to speak, and where the Vales are told of."""
     told = F.when(F.col("id") % 3 == 0, F.concat(F.lit(" Tam Vale "), F.col("text"))).otherwise(F.col("text"))
-    return U.name_bigrams(units(s, d).withColumn("text", F.concat(F.col("speaker"), F.lit(" said."), told)))
+    return U.name_bigrams(u.withColumn("text", F.concat(F.col("speaker"), F.lit(" said."), told)))
 
 
-def pairs(s, d):
-    return C.name_pairs(cast(s, d), _grams(s, d))
+def pairs(u):
+    return C.name_pairs(cast(u), _grams(u))
 
 
-def told(s, d):
+def told(u):
     """Units with narration that names Tamsin here and there."""
     text = F.when((F.col("kind") == "narration") & (F.col("id") % 5 == 0), F.concat(F.lit("Then Tamsin spoke. "), F.col("text"))).otherwise(F.col("text"))
-    return units(s, d).withColumn("text", text)
+    return u.withColumn("text", text)
 
 
-def _short(s, d):
+def _short(u):
     """(book, alias, name): short forms and what they may stand for."""
-    return pairs(s, d).where("rule = 'nick'").select("book", F.when(F.length("a") < F.length("b"), F.col("a")).otherwise(F.col("b")).alias("alias"), F.when(F.length("a") < F.length("b"), F.col("b")).otherwise(F.col("a")).alias("name"))
+    return pairs(u).where("rule = 'nick'").select("book", F.when(F.length("a") < F.length("b"), F.col("a")).otherwise(F.col("b")).alias("alias"), F.when(F.length("a") < F.length("b"), F.col("b")).otherwise(F.col("a")).alias("name"))
 
 
-def support(s, d):
-    return U.narration_support(U.near_narration(told(s, d), _short(s, d)), cast(s, d), small=10**6)
+def support(u):
+    return U.narration_support(U.near_narration(told(u), _short(u)), cast(u), small=10**6)
 
 
 _TITLES = "[" + ", ".join(f"'{t}'" for t in L.TITLES) + "]"
@@ -117,91 +122,91 @@ near as (select distinct s.book, s.alias, s.name, a.id from short s join told a
 support as (select n.book, n.alias, n.name, count(*) as n from near n join c x on x.book = n.book and x.name = n.alias join c y on y.book = n.book and y.name = n.name
   where y.lines > x.lines and lower(left(n.alias, 1)) = lower(left(n.name, 1)) group by n.book, n.alias, n.name, x.lines having count(*) >= 2 and count(*) >= 0.15 * x.lines),
 ev as (select book, a, b, list_sort(list_distinct(list(rule))) as rules from (select book, a, b, rule from pairs union all select book, least(alias, name), greatest(alias, name), 'narration' from support) group by 1, 2, 3)"""
-add("join_blocked_pairs", pairs, f"with {CAST} select * from pairs")
+over("join_blocked_pairs", pairs, f"with {CAST} select * from pairs")
 
 
-def evidence(s, d):
-    told_of = support(s, d).select("book", F.col("alias").alias("a"), F.col("name").alias("b"), F.lit("narration").alias("rule"))
-    return C.evidence(pairs(s, d), told_of)
+def evidence(u):
+    told_of = support(u).select("book", F.col("alias").alias("a"), F.col("name").alias("b"), F.lit("narration").alias("rule"))
+    return C.evidence(pairs(u), told_of)
 
 
-add("set_evidence", evidence, f"with {CAST} select * from ev")
+over("set_evidence", evidence, f"with {CAST} select * from ev")
 
 
-def _apart(s, d):
+def _apart(u):
     """Pairs that are known to differ."""
-    return pairs(s, d).where("a = 'Old Orrin' or b = 'Old Orrin'").select("book", "a", "b")
+    return pairs(u).where("a = 'Old Orrin' or b = 'Old Orrin'").select("book", "a", "b")
 
 
-def _told_later(s, d):
+def _told_later(u):
     """Reveals: Captain Vale turns out to be Tamsin Vale."""
-    first = units(s, d).groupBy("book").agg(F.min("para").alias("at"))
+    first = u.groupBy("book").agg(F.min("para").alias("at"))
     return first.select("book", F.lit("Captain Vale").alias("alias"), F.lit("Tamsin Vale").alias("real"), "at", F.lit(1).alias("seq"))
 
 
-add(
-    "cast_pair_filter", lambda s, d: C.askable_pairs(evidence(s, d), cast(s, d), _apart(s, d), C.reveal_pairs(_told_later(s, d)), main=40, few=20).select("book", "a", "b", "rules"),
+over(
+    "cast_pair_filter", lambda u: C.askable_pairs(evidence(u), cast(u), _apart(u), C.reveal_pairs(_told_later(u)), main=40, few=20).select("book", "a", "b", "rules"),
     f"""with {CAST}, n as (select ev.*, x.lines as al, y.lines as bl, p.last as al_last, q.last as bl_last from ev join c x on x.book = ev.book and x.name = a join c y on y.book = ev.book and y.name = b
   left join parts p on p.book = ev.book and p.name = a left join parts q on q.book = ev.book and q.name = b)
 select book, a, b, rules from n where not (al >= 40 and bl >= 40) and not (least(al, bl) <= 20 and case when al < bl then al_last else bl_last end is not null and not list_contains(rules, 'bigram'))
   and 'Old Orrin' not in (a, b) and not (a = 'Captain Vale' and b = 'Tamsin Vale')""",
 )
-_said = lambda s, d: pairs(s, d).where("rule = 'nick'").select("book", "a", "b", F.lit("same").alias("verdict"))
-add(
-    "cast_verdict", lambda s, d: C.apply_verdicts(pairs(s, d).select("book", "a", "b"), _said(s, d)),
+_said = lambda u: pairs(u).where("rule = 'nick'").select("book", "a", "b", F.lit("same").alias("verdict"))
+over(
+    "cast_verdict", lambda u: C.apply_verdicts(pairs(u).select("book", "a", "b"), _said(u)),
     f"with {CAST} select book, a, b, case when rule = 'nick' then 'same' else 'different' end as verdict from pairs",
 )
-add(
-    "cast_fallback", lambda s, d: C.nickname_merges(cast(s, d).join(U.first_seen(units(s, d)), ["book", "name"]), support(s, d), _apart(s, d), small=10**6),
+over(
+    "cast_fallback", lambda u: C.nickname_merges(cast(u).join(U.first_seen(u), ["book", "name"]), support(u), _apart(u), small=10**6),
     f"""with {CAST} select s.book, s.alias, arg_min(s.name, (y.first, s.name)) as name from support s join parts x on x.book = s.book and x.name = s.alias join parts y on y.book = s.book and y.name = s.name
 where x.single is not null and y.single is not null and y.lines > x.lines and {_nick('x.single', 'y.single')} and 'Old Orrin' not in (s.alias, s.name) group by 1, 2""",
 )
 
 
-def _joined(s, d):
-    same = pairs(s, d).where("rule in ('nick', 'bigram')").select("book", "a", "b", F.lit(1).alias("seq"))
-    return C.components(cast(s, d), same, _apart(s, d), established=10**6)
+def _joined(u):
+    same = pairs(u).where("rule in ('nick', 'bigram')").select("book", "a", "b", F.lit(1).alias("seq"))
+    return C.components(cast(u), same, _apart(u), established=10**6)
 
 
-add("cast_components", _joined)
+over("cast_components", _joined)
 _GROUPS = """ways as (select book, a, b from pairs where rule in ('nick', 'bigram') and 'Old Orrin' not in (a, b)),
 e as (select book, a, b from ways union select book, b, a from ways union select book, name, name from c),
 reach(book, a, b) as (select book, a, b from e union select r.book, r.a, e.b from reach r join e on e.book = r.book and e.a = r.b),
 grp as (select r.book, r.a as name, arg_max(r.b, (c.lines, r.b)) as grp from reach r join c on c.book = r.book and c.name = r.b group by 1, 2)"""
 ORACLES["cast_components"] = f'with recursive {CAST}, {_GROUPS} select book, name, grp as "group" from grp'
-add(
-    "cast_canonical", lambda s, d: C.canonical_names(_joined(s, d), cast(s, d), _grams(s, d), main=10**6),
+over(
+    "cast_canonical", lambda u: C.canonical_names(_joined(u), cast(u), _grams(u), main=10**6),
     f"""with recursive {CAST}, {_GROUPS}, m as (select g.book, g.grp, p.name, p.lines, p.single from grp g join c using (book, name) left join parts p on p.book = g.book and p.name = g.name),
 big as (select g.book, g.grp, arg_max(c.name, (c.lines, c.name)) as big from grp g join c using (book, name) group by 1, 2),
 full_ as (select m.book, m.grp, arg_max(surface, (n, surface)) as f from m join grams on grams.book = m.book and grams.first = m.single where n >= 5 group by 1, 2)
 select big.book, big.grp as "group", coalesce(f, big) as name from big left join full_ using (book, grp)""",
 )
-_next = lambda s, d: units(s, d).where("id % 210 < 203").select("book", F.concat(F.lit("N"), F.col("id").cast("string")).alias("alias"), F.concat(F.lit("N"), (F.col("id") + 7).cast("string")).alias("name"))
-add(
-    "cast_merge_chain", lambda s, d: C.resolve_aliases(_next(s, d)),
+_next = lambda u: u.where("id % 210 < 203").select("book", F.concat(F.lit("N"), F.col("id").cast("string")).alias("alias"), F.concat(F.lit("N"), (F.col("id") + 7).cast("string")).alias("name"))
+over(
+    "cast_merge_chain", lambda u: C.resolve_aliases(_next(u)),
     f"""with recursive {V.UNITS}, l as (select book, id, id + 7 as nxt from units where id % 210 < 203),
 r as (select book, id, nxt from l union all select r.book, r.id, l.nxt from r join l on l.book = r.book and l.id = r.nxt)
 select book, 'N' || id as alias, 'N' || max(nxt) as final from r group by book, id""",
 )
-_links = lambda s, d: pairs(s, d).where("rule in ('nick', 'bigram')").select("book", F.col("a"), F.col("b"), F.lit(0).alias("seq"))
-add("cast_identity", lambda s, d: C.identities(_links(s, d)))
+_links = lambda u: pairs(u).where("rule in ('nick', 'bigram')").select("book", F.col("a"), F.col("b"), F.lit(0).alias("seq"))
+over("cast_identity", lambda u: C.identities(_links(u)))
 
 
-def _moves(s, d):
+def _moves(u):
     name = F.when(F.col("id") % 3 == 0, "Orrin").when(F.col("id") % 3 == 1, "Nobody Known").when(F.col("id") % 2 == 0, "Unknown").otherwise("keep")
-    return U.dialogue(units(s, d)).select("book", "id", name.alias("name"))
+    return U.dialogue(u).select("book", "id", name.alias("name"))
 
 
-add(
-    "cast_reassign", lambda s, d: C.reassign(units(s, d), _moves(s, d), cast(s, d), radius=3),
+over(
+    "cast_reassign", lambda u: C.reassign(u, _moves(u), cast(u), radius=3),
     f"""with {V.UNITS}, o as (select distinct m.book, m.id from units m join units u on u.book = m.book and u.id between m.id - 3 and m.id + 3 and (u.speaker = 'Orrin' or list_contains(string_split_regex(u.text, '[^\\p{{L}}\\p{{N}}_]+'), 'Orrin')))
 select u.book, u.id, case when kind = 'dialogue' and u.id % 3 = 0 and o.id is not null then 'Orrin' when kind = 'dialogue' and u.id % 6 = 2 then 'Unknown' else speaker end as speaker from units u left join o on o.book = u.book and o.id = u.id""",
 )
-add(
-    "set_suspects", lambda s, d: C.suspects(cast(s, d), pairs(s, d), cast(s, d).where("name = 'Tamsin'"), few=10**6),
+over(
+    "set_suspects", lambda u: C.suspects(cast(u), pairs(u), cast(u).where("name = 'Tamsin'"), few=10**6),
     f"with {CAST} select c.book, c.name, c.lines from c join parts p using (book, name) where p.last is not null and c.name <> 'Tamsin' and exists (select 1 from pairs x where x.book = c.book and c.name in (x.a, x.b))",
 )
-add("cast_prompts", lambda s, d: C.briefings(cut(evidence(s, d)), cut(told(s, d)), cut(cast(s, d))))
+over("cast_prompts", lambda u: C.briefings(cut(evidence(u)), cut(told(u)), cut(cast(u))))
 
 candidates = V.candidates
 add(
@@ -239,8 +244,8 @@ add(
     "udf_transcribe", lambda s, d: D.with_transcripts(candidates(s, d).select("doc_id", "chunk_idx", "cand_idx", "target"), _heard(s, d)),
     f"with {V.CANDIDATES} select doc_id, chunk_idx, cand_idx, target, case when cand_idx < 2 then transcript else '' end as transcript from candidates",
 )
-_judged = lambda s, d: pairs(s, d).where("rule <> 'surname'").select("book", "a", "b", F.when(F.col("rule") == "bigram", "different").otherwise("same").alias("verdict"))
-add(
-    "udf_adjudicate", lambda s, d: C.apply_verdicts(pairs(s, d).select("book", "a", "b"), _judged(s, d)),
+_judged = lambda u: pairs(u).where("rule <> 'surname'").select("book", "a", "b", F.when(F.col("rule") == "bigram", "different").otherwise("same").alias("verdict"))
+over(
+    "udf_adjudicate", lambda u: C.apply_verdicts(pairs(u).select("book", "a", "b"), _judged(u)),
     f"with {CAST} select book, a, b, case when rule in ('title', 'nick') then 'same' else 'different' end as verdict from pairs",
 )
