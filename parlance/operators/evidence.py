@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from parlance.functions import text as X
 from parlance.operators.ordered import running_total
 from parlance.operators.units import _beside, dialogue, near_narration
+from parlance.sources.tables import cut
 
 #: Units from another entry's lines within which a line is not far from them.
 FAR = 20
@@ -29,7 +30,7 @@ def evidence_lines(units: DataFrame, pairs: DataFrame, k: int, spread: bool = Fa
         close = _beside(own.select(*key, "id"), lines.select("book", F.col("name").alias("other"), F.col("id").alias("at")), ["book", "other"], FAR)
         marked = own.join(close.withColumn("__close", F.lit(True)), [*key, "id"], "left").withColumn("__close", F.coalesce("__close", F.lit(False)))
         some = marked.where("not __close").select(*key).distinct().withColumn("__some", F.lit(True))
-        own = marked.join(some, key, "left").where("not __close or __some is null").drop("__close", "__some")
+        own = cut(marked.join(some, key, "left").where("not __close or __some is null").drop("__close", "__some"))
     strong = near_narration(units, pairs.select("book", F.col("name").alias("alias"), F.col("other").alias("name"))).select("book", F.col("alias").alias("name"), F.col("name").alias("other"), "id").withColumn("__strong", F.lit(True))
     placed = running_total(own, key, "id", "id", F.lit(1), "__pos").join(own.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")), key).join(strong, [*key, "id"], "left")
     prio = F.when(F.col("__strong"), 0).when(X.mentions(F.col("text"), X.mention_token(F.col("other"))), 1)

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parlance.sources.tables import cut
+
 #: Positions in a block.
 BLOCK = 4096
 
@@ -29,6 +31,21 @@ def running_total(df: DataFrame, group: list[str], major: str, minor: str, value
     return placed.withColumn(out, F.col("__rt_o") + F.col("__rt_m") + F.col("__rt_w")).drop("__rt_v", "__rt_b", "__rt_o", "__rt_m", "__rt_w")
 
 
+def total_in_order(df: DataFrame, group: list[str], order: Sequence[Column], value: Column, out: str) -> DataFrame:
+    """df with `out`: the sum of `value` over earlier rows of the group in any order (sort columns), the row itself excluded.
+
+    Rows are dealt into ranges of (group, order) and written once; sums run inside a range,
+    and a range gets the sums of those before it. So a group spreads over as many tasks as
+    it has ranges, and only sums of ranges are brought together. Null values count 0.
+    """
+    ranged = df.withColumn("__to_v", F.coalesce(value, F.lit(0))).repartitionByRange(*[F.col(g) for g in group], *order)
+    ranged = cut(ranged.withColumn("__to_p", F.spark_partition_id()))
+    up_to = lambda v, part, by: F.coalesce(F.sum(v).over(Window.partitionBy(*part).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = ranged.groupBy(*group, "__to_p").agg(F.sum("__to_v").alias("__to_s")).withColumn("__to_b", up_to("__to_s", group, ["__to_p"])).drop("__to_s")
+    own = ranged.withColumn("__to_o", up_to("__to_v", [*group, "__to_p"], order))
+    return own.join(sums, [*group, "__to_p"]).withColumn(out, F.col("__to_o") + F.col("__to_b")).drop("__to_v", "__to_p", "__to_o", "__to_b")
+
+
 def with_neighbours(df: DataFrame, group: list[str], position: str, reach: int, add, block: int = BLOCK) -> DataFrame:
     """add(df, partition) where windows over `partition` see `reach` positions on each side.
 

@@ -221,19 +221,31 @@ def in_scene(moves: DataFrame, units: DataFrame, radius: int = 25) -> DataFrame:
     return _beside(moves, spoken.unionByName(told), ["book", "name"], radius)
 
 
+#: Kinds of keys that find a part in a text: an inner word, the start of a second word, the start of a single one.
+_KINDS = ("w", "p", "g")
+
+
 def _needle(c: Column) -> Column:
-    """A key that every text with this part has: its longest inner word, or else its first characters."""
+    """(kind, key) that every text with this part has: its longest inner word, or else the first letters of its last word."""
     words = F.split(c, " ")
     inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
-    return F.coalesce(F.concat(F.lit("w:"), longest["w"]), F.concat(F.lit("g:"), F.substring(c, 1, 4)))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    start = F.substring(F.element_at(words, -1), 1, 3)
+    kind = F.when(longest.isNotNull(), "w").when(F.size(words) == 2, "p").otherwise("g")
+    return F.struct(kind.alias("kind"), F.coalesce(longest, start).alias("key"))
+
+
+def _keys(c: Column, kinds: Column) -> Column:
+    """All (kind, key) of these kinds that a part of this text can have."""
+    words = F.array_distinct(F.split(c, " "))
+    starts = F.flatten(F.transform(words, lambda w: F.array(*[F.substring(w, 1, n) for n in (1, 2, 3)])))
+    grams = F.flatten(F.transform(words, lambda w: F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.array(*[F.substring(w, i, F.lit(n)) for n in (1, 2, 3)])))))
+    none = F.array().cast("array<struct<kind:string,key:string>>")
 
+    def marked(kind: str, keys: Column) -> Column:
+        return F.when(F.array_contains(kinds, kind), F.transform(F.array_distinct(keys), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("key")))).otherwise(none)
 
-def _keys(c: Column) -> Column:
-    """All keys that a part of this text can have."""
-    at = F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1)))
-    grams = F.flatten(F.transform(at, lambda i: F.array(*[F.concat(F.lit("g:"), F.substring(c, i, F.lit(n))) for n in (1, 2, 3, 4)])))
-    return F.array_distinct(F.concat(F.transform(F.split(c, " "), lambda w: F.concat(F.lit("w:"), w)), grams))
+    return F.concat(*[marked(kind, keys) for kind, keys in zip(_KINDS, (words, starts, grams))])
 
 
 def locate(selections: DataFrame, units: DataFrame, head: int = 60) -> DataFrame:
@@ -242,18 +254,20 @@ def locate(selections: DataFrame, units: DataFrame, head: int = 60) -> DataFrame
 
     The first rule looks in the selection's paragraph, or in the whole book if that is
     null. Blank selections and those without any match have null. Whole-book matches are
-    found by an equal key: an inner word, or the first characters of a shorter part.
+    found by an equal key: an inner word, or the first letters of a part of one or two words;
+    a book's units give only the kinds of keys that its selections ask for.
     """
     form = units.select("book", "para", "id", X.selection_form(F.col("text")).alias("__u"))
     asked = selections.select("sel_id", "book", "para", X.selection_form(F.col("sel")).alias("__s")).withColumn("__h", F.substring("__s", 1, head))
     some = asked.where("__s <> ''")
     here = some.join(form, ["book", "para"]).select("sel_id", "id", F.when(F.contains("__u", F.col("__h")), 1).otherwise(3).alias("rule"))
-    loose = some.where("para is null").withColumn("__key", _needle(F.col("__h"))).drop("para")
-    books = loose.select("book").distinct()
-    held = form.join(books, "book", "left_semi").select("book", "id", "__u", F.explode(_keys(F.col("__u"))).alias("__key"))
-    far = loose.join(held, ["book", "__key"]).where(F.contains("__u", F.col("__h"))).select("sel_id", "id", F.lit(1).alias("rule"))
-    parts = form.where("__u <> ''").select("book", "id", "__u", _needle(F.col("__u")).alias("__key"))
-    inside = some.select("sel_id", "book", "__s", F.explode(_keys(F.col("__s"))).alias("__key")).join(parts, ["book", "__key"]).where(F.contains("__s", F.col("__u"))).select("sel_id", "id", F.lit(2).alias("rule"))
+    loose = some.where("para is null").withColumn("__n", _needle(F.col("__h"))).drop("para")
+    kinds = loose.groupBy("book").agg(F.collect_set("__n.kind").alias("__kinds"))
+    held = form.join(kinds, "book").select("book", "id", "__u", F.explode(_keys(F.col("__u"), F.col("__kinds"))).alias("__n"))
+    far = loose.join(held, ["book", "__n"]).where(F.contains("__u", F.col("__h"))).select("sel_id", "id", F.lit(1).alias("rule"))
+    parts = form.where("__u <> ''").select("book", "id", "__u", _needle(F.col("__u")).alias("__n"))
+    every = F.array(*[F.lit(k) for k in _KINDS])
+    inside = some.select("sel_id", "book", "__s", F.explode(_keys(F.col("__s"), every)).alias("__n")).join(parts, ["book", "__n"]).where(F.contains("__s", F.col("__u"))).select("sel_id", "id", F.lit(2).alias("rule"))
     best = here.unionByName(far).unionByName(inside).groupBy("sel_id").agg(F.min(F.struct("rule", "id")).alias("m"))
     return selections.select("sel_id").join(best, "sel_id", "left").select("sel_id", F.col("m.id").alias("unit_id"), F.col("m.rule").alias("rule"))
 

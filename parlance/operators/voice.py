@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parlance.operators.ordered import in_turn, running_total, with_neighbours
+from parlance.operators.ordered import in_turn, running_total, total_in_order, with_neighbours
 
 def _islands(spans: DataFrame, keys: list[str], start) -> DataFrame:
     """Spans of each key joined where the state machine of start() numbers them alike: first start, last end."""
@@ -251,14 +251,34 @@ def rank_order() -> list:
 
 
 def rank_segments(segments: DataFrame) -> DataFrame:
-    return segments.withColumn("rank", F.row_number().over(Window.partitionBy("character").orderBy(*rank_order())).cast("long"))
+    """Segments with `rank` inside their character, the best first."""
+    ranked = total_in_order(segments, ["character"], rank_order(), F.lit(1), "__before")
+    return ranked.withColumn("rank", (F.col("__before") + 1).cast("long")).drop("__before")
 
 
 def pick_reference(segments: DataFrame, target_ms: int, gap_ms: int = 100, least_ms: int = 600) -> DataFrame:
-    """Best segments until their sum with gaps reaches the target."""
+    """Best segments until their sum with gaps reaches the target, with `before_ms`, the sum before each."""
     fit = segments.where(F.col("e_ms") - F.col("s_ms") >= least_ms)
-    before = F.coalesce(F.sum(F.col("e_ms") - F.col("s_ms") + gap_ms).over(Window.partitionBy("character").orderBy(*rank_order()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return fit.withColumn("before_ms", before).where(F.col("before_ms") < target_ms)
+    summed = total_in_order(fit, ["character"], rank_order(), F.col("e_ms") - F.col("s_ms") + gap_ms, "before_ms")
+    return summed.where(F.col("before_ms") < target_ms)
+
+
+def longest(clips: DataFrame, k: int) -> DataFrame:
+    """(clip, seq, dur_ms): the k longest utterances of each clip, the first of equals."""
+    rank = F.row_number().over(Window.partitionBy("clip").orderBy(F.desc("dur_ms"), "seq"))
+    return clips.withColumn("__r", rank).where(F.col("__r") <= k).select("clip", "seq", "dur_ms")
+
+
+def reference_plan(clips: DataFrame, target_ms: int = 45_000, cap_ms: int = 60_000) -> DataFrame:
+    """(clip, seq, before_ms, take_ms): the longest utterances until the target is reached; the last is cut at the cap."""
+    summed = total_in_order(clips, ["clip"], [F.desc("dur_ms"), F.asc("seq")], F.col("dur_ms"), "before_ms").where(F.col("before_ms") < target_ms)
+    return summed.select("clip", "seq", "before_ms", F.least(F.col("dur_ms"), cap_ms - F.col("before_ms")).alias("take_ms"))
+
+
+def concat_spans(clips: DataFrame, gap_ms: int = 100) -> DataFrame:
+    """(clip, seq, s_ms, e_ms): where utterances stand after they are joined with gaps, in the order of seq."""
+    at = running_total(clips, ["clip"], "seq", "seq", F.col("dur_ms") + gap_ms, "s_ms")
+    return at.select("clip", "seq", F.col("s_ms").cast("long").alias("s_ms"), (F.col("s_ms") + F.col("dur_ms")).cast("long").alias("e_ms"))
 
 
 def training_segments(segments: DataFrame, least_ms: int = 1000, most_ms: int = 14_000) -> DataFrame:

@@ -103,7 +103,7 @@ def _nick(short: str, long: str) -> str:
 
 
 CAST = f"""{V.UNITS}, c as (select book, speaker as name, count(*) as lines, min(id) as first from units where kind = 'dialogue' group by 1, 2),
-g as (select book, id, unnest(range(len(m))) as place, unnest(m) as surface from (select book, id, regexp_extract_all(speaker || ' said.' || case when id % 3 = 0 then ' Tam Vale ' || text else text end, '\\b[A-Z][a-zA-Z''’-]+ [A-Z][a-zA-Z''’-]+\\b') as m from units)),
+g as (select book, id, unnest(range(len(m))) as place, unnest(m) as surface from (select book, id, regexp_extract_all(speaker || ' said.' || case when id % 3 = 0 then ' Tam Vale ' || text else text end, '\\b([A-Z][a-zA-Z''’-]+ [A-Z][a-zA-Z''’-]*[a-zA-Z])(?:$|[^\\p{{L}}\\p{{N}}_])', 1) as m from units)),
 g2 as (select *, regexp_replace(lower(string_split(surface, ' ')[1]), '[^a-z0-9 ]', '', 'g') as first, regexp_replace(lower(string_split(surface, ' ')[2]), '[^a-z0-9 ]', '', 'g') as last from g),
 grams as (select book, first, last, count(*) as n, arg_min(surface, (id, place)) as surface from g2 where first <> '' and last <> '' and not list_contains({_TITLES}, first) and not list_contains({_TITLES}, last) group by 1, 2, 3),
 w as (select *, list_filter(string_split(trim(regexp_replace(lower(name), '[^a-z0-9 ]', '', 'g')), ' '), lambda x: x <> '') as t from c),

@@ -9,7 +9,7 @@ from parlance.operators import evidence as E
 from parlance.plans import views as V
 from parlance.plans.voice_plans import GAINS
 from parlance.sources import files as S
-from parlance.sources.tables import scratch
+from parlance.sources.tables import cut, scratch
 from parlance.streaming import chat as C
 
 QUERIES: dict = {}
@@ -103,7 +103,7 @@ ranked as (select *, row_number() over (partition by book, name order by turn) a
 select * from named union all select book, name, other, id from ranked where r <= {k} - (select count(*) from named m where m.book = ranked.book and m.name = ranked.name)"""
 
 
-QUERIES["top_excerpt_ids"] = lambda s, d: E.evidence_lines(_named(s, d), _asked(s, d), 4)
+QUERIES["top_excerpt_ids"] = lambda s, d: E.evidence_lines(cut(_named(s, d)), _asked(s, d), 4)
 ORACLES["top_excerpt_ids"] = _evidence_sql(4, 4, False)
-QUERIES["top_excerpt_far"] = lambda s, d: E.evidence_lines(_named(s, d), _asked(s, d), 4, spread=True)
+QUERIES["top_excerpt_far"] = lambda s, d: E.evidence_lines(cut(_named(s, d)), _asked(s, d), 4, spread=True)
 ORACLES["top_excerpt_far"] = _evidence_sql(1, 4, True)

@@ -80,7 +80,27 @@ scalar(
 scalar("prd_speakable", X.has_word, r"regexp_matches(text, '[\p{L}\p{N}_]')")
 scalar("name_key", X.name_key, f"trim({rep('lower(text)', chr(91) + '^' + chr(92) + 'p{L}' + chr(92) + 'p{N} ' + chr(93), '')})")
 scalar("snk_filename", lambda c: X.safe_name(c, True), f"coalesce(nullif({rep(rep('text', '[^A-Za-z0-9_-]+', '_'), '^_+|_+$', '')}, ''), 'TV_Voice')")
-scalar("seg_long", S.split_long, None)
+
+
+def _long_sql(c: str, most: int = 300) -> str:
+    """SQL of split_long: cut at each mark in turn, rejoined while it fits, then by width."""
+    last = "list_last(string_split(b, chr(30)))"
+
+    def cut_at(pieces: str, mark: str) -> str:
+        joined = strip(f"{last} || '{mark}' || y")
+        items = f"string_split(p, '{mark}')"
+        step = f"case when length({joined}) > {most} then b || chr(30) || {strip('y')} else left(b, length(b) - length({last})) || {joined} end"
+        parts = f"string_split(list_reduce(list_concat([{strip(f'{items}[1]')}], {items}[2:]), lambda b, y: {step}), chr(30))"
+        return f"flatten(list_transform({pieces}, lambda p: case when length(p) <= {most} then [p] else {parts} end))"
+
+    pieces = f"[{strip(c)}]"
+    for mark in (";", ":", "-", ",", " "):
+        pieces = cut_at(pieces, mark)
+    width = f"list_transform(range((length(p) - 1) // {most} + 1), lambda i: {strip(f'substr(p, i * {most} + 1, {most})')})"
+    return f"list_filter(flatten(list_transform({pieces}, lambda p: case when length(p) <= {most} then [p] else {width} end)), lambda p: p <> '')"
+
+
+scalar("seg_long", S.split_long, _long_sql("text"))
 scalar("seg_halve", S.halve, None)
 _PACK = f"case when {LAST} <> '' and length({LAST}) + length(x) + 1 > 250 then a || chr(30) || x else rtrim(a || ' ' || x) end"
 scalar("seg_server_chunks", S.pack_250, f"case when len({SENTENCES}) > 0 then {folded(SENTENCES, _PACK)} else [{strip('text')}] end")
@@ -88,6 +108,19 @@ _G = f"case when {LAST} = '' then a || x when length({LAST}) + 1 + length(x) <=
 QUERIES["seg_group"] = lambda spark, sf: V.documents(spark, sf).select("doc_id", S.group_sentences(X.split_sentences(F.col("text"))).alias("out"))
 QUERIES["seg_append_short"] = lambda spark, sf: V.documents(spark, sf).select("doc_id", S.append_short(X.split_sentences(F.col("text"))).alias("out"))
 QUERIES["seg_min_len"] = lambda spark, sf: V.documents(spark, sf).select("doc_id", S.enforce_min(X.split_sentences(F.col("text"))).alias("out"))
+_ADD = "a || case when a = '' then '' else chr(30) end"
+_CUT = f"a || case when {LAST} = '' then '' else chr(30) end || array_to_string({_long_sql('x')}, chr(30)) || chr(30)"
+_ROOM = f"case when {LAST} = '' then a || x when length({LAST}) + 1 + length(x) <= 300 then a || ' ' || x else a || chr(30) || x end"
+_TRIMMED = f"list_filter(list_transform({SENTENCES}, lambda x: {strip('x')}), lambda x: x <> '')"
+ORACLES["seg_group"] = f"""select doc_id, list_filter({folded(f"list_concat([''], {_TRIMMED})", f"case when length(x) > 300 then {_CUT} else {_ROOM} end")}, lambda x: x <> '') as out from documents
+where len({SENTENCES}) > 0 union all select doc_id, case when {strip('text')} = '' then []::varchar[] else [{strip('text')}] end as out from documents where len({SENTENCES}) = 0"""
+_SAME, _NEXT = "split_part(x, chr(31), 1)", "split_part(x, chr(31), 2)"
+_SHORT = f"""case when suffix(a, chr(29)) then left(a, length(a) - 1) when length({_SAME}) >= 20 then {_ADD} || {_SAME}
+  when contains(x, chr(31)) and length({_SAME} || ' ' || {_NEXT}) <= 300 then {_ADD} || {_SAME} || ' ' || {_NEXT} || chr(29)
+  when a <> '' and length({LAST} || ' ' || {_SAME}) <= 300 then a || ' ' || {_SAME} else {_ADD} || {_SAME} end"""
+ORACLES["seg_append_short"] = f"""with s as (select doc_id, case when len({SENTENCES}) > 0 then list_transform({SENTENCES}, lambda x: {strip('x')}) else [{strip('text')}] end as v from documents),
+z as (select doc_id, list_concat([''], list_transform(range(1, len(v) + 1), lambda i: v[i] || case when i < len(v) then chr(31) || v[i + 1] else '' end)) as v from s)
+select doc_id, list_transform({folded('v', _SHORT)}, lambda x: replace(x, chr(29), '')) as out from z"""
 _MIN = f"case when {LAST} = '' then a || x when length({LAST}) < 20 and not contains({LAST}, chr(29)) then a || ' ' || chr(29) || x else a || chr(30) || x end"
 ORACLES["seg_min_len"] = f"select doc_id, list_transform({folded(SENTENCES, _MIN)}, lambda s: replace(s, chr(29), '')) as out from documents where len({SENTENCES}) > 0 union all select doc_id, [{strip('text')}] from documents where len({SENTENCES}) = 0"
 
@@ -188,12 +221,12 @@ ALIKE = ((" the ", " Lead "), (" and ", " wind "), (" und ", " READ "), (" les "
 _AMBIGUOUS = ", ".join(f"'{w}'" for w in L.HETERONYMS)
 _SAYS_OF = "map {" + ", ".join(f"'{w}': [{', '.join(repr(r[2]) for r in readings)}]" for w, readings in L.HETERONYMS.items()) + "}"
 HITS = f"""x as (select doc_id, {replaced('text', ALIKE)} as text from documents),
-p as (select doc_id, text, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+') as ps from x), e as (select doc_id, text, unnest(range(len(ps))) as i, unnest(ps) as w from p),
+p as (select doc_id, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+') as ps from x), e as (select doc_id, unnest(range(len(ps))) as i, unnest(ps) as w from p),
 c as (select *, (sum(length(w)) over (partition by doc_id order by i) - length(w))::bigint as start, lower(w) in ({_AMBIGUOUS}) as hit from e),
 h as (select *, count(*) filter (where hit) over (partition by doc_id order by i) - 1 as hit_no from c)"""
 QUERIES["seg_heteronym"] = lambda spark, sf: H.heteronym_hits(spelt_alike(spark, sf))
 ORACLES["seg_heteronym"] = f"""with {HITS} select doc_id, hit_no, start, start + length(w) as "end", lower(w) as word,
-  substr(text, greatest(start - 40, 0) + 1, start + length(w) + 40 - greatest(start - 40, 0)) as context, {_SAYS_OF}[lower(w)] as says from h where hit"""
+  substr(text, greatest(start - 40, 0) + 1, start + length(w) + 40 - greatest(start - 40, 0)) as context, {_SAYS_OF}[lower(w)] as says from (select * from h where hit) join x using (doc_id)"""
 
 
 def respelled(spark, sf):

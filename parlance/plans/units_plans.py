@@ -48,7 +48,7 @@ _T = ", ".join(f"'{t}'" for t in L.TITLES)
 _W = lambda k: f"regexp_replace(lower(string_split(surface, ' ')[{k}]), '[^a-z0-9 ]', '', 'g')"
 add(
     "agg_bigrams", lambda s, d: U.name_bigrams(units(s, d).withColumn("text", F.concat("speaker", F.lit(" said. "), F.col("text")))),
-    f"""m as (select book, id, regexp_extract_all(speaker || ' said. ' || text, '\\b[A-Z][a-zA-Z''’-]+ [A-Z][a-zA-Z''’-]+\\b') as m from units),
+    f"""m as (select book, id, regexp_extract_all(speaker || ' said. ' || text, '\\b([A-Z][a-zA-Z''’-]+ [A-Z][a-zA-Z''’-]*[a-zA-Z])(?:$|[^\\p{{L}}\\p{{N}}_])', 1) as m from units),
 g as (select book, id, unnest(range(len(m))) as place, unnest(m) as surface from m), w as (select *, {_W(1)} as first, {_W(2)} as last from g)
 select book, first, last, count(*) as n, arg_min(surface, (id, place)) as surface from w where first <> '' and last <> '' and first not in ({_T}) and last not in ({_T}) group by 1, 2, 3""",
 )

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from parlance.operators import voice as O
@@ -111,27 +110,16 @@ add(
     "win_ref_pick", lambda s, d: O.pick_reference(unique(segments(s, d)), 45_000).select("character", "s_ms", "e_ms", "before_ms"),
     f"with {UNIQUE}, r as (select *, coalesce(sum(e_ms - s_ms + 100) over (partition by character {RANK} rows between unbounded preceding and 1 preceding), 0) as before_ms from u where e_ms - s_ms >= 600) select character, s_ms, e_ms, cast(before_ms as bigint) as before_ms from r where before_ms < 45000",
 )
-_longest = lambda: F.row_number().over(Window.partitionBy("clip").orderBy(F.desc("dur_ms"), "seq"))
-add("top_longest", lambda s, d: spans(s, d).withColumn("r", _longest()).where("r <= 3").select("clip", "seq", "dur_ms"), f"{S}, r as (select *, row_number() over (partition by clip order by dur_ms desc, seq) as r from spans) select clip, seq, dur_ms from r where r <= 3")
-
-
-def _concat(s, d):
-    before = F.coalesce(F.sum("dur_ms").over(Window.partitionBy("clip").orderBy(F.desc("dur_ms"), "seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return spans(s, d).withColumn("before_ms", before).where("before_ms < 45000").select("clip", "seq", "before_ms", F.least(F.col("dur_ms"), 60_000 - F.col("before_ms")).alias("take_ms"))
+add("top_longest", lambda s, d: O.longest(spans(s, d), 3), f"{S}, r as (select *, row_number() over (partition by clip order by dur_ms desc, seq) as r from spans) select clip, seq, dur_ms from r where r <= 3")
 
 
 add(
-    "win_ref_concat", _concat,
+    "win_ref_concat", lambda s, d: O.reference_plan(spans(s, d)),
     f"{S}, r as (select *, coalesce(sum(dur_ms) over (partition by clip order by dur_ms desc, seq rows between unbounded preceding and 1 preceding), 0)::bigint as before_ms from spans) select clip, seq, before_ms, least(dur_ms, 60000 - before_ms) as take_ms from r where before_ms < 45000",
 )
 
 
-def _placed(s, d):
-    at = F.coalesce(F.sum(F.col("dur_ms") + 100).over(Window.partitionBy("clip").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return spans(s, d).select("clip", "seq", at.alias("s_ms"), (at + F.col("dur_ms")).alias("e_ms"))
-
-
-add("ivl_clip_spans", _placed, f"{S}, r as (select clip, seq, dur_ms, coalesce(sum(dur_ms + 100) over (partition by clip order by seq rows between unbounded preceding and 1 preceding), 0)::bigint as s_ms from spans) select clip, seq, s_ms, s_ms + dur_ms as e_ms from r")
+add("ivl_clip_spans", lambda s, d: O.concat_spans(spans(s, d)), f"{S}, r as (select clip, seq, dur_ms, coalesce(sum(dur_ms + 100) over (partition by clip order by seq rows between unbounded preceding and 1 preceding), 0)::bigint as s_ms from spans) select clip, seq, s_ms, s_ms + dur_ms as e_ms from r")
 add(
     "ivl_gender", lambda s, d: O.gender_filter(spans(s, d).withColumn("f0", 50.0 + F.col("seq") * 37 % 400 + F.col("clip") % 3 * 400), 160.0, 330.0).select("clip", "seq", "f0"),
     f"{S}, f as (select clip, seq, 50.0::double + seq * 37 % 400 + clip % 3 * 400 as f0 from spans), g as (select *, bool_or(f0 between 160 and 330) over (partition by clip) as any_in from f) select clip, seq, f0 from g where f0 between 160 and 330 or not any_in",

@@ -6,6 +6,7 @@ import difflib
 import random
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parlance.functions.matching import ratios
 from parlance.operators import attribution as A
@@ -15,7 +16,7 @@ from parlance.operators import layout as Y
 from parlance.operators import units as U
 from parlance.operators import validate as D
 from parlance.operators import voice as O
-from parlance.operators.ordered import running_total, with_neighbours
+from parlance.operators.ordered import in_turn, running_total, total_in_order, with_neighbours
 
 
 def test_running_total_and_neighbours(spark):
@@ -36,6 +37,34 @@ def test_running_total_and_neighbours(spark):
         assert x["s"] == sum(value.get((x["book"], x["id"] + j), 0) for j in range(-2, 3))
 
 
+def test_totals_in_any_order(spark):
+    r = random.Random(9)
+    rows = [(r.choice("xxxxy"), k, r.choice([None, 1, 2, 3]), r.randint(0, 9)) for k in range(500)]
+    df = spark.createDataFrame(rows, "g string, id long, v long, k long").repartition(7)
+    got = {x["id"]: x["t"] for x in total_in_order(df, ["g"], [F.desc("k"), F.asc("id")], F.col("v"), "t").collect()}
+    total: dict = {}
+    for g, k, v, _ in sorted(rows, key=lambda x: (-x[3], x[1])):
+        assert got[k] == total.get(g, 0)
+        total[g] = total.get(g, 0) + (v or 0)
+
+
+def test_state_machines_keep_to_their_key(spark):
+    rows = [(k % 3, k, 1) for k in range(100)]
+
+    def count():
+        n = 0
+
+        def step(v):
+            nonlocal n
+            n += v
+            return n
+
+        return step
+
+    got = in_turn(spark.createDataFrame(rows, "g long, id long, v long"), ["g"], ["id"], ["v"], "n", T.LongType(), count)
+    assert {(x["g"], x["id"], x["n"]) for x in got.collect()} == {(k % 3, k, k // 3 + 1) for k in range(100)}
+
+
 def utterances_plain(spans):
     utts = []
     for s, e in spans:
