@@ -163,9 +163,9 @@ def _fold_links(t: pa.Table) -> pa.Table:
 
 
 def identities(links: DataFrame) -> DataFrame:
-    """(book, name, display): names that links (book, a, b, seq) make one person; b is the better known one.
+    """(book, name, display, char_id): names that links (book, a, b, seq) make one person; b is the better known one.
 
-    All links count. Where each name is at most once an `a` and there is no cycle, the name
+    char_id is a hash of the book and the name shown. All links count. Where each name is at most once an `a` and there is no cycle, the name
     that is never an `a` is shown; only other parts are folded in the order of seq, then a, b.
     """
     links = cut(links.where("a <> b").groupBy("book", "a", "b").agg(F.min(F.col("seq").cast("long")).alias("seq")))
@@ -174,7 +174,8 @@ def identities(links: DataFrame) -> DataFrame:
     plain = "__most = 1 and display is not null"
     chains = names.join(parts.where(plain), ["book", "part"]).select("book", "name", "display")
     folded = links.join(names.select("book", F.col("name").alias("a"), "part"), ["book", "a"]).join(parts.where(f"not ({plain})").select("book", "part"), ["book", "part"])
-    return chains.unionByName(folded.select("book", "part", "a", "b", "seq").groupBy("book", "part").applyInArrow(_fold_links, "book string, name string, display string"))
+    found = chains.unionByName(folded.select("book", "part", "a", "b", "seq").groupBy("book", "part").applyInArrow(_fold_links, "book string, name string, display string"))
+    return found.withColumn("char_id", F.xxhash64("book", "display"))
 
 
 def components(cast: DataFrame, same: DataFrame, different: DataFrame, established: int = 30) -> DataFrame:
