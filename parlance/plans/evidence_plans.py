@@ -63,6 +63,14 @@ def src_nlp_tsv(spark, sf_dir):
 
 
 QUERIES["str_maxlen"] = str_maxlen
+#: An utterance ends before a packet that comes over half an hour after the last one or an hour after the first; the last one of a user ends once the watermark has passed it.
+ORACLES["str_maxlen"] = """
+with recursive p as (select user_id, epoch_us(ts) as t, event_id % 1000 * 400 as b, row_number() over (partition by user_id order by epoch_us(ts), event_id % 1000 * 400) as rn, count(*) over (partition by user_id) as many from events),
+r as (select user_id, rn, t, b, many, t as first, 0::bigint as i from p where rn = 1 union all
+  select p.user_id, p.rn, p.t, p.b, p.many, case when p.t - r.t > 1800000000 or p.t - r.first >= 3600000000 then p.t else r.first end, r.i + case when p.t - r.t > 1800000000 or p.t - r.first >= 3600000000 then 1 else 0 end
+  from r join p on p.user_id = r.user_id and p.rn = r.rn + 1)
+select user_id, min(t) as start_us, max(t) as end_us, count(*) as n, cast(sum(b) as bigint) as n_bytes from r group by user_id, i
+having max(rn) < max(many) or max(t) // 1000 + 1800000 < (select epoch_ms(max(ts)) from events)"""
 QUERIES["str_gain"] = str_gain
 ORACLES["str_gain"] = f"""
 with recursive l as (select user_id as clip, event_id as seq, case when event_id % 7 <> 0 then -30.0::double + event_id % 15 end as dbfs, row_number() over (partition by user_id order by event_id) as rn from events),
