@@ -57,6 +57,11 @@ def smallest_hashes(data: np.ndarray) -> np.ndarray:
     return np.minimum(h[:n], h[SPAN - wide : SPAN - wide + n])
 
 
+def _spread(h: np.ndarray) -> np.ndarray:
+    """Smallest hashes as keys of KEY_BITS bits. They crowd near 0; an odd factor deals them evenly, so that no part of the keys is heavy."""
+    return ((h >> np.uint64(64 - KEY_BITS)) * np.uint64(0x9E3779B97F4B)) & np.uint64((1 << KEY_BITS) - 1)
+
+
 class Batch:
     """The rows of one batch, ordered by document, as bytes end to end."""
 
@@ -93,7 +98,7 @@ class Batch:
                 turn = np.arange(len(base)) - np.repeat(np.cumsum(parts) - parts, parts)
                 size = np.minimum(STARTS, np.repeat(size, parts) - turn * STARTS)
                 first = base + turn * STARTS
-            yield h[first] >> np.uint64(64 - KEY_BITS), first + at, size, row[first]
+            yield _spread(h[first]), first + at, size, row[first]
 
 
 def _out(a: np.ndarray | bytes) -> bytes:

@@ -399,6 +399,13 @@ def test_suffix_dedup(spark, monkeypatch, common):
     assert suffixes.repeated_spans(H.table(spark, [])).count() == 0
 
 
+def test_suffix_keys_fill_all_parts_alike():
+    data = np.frombuffer(H.words(20_000, 3).encode(), np.uint8)
+    keys = np.unique(suffixes._spread(suffixes.smallest_hashes(data)))
+    load = np.bincount((keys >> np.uint64(suffixes.KEY_BITS - 4)).astype(int), minlength=16)
+    assert load.max() < 1.3 * load.mean() and len(keys) == len(np.unique(suffixes.smallest_hashes(data)))
+
+
 def test_deep_shallow_sorts_suffixes():
     r = random.Random(1)
     data = bytes(r.choice(b"ab") for _ in range(400)) * 2
