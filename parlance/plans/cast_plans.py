@@ -35,14 +35,17 @@ def layout(s, d):
     return w.select("book", "page", "block", line.alias("line"), wno.cast("long").alias("wno"), x0.cast("double").alias("x0"), y0.cast("double").alias("y0"), (x0 + 35).cast("double").alias("x1"), (y0 + 10).cast("double").alias("y1"), "word")
 
 
-_LAYOUT = V.LINES + """, w0 as (select source as book, doc_id as page, line_no as block, unnest(range(len(string_split(line, ' ')))) as p, unnest(string_split(line, ' ')) as word from doc_lines where length(line) > 0),
-w as (select book, page, block, p // 12 as line, p % 12 as wno, (p % 12 * 40 + case when p % 12 = 0 and p // 12 % 5 = 3 then 15 else 0 end + 50)::double as x0, (block * 1000 + p // 12 * 14 + case when p // 12 > 6 then 30 else 0 end)::double as y0, word from w0)"""
+_LAYOUT = V.LINES + """, w0 as (select source as book, doc_id as page, line_no as block, unnest(range(len(string_split(line, ' ')))) as p,
+  unnest(string_split(line, ' ')) as word from doc_lines where length(line) > 0),
+w as (select book, page, block, p // 12 as line, p % 12 as wno, (p % 12 * 40 + case when p % 12 = 0 and p // 12 % 5 = 3 then 15 else 0 end + 50)::double as x0,
+  (block * 1000 + p // 12 * 14 + case when p // 12 > 6 then 30 else 0 end)::double as y0, word from w0)"""
 add("src_layout", lambda s, d: Y.layout_words(layout(s, d)).select("book", "page", "block", "line", "wno", "word"), f"with {_LAYOUT} select book, page, block, line, wno, word from w where trim(word) <> ''")
 add(
     "seg_para", lambda s, d: Y.paragraphs(layout(s, d)).select("book", "page", "block", "line", "para"),
     f"""with {_LAYOUT}, l as (select book, page, block, line, min(x0) as x0, min(y0) as top, max(y0 + 10) as bottom from w where trim(word) <> '' group by all),
 o as (select *, row_number() over pg as pos, lag(bottom) over pg as pb, lag(block) over pg as pblock from l window pg as (partition by book, page order by block, line)),
-m as (select book, page, x as margin from (select book, page, round(x0) as x, row_number() over (partition by book, page order by count(*) desc, min(pos)) as r from o group by book, page, round(x0)) where r = 1)
+m as (select book, page, x as margin from (select book, page, round(x0) as x, row_number() over (partition by book, page order by count(*) desc, min(pos)) as r
+  from o group by book, page, round(x0)) where r = 1)
 select book, page, block, line, cast(sum(case when pos > 1 and (x0 > margin + 6.0 or top - pb > 16.0 or block <> pblock) then 1 else 0 end) over (partition by book, page order by block, line) as bigint) as para from o join m using (book, page)""",
 )
 add("seg_units", lambda s, d: Y.units(layout(s, d)))
@@ -54,7 +57,8 @@ def _quote_spans(s, d):
 
 add(
     "join_span_overlap", lambda s, d: A.span_overlap(U.build_document(units(s, d)), _quote_spans(s, d)),
-    f"""with {V.UNITS}, n as (select *, length(text) + case when kind = 'dialogue' then 2 else 0 end as len, lag(para) over (partition by book order by id) as pp from units), e as (select *, case when pp is null then 0 when pp = para then 1 else 2 end as sep from n),
+    f"""with {V.UNITS}, n as (select *, length(text) + case when kind = 'dialogue' then 2 else 0 end as len, lag(para) over (partition by book
+  order by id) as pp from units), e as (select *, case when pp is null then 0 when pp = para then 1 else 2 end as sep from n),
 sp as (select book, id, sum(len + sep) over w - len as s, sum(len + sep) over w as e from e window w as (partition by book order by id)),
 o as (select q.book, q.id as q, u.id, least(u.e, q.e - 5) - greatest(u.s, q.s - 10) as ov from sp q join sp u on u.book = q.book and u.id between q.id - 20 and q.id + 20)
 select book, q, id as unit_id from (select *, row_number() over (partition by book, q order by ov desc, id) as r from o where ov > 0) where r = 1""",
@@ -103,25 +107,32 @@ def _nick(short: str, long: str) -> str:
 
 
 CAST = f"""{V.UNITS}, c as (select book, speaker as name, count(*) as lines, min(id) as first from units where kind = 'dialogue' group by 1, 2),
-g as (select book, id, unnest(range(len(m))) as place, unnest(m) as surface from (select book, id, regexp_extract_all(speaker || ' said.' || case when id % 3 = 0 then ' Tam Vale ' || text else text end, '\\b([A-Z][a-zA-Z''’-]+ [A-Z][a-zA-Z''’-]*[a-zA-Z])(?:$|[^\\p{{L}}\\p{{N}}_])', 1) as m from units)),
-g2 as (select *, regexp_replace(lower(string_split(surface, ' ')[1]), '[^a-z0-9 ]', '', 'g') as first, regexp_replace(lower(string_split(surface, ' ')[2]), '[^a-z0-9 ]', '', 'g') as last from g),
-grams as (select book, first, last, count(*) as n, arg_min(surface, (id, place)) as surface from g2 where first <> '' and last <> '' and not list_contains({_TITLES}, first) and not list_contains({_TITLES}, last) group by 1, 2, 3),
+g as (select book, id, unnest(range(len(m))) as place, unnest(m) as surface from (select book, id, regexp_extract_all(speaker || ' said.' || case
+  when id % 3 = 0 then ' Tam Vale ' || text else text end, '\\b([A-Z][a-zA-Z''’-]+ [A-Z][a-zA-Z''’-]*[a-zA-Z])(?:$|[^\\p{{L}}\\p{{N}}_])', 1) as m from units)),
+g2 as (select *, regexp_replace(lower(string_split(surface, ' ')[1]), '[^a-z0-9 ]', '', 'g') as first, regexp_replace(lower(string_split(surface, ' ')[2]),
+  '[^a-z0-9 ]', '', 'g') as last from g),
+grams as (select book, first, last, count(*) as n, arg_min(surface, (id, place)) as surface from g2 where first <> '' and last <> ''
+  and not list_contains({_TITLES}, first) and not list_contains({_TITLES}, last) group by 1, 2, 3),
 w as (select *, list_filter(string_split(trim(regexp_replace(lower(name), '[^a-z0-9 ]', '', 'g')), ' '), lambda x: x <> '') as t from c),
 l as (select *, coalesce(list_min(list_filter(range(1, len(t) + 1), lambda i: not list_contains({_TITLES}, t[i]))), len(t) + 1) as k from w),
-parts as (select book, name, lines, first, array_to_string(t[k:], ' ') as bare, case when len(t[k:]) = 1 and k = 1 then t[k] end as single, case when len(t[k:]) > 1 or k > 1 then t[-1] end as last from l where len(t[k:]) between 1 and 3),
+parts as (select book, name, lines, first, array_to_string(t[k:], ' ') as bare, case when len(t[k:]) = 1 and k = 1 then t[k] end as single, case
+  when len(t[k:]) > 1 or k > 1 then t[-1] end as last from l where len(t[k:]) between 1 and 3),
 rules as (select a.book, a.name as a, b.name as b, case when a.bare = b.bare then 'title'
     when not contains(a.bare, ' ') and not contains(b.bare, ' ') and ({_nick('a.bare', 'b.bare')} or {_nick('b.bare', 'a.bare')}) then 'nick'
     when a.last = b.last or a.last = b.single or b.last = a.single then 'surname'
-    when exists (select 1 from grams g where g.book = a.book and g.n >= 2 and ((g.first = a.single and g.last = b.last) or (g.first = b.single and g.last = a.last))) then 'bigram' end as rule
+    when exists (select 1 from grams g where g.book = a.book and g.n >= 2 and ((g.first = a.single and g.last = b.last) or (g.first = b.single
+  and g.last = a.last))) then 'bigram' end as rule
   from parts a join parts b on a.book = b.book and a.name < b.name),
 pairs as (select * from rules where rule is not null),
 short as (select book, case when length(a) < length(b) then a else b end as alias, case when length(a) < length(b) then b else a end as name from pairs where rule = 'nick'),
 told as (select book, id, kind, speaker, case when kind = 'narration' and id % 5 = 0 then 'Then Tamsin spoke. ' || text else text end as text from units),
-near as (select distinct s.book, s.alias, s.name, a.id from short s join told a on a.book = s.book and a.speaker = s.alias and a.kind = 'dialogue' join told b on b.book = a.book and b.kind = 'narration' and b.id between a.id - 2 and a.id + 2
+near as (select distinct s.book, s.alias, s.name, a.id from short s join told a on a.book = s.book and a.speaker = s.alias and a.kind = 'dialogue'
+  join told b on b.book = a.book and b.kind = 'narration' and b.id between a.id - 2 and a.id + 2
   where list_contains(string_split_regex(b.text, '[^\\p{{L}}\\p{{N}}_]+'), s.name)),
 support as (select n.book, n.alias, n.name, count(*) as n from near n join c x on x.book = n.book and x.name = n.alias join c y on y.book = n.book and y.name = n.name
   where y.lines > x.lines and lower(left(n.alias, 1)) = lower(left(n.name, 1)) group by n.book, n.alias, n.name, x.lines having count(*) >= 2 and count(*) >= 0.15 * x.lines),
-ev as (select book, a, b, list_sort(list_distinct(list(rule))) as rules from (select book, a, b, rule from pairs union all select book, least(alias, name), greatest(alias, name), 'narration' from support) group by 1, 2, 3)"""
+ev as (select book, a, b, list_sort(list_distinct(list(rule))) as rules from (select book, a, b, rule from pairs union all select book, least(alias, name),
+  greatest(alias, name), 'narration' from support) group by 1, 2, 3)"""
 over("join_blocked_pairs", pairs, f"with {CAST} select * from pairs")
 
 
@@ -146,9 +157,11 @@ def _told_later(u):
 
 over(
     "cast_pair_filter", lambda u: C.askable_pairs(evidence(u), cast(u), _apart(u), C.reveal_pairs(_told_later(u)), main=40, few=20).select("book", "a", "b", "rules"),
-    f"""with {CAST}, n as (select ev.*, x.lines as al, y.lines as bl, p.last as al_last, q.last as bl_last from ev join c x on x.book = ev.book and x.name = a join c y on y.book = ev.book and y.name = b
+    f"""with {CAST}, n as (select ev.*, x.lines as al, y.lines as bl, p.last as al_last, q.last as bl_last from ev join c x on x.book = ev.book and x.name = a
+  join c y on y.book = ev.book and y.name = b
   left join parts p on p.book = ev.book and p.name = a left join parts q on q.book = ev.book and q.name = b)
-select book, a, b, rules from n where not (al >= 40 and bl >= 40) and not (least(al, bl) <= 20 and case when al < bl then al_last else bl_last end is not null and not list_contains(rules, 'bigram'))
+select book, a, b, rules from n where not (al >= 40 and bl >= 40) and not (least(al, bl) <= 20 and case when al < bl then al_last else bl_last end is not null
+  and not list_contains(rules, 'bigram'))
   and 'Old Orrin' not in (a, b) and not (a = 'Captain Vale' and b = 'Tamsin Vale')""",
 )
 _said = lambda u: pairs(u).where("rule = 'nick'").select("book", "a", "b", F.lit("same").alias("verdict"))
@@ -158,7 +171,8 @@ over(
 )
 over(
     "cast_fallback", lambda u: C.nickname_merges(cast(u).join(U.first_seen(u), ["book", "name"]), support(u), _apart(u), small=10**6),
-    f"""with {CAST} select s.book, s.alias, arg_min(s.name, (y.first, s.name)) as name from support s join parts x on x.book = s.book and x.name = s.alias join parts y on y.book = s.book and y.name = s.name
+    f"""with {CAST} select s.book, s.alias, arg_min(s.name, (y.first, s.name)) as name from support s join parts x on x.book = s.book and x.name = s.alias
+  join parts y on y.book = s.book and y.name = s.name
 where x.single is not null and y.single is not null and y.lines > x.lines and {_nick('x.single', 'y.single')} and 'Old Orrin' not in (s.alias, s.name) group by 1, 2""",
 )
 
@@ -176,7 +190,8 @@ grp as (select r.book, r.a as name, arg_max(r.b, (c.lines, r.b)) as grp from rea
 ORACLES["cast_components"] = f'with recursive {CAST}, {_GROUPS} select book, name, grp as "group" from grp'
 over(
     "cast_canonical", lambda u: C.canonical_names(_joined(u), cast(u), _grams(u), main=10**6),
-    f"""with recursive {CAST}, {_GROUPS}, m as (select g.book, g.grp, p.name, p.lines, p.single from grp g join c using (book, name) left join parts p on p.book = g.book and p.name = g.name),
+    f"""with recursive {CAST}, {_GROUPS}, m as (select g.book, g.grp, p.name, p.lines, p.single from grp g join c using (book, name) left
+  join parts p on p.book = g.book and p.name = g.name),
 big as (select g.book, g.grp, arg_max(c.name, (c.lines, c.name)) as big from grp g join c using (book, name) group by 1, 2),
 full_ as (select m.book, m.grp, arg_max(surface, (n, surface)) as f from m join grams on grams.book = m.book and grams.first = m.single where n >= 5 group by 1, 2)
 select big.book, big.grp as "group", coalesce(f, big) as name from big left join full_ using (book, grp)""",
@@ -199,8 +214,10 @@ def _moves(u):
 
 over(
     "cast_reassign", lambda u: C.reassign(u, _moves(u), cast(u), radius=3),
-    f"""with {V.UNITS}, o as (select distinct m.book, m.id from units m join units u on u.book = m.book and u.id between m.id - 3 and m.id + 3 and (u.speaker = 'Orrin' or list_contains(string_split_regex(u.text, '[^\\p{{L}}\\p{{N}}_]+'), 'Orrin')))
-select u.book, u.id, case when kind = 'dialogue' and u.id % 3 = 0 and o.id is not null then 'Orrin' when kind = 'dialogue' and u.id % 6 = 2 then 'Unknown' else speaker end as speaker from units u left join o on o.book = u.book and o.id = u.id""",
+    f"""with {V.UNITS}, o as (select distinct m.book, m.id from units m join units u on u.book = m.book and u.id between m.id - 3 and m.id + 3
+  and (u.speaker = 'Orrin' or list_contains(string_split_regex(u.text, '[^\\p{{L}}\\p{{N}}_]+'), 'Orrin')))
+select u.book, u.id, case when kind = 'dialogue' and u.id % 3 = 0 and o.id is not null then 'Orrin' when kind = 'dialogue'
+  and u.id % 6 = 2 then 'Unknown' else speaker end as speaker from units u left join o on o.book = u.book and o.id = u.id""",
 )
 over(
     "set_suspects", lambda u: C.suspects(cast(u), pairs(u), cast(u).where("name = 'Tamsin'"), few=10**6),

@@ -65,15 +65,18 @@ def src_nlp_tsv(spark, sf_dir):
 QUERIES["str_maxlen"] = str_maxlen
 #: An utterance ends before a packet that comes over half an hour after the last one or an hour after the first; the last one of a user ends once the watermark has passed it.
 ORACLES["str_maxlen"] = """
-with recursive p as (select user_id, epoch_us(ts) as t, event_id % 1000 * 400 as b, row_number() over (partition by user_id order by epoch_us(ts), event_id % 1000 * 400) as rn, count(*) over (partition by user_id) as many from events),
+with recursive p as (select user_id, epoch_us(ts) as t, event_id % 1000 * 400 as b, row_number() over (partition by user_id order by epoch_us(ts),
+  event_id % 1000 * 400) as rn, count(*) over (partition by user_id) as many from events),
 r as (select user_id, rn, t, b, many, t as first, 0::bigint as i from p where rn = 1 union all
-  select p.user_id, p.rn, p.t, p.b, p.many, case when p.t - r.t > 1800000000 or p.t - r.first >= 3600000000 then p.t else r.first end, r.i + case when p.t - r.t > 1800000000 or p.t - r.first >= 3600000000 then 1 else 0 end
+  select p.user_id, p.rn, p.t, p.b, p.many, case when p.t - r.t > 1800000000 or p.t - r.first >= 3600000000 then p.t else r.first end, r.i + case
+  when p.t - r.t > 1800000000 or p.t - r.first >= 3600000000 then 1 else 0 end
   from r join p on p.user_id = r.user_id and p.rn = r.rn + 1)
 select user_id, min(t) as start_us, max(t) as end_us, count(*) as n, cast(sum(b) as bigint) as n_bytes from r group by user_id, i
 having max(rn) < max(many) or max(t) // 1000 + 1800000 < (select epoch_ms(max(ts)) from events)"""
 QUERIES["str_gain"] = str_gain
 ORACLES["str_gain"] = f"""
-with recursive l as (select user_id as clip, event_id as seq, case when event_id % 7 <> 0 then -30.0::double + event_id % 15 end as dbfs, row_number() over (partition by user_id order by event_id) as rn from events),
+with recursive l as (select user_id as clip, event_id as seq, case when event_id % 7 <> 0 then -30.0::double + event_id % 15 end as dbfs,
+  row_number() over (partition by user_id order by event_id) as rn from events),
 {GAINS} select clip, seq, round(g, 5) as gain from r where rn > 0"""
 QUERIES["str_files"] = str_files
 QUERIES["str_history"] = str_history
@@ -98,15 +101,19 @@ def _evidence_sql(most: int, k: int, spread: bool) -> str:
     far = "exists (select 1 from units o where o.book = p.book and o.kind = 'dialogue' and o.speaker = p.other and o.id between u.id - 20 and u.id + 20)" if spread else "false"
     word = lambda t: f"list_contains(string_split_regex({t}, '[^\\p{{L}}\\p{{N}}_]+'), token)"
     return f"""
-with {V.UNITS}, x as (select book, id, kind, speaker, case when (kind = 'narration' and id % 50 = 0) or (kind = 'dialogue' and id % 30 = 1) then 'Then Tamsin spoke. ' || text else text end as text from units),
-p as (select distinct book, speaker as name, case when speaker = 'Tam' then 'Tamsin' else 'Old Orrin' end as other, case when speaker = 'Tam' then 'Tamsin' else 'Orrin' end as token from units where speaker in ('Tam', 'Orrin')),
+with {V.UNITS}, x as (select book, id, kind, speaker, case when (kind = 'narration' and id % 50 = 0) or (kind = 'dialogue'
+  and id % 30 = 1) then 'Then Tamsin spoke. ' || text else text end as text from units),
+p as (select distinct book, speaker as name, case when speaker = 'Tam' then 'Tamsin' else 'Old Orrin' end as other, case
+  when speaker = 'Tam' then 'Tamsin' else 'Orrin' end as token from units where speaker in ('Tam', 'Orrin')),
 o0 as (select p.*, u.id, u.text, {far} as close from p join x u on u.book = p.book and u.speaker = p.name and u.kind = 'dialogue'),
 own as (select * from (select *, bool_and(close) over (partition by book, name) as none from o0) where none or not close),
 st as (select distinct o.book, o.name, o.id from own o join x n on n.book = o.book and n.kind = 'narration' and n.id between o.id - 2 and o.id + 2 and {word('n.text')}),
-f as (select o.*, row_number() over (partition by o.book, o.name order by o.id) - 1 as pos, count(*) over (partition by o.book, o.name) as n, case when st.id is not null then 0 when {word('o.text')} then 1 end as prio
+f as (select o.*, row_number() over (partition by o.book, o.name order by o.id) - 1 as pos, count(*) over (partition by o.book, o.name) as n, case
+  when st.id is not null then 0 when {word('o.text')} then 1 end as prio
   from own o left join st on st.book = o.book and st.name = o.name and st.id = o.id),
 named as (select book, name, other, id from (select *, row_number() over (partition by book, name order by prio, id) as r from f where prio is not null) where r <= {most}),
-rest as (select f.*, case when pos = 0 then 0 when pos = n // 3 then 1 when pos = 2 * n // 3 then 2 when pos = n - 1 then 3 end as turn from f where pos in (0, n // 3, 2 * n // 3, n - 1) and not exists (select 1 from named m where m.book = f.book and m.name = f.name and m.id = f.id)),
+rest as (select f.*, case when pos = 0 then 0 when pos = n // 3 then 1 when pos = 2 * n // 3 then 2 when pos = n - 1 then 3 end as turn from f where pos in (0,
+  n // 3, 2 * n // 3, n - 1) and not exists (select 1 from named m where m.book = f.book and m.name = f.name and m.id = f.id)),
 ranked as (select *, row_number() over (partition by book, name order by turn) as r from rest)
 select * from named union all select book, name, other, id from ranked where r <= {k} - (select count(*) from named m where m.book = ranked.book and m.name = ranked.name)"""
 

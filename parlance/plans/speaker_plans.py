@@ -117,7 +117,8 @@ def nlp_quotes(s, d):
     )
 
 
-TOKENS = """t as materialized (select doc_id, unnest(range(len(ws))) as token_id, unnest(ws) as word from (select doc_id, string_split_regex(text, '[ \\n]+') as ws from documents)),
+TOKENS = """t as materialized (select doc_id, unnest(range(len(ws))) as token_id, unnest(ws) as word from (select doc_id, string_split_regex(text,
+  '[ \\n]+') as ws from documents)),
 tokens as materialized (select doc_id, token_id, token_id // 20 as para, word, case when regexp_matches(word, '^[A-Z]') then 'NNP' else 'NN' end as fine_pos,
   case when token_id % 20 = 19 then 'PUNCT' when regexp_matches(word, '^[A-Z]') then 'PROPN' else 'NOUN' end as pos from t),
 entities as materialized (select doc_id, token_id as ent, para, token_id as start_token, token_id + token_id % 3 as end_token, length(word) % 5 as coref,
@@ -125,10 +126,12 @@ entities as materialized (select doc_id, token_id as ent, para, token_id as star
 quotes0 as (select doc_id, token_id as q, para, token_id as quote_start, case when para % 4 = 1 then token_id + 18 else token_id + 6 end as quote_end, word from tokens
   where case when para % 4 = 1 then token_id % 20 = 0 else token_id % 20 in (2, 12) end),
 quotes as materialized (select doc_id, q, para, quote_start, quote_end, case when q % 7 <> 3 then quote_end + 1 + q % 8 end as mention_start,
-  case when q % 7 <> 3 then quote_end + 1 + q % 8 + q % 2 end as mention_end, case q % 3 when 0 then 'He' when 1 then 'Anna' else 'the man' end as mention_phrase, length(word) % 5 as char_id from quotes0),
+  case when q % 7 <> 3 then quote_end + 1 + q % 8 + q % 2 end as mention_end, case q % 3 when 0 then 'He'
+  when 1 then 'Anna' else 'the man' end as mention_phrase, length(word) % 5 as char_id from quotes0),
 names as (select doc_id, coref, text as name from (select *, row_number() over (partition by doc_id, coref order by n desc, f) as r
   from (select doc_id, coref, text, count(*) as n, min(start_token) as f from entities where cat = 'PER' group by 1, 2, 3)) where r = 1),
-outside as materialized (select e.* from entities e left join quotes q on q.doc_id = e.doc_id and q.para = e.para and e.start_token between q.quote_start and q.quote_end where e.cat = 'PER' and q.q is null)"""
+outside as materialized (select e.* from entities e left join quotes q on q.doc_id = e.doc_id and q.para = e.para and e.start_token between q.quote_start
+  and q.quote_end where e.cat = 'PER' and q.q is null)"""
 add(
     "join_coref", lambda s, d: A.token_coref(tokens(s, d), entities(s, d)),
     f"""with {TOKENS}, c as (select doc_id, coref, ent, unnest(range(start_token, end_token + 1)) as token_id from entities)
@@ -149,8 +152,10 @@ add(
     "att_para_ctx", lambda s, d: A.paragraph_context(tokens(s, d), nlp_quotes(s, d), entities(s, d), A.coref_names(entities(s, d)).where("coref <> 3")),
     f"""with {TOKENS}, m as (select o.doc_id, o.para, o.start_token, n.name from outside o left join names n on n.doc_id = o.doc_id and n.coref = o.coref and n.coref <> 3),
 w as (select doc_id, para, coalesce(max(token_id) filter (where pos <> 'PUNCT'), max(token_id)) as last from tokens group by 1, 2),
-s as (select distinct t.doc_id, t.para from tokens t left join quotes q on q.doc_id = t.doc_id and q.para = t.para and t.token_id between q.quote_start and q.quote_end where t.pos <> 'PUNCT' and q.q is null),
-b as (select q.doc_id, q.q, case when count(m.start_token) = 1 then max(m.name) end as beat, arg_max(m.name, m.start_token) filter (where m.name is not null and m.start_token < q.quote_start) as final
+s as (select distinct t.doc_id, t.para from tokens t left join quotes q on q.doc_id = t.doc_id and q.para = t.para and t.token_id between q.quote_start
+  and q.quote_end where t.pos <> 'PUNCT' and q.q is null),
+b as (select q.doc_id, q.q, case when count(m.start_token) = 1 then max(m.name) end as beat, arg_max(m.name, m.start_token) filter (where m.name is not null
+  and m.start_token < q.quote_start) as final
   from quotes q left join m using (doc_id, para) group by 1, 2)
 select q.doc_id, q.q, b.beat, case when q.quote_end >= coalesce(w.last, -1) then b.final end as pfinal, s.para is null and w.para is not null as bare
 from quotes q join b using (doc_id, q) left join w using (doc_id, para) left join s on s.doc_id = q.doc_id and s.para = q.para""",
@@ -175,7 +180,8 @@ def _shaped(x: str) -> str:
 add(
     "att_speaker_names", lambda s, d: A.speaking_names(A.coref_names(entities(s, d)), agents(s, d)),
     f"""with {TOKENS}, a as (select distinct doc_id, coref from entities where length(text) % 3 = 0)
-select doc_id, coref, name from names n where {_shaped('name')} and (exists (select 1 from a where a.doc_id = n.doc_id and a.coref = n.coref) or not exists (select 1 from a where a.doc_id = n.doc_id))""",
+select doc_id, coref, name from names n where {_shaped('name')} and (exists (select 1 from a where a.doc_id = n.doc_id
+  and a.coref = n.coref) or not exists (select 1 from a where a.doc_id = n.doc_id))""",
 )
 
 
@@ -196,7 +202,8 @@ def _name_shaped(s, d):
 add(
     "prd_name_shaped", _name_shaped,
     f"""with w as (select doc_id, string_split_regex(text, '[ \\n]+') as w from documents),
-n as (select distinct doc_id, name from (select doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as name from w where len(w) > 1)) select doc_id, name, {_shaped('name')} as out from n""",
+n as (select distinct doc_id, name from (select doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as name from w
+  where len(w) > 1)) select doc_id, name, {_shaped('name')} as out from n""",
 )
 
 
@@ -225,11 +232,15 @@ def _called(s, d):
 
 add(
     "att_vocative", lambda s, d: A.vocatives(_called(s, d), names(s, d)),
-    f"""with {QUOTES}, c as (select book, id, trim(regexp_replace(case id % 4 when 0 then speaker || ', ' || text when 1 then '“Well, my dear ' || speaker || '! ' || text when 2 then '“' || lower(speaker) || '?”' else text end, '[“”]', '', 'g')) as text from quotes),
-h as (select c.book, c.id, r.name, regexp_matches(c.text, '(?:^|[,;!?—–-]\\s*|\\b[Mm]y dear\\s+)(?:' || r.name || '|' || string_split(r.name, ' ')[1] || ')\\s*(?:[,.!?;:—–-]|$)') as called,
-  regexp_replace(lower(c.text), '^[\\s.,!?—–"{_SQ}“”‘’-]+|[\\s.,!?—–"{_SQ}“”‘’-]+$', '', 'g') in (lower(r.name), lower(string_split(r.name, ' ')[1])) as alone from c join roster r on r.book = c.book),
+    f"""with {QUOTES}, c as (select book, id, trim(regexp_replace(case id % 4 when 0 then speaker || ', ' || text
+  when 1 then '“Well, my dear ' || speaker || '! ' || text when 2 then '“' || lower(speaker) || '?”' else text end, '[“”]', '', 'g')) as text from quotes),
+h as (select c.book, c.id, r.name, regexp_matches(c.text, '(?:^|[,;!?—–-]\\s*|\\b[Mm]y dear\\s+)(?:' || r.name || '|' || string_split(r.name,
+  ' ')[1] || ')\\s*(?:[,.!?;:—–-]|$)') as called,
+  regexp_replace(lower(c.text), '^[\\s.,!?—–"{_SQ}“”‘’-]+|[\\s.,!?—–"{_SQ}“”‘’-]+$', '', 'g') in (lower(r.name), lower(string_split(r.name, ' ')[1])) as alone
+  from c join roster r on r.book = c.book),
 g as (select book, id, coalesce(list(name order by name) filter (where called), []) as vocs, min(name) filter (where alone) as addressee from h group by 1, 2)
-select book, id, case when addressee is null or list_contains(vocs, addressee) then vocs else list_append(vocs, addressee) end as vocs, addressee from g where len(vocs) > 0 or addressee is not null""",
+select book, id, case when addressee is null or list_contains(vocs, addressee) then vocs else list_append(vocs, addressee) end as vocs, addressee from g
+  where len(vocs) > 0 or addressee is not null""",
 )
 
 
@@ -246,10 +257,12 @@ def marked(s, d):
 
 add(
     "att_sieves", lambda s, d: A.sieves(marked(s, d)).select("book", "id", "speaker"),
-    f"""with {V.UNITS}, q as (select book, para // 50 as run, id, para, case when id % 9 = 0 then speaker end as tag, case when id % 8 = 5 then speaker end as beat, case when id % 10 = 2 then speaker end as pf,
+    f"""with {V.UNITS}, q as (select book, para // 50 as run, id, para, case when id % 9 = 0 then speaker end as tag, case
+  when id % 8 = 5 then speaker end as beat, case when id % 10 = 2 then speaker end as pf,
   case when id % 4 = 1 then [speaker, 'Mayor'] when id % 6 = 0 then ['Orrin'] else []::varchar[] end as vocs from units where kind = 'dialogue'),
 l as (select *, case when para - lag(para) over w between 0 and 2 then lag(vocs) over w end as pv from q window w as (partition by book, run order by id))
-select book, id, coalesce(tag, case when not list_contains(vocs, beat) then beat end, case when not list_contains(vocs, pv[-1]) then pv[-1] end, case when not list_contains(vocs, pf) then pf end) as speaker from l""",
+select book, id, coalesce(tag, case when not list_contains(vocs, beat) then beat end, case when not list_contains(vocs, pv[-1]) then pv[-1] end, case
+  when not list_contains(vocs, pf) then pf end) as speaker from l""",
 )
 add("att_two_apart", lambda s, d: A.two_apart(A.sieves(marked(s, d))).select("book", "id", "speaker"))
 add("att_run_alternate", lambda s, d: A.resolve_runs(marked(s, d)).select("book", "id", "speaker"))
@@ -257,5 +270,6 @@ _AFTER, _BEFORE, _PART = "|".join(L.SAYS_AFTER), "|".join(L.SAYS_BEFORE), f"[A-Z
 add(
     "agg_text_speakers", lambda s, d: A.text_speakers(quotes(s, d).select("book", F.concat("before", "text", "after").alias("text"))),
     f"""with {QUOTES}, x as (select book, before || text || after as text from quotes)
-select distinct book, lower(n) as first_name from (select book, unnest(list_concat(regexp_extract_all(text, '({_PART})(?:\\s+{_PART})?\\s+(?:{_AFTER})\\b', 1), regexp_extract_all(text, '\\b(?:{_BEFORE})\\s+({_PART})', 1))) as n from x)""",
+select distinct book, lower(n) as first_name from (select book, unnest(list_concat(regexp_extract_all(text, '({_PART})(?:\\s+{_PART})?\\s+(?:{_AFTER})\\b', 1),
+  regexp_extract_all(text, '\\b(?:{_BEFORE})\\s+({_PART})', 1))) as n from x)""",
 )

@@ -27,8 +27,10 @@ def packets(s, d):
 
 
 _us = lambda c: F.unix_micros(c)
-_SESS = """p as (select user_id, ts, event_id % 1000 * 400 as b from events), f as (select *, case when ts - lag(ts) over (partition by user_id order by ts) <= interval 30 minutes then 0 else 1 end as new from p),
-g as (select *, sum(new) over (partition by user_id order by ts rows unbounded preceding) as i from f), u as (select user_id, epoch_us(min(ts)) as start_us, epoch_us(max(ts)) as end_us, count(*) as n, cast(sum(b) as bigint) as n_bytes from g group by user_id, i)"""
+_SESS = """p as (select user_id, ts, event_id % 1000 * 400 as b from events), f as (select *, case when ts - lag(ts) over (partition by user_id
+  order by ts) <= interval 30 minutes then 0 else 1 end as new from p),
+g as (select *, sum(new) over (partition by user_id order by ts rows unbounded preceding) as i from f), u as (select user_id, epoch_us(min(ts)) as start_us,
+  epoch_us(max(ts)) as end_us, count(*) as n, cast(sum(b) as bigint) as n_bytes from g group by user_id, i)"""
 
 
 def _utter(s, d):

@@ -112,13 +112,15 @@ _ADD = "a || case when a = '' then '' else chr(30) end"
 _CUT = f"a || case when {LAST} = '' then '' else chr(30) end || array_to_string({_long_sql('x')}, chr(30)) || chr(30)"
 _ROOM = f"case when {LAST} = '' then a || x when length({LAST}) + 1 + length(x) <= 300 then a || ' ' || x else a || chr(30) || x end"
 _TRIMMED = f"list_filter(list_transform({SENTENCES}, lambda x: {strip('x')}), lambda x: x <> '')"
-ORACLES["seg_group"] = f"""select doc_id, list_filter({folded(f"list_concat([''], {_TRIMMED})", f"case when length(x) > 300 then {_CUT} else {_ROOM} end")}, lambda x: x <> '') as out from documents
+ORACLES["seg_group"] = f"""select doc_id, list_filter({folded(f"list_concat([''], {_TRIMMED})", f"case when length(x) > 300 then {_CUT} else {_ROOM} end")},
+  lambda x: x <> '') as out from documents
 where len({SENTENCES}) > 0 union all select doc_id, case when {strip('text')} = '' then []::varchar[] else [{strip('text')}] end as out from documents where len({SENTENCES}) = 0"""
 _SAME, _NEXT = "split_part(x, chr(31), 1)", "split_part(x, chr(31), 2)"
 _SHORT = f"""case when suffix(a, chr(29)) then left(a, length(a) - 1) when length({_SAME}) >= 20 then {_ADD} || {_SAME}
   when contains(x, chr(31)) and length({_SAME} || ' ' || {_NEXT}) <= 300 then {_ADD} || {_SAME} || ' ' || {_NEXT} || chr(29)
   when a <> '' and length({LAST} || ' ' || {_SAME}) <= 300 then a || ' ' || {_SAME} else {_ADD} || {_SAME} end"""
-ORACLES["seg_append_short"] = f"""with s as (select doc_id, case when len({SENTENCES}) > 0 then list_transform({SENTENCES}, lambda x: {strip('x')}) else [{strip('text')}] end as v from documents),
+ORACLES["seg_append_short"] = f"""with s as (select doc_id, case when len({SENTENCES}) > 0 then list_transform({SENTENCES},
+  lambda x: {strip('x')}) else [{strip('text')}] end as v from documents),
 z as (select doc_id, list_concat([''], list_transform(range(1, len(v) + 1), lambda i: v[i] || case when i < len(v) then chr(31) || v[i + 1] else '' end)) as v from s)
 select doc_id, list_transform({folded('v', _SHORT)}, lambda x: replace(x, chr(29), '')) as out from z"""
 _MIN = f"case when {LAST} = '' then a || x when length({LAST}) < 20 and not contains({LAST}, chr(29)) then a || ' ' || chr(29) || x else a || chr(30) || x end"
@@ -221,12 +223,14 @@ ALIKE = ((" the ", " Lead "), (" and ", " wind "), (" und ", " READ "), (" les "
 _AMBIGUOUS = ", ".join(f"'{w}'" for w in L.HETERONYMS)
 _SAYS_OF = "map {" + ", ".join(f"'{w}': [{', '.join(repr(r[2]) for r in readings)}]" for w, readings in L.HETERONYMS.items()) + "}"
 HITS = f"""x as (select doc_id, {replaced('text', ALIKE)} as text from documents),
-p as (select doc_id, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+') as ps from x), e as (select doc_id, unnest(range(len(ps))) as i, unnest(ps) as w from p),
+p as (select doc_id, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+') as ps from x), e as (select doc_id, unnest(range(len(ps))) as i,
+  unnest(ps) as w from p),
 c as (select *, (sum(length(w)) over (partition by doc_id order by i) - length(w))::bigint as start, lower(w) in ({_AMBIGUOUS}) as hit from e),
 h as (select *, count(*) filter (where hit) over (partition by doc_id order by i) - 1 as hit_no from c)"""
 QUERIES["seg_heteronym"] = lambda spark, sf: H.heteronym_hits(spelt_alike(spark, sf))
 ORACLES["seg_heteronym"] = f"""with {HITS} select doc_id, hit_no, start, start + length(w) as "end", lower(w) as word,
-  substr(text, greatest(start - 40, 0) + 1, start + length(w) + 40 - greatest(start - 40, 0)) as context, {_SAYS_OF}[lower(w)] as says from (select * from h where hit) join x using (doc_id)"""
+  substr(text, greatest(start - 40, 0) + 1, start + length(w) + 40 - greatest(start - 40, 0)) as context, {_SAYS_OF}[lower(w)] as says from (select * from h
+  where hit) join x using (doc_id)"""
 
 
 def respelled(spark, sf):
@@ -238,7 +242,8 @@ def respelled(spark, sf):
 
 QUERIES["txt_respell"] = respelled
 ORACLES["txt_respell"] = f"""with {HITS}, s as (select *, case when hit and hit_no % 2 = 0 then {_SAYS_OF}[lower(w)][hit_no // 2 % 2 + 1] end as say from h)
-select doc_id, string_agg(case when say is null then w when length(w) > 1 and w = upper(w) then upper(say) when left(w, 1) <> lower(left(w, 1)) then upper(left(say, 1)) || substr(say, 2) else say end, '' order by i) as text from s group by 1"""
+select doc_id, string_agg(case when say is null then w when length(w) > 1 and w = upper(w) then upper(say) when left(w, 1) <> lower(left(w,
+  1)) then upper(left(say, 1)) || substr(say, 2) else say end, '' order by i) as text from s group by 1"""
 
 
 def src_dict(spark, sf):
@@ -292,7 +297,8 @@ def _numbered(spark, sf):
 
 _C = rep(rep("lower(line)", "([0-9]),([0-9])", r"\1\2"), "[^a-z0-9'' ]+".replace("''", "'"), " ")
 _C = rep(rep(_C, "([0-9])([a-z])", r"\1 \2"), "([a-z])([0-9])", r"\1 \2")
-ORACLES["txt_normwords"] = f"""with {V.LINES}, x as (select doc_id, line_no, ({_N})::varchar || case when doc_id % 3 = 0 then ',250x' else 'th ' end || line as line from doc_lines),
+ORACLES["txt_normwords"] = f"""with {V.LINES}, x as (select doc_id, line_no, ({_N})::varchar || case
+  when doc_id % 3 = 0 then ',250x' else 'th ' end || line as line from doc_lines),
 c as (select doc_id, line_no, regexp_extract_all({_C}, '[0-9]+|[^0-9]+') as ps from x), e as (select doc_id, line_no, unnest(range(len(ps))) as i, unnest(ps) as w from c),
 n as (select *, try_cast(case when regexp_matches(w, '^[0-9]') then w end as bigint) as n from e)
 select doc_id, line_no, {squeeze(f"string_agg(case when n is null then w else {_number_sql('n')} end, '' order by i)")} as out from n group by 1, 2"""

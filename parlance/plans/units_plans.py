@@ -32,8 +32,10 @@ def casting(spark, sf):
     )
 
 
-CASTING = """casting as (select book, case when role = 'Narrator' then 'narrator' else role end as role, case when role not in ('Orrin', 'Hello') then 'v_' || lower(left(role, 3)) end as voice,
-  case when role in ('Tamsin', 'Orrin') then 0.7::double end as exaggeration, case when role = 'Narrator' then 0.6::double end as temperature, case when role = 'Tamsin' then 7::bigint end as seed
+CASTING = """casting as (select book, case when role = 'Narrator' then 'narrator' else role end as role, case when role not in ('Orrin',
+  'Hello') then 'v_' || lower(left(role, 3)) end as voice,
+  case when role in ('Tamsin', 'Orrin') then 0.7::double end as exaggeration, case when role = 'Narrator' then 0.6::double end as temperature, case
+  when role = 'Tamsin' then 7::bigint end as seed
   from (select distinct book, speaker as role from units where speaker in ('Tamsin', 'Orrin', 'Captain Vale', 'Narrator', 'Hello')))"""
 CAST = "c as (select book, speaker as name, count(*) as lines from units where kind = 'dialogue' group by 1, 2)"
 
@@ -50,7 +52,8 @@ add(
     "agg_bigrams", lambda s, d: U.name_bigrams(units(s, d).withColumn("text", F.concat("speaker", F.lit(" said. "), F.col("text")))),
     f"""m as (select book, id, regexp_extract_all(speaker || ' said. ' || text, '\\b([A-Z][a-zA-Z''’-]+ [A-Z][a-zA-Z''’-]*[a-zA-Z])(?:$|[^\\p{{L}}\\p{{N}}_])', 1) as m from units),
 g as (select book, id, unnest(range(len(m))) as place, unnest(m) as surface from m), w as (select *, {_W(1)} as first, {_W(2)} as last from g)
-select book, first, last, count(*) as n, arg_min(surface, (id, place)) as surface from w where first <> '' and last <> '' and first not in ({_T}) and last not in ({_T}) group by 1, 2, 3""",
+select book, first, last, count(*) as n, arg_min(surface, (id, place)) as surface from w where first <> '' and last <> '' and first not in ({_T})
+  and last not in ({_T}) group by 1, 2, 3""",
 )
 _SEEN = "seen as (select a.book, a.speaker as name, b.speaker as other, count(*) as n from units a join units b on a.book = b.book and b.id between a.id - 5 and a.id + 5 where a.kind = 'dialogue' and b.kind = 'dialogue' and a.speaker <> b.speaker group by 1, 2, 3)"
 add("agg_profile", lambda s, d: U.companions(units(s, d)), f"{_SEEN} select * from seen")
@@ -70,16 +73,21 @@ def _veto(s, d):
 add(
     "agg_anchor_veto", _veto,
     """v as (select book, id, case when id % 37 < 30 then speaker else 'Solo' end as speaker from units where kind = 'dialogue'),
-seen as (select a.book, a.speaker as name, b.speaker as other, count(*) as n from v a join v b on a.book = b.book and b.id between a.id - 1 and a.id + 1 where a.speaker <> b.speaker group by 1, 2, 3),
+seen as (select a.book, a.speaker as name, b.speaker as other, count(*) as n from v a join v b on a.book = b.book and b.id between a.id - 1 and a.id + 1
+  where a.speaker <> b.speaker group by 1, 2, 3),
 nm as (select distinct book, name from seen), p as (select x.book, x.name as a, y.name as b from nm x join nm y on x.book = y.book and x.name <> y.name),
-top as (select p.book, p.a, p.b, arg_max(s.other, (s.n, s.other)) as who, max(s.n) as most, sum(s.n) as met from p join seen s on s.book = p.book and s.name = p.a and s.other <> p.b group by 1, 2, 3),
+top as (select p.book, p.a, p.b, arg_max(s.other, (s.n, s.other)) as who, max(s.n) as most, sum(s.n) as met from p join seen s on s.book = p.book
+  and s.name = p.a and s.other <> p.b group by 1, 2, 3),
 few as (select p.book, p.a, p.b, sum(s.n) as met from p join seen s on s.book = p.book and s.name = p.b and s.other <> p.a group by 1, 2, 3)
-select t.book, t.a, t.b, t.who from top t join few using (book, a, b) where t.most >= 0.3 * t.met and few.met >= 3 and not exists (select 1 from seen s where s.book = t.book and s.name = t.b and s.other = t.who)""",
+select t.book, t.a, t.b, t.who from top t join few using (book, a, b) where t.most >= 0.3 * t.met and few.met >= 3 and not exists (select 1 from seen s
+  where s.book = t.book and s.name = t.b and s.other = t.who)""",
 )
 LINES = """given as (select * from casting where voice is not null or exaggeration is not null or temperature is not null or seed is not null),
-lines as (select book, id, speaker, voice, case when voice is not null then coalesce(exaggeration, 0.5) end as exaggeration, case when voice is not null then 0.5::double end as cfg_weight,
+lines as (select book, id, speaker, voice, case when voice is not null then coalesce(exaggeration, 0.5) end as exaggeration, case
+  when voice is not null then 0.5::double end as cfg_weight,
   case when voice is not null then coalesce(temperature, 0.8) end as temperature, case when voice is not null then seed end as seed
-  from (select x.book, x.id, x.role as speaker, g.voice, g.exaggeration, g.temperature, g.seed from (select u.*, case when kind = 'narration' then 'narrator' else speaker end as role from units u) x
+  from (select x.book, x.id, x.role as speaker, g.voice, g.exaggeration, g.temperature, g.seed from (select u.*, case
+  when kind = 'narration' then 'narrator' else speaker end as role from units u) x
     left join given g on g.book = x.book and g.role = case when exists (select 1 from given h where h.book = x.book and h.role = x.role) then x.role else 'narrator' end))"""
 lines = lambda s, d: U.cast_lines(units(s, d), casting(s, d))
 add("join_cast_voice", lines, f"{CASTING}, {LINES} select * from lines")
@@ -155,8 +163,10 @@ _SF = lambda x: f"lower(trim(regexp_replace(regexp_replace({x}, '[\"''“”‘
 _SEL = "case when id % 3 = 0 then substr(text, 4, 40) when id % 3 = 1 then text || ' and more' else 'nowhere to be found' end"
 add(
     "join_selection", lambda s, d: U.locate(_selections(s, d), units(s, d)),
-    f"""sel as (select book || '-' || id as sel_id, book, case when id % 4 <> 1 then para end as para, {_SF(_SEL)} as s from units where id % 13 = 0), u as (select book, para, id, {_SF('text')} as u from units),
-r as (select sel_id, id, case when (sel.para is null or sel.para = u.para) and contains(u, left(s, 60)) then 1 when u <> '' and contains(s, u) then 2 when sel.para = u.para then 3 end as p from sel join u using (book) where s <> ''),
+    f"""sel as (select book || '-' || id as sel_id, book, case when id % 4 <> 1 then para end as para, {_SF(_SEL)} as s from units where id % 13 = 0),
+  u as (select book, para, id, {_SF('text')} as u from units),
+r as (select sel_id, id, case when (sel.para is null or sel.para = u.para) and contains(u, left(s, 60)) then 1 when u <> '' and contains(s, u) then 2
+  when sel.para = u.para then 3 end as p from sel join u using (book) where s <> ''),
 k as (select *, row_number() over (partition by sel_id order by p, id) as k from r where p is not null)
 select sel.sel_id, k.id as unit_id, k.p as rule from sel left join k on k.sel_id = sel.sel_id and k.k = 1""",
 )
@@ -172,7 +182,8 @@ def _reveals(s, d):
 add(
     "join_reveal", lambda s, d: U.resolve_at(U.dialogue(units(s, d)), _reveals(s, d)),
     """f as (select book, min(para) as at0 from units where speaker = 'Old Orrin' group by 1)
-select u.book, id, para, speaker, case when speaker in ('Old Orrin', 'Orrin') and para >= at0 + 200 then 'Vale' when speaker = 'Old Orrin' and para >= at0 + 40 then 'Orrin' else speaker end as who
+select u.book, id, para, speaker, case when speaker in ('Old Orrin', 'Orrin') and para >= at0 + 200 then 'Vale' when speaker = 'Old Orrin'
+  and para >= at0 + 40 then 'Orrin' else speaker end as who
 from units u left join f on f.book = u.book where kind = 'dialogue'""",
 )
 
@@ -185,7 +196,8 @@ def _resumed(s, d):
 add(
     "join_resume", lambda s, d: U.pending(_resumed(s, d), _parts(s, d), 60),
     """p as (select book, para // 40 as chunk, min(id) as first from units group by 1, 2), m as (select book, greatest(1, count(*) * 60 // 100) as most from units group by 1)
-select u.book, p.chunk, u.id from units u join p on p.book = u.book and p.chunk = u.para // 40 join m on m.book = u.book where p.first < m.most and u.kind = 'dialogue' and u.id % 4 <> 0""",
+select u.book, p.chunk, u.id from units u join p on p.book = u.book and p.chunk = u.para // 40 join m on m.book = u.book where p.first < m.most
+  and u.kind = 'dialogue' and u.id % 4 <> 0""",
 )
 add(
     "join_resume_units", lambda s, d: _resumed(s, d).select("book", "id", "speaker", "attr"),
@@ -202,7 +214,8 @@ add(
     "seg_ctx_chunks", lambda s, d: U.context_chunks(units(s, d)),
     """p as (select book, para, sum(length(text))::bigint as n, row_number() over (partition by book order by para) as rn from units group by 1, 2),
 r as (select book, rn, para, 0::bigint as chunk, n as size from p where rn = 1 union all
-  select p.book, p.rn, p.para, r.chunk + case when r.size >= 3500 then 1 else 0 end, p.n + case when r.size >= 3500 then 0 else r.size end from r join p on p.book = r.book and p.rn = r.rn + 1)
+  select p.book, p.rn, p.para, r.chunk + case when r.size >= 3500 then 1 else 0 end, p.n + case when r.size >= 3500 then 0 else r.size end from r
+  join p on p.book = r.book and p.rn = r.rn + 1)
 select book, para, chunk from r""",
 )
 _parts = lambda s, d: units(s, d).select("book", "para", (F.floor(F.col("para") / 40)).alias("chunk")).distinct()

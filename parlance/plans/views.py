@@ -66,7 +66,8 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SPANS = """spans as (select clip, seq, gap_ms, dur_ms, cast(sum(gap_ms + dur_ms) over (partition by clip order by seq) - dur_ms as bigint) as s_ms,
   cast(sum(gap_ms + dur_ms) over (partition by clip order by seq) as bigint) as e_ms
-  from (select user_id as clip, row_number() over (partition by user_id order by ts, event_id) as seq, (event_id * 37) % 20 * 100 as gap_ms, 200 + (event_id * 53) % 60 * 100 as dur_ms from events))"""
+  from (select user_id as clip, row_number() over (partition by user_id order by ts, event_id) as seq, (event_id * 37) % 20 * 100 as gap_ms,
+  200 + (event_id * 53) % 60 * 100 as dur_ms from events))"""
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,8 @@ def _joined(rows: str, keys: str, fits: str, out: str) -> str:
     same = " and ".join(f"n.{k} = r.{k}" for k in keys.split(", "))
     nk = ", ".join(f"n.{k}" for k in keys.split(", "))
     return f"""{out}_r as (select {keys}, rn, s, e, s as first, 0::bigint as i from {rows} where rn = 1
-  union all select {nk}, n.rn, n.s, n.e, case when {fits} then r.first else n.s end, r.i + case when {fits} then 0 else 1 end from {out}_r r join {rows} n on {same} and n.rn = r.rn + 1),
+  union all select {nk}, n.rn, n.s, n.e, case when {fits} then r.first else n.s end, r.i + case when {fits} then 0 else 1 end from {out}_r r
+  join {rows} n on {same} and n.rn = r.rn + 1),
 {out} as (select {keys}, i, min(s) as s, arg_max(e, rn) as e, min(rn) as rn0 from {out}_r group by {keys}, i)"""
 
 
@@ -52,7 +53,8 @@ def segments(s, d):
     )
 
 
-SEGMENTS = V.SPANS + """, segments as (select 'c' || clip % 10 as character, clip as episode, s_ms, e_ms, case when seq % 9 = 0 then '' else 'line ' || seq end as text, seq % 50 / 50.0::double as score,
+SEGMENTS = V.SPANS + """, segments as (select 'c' || clip % 10 as character, clip as episode, s_ms, e_ms, case
+  when seq % 9 = 0 then '' else 'line ' || seq end as text, seq % 50 / 50.0::double as score,
   case when seq % 4 = 0 then 'sdh' else 'voice' end as source from spans)"""
 RANK = "order by case when source = 'sdh' then 0 else 1 end, score desc, e_ms - s_ms desc, s_ms"
 unique = lambda seg: seg.groupBy("character", "s_ms", "e_ms", "source", "score").agg(F.min("text").alias("text"), F.min("episode").alias("episode"))
@@ -64,7 +66,8 @@ add(
 v as (select clip, row_number() over (partition by clip order by i) as rn, s, e from u), {_joined('v', 'clip', 'n.e - n.s < 1000 and n.e - r.first <= 14000', 'm')}
 select clip, greatest(0, s - 150) as s_ms, e + 250 as e_ms from m where e - s >= 1000""",
 )
-ISLES = V.SPANS + """, f as (select *, case when s_ms <= max(e_ms) over (partition by clip order by s_ms, e_ms rows between unbounded preceding and 1 preceding) then 0 else 1 end as new from spans),
+ISLES = V.SPANS + """, f as (select *, case when s_ms <= max(e_ms) over (partition by clip order by s_ms, e_ms rows between unbounded preceding
+  and 1 preceding) then 0 else 1 end as new from spans),
 g as (select *, sum(new) over (partition by clip order by s_ms, e_ms) as i from f), isles as (select clip, min(s_ms) as s_ms, max(e_ms) as e_ms from g group by clip, i)"""
 add("ivl_overlap_fix", lambda s, d: O.fix_overlaps(spans(s, d)), f"with {ISLES} select * from isles")
 PROFILE = ISLES + ", p as (select clip, cast(sum(e_ms - s_ms) as bigint) as speech_ms, cast(max(e_ms) - min(s_ms) - sum(e_ms - s_ms) as bigint) as gap_ms, count(*) as bursts from isles group by 1)"
@@ -82,7 +85,8 @@ def _paced(s, d):
 
 add(
     "agg_pace", lambda s, d: O.pace_plan(_paced(s, d), _paced(s, d).where("clip % 10 = 3")),
-    f"""with {PROFILE}, q as (select *, speech_ms // 400 as words, clip % 10 as voice from p), st as (select sum(words) * 1000 / sum(speech_ms) as a, sum(gap_ms) / sum(speech_ms) as g from q where clip % 10 = 3),
+    f"""with {PROFILE}, q as (select *, speech_ms // 400 as words, clip % 10 as voice from p), st as (select sum(words) * 1000 / sum(speech_ms) as a,
+  sum(gap_ms) / sum(speech_ms) as g from q where clip % 10 = 3),
 v as (select voice, sum(words) * 1000 / sum(speech_ms) as a, sum(gap_ms) / sum(speech_ms) as g from q group by 1),
 r as (select voice, round(greatest(0.87, least(1.15, st.a / v.a)), 6) as rate, round(st.g / greatest(v.g, 0.02) * 1.6, 6) as pause_scale from v, st)
 select voice, rate::double as rate, pause_scale::double as pause_scale, abs(rate - 1) < 0.03 and abs(pause_scale - 1) < 0.15 as little_change from r""",
@@ -91,15 +95,20 @@ add(
     "ivl_retime", lambda s, d: O.retime_plan(spans(s, d), 0.9, 1.4),
     f"""{S}, l as (select *, lead(s_ms) over (partition by clip order by seq) - e_ms as gap, e_ms - s_ms as dur from spans),
 w as (select *, least(1500.0::double, gap * 1.4::double) as want from l)
-select clip, round(sum(case when dur > 250 then dur / 0.9::double else dur end + coalesce(case when abs(want - gap) <= 10 then gap when want < gap then greatest(want, 40.0) else want end, 0)), 3) as new_ms,
-  round(sum(case when dur > 250 then dur / 0.9::double else dur end + coalesce(case when abs(want - gap) <= 10 then gap when want < gap then greatest(want, 40.0) else want end, 0)), 3) <= 14500 as kept from w group by 1""",
+select clip, round(sum(case when dur > 250 then dur / 0.9::double else dur end + coalesce(case when abs(want - gap) <= 10 then gap
+  when want < gap then greatest(want, 40.0) else want end, 0)), 3) as new_ms,
+  round(sum(case when dur > 250 then dur / 0.9::double else dur end + coalesce(case when abs(want - gap) <= 10 then gap when want < gap then greatest(want,
+  40.0) else want end, 0)), 3) <= 14500 as kept from w group by 1""",
 )
 add(
     "ivl_tv_merge", lambda s, d: O.merge_segments(segments(s, d)),
-    f"""with recursive {SEGMENTS}, n0 as (select *, row_number() over (partition by character, episode order by s_ms, e_ms, text) as rn from segments), b as (select character, episode, rn, s_ms as s, e_ms as e from n0),
+    f"""with recursive {SEGMENTS}, n0 as (select *, row_number() over (partition by character, episode order by s_ms, e_ms, text) as rn from segments),
+  b as (select character, episode, rn, s_ms as s, e_ms as e from n0),
 {_joined('b', 'character, episode', 'n.s - r.e between 0 and 600 and n.e - r.first <= 14000', 'u')}
-select r.character, r.episode, min(n0.s_ms) as s_ms, arg_max(n0.e_ms, n0.rn) as e_ms, case when count(*) = 1 then min(n0.text) else ltrim(coalesce(string_agg(rtrim(n0.text), ' ' order by n0.rn) filter (where rtrim(n0.text) <> ''), '')) end as text,
-  min(n0.score) as score, case when bool_and(n0.source = 'sdh') then 'sdh' else 'voice' end as source from u_r r join n0 using (character, episode, rn) group by r.character, r.episode, r.i""",
+select r.character, r.episode, min(n0.s_ms) as s_ms, arg_max(n0.e_ms, n0.rn) as e_ms, case
+  when count(*) = 1 then min(n0.text) else ltrim(coalesce(string_agg(rtrim(n0.text), ' ' order by n0.rn) filter (where rtrim(n0.text) <> ''), '')) end as text,
+  min(n0.score) as score, case when bool_and(n0.source = 'sdh') then 'sdh' else 'voice' end as source from u_r r join n0 using (character, episode, rn)
+  group by r.character, r.episode, r.i""",
 )
 add(
     "ivl_train_pick", lambda s, d: O.training_segments(unique(segments(s, d))).select("character", "s_ms", "e_ms", "rank"),
@@ -131,7 +140,8 @@ def _dataset(s, d):
     return O.dataset_rows(rows, block=10**7)
 
 
-_D = f"""with {SEGMENTS}, d as (select character as voice, character || '_' || printf('%04d', row_number() over (partition by character order by episode, s_ms)) as utt_id, text, e_ms - s_ms as dur_ms
+_D = f"""with {SEGMENTS}, d as (select character as voice, character || '_' || printf('%04d', row_number() over (partition by character order by episode,
+  s_ms)) as utt_id, text, e_ms - s_ms as dur_ms
   from segments where text <> '' and e_ms - s_ms between 1000 and 14500 and s_ms % 11 <> 0)"""
 add("ivl_dataset", _dataset, f"{_D} select * from d")
 add("snk_utt_id", lambda s, d: _dataset(s, d).select("voice", "utt_id"), f"{_D} select voice, utt_id from d")
@@ -215,10 +225,14 @@ def _features(s, d):
     return e.select("label", "vec_id", *side("c")).join(ref, "label")
 
 
-_MATCH = """with f as (select label, vec_id, embedding::double[] as e, embedding[1:8]::double[] as l, case when vec_id % 5 <> 0 then 100.0::double + vec_id % 60 end as med, 2.0::double + vec_id % 3 as iqr,
-  vec_id % 10 / 10.0::double as pause, vec_id % 7 / 3.0::double as rate, 1.0::double + vec_id % 4 as burst, vec_id = min(vec_id) over (partition by label) as is_ref from embeddings),
-m as (select r.vec_id as ref, c.vec_id, round(0.55 * greatest(0, least(1, list_cosine_similarity(r.e, c.e))) + 0.15 * exp(-list_distance(r.l, c.l) / sqrt(8)) + 0.10 * coalesce(exp(-(abs(12 * log2(c.med / r.med)) / 2 + abs(c.iqr - r.iqr) / 4)), 0.5)
-  + 0.20 * coalesce(exp(-(abs(c.pause - r.pause) / 0.4 + abs(c.rate - r.rate) / 1.5 + abs(c.burst - r.burst) / 3)), 0.5), 5) as score from f c join f r on c.label = r.label and r.is_ref)"""
+_MATCH = """with f as (select label, vec_id, embedding::double[] as e, embedding[1:8]::double[] as l, case
+  when vec_id % 5 <> 0 then 100.0::double + vec_id % 60 end as med, 2.0::double + vec_id % 3 as iqr,
+  vec_id % 10 / 10.0::double as pause, vec_id % 7 / 3.0::double as rate, 1.0::double + vec_id % 4 as burst,
+  vec_id = min(vec_id) over (partition by label) as is_ref from embeddings),
+m as (select r.vec_id as ref, c.vec_id, round(0.55 * greatest(0, least(1, list_cosine_similarity(r.e, c.e))) + 0.15 * exp(-list_distance(r.l,
+  c.l) / sqrt(8)) + 0.10 * coalesce(exp(-(abs(12 * log2(c.med / r.med)) / 2 + abs(c.iqr - r.iqr) / 4)), 0.5)
+  + 0.20 * coalesce(exp(-(abs(c.pause - r.pause) / 0.4 + abs(c.rate - r.rate) / 1.5 + abs(c.burst - r.burst) / 3)), 0.5), 5) as score from f c
+  join f r on c.label = r.label and r.is_ref)"""
 add("sim_match", lambda s, d: O.match_scores(_features(s, d)).select("ref", "vec_id", "score"), f"{_MATCH} select * from m")
 add(
     "top_best_match", lambda s, d: O.match_scores(_features(s, d)).where("ref <> vec_id").groupBy("ref").agg(F.max_by("vec_id", F.struct("score", "vec_id")).alias("best"), F.max("score").alias("score")),
@@ -228,7 +242,8 @@ _GRID = {"exaggeration": [0.3, 0.5, 0.7], "cfg_weight": [0.3, 0.5, 0.7], "temper
 add("join_grid", lambda s, d: V.table(s, d, "embeddings").select("label").distinct().crossJoin(F.broadcast(O.param_grid(s, _GRID))), "select l.label, a as exaggeration, b as cfg_weight, c as temperature from (select distinct label from embeddings) l, (select unnest([0.3, 0.5, 0.7])::double as a), (select unnest([0.3, 0.5, 0.7])::double as b), (select unnest([0.7, 0.9])::double as c)")
 add(
     "seg_partials", lambda s, d: V.documents(s, d).select("doc_id", F.explode(O.partial_windows(F.length("text").cast("long"))).alias("start")),
-    """with n as (select doc_id, length(text) as n, greatest(length(text) - 83, 0) // 77 as w from documents), k as (select doc_id, n, w + case when (n - w * 77) / 160.0 >= 0.8 or w = 0 then 1 else 0 end as k from n) select doc_id, unnest(range(k)) * 77 as start from k""",
+    """with n as (select doc_id, length(text) as n, greatest(length(text) - 83, 0) // 77 as w from documents), k as (select doc_id, n, w + case
+  when (n - w * 77) / 160.0 >= 0.8 or w = 0 then 1 else 0 end as k from n) select doc_id, unnest(range(k)) * 77 as start from k""",
 )
 
 
