@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import language, licences, media, minhash, packing, pieces, quality, sharding, suffixes, toxicity
+from parlance.llm import language, licences, media, merkle, minhash, packing, pieces, quality, sharding, spelling, suffixes, toxicity
 from parlance.llm.common import table
 from parlance.llm.oracles import ORACLES  # noqa: F401
 
@@ -62,4 +62,14 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_spans(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_avi_media, op2_near_duplicates, op3_quality_rules, op4_language_id, op5_histogram_shards, op6_licence_scan, op7_sentencepiece, op8_length_packing, op9_toxicity, op10_suffix_dedup)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    return merkle.verified_manifest(docs, tampered, F.replace(F.col("text"), F.lit("\n"), F.lit("")))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_groups(table(spark, sf_dir, "documents"), slip_every=199)
+
+
+QUERIES = {f.__name__: f for f in (op1_avi_media, op2_near_duplicates, op3_quality_rules, op4_language_id, op5_histogram_shards, op6_licence_scan, op7_sentencepiece, op8_length_packing, op9_toxicity, op10_suffix_dedup, op11_merkle_manifest, op13_spelling_variants)}
