@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import language, licences, media, merkle, minhash, packing, pieces, quality, sharding, spelling, suffixes, toxicity
+from parlance.llm import language, licences, media, merkle, minhash, neighbours, packing, pieces, quality, sharding, spelling, suffixes, toxicity
 from parlance.llm.common import table
 from parlance.llm.oracles import ORACLES  # noqa: F401
 
@@ -68,8 +68,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified_manifest(docs, tampered, F.replace(F.col("text"), F.lit("\n"), F.lit("")))
 
 
+def op12_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), every=100)
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variant_groups(table(spark, sf_dir, "documents"), slip_every=199)
 
 
-QUERIES = {f.__name__: f for f in (op1_avi_media, op2_near_duplicates, op3_quality_rules, op4_language_id, op5_histogram_shards, op6_licence_scan, op7_sentencepiece, op8_length_packing, op9_toxicity, op10_suffix_dedup, op11_merkle_manifest, op13_spelling_variants)}
+QUERIES = {f.__name__: f for f in (op1_avi_media, op2_near_duplicates, op3_quality_rules, op4_language_id, op5_histogram_shards, op6_licence_scan, op7_sentencepiece, op8_length_packing, op9_toxicity, op10_suffix_dedup, op11_merkle_manifest, op12_nearest_vectors, op13_spelling_variants)}
