@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from parlance.llm.licences import CONTAINMENT, PHRASES, TEMPLATES, _tokens, needed
 from parlance.llm.quality import STOP_WORDS, THRESHOLDS
+from parlance.llm.spelling import LOWER, MIN_CHARS, MIN_COUNT, TIMES, UPPER
 
 
 def _list(items) -> str:
@@ -70,4 +71,88 @@ select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(coalesce(n_base, 0) a
 from d left join b on b.doc_id = d.doc_id left join m on m.doc_id = d.doc_id
 """
 
-ORACLES = {"op3_quality_rules": OP3, "op6_licence_scan": OP6}
+
+
+def _crc_table() -> list[int]:
+    """What each byte does to a CRC-32: eight steps by the reversed polynomial."""
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = (c >> 1) ^ (0xEDB88320 if c & 1 else 0)
+        out.append(c)
+    return out
+
+
+def _crc32(text: str) -> str:
+    """SQL of the unsigned CRC-32 of a string's UTF-8 bytes."""
+    octets = f"list_transform(range(1, 2 * octet_length(encode({text})), 2), lambda i: cast('0x' || substr(hex(encode({text})), i, 2) as bigint))"
+    fold = f"list_reduce({octets}, lambda c, b: xor(c >> 8, {_crc_table()}[xor(c & 255, b) + 1]::bigint), 4294967295::bigint)"
+    return f"xor({fold}, 4294967295::bigint)"
+
+
+def _framed(value: str) -> str:
+    return f"coalesce(octet_length(encode({value}::varchar)) || ':' || {value}::varchar, '-')"
+
+
+_LEAF = "sha256(" + " || ".join(_framed(x) for x in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+OP11 = f"""
+with recursive d as (
+  select doc_id, coalesce('=' || source, '') as tree, {_LEAF.format(text="text")} as leaf,
+         case when {_crc32("doc_id::varchar")} % 2 = 0 then {_LEAF.format(text="replace(text, chr(10), '')")} end as changed
+  from documents),
+l as (select *, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as rank, count(*) over (partition by tree) as many from d),
+nodes(tree, level, i, digest, many) as (
+  select tree, 0, rank, leaf, many from l
+  union all
+  select tree, any_value(level) + 1, i // 3, sha256(string_agg(digest, '' order by i)), (any_value(many) + 2) // 3 from nodes where many > 1 group by tree, i // 3),
+tops as (select tree, digest, row_number() over (order by tree) - 1 as k, count(*) over () as many from nodes where many = 1),
+upper(level, i, digest, many) as (
+  select 0, k, digest, many from tops
+  union all
+  select any_value(level) + 1, i // 3, sha256(string_agg(digest, '' order by i)), (any_value(many) + 2) // 3 from upper where many > 1 group by i // 3),
+steps as (
+  select tree, rank, level, coalesce(string_agg(digest, '' order by i) filter (where i < own), '') as before, coalesce(string_agg(digest, '' order by i) filter (where i > own), '') as after
+  from (select l.tree, l.rank, x.level, x.i, x.digest, l.rank // cast(pow(3, x.level) as bigint) as own
+        from l join nodes x on x.tree = l.tree and x.many > 1 and x.i // 3 = l.rank // cast(pow(3, x.level + 1) as bigint)
+        union all
+        select l.tree, l.rank, 1000 + x.level, x.i, x.digest, t.k // cast(pow(3, x.level) as bigint)
+        from l join tops t on t.tree = l.tree join upper x on x.many > 1 and x.i // 3 = t.k // cast(pow(3, x.level + 1) as bigint))
+  group by tree, rank, level),
+path as (select *, row_number() over (partition by tree, rank order by level) - 1 as s from steps),
+proof as (select tree, rank, sha256(string_agg(before || after, '' order by s)) as proof from path group by tree, rank),
+folds(tree, rank, s, node) as (
+  select tree, rank, 0, coalesce(changed, leaf) from l
+  union all
+  select f.tree, f.rank, f.s + 1, sha256(p.before || f.node || p.after) from folds f join path p on p.tree = f.tree and p.rank = f.rank and p.s = f.s),
+folded as (select tree, rank, arg_max(node, s) as node from folds group by tree, rank)
+select l.doc_id, l.leaf, t.digest as subroot, r.digest as root, coalesce(p.proof, sha256('')) as proof_sha256, f.node as folded_root, f.node = r.digest as verified
+from l join tops t on t.tree = l.tree join folded f on f.tree = l.tree and f.rank = l.rank left join proof p on p.tree = l.tree and p.rank = l.rank
+cross join (select digest from upper where many = 1) r
+"""
+
+OP13 = f"""
+with recursive runs as (
+  select doc_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[a-z\\x{{C0}}-\\x{{FF}}]{{{MIN_CHARS},}}')) as run from documents),
+hashed as (select run, count, {_crc32("coalesce(doc_id::varchar, '') || ':' || run")} as h from (select doc_id, run, count(*) as count from runs group by all)),
+slipped as (select case when h % 199 = 0 then substr(run, 1, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word, count from hashed),
+w as (select word, sum(count)::bigint as n from slipped where length(word) >= {MIN_CHARS} group by word having sum(count) >= {MIN_COUNT}),
+skips as (select word, substr(word, 1, i) as head, substr(word, i + 2) as tail from (select word, unnest(range(length(word))) as i from w)),
+cuts as (select word, substr(word, 1, i) as head, substr(word, i + 1) as tail from (select word, unnest(range(length(word) + 1)) as i from w)),
+near as (
+  select a.word as a, b.word as b from skips a join skips b using (head, tail) where a.word <> b.word
+  union select a.word, b.word from skips a join cuts b using (head, tail)
+  union select b.word, a.word from skips a join cuts b using (head, tail)),
+best as (
+  select a, count(*) as n_near, arg_min(b, (-n, b)) as b, max(n) as n
+  from near join w on w.word = near.b group by a),
+m as (
+  select w.word, w.n, coalesce(n_near, 0) as n_near, case when best.n >= {TIMES} * w.n then best.b end as form, case when best.n >= {TIMES} * w.n then best.n end as form_n
+  from w left join best on best.a = w.word),
+follow(word, root, s) as (
+  select word, word, 0 from m
+  union all
+  select f.word, m.form, f.s + 1 from follow f join m on m.word = f.root where m.form is not null)
+select m.word, m.form, r.root, m.n, m.n_near, m.form_n from m join (select word, arg_max(root, s) as root from follow group by word) r on r.word = m.word
+"""
+
+ORACLES = {"op3_quality_rules": OP3, "op6_licence_scan": OP6, "op11_merkle_manifest": OP11, "op13_spelling_variants": OP13}
