@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import operator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pyspark.sql import types as T
-
 from parlance.functions import lexicon as L
 from parlance.functions import text as X
-from parlance.operators.ordered import in_turn, running_total, with_neighbours
+from parlance.operators.ordered import Unknown, after_symbolic, in_blocks, running_total, symbolic_effect, with_neighbours
 
 #: Fixed value: what a name in a speech tag looks like.
 NAME = r"[A-Z][a-zA-Z'’.-]+(?:\s+[A-Z][a-zA-Z'’.-]+)?"
@@ -38,38 +39,60 @@ def tag_speakers(quotes: DataFrame, roster: DataFrame) -> DataFrame:
     return quotes.select("book", "id").join(best, ["book", "id"], "left")
 
 
-def _turns():
-    """Two people taking turns: a tag is trusted and, if new, starts a pair with the last speaker."""
-    pair, last = [], None
-
-    def step(tag, hint):
-        nonlocal pair, last
-        if tag is not None:
-            if tag not in pair:
-                pair = [tag] if last in (None, tag) else [last, tag]
-            last = tag
-            return tag
-        if len(pair) == 2 and last in pair:
-            who = pair[1] if last == pair[0] else pair[0]
-        elif last is None or (hint is not None and hint != last):
-            who = hint
-        else:
-            who = last
-        if who is not None and who not in pair:
-            pair = [*pair, who][-2:]
-        last = who
-        return who
-
-    return step
-
-
-def alternate(quotes: DataFrame) -> DataFrame:
+def _turn(state: tuple, row: tuple, same) -> tuple:
+    """Two people taking turns: (last speaker, the other of the pair) after a row (tag, hint).
+
+    A tag is trusted and takes its place before the last speaker; without one the other of
+    the pair speaks, or, before there is a pair, whom the hint names.
+    """
+    (last, other), (tag, hint) = state, row
+    if tag is not None:
+        return (last, other) if last is not None and same(last, tag) else (tag, last)
+    if other is not None:
+        return (other, last)
+    if last is None or hint is None:
+        return (hint if last is None else last, None)
+    return (last, None) if same(last, hint) else (hint, last)
+
+
+def _in_turn(rows: DataFrame, group: list[str], inputs: list[str], starts: list[tuple], step, block: int | None) -> DataFrame:
+    """rows with `speaker`, the first of the state after each row; step and starts as in symbolic_effect, the group starts in starts[0]."""
+
+    def start_of(state):
+        """Which of the starts a state is one of, and the names it has there."""
+        for k, s in enumerate(starts):
+            if all((x is None) == (y is None) for x, y in zip(s, state)):
+                return k, {x.name: y for x, y in zip(s, state) if x is not None}
+        raise ValueError(state)
+
+    def values(table):
+        return list(zip(*(table.column(c).to_pylist() for c in inputs)))
+
+    def follow(does, state):
+        k, names = start_of(starts[0] if state is None else tuple(state))
+        return after_symbolic(does, k, names)
+
+    def replay(table, state):
+        state, said = starts[0] if state is None else tuple(state), []
+        for row in values(table):
+            state = step(state, row, operator.eq)
+            said.append(state[0])
+        return {"speaker": pa.array(said, pa.string())}
+
+    return in_blocks(rows, group, ["id"], "speaker string", replay, lambda t: symbolic_effect(values(t), starts, step), follow, block)
+
+
+_LAST, _OTHER = Unknown("last"), Unknown("other")
+
+
+def alternate(quotes: DataFrame, block: int | None = None) -> DataFrame:
     """Speakers of quotes (book, run, id, tag, hint): tags first, two people taking turns between them.
 
-    A run is a stretch without a scene break; it streams through in order.
+    A run is a stretch without a scene break. What a block of a long run does to any pair
+    that may enter it is told by a few states, so the run is followed in many tasks.
     """
     rows = quotes.select("book", "run", "id", "tag", "hint")
-    return in_turn(rows, ["book", "run"], ["id"], ["tag", "hint"], "speaker", T.StringType(), _turns).select("book", "id", "speaker")
+    return _in_turn(rows, ["book", "run"], ["tag", "hint"], [(None, None), (_LAST, None), (_LAST, _OTHER)], _turn, block).select("book", "id", "speaker")
 
 
 def token_coref(tokens: DataFrame, entities: DataFrame) -> DataFrame:
@@ -257,26 +280,20 @@ def two_apart(quotes: DataFrame) -> DataFrame:
     return rows.withColumn("speaker", F.coalesce("speaker", guess)).select(*quotes.columns)
 
 
-def _run_turns():
-    """Untagged lines of a run go round its participants, most frequent first, never to somebody whom the line addresses."""
-    last = None
-
-    def step(speaker, vocs, addressee, parts):
-        nonlocal last
-        addressed = {*(vocs or ()), addressee}
-        if len(parts) < 2:  # one known voice and an unnamed other
-            if speaker is None and not vocs and last is None:
-                speaker = parts[0] if parts else None
-        elif speaker is None or speaker in addressed:
-            may = [p for p in parts if p not in addressed] or parts
-            speaker = next((p for p in may if p != last), may[0])
-        last = speaker
-        return speaker
-
-    return step
+def _run_turn(state: tuple, row: tuple, same) -> tuple:
+    """The speaker after a row (speaker, vocs, addressee, parts): an untagged line goes to the most
+    frequent participant who did not speak last, never to somebody whom the line addresses."""
+    (last,), (speaker, vocs, addressee, parts) = state, row
+    addressed = {*(vocs or ()), addressee}
+    if len(parts) < 2:  # one known voice and an unnamed other
+        return (parts[0] if parts else None,) if speaker is None and not vocs and last is None else (speaker,)
+    if speaker is not None and speaker not in addressed:
+        return (speaker,)
+    may = [p for p in parts if p not in addressed] or parts
+    return (may[1] if len(may) > 1 and last is not None and same(last, may[0]) else may[0],)
 
 
-def alternate_run(quotes: DataFrame) -> DataFrame:
+def alternate_run(quotes: DataFrame, block: int | None = None) -> DataFrame:
     """(book, run, id, speaker): what the other sieves leave open alternates among the run's participants.
 
     quotes: (book, run, id, speaker, vocs, addressee). Participants are all speakers of the
@@ -291,7 +308,7 @@ def alternate_run(quotes: DataFrame) -> DataFrame:
     rank = spoke.unionByName(heard).groupBy(*key, "name").agg((-F.sum("n")).alias("m"), F.min(F.struct(F.when(F.col("n") == 0, F.lit(1)).otherwise(0).alias("k"), F.col("id"), F.col("at"))).alias("first"))
     parts = rank.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("m", "first", "name"))), lambda p: p["name"]).alias("parts"))
     rows = quotes.select(*key, "id", F.col("speaker").alias("__s"), "vocs", "addressee").join(parts, key, "left").withColumn("parts", F.coalesce("parts", F.array().cast("array<string>")))
-    return in_turn(rows, key, ["id"], ["__s", "vocs", "addressee", "parts"], "speaker", T.StringType(), _run_turns).select(*key, "id", "speaker")
+    return _in_turn(rows, key, ["__s", "vocs", "addressee", "parts"], [(None,), (_LAST,)], _run_turn, block).select(*key, "id", "speaker")
 
 
 def resolve_runs(quotes: DataFrame) -> DataFrame:

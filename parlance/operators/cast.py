@@ -48,7 +48,8 @@ def reveal_pairs(reveals: DataFrame) -> DataFrame:
     """(book, a, b): names that a reveal (book, alias, real, at, seq) turns into one another in the end."""
     names = reveals.select("book", F.col("alias").alias("speaker")).union(reveals.select("book", "real")).distinct()
     ends = resolve_at(names.withColumns({"id": F.lit(0).cast("long"), "para": F.lit(2**62)}), reveals)
-    return ends.where("who <> speaker").select("book", F.least("speaker", "who").alias("a"), F.greatest("speaker", "who").alias("b")).distinct()
+    other = X.name_key(F.col("who"), True) != X.name_key(F.col("speaker"), True)
+    return ends.where(other).select("book", F.least("speaker", "who").alias("a"), F.greatest("speaker", "who").alias("b")).distinct()
 
 
 def askable_pairs(pairs: DataFrame, cast: DataFrame, veto: DataFrame, revealed: DataFrame | None = None, main: int = 100, few: int = 5) -> DataFrame:
@@ -149,7 +150,7 @@ def _linked(links: DataFrame) -> DataFrame:
 def _fold_links(t: pa.Table) -> pa.Table:
     """Links of one part in their order: all of a's names go over to b and take b's display."""
     group: dict[str, dict] = {}
-    for r in sorted(t.to_pylist(), key=lambda r: (r["seq"], r["a"], r["b"])):
+    for r in sorted(t.to_pylist(), key=lambda r: tuple(r["seq"].values())):
         x, y = (group.setdefault(n, {"names": [n], "display": n}) for n in (r["a"], r["b"]))
         if x is y:
             continue
@@ -163,50 +164,89 @@ def _fold_links(t: pa.Table) -> pa.Table:
 
 
 def identities(links: DataFrame) -> DataFrame:
-    """(book, name, display, char_id): names that links (book, a, b, seq) make one person; b is the better known one.
+    """(book, name, key, display, char_id): names that links (book, a, b, seq) make one person; b is the better known one.
 
-    char_id is a hash of the book and the name shown. All links count. Where each name is at most once an `a` and there is no cycle, the name
-    that is never an `a` is shown; only other parts are folded in the order of seq, then a, b.
+    Names are told apart by their key (lower case, letters a-z, digits and blanks), so that
+    spellings in other cases or with marks are one name; it is shown as it is first spelled,
+    in the order of seq, then a, b. Names without a key link nothing. char_id is a hash of
+    the book and the key shown. Where each key is at most once an `a` and there is no cycle,
+    the key that is never an `a` is shown; only other parts are folded in the order of seq.
     """
-    links = cut(links.where("a <> b").groupBy("book", "a", "b").agg(F.min(F.col("seq").cast("long")).alias("seq")))
+    key = lambda c: X.name_key(F.col(c), True)
+    asked = cut(links.select("book", "a", "b", F.col("seq").cast("long").alias("seq"), key("a").alias("ka"), key("b").alias("kb")))
+    seen = [asked.select("book", F.col(f"k{x}").alias("key"), F.col(x).alias("name"), F.struct("seq", "a", "b", F.lit(x).alias("side")).alias("at")) for x in "ab"]
+    spelled = cut(seen[0].unionByName(seen[1]).where("key <> ''").groupBy("book", "key", "name").agg(F.min("at").alias("at")))
+    first = spelled.groupBy("book", "key").agg(F.min_by("name", "at").alias("shown"))
+    links = cut(asked.where("ka <> '' and kb <> '' and ka <> kb").groupBy("book", F.col("ka").alias("a"), F.col("kb").alias("b")).agg(F.min(F.struct("seq", F.col("a").alias("x"), F.col("b").alias("y"))).alias("seq")))
     names = cut(_linked(links).join(links.groupBy("book", F.col("a").alias("name")).agg(F.count(F.lit(1)).alias("__n")), ["book", "name"], "left"))
     parts = cut(names.groupBy("book", "part").agg(F.max("__n").alias("__most"), F.min(F.when(F.col("__n").isNull(), F.col("name"))).alias("display")))
     plain = "__most = 1 and display is not null"
     chains = names.join(parts.where(plain), ["book", "part"]).select("book", "name", "display")
     folded = links.join(names.select("book", F.col("name").alias("a"), "part"), ["book", "a"]).join(parts.where(f"not ({plain})").select("book", "part"), ["book", "part"])
-    found = chains.unionByName(folded.select("book", "part", "a", "b", "seq").groupBy("book", "part").applyInArrow(_fold_links, "book string, name string, display string"))
-    return found.withColumn("char_id", F.xxhash64("book", "display"))
+    folded = folded.select("book", "part", "a", "b", F.struct("seq.seq", "seq.x", "seq.y").alias("seq")).groupBy("book", "part").applyInArrow(_fold_links, "book string, name string, display string")
+    ends = chains.unionByName(folded).withColumnRenamed("name", "key").withColumnRenamed("display", "end")
+    known = spelled.select("book", "key", "name").join(ends, ["book", "key"], "left").withColumn("end", F.coalesce("end", "key"))
+    shown = known.join(first.select("book", F.col("key").alias("end"), F.col("shown").alias("display")), ["book", "end"])
+    return shown.select("book", "name", "key", "display", F.xxhash64("book", "end").alias("char_id"))
+
+
+def _fold_joins(t: pa.Table) -> pa.Table:
+    """One part's names joined by its accepted pairs in their order; a pair is passed over if it would bring
+    two established names or names of a `different` pair together. Sets of the smaller side move, so that
+    the work is about linear in names, pairs and `different` pairs."""
+    rows = sorted(t.to_pylist(), key=lambda r: (r["kind"], r["w"], r["a"], r["b"] or ""))
+    lines = {r["a"]: r["w"] for r in rows if r["kind"] == "n"}
+    known = {r["a"]: r["established"] for r in rows if r["kind"] == "n"}
+    of = {n: n for n in lines}
+    members = {n: [n] for n in lines}
+    apart: dict[str, set] = {n: set() for n in lines}
+    for r in (r for r in rows if r["kind"] == "d"):
+        apart[r["a"]].add(r["b"])
+        apart[r["b"]].add(r["a"])
+    for r in (r for r in rows if r["kind"] == "s"):
+        x, y = of[r["a"]], of[r["b"]]
+        if x == y or (known[x] and known[y]) or y in apart[x]:
+            continue
+        if len(members[x]) + len(apart[x]) > len(members[y]) + len(apart[y]):
+            x, y = y, x
+        for n in members[x]:
+            of[n] = y
+        members[y] += members.pop(x)
+        known[y] = known[y] or known[x]
+        for z in apart.pop(x):
+            apart[z].discard(x)
+            apart[z].add(y)
+            apart[y].add(z)
+    best = {y: max(ns, key=lambda n: (lines[n], n)) for y, ns in members.items()}
+    names = sorted(lines)
+    return pa.table({"book": pa.array([t["book"][0].as_py()] * len(names), pa.string()), "name": pa.array(names, pa.string()), "group": pa.array([best[of[n]] for n in names], pa.string())})
 
 
 def components(cast: DataFrame, same: DataFrame, different: DataFrame, established: int = 30) -> DataFrame:
-    """(book, name, group): accepted pairs joined in the order of their evidence (seq).
+    """(book, name, group): accepted pairs (book, a, b, seq) joined in the order of seq, a, b; a group is named by its name of most lines.
 
     A join is undone if it would bring two established characters or a `different` pair
-    together. That is sequential in the links of one book's cast, which are tens of rows.
+    together. Groups only grow, so where a whole part that the pairs connect holds neither
+    two established names nor both names of a `different` pair, nothing in it can have been
+    undone: such parts, over all books, are found by rounds of joins. Only the other parts
+    are folded in order, each on its own. Pairs with a name outside the cast count nothing.
     """
-    rows = (
-        cast.select("book", F.lit("n").alias("kind"), F.col("name").alias("a"), F.lit(None).cast("string").alias("b"), F.col("lines").alias("w"))
-        .unionByName(same.select("book", F.lit("s").alias("kind"), "a", "b", F.col("seq").cast("long").alias("w")))
-        .unionByName(different.select("book", F.lit("d").alias("kind"), "a", "b", F.lit(0).cast("long").alias("w")))
-    )
-
-    def work(t: pa.Table) -> pa.Table:
-        got = sorted(t.to_pylist(), key=lambda r: (r["kind"], r["w"], r["a"], r["b"] or ""))
-        lines = {r["a"]: r["w"] for r in got if r["kind"] == "n"}
-        parts = {n: {n} for n in lines}
-        apart = [(r["a"], r["b"]) for r in got if r["kind"] == "d"]
-        for r in (r for r in got if r["kind"] == "s" and r["a"] in parts and r["b"] in parts):
-            both = parts[r["a"]] | parts[r["b"]]
-            if sum(lines[n] >= established for n in both) > 1 and parts[r["a"]] is not parts[r["b"]]:
-                continue
-            if any(x in both and y in both for x, y in apart):
-                continue
-            for n in both:
-                parts[n] = both
-        names = sorted(parts)
-        return pa.table({"book": pa.array([got[0]["book"]] * len(names)), "name": pa.array(names), "group": pa.array([max(parts[n], key=lambda x: (lines[x], x)) for n in names])})
-
-    return rows.groupBy("book").applyInArrow(work, "book string, name string, group string")
+    names = cut(cast.select("book", "name", "lines"))
+    inside = lambda df, *more: df.select("book", "a", "b", *more).where("a <> b").join(names.select("book", F.col("name").alias("a")), ["book", "a"], "left_semi").join(names.select("book", F.col("name").alias("b")), ["book", "b"], "left_semi")
+    links = cut(inside(same, F.col("seq").cast("long").alias("seq")))
+    parts = cut(names.join(_linked(links), ["book", "name"], "left").withColumn("part", F.coalesce("part", "name")))
+    at = lambda c: parts.select("book", F.col("name").alias(c), F.col("part").alias(f"p_{c}"))
+    apart = cut(inside(different).join(at("a"), ["book", "a"]).join(at("b"), ["book", "b"]).where("p_a = p_b").select("book", "a", "b", F.col("p_a").alias("part")).distinct())
+    crowded = parts.groupBy("book", "part").agg(F.count_if(F.col("lines") >= established).alias("n")).where("n > 1").select("book", "part")
+    torn = cut(crowded.unionByName(apart.select("book", "part")).distinct())
+    whole = parts.join(torn, ["book", "part"], "left_anti")
+    big = whole.groupBy("book", "part").agg(F.max_by("name", F.struct("lines", "name")).alias("group"))
+    free = whole.join(big, ["book", "part"]).select("book", "name", "group")
+    none = F.lit(None).cast("string").alias("b")
+    rows = parts.join(torn, ["book", "part"], "left_semi").select("book", "part", F.lit("n").alias("kind"), F.col("name").alias("a"), none, F.col("lines").alias("w"), (F.col("lines") >= established).alias("established"))
+    rows = rows.unionByName(links.join(at("a"), ["book", "a"]).select("book", F.col("p_a").alias("part"), F.lit("s").alias("kind"), "a", "b", F.col("seq").alias("w"), F.lit(False).alias("established")).join(torn, ["book", "part"], "left_semi"))
+    rows = rows.unionByName(apart.select("book", "part", F.lit("d").alias("kind"), "a", "b", F.lit(0).cast("long").alias("w"), F.lit(False).alias("established")))
+    return free.unionByName(rows.groupBy("book", "part").applyInArrow(_fold_joins, "book string, name string, group string"))
 
 
 def canonical_names(groups: DataFrame, cast: DataFrame, bigrams: DataFrame, main: int = 100, least: int = 5) -> DataFrame:

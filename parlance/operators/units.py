@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import bisect
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from parlance.functions import lexicon as L
 from parlance.functions import text as X
-from parlance.operators.ordered import in_turn, running_total, with_neighbours
+from parlance.operators.ordered import in_blocks, running_total, with_neighbours
+from parlance.sources.tables import cut
 
 #: Settings of a voice where its casting row has none (fixed values).
 VOICE_DEFAULTS = {"exaggeration": 0.5, "cfg_weight": 0.5, "temperature": 0.8, "seed": None}
@@ -276,20 +280,30 @@ def resolve_at(lines: DataFrame, reveals: DataFrame, identity: DataFrame | None
     """Lines with `who`: the speaker's identity after every reveal reached at the line's paragraph, in the order of seq.
 
     reveals: (book, alias, real, at, seq); a reveal may lead to another one further on.
-    identity: (book, name, display) of names that are known to be one; others stand for
-    themselves. A book's reveals are few and travel as one list.
+    identity: (book, name, display) of names that are known to be one. Names are compared by
+    their key (case and marks don't count); a name that links or reveals know is shown as
+    they first spell it, another as the line has it. A book's reveals are few and travel as one list.
     """
+    key = lambda c: X.name_key(F.col(c), True)
+    told = reveals.select("book", "seq", "at", "alias", "real", key("alias").alias("__a"), key("real").alias("__b"))
+    spelled = [told.select("book", F.col(f"__{k}").alias("__k"), F.col(n).alias("__name"), F.struct(F.lit(1).alias("level"), "seq", F.lit(k).alias("side"), F.col(n).alias("n")).alias("__at")) for k, n in (("a", "alias"), ("b", "real"))]
+    shown = spelled[0].unionByName(spelled[1])
+    known = None
     if identity is not None:
-        shown = lambda df, c: df.join(identity.select("book", F.col("name").alias(c), F.col("display").alias("__d")), ["book", c], "left").withColumn(c, F.coalesce("__d", c)).drop("__d")
-        reveals = shown(shown(reveals, "alias"), "real")
-        known = shown(lines.select("book", "speaker", F.col("speaker").alias("__who")).distinct(), "__who")
-        lines = lines.join(known, ["book", "speaker"])
-    else:
-        lines = lines.withColumn("__who", F.col("speaker"))
-    steps = reveals.groupBy("book").agg(F.array_sort(F.collect_list(F.struct("seq", "alias", "real", "at"))).alias("__r"))
-    told = lines.join(steps, "book", "left")
-    who = F.aggregate("__r", F.col("__who"), lambda w, r: F.when((w == r["alias"]) & (F.col("para") >= r["at"]), r["real"]).otherwise(w))
-    return told.select("book", "id", "para", "speaker", F.coalesce(who, "__who").alias("who"))
+        known = identity.select("book", key("name").alias("__k"), key("display").alias("__to")).where("__k <> ''").groupBy("book", "__k").agg(F.min("__to").alias("__to"))
+        shown = shown.unionByName(identity.select("book", key("display").alias("__k"), F.col("display").alias("__name"), F.struct(F.lit(0).alias("level"), F.lit(0).cast(reveals.schema["seq"].dataType).alias("seq"), F.lit("").alias("side"), F.col("display").alias("n")).alias("__at")))
+    shown = cut(shown.where("__k <> ''").groupBy("book", "__k").agg(F.min_by("__name", "__at").alias("__name")))
+
+    def person(df, c):
+        return df if known is None else df.join(known.withColumnRenamed("__k", c), ["book", c], "left").withColumn(c, F.coalesce("__to", c)).drop("__to")
+
+    told = person(person(told, "__a"), "__b").where("__a <> ''")
+    steps = told.groupBy("book").agg(F.array_sort(F.collect_list(F.struct("seq", "__a", "__b", "at"))).alias("__r"))
+    names = lines.select("book", "speaker").distinct().withColumn("__who", key("speaker"))
+    told = lines.select("book", "id", "para", "speaker").join(person(names, "__who"), ["book", "speaker"], "left").join(steps, "book", "left")
+    who = F.aggregate("__r", F.col("__who"), lambda w, r: F.when((w == r["__a"]) & (F.col("para") >= r["at"]), r["__b"]).otherwise(w))
+    told = told.withColumn("__k", F.coalesce(who, "__who")).join(shown, ["book", "__k"], "left")
+    return told.select("book", "id", "para", "speaker", F.coalesce("__name", "speaker").alias("who"))
 
 
 def excerpts(units: DataFrame, centres: DataFrame, radius: int = 3, chars: int = 100) -> DataFrame:
@@ -378,29 +392,56 @@ def build_document(units: DataFrame) -> DataFrame:
     return total.select("book", "id", start.cast("long").alias("start"), (start + F.col("__len")).cast("long").alias("end"))
 
 
-def _chunk_of(most: int):
-    def start():
-        chunk = size = 0
-
-        def step(n):
-            nonlocal chunk, size
-            if size >= most:
-                chunk, size = chunk + 1, 0
-            size += n
-            return chunk
-
-        return step
+def context_chunks(units: DataFrame, chunk_chars: int = 3500, block: int | None = None) -> DataFrame:
+    """(book, para, chunk): a chunk ends at a paragraph once it holds chunk_chars characters (at least 1).
 
-    return start
-
-
-def context_chunks(units: DataFrame, chunk_chars: int = 3500) -> DataFrame:
-    """(book, para, chunk): a chunk ends at a paragraph once it holds chunk_chars characters.
-
-    The rule is sequential; only paragraph sizes stream through it.
+    Where the chunk that begins at a paragraph ends is a look-up in the sums before each
+    paragraph; chunks are the way along these pointers. A block of paragraphs tells for each
+    place where an entering chunk can end, which are those in its first chunk_chars
+    characters, how many chunks follow and how full the last one is.
     """
     sizes = units.groupBy("book", "para").agg(F.sum(F.length("text")).alias("__n"))
-    return in_turn(sizes, ["book"], ["para"], ["__n"], "chunk", T.LongType(), _chunk_of(chunk_chars)).drop("__n")
+
+    def sums(table):
+        return np.concatenate([[0], np.cumsum(table.column("__n").fill_null(0).to_numpy())])
+
+    def ends_after(total, at):
+        """The paragraph that begins the chunk after the one that begins at `at`."""
+        return max(at + 1, int(np.searchsorted(total, total[at] + chunk_chars)))
+
+    def effect(table):
+        total, known = sums(table), {}
+        n = len(total) - 1
+        candidates = range(min(n, int(np.searchsorted(total, chunk_chars)) + 1))
+        for at in candidates:
+            way = []
+            while at not in known and (after := ends_after(total, at)) < n:
+                way.append(at)
+                at = after
+            chunks, size = known.setdefault(at, (1, int(total[n] - total[at])))
+            for back in reversed(way):
+                chunks += 1
+                known[back] = (chunks, size)
+        return {"sums": total[: len(candidates)].tolist(), "then": [known[at] for at in candidates], "all": int(total[n])}
+
+    def follow(does, state):
+        chunk, size = state or (0, 0)
+        at = bisect.bisect_left(does["sums"], chunk_chars - size)
+        if at == len(does["sums"]):
+            return [chunk, size + does["all"]]
+        return [chunk + does["then"][at][0], does["then"][at][1]]
+
+    def replay(table, state):
+        total = sums(table)
+        chunk, size = state or (0, 0)
+        marks = np.zeros(len(total) - 1, np.int64)
+        at = int(np.searchsorted(total, chunk_chars - size))
+        while at < len(marks):
+            marks[at] = 1
+            at = ends_after(total, at)
+        return {"chunk": pa.array(chunk + np.cumsum(marks), pa.int64())}
+
+    return in_blocks(sizes, ["book"], ["para"], "chunk long", replay, effect, follow, block).drop("__n")
 
 
 def render(units: DataFrame, chunks: DataFrame) -> DataFrame:

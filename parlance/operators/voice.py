@@ -2,65 +2,124 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from parlance.operators.ordered import in_turn, running_total, total_in_order, with_neighbours
+from parlance.operators.ordered import carried_in_order, in_blocks, running_total, total_in_order, with_neighbours
+from parlance.sources.tables import cut
 
-def _islands(spans: DataFrame, keys: list[str], start) -> DataFrame:
-    """Spans of each key joined where the state machine of start() numbers them alike: first start, last end."""
-    numbered = in_turn(spans.select(*keys, "s_ms", "e_ms"), keys, ["s_ms", "e_ms"], ["s_ms", "e_ms"], "__i", T.LongType(), start)
-    return numbered.groupBy(*keys, "__i").agg(F.min("s_ms").alias("s_ms"), F.max_by("e_ms", F.struct("s_ms", "e_ms")).alias("e_ms")).drop("__i")
 
+def _next_breaks(e: np.ndarray, stops: np.ndarray, first: int, at: int, most: int) -> int:
+    """The row that begins the next span: behind `at`, the first at a stop or that ends more than `most` after `first`."""
+    stop = int(stops[np.searchsorted(stops, at, "right")])
+    width = 16
+    while at + 1 < stop:
+        far = np.flatnonzero(e[at + 1 : min(at + 1 + width, stop)] - first > most)
+        if len(far):
+            return at + 1 + int(far[0])
+        at, width = min(at + width, stop - 1), width * 2
+    return stop
 
-def _joining(fits):
-    """A state machine that numbers spans; one goes on while fits(start, end so far, s, e)."""
 
-    def start():
-        n, first, end = -1, 0, 0
+def joined_spans(spans: DataFrame, keys: list[str], apart: Callable, most: int, order: Sequence[str] = ("s_ms", "e_ms"), block: int | None = None) -> DataFrame:
+    """spans with `island`: spans of a key that go on one another have the same number.
 
-        def step(s, e):
-            nonlocal n, first, end
-            if n < 0 or not fits(first, end, s, e):
-                n, first = n + 1, s
-            end = e
-            return n
+    A span begins anew where apart(end before, start, end) holds, or where it would end more
+    than `most` after the start of its island. Where the next break stands after any row
+    doesn't depend on what went before, so a block tells for each row at which an entering
+    island can end what the block does from there; few rows can.
+    """
+
+    def arrays(table):
+        s, e = table.column("s_ms").to_numpy(), table.column("e_ms").to_numpy()
+        stops = np.append(np.flatnonzero(apart(e[:-1], s[1:], e[1:])) + 1, len(s))
+        return s, e, stops
+
+    def effect(table):
+        s, e, stops = arrays(table)
+        # an entering island ends at the first stop, or where the spans reach further than before
+        last = int(stops[0])
+        reach = np.maximum.accumulate(e[:last])
+        ends = np.flatnonzero(np.append(True, reach[1:] > reach[:-1])).tolist() + [last] * (last < len(s))
+        known: dict[int, tuple[int, int]] = {}  # from a break here: how many islands begin, where the last does
+
+        def run(at):
+            way = []
+            while at not in known:
+                way.append(at)
+                after = _next_breaks(e, stops, int(s[at]), at, most)
+                if after >= len(s):
+                    known[at] = (1, int(s[at]))
+                    way.pop()
+                    break
+                at = after
+            n, first = known[at]
+            for back in reversed(way):
+                n += 1
+                known[back] = (n, first)
+
+        for at in ends:
+            run(at)
+        return {"s": int(s[0]), "e": int(e[0]), "reach": [int(reach[at]) if at < last else None for at in ends], "then": [known[at] for at in ends], "from0": known[0], "end": int(e[-1])}
+
+    def follow(does, state):
+        if state is None:
+            n, first = does["from0"]
+            return [n, first, does["end"]]
+        n, first, end = state
+        if apart(np.array([end]), np.array([does["s"]]), np.array([does["e"]]))[0]:
+            then = does["from0"]
+        else:
+            then = next((t for r, t in zip(does["reach"], does["then"]) if r is None or r - first > most), None)
+        return [n, first, does["end"]] if then is None else [n + then[0], then[1], does["end"]]
 
-        return step
+    def replay(table, state):
+        s, e, stops = arrays(table)
+        marks = np.zeros(len(s), np.int64)
+        n, at = (0, 0) if state is None else (state[0], None)
+        if at is None:
+            if apart(np.array([state[2]]), s[:1], e[:1])[0] or e[0] - state[1] > most:
+                at = 0
+            else:
+                at = _next_breaks(e, stops, state[1], 0, most)
+        while at < len(s):
+            marks[at] = 1
+            at = _next_breaks(e, stops, int(s[at]), at, most)
+        return {"island": pa.array(n + np.cumsum(marks), pa.int64())}
 
-    return start
+    return in_blocks(spans, keys, list(order), "island long", replay, effect, follow, block)
+
+
+def _islands(spans: DataFrame, keys: list[str], apart: Callable, most: int) -> DataFrame:
+    """Spans of each key joined by the rule of joined_spans: first start, last end."""
+    numbered = joined_spans(spans.select(*keys, "s_ms", "e_ms"), keys, apart, most)
+    return numbered.groupBy(*keys, "island").agg(F.min("s_ms").alias("s_ms"), F.max_by("e_ms", F.struct("s_ms", "e_ms")).alias("e_ms")).drop("island")
 
 
 def fix_overlaps(spans: DataFrame, keys: Sequence[str] = ("clip",)) -> DataFrame:
-    """Spans that begin at or before the end so far are one (gaps and islands; the end is the greatest)."""
-    w = Window.partitionBy(*keys).orderBy("s_ms", "e_ms")
-    reach = F.max("e_ms").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    flagged = spans.withColumn("__new", F.when(F.col("s_ms") <= reach, 0).otherwise(1))
-    return flagged.withColumn("__i", F.sum("__new").over(w)).groupBy(*keys, "__i").agg(F.min("s_ms").alias("s_ms"), F.max("e_ms").alias("e_ms")).drop("__i")
+    """Spans that begin at or before the end so far are one (gaps and islands; the end is the greatest).
+
+    The end so far and the number of islands are carried from range to range of a clip, so
+    that no clip is one window.
+    """
+    order = [F.col("s_ms"), F.col("e_ms")]
+    flagged = carried_in_order(spans, list(keys), order, {"__reach": (F.max, F.col("e_ms"))}, "__range").withColumn("__new", F.when(F.col("s_ms") <= F.col("__reach"), 0).otherwise(1))
+    islands = total_in_order(flagged, list(keys), order, F.col("__new"), "__i", "__range").withColumn("__i", F.col("__i") + F.col("__new"))
+    return islands.groupBy(*keys, "__i").agg(F.min("s_ms").alias("s_ms"), F.max("e_ms").alias("e_ms")).drop("__i")
 
 
 def utterances(spans: DataFrame, most: int = 14_000, gap: int = 600, least: int = 1_000, before: int = 150, after: int = 250) -> DataFrame:
     """Bursts (clip, seq, s_ms, e_ms) to padded utterances.
 
     A burst joins while the pause is at most `gap` and the whole at most `most`; a short
-    utterance then joins the one before it if the two fit. The rules are followed inside
-    pauses and inside stretches of short utterances, so a long clip is not gathered.
+    utterance then joins the one before it if the two fit.
     """
-
-    def add(rows, part):
-        return rows.withColumn("__new", (F.col("s_ms") - F.lag("e_ms").over(Window.partitionBy(*part).orderBy("seq")) > gap).cast("int"))
-
-    flagged = with_neighbours(spans, ["clip"], "seq", 1, add).withColumn("__new", F.coalesce("__new", F.lit(1)))
-    islands = running_total(flagged, ["clip"], "seq", "seq", F.col("__new"), "__b").withColumn("island", F.col("__b") + F.col("__new"))
-    utts = _islands(islands, ["clip", "island"], _joining(lambda first, end, s, e: e - first <= most and s - end <= gap)).drop("island")
-    base = (F.col("e_ms") - F.col("s_ms") >= least).cast("int")
-    runs = running_total(utts, ["clip"], "s_ms", "s_ms", base, "__b", block=1 << 22).withColumn("run", F.col("__b") + base)
-    merged = _islands(runs, ["clip", "run"], _joining(lambda first, end, s, e: e - s < least and e - first <= most)).drop("run")
+    utts = _islands(spans, ["clip"], lambda end, s, e: s - end > gap, most)
+    merged = _islands(utts, ["clip"], lambda end, s, e: e - s >= least, most)
     kept = merged.where(F.col("e_ms") - F.col("s_ms") >= least)
     return kept.select("clip", F.greatest(F.lit(0).cast("long"), F.col("s_ms") - before).alias("s_ms"), (F.col("e_ms") + after).alias("e_ms"))
 
@@ -136,25 +195,46 @@ def gain_db(level: Column, target: float, peak: Column) -> Column:
     return F.when(peak * g > 0.985, 0.985 / peak).otherwise(g)
 
 
-def _smoothed(target: float):
-    def start():
-        g = None
-
-        def step(level):
-            nonlocal g
-            if level is not None:
-                new = 10.0 ** (max(-12.0, min(12.0, target - level)) / 20)
-                g = new if g is None else 0.7 * g + 0.3 * new
-            return g
-
-        return step
+def affine_scan(rows: DataFrame, group: list[str], position: str, a: Column, b: Column, alone: Column, out: str, width: int = 128) -> DataFrame:
+    """rows with `out`: x = a * x + b along the positions (0, 1, ..) of each group, and x = alone where there is no x yet; a null alone leaves it so.
 
-    return start
+    Steps of one kind make a step of the same kind, so runs of `width` rows become one row,
+    and these are followed in the same way; then each run starts from what it is given. All
+    of it is native, linear, and deals a group of any size over all tasks.
+    """
+    run = F.floor(F.col(position) / width)
+    step = F.struct(F.col(position).cast("long").alias("p"), a.cast("double").alias("a"), b.cast("double").alias("b"), alone.cast("double").alias("n"))
+    runs = cut(rows.groupBy(*group, run.alias("__run")).agg(F.array_sort(F.collect_list(step)).alias("__steps")))
+    moved = lambda x, s: F.when(x.isNull(), s["n"]).otherwise(s["a"] * x + s["b"])
+    if not runs.where("__run > 0").isEmpty():
+        one = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(None).cast("double").alias("n"))
+        whole = F.aggregate("__steps", one, lambda f, s: F.struct((s["a"] * f["a"]).alias("a"), (s["a"] * f["b"] + s["b"]).alias("b"), moved(f["n"], s).alias("n")))
+        over = affine_scan(runs.select(*group, "__run", whole.alias("__w")), group, "__run", F.col("__w.a"), F.col("__w.b"), F.col("__w.n"), "__x", width)
+        entries = over.select(*group, (F.col("__run") + 1).alias("__run"), "__x")
+        runs = runs.join(entries, [*group, "__run"], "left")
+    else:
+        runs = runs.withColumn("__x", F.lit(None).cast("double"))
+    start = F.struct(F.col("__x").alias("x"), F.array().cast("array<struct<p:bigint,x:double>>").alias("all"))
+
+    def go_on(s, t):
+        x = moved(s["x"], t)
+        return F.struct(x.alias("x"), F.concat(s["all"], F.array(F.struct(t["p"].alias("p"), x.alias("x")))).alias("all"))
+
+    trail = F.aggregate("__steps", start, go_on, lambda s: s["all"])
+    return runs.select(*group, F.explode(trail).alias("__e")).select(*group, F.col("__e.p").alias(position), F.col("__e.x").alias(out))
 
 
 def smooth_gain(levels: DataFrame, target: float, key: str = "clip", order: str = "seq") -> DataFrame:
-    """Smoothed gain of each chunk in order: 0.7 of the last and 0.3 of the new; without a level the last one stays (null at first)."""
-    return in_turn(levels.select(key, order, "dbfs"), [key], [order], ["dbfs"], "gain", T.DoubleType(), _smoothed(target)).select(key, order, F.round("gain", 5).alias("gain"))
+    """Smoothed gain of each chunk in order: 0.7 of the last and 0.3 of the new; without a level the last one stays (null at first).
+
+    A chunk changes the gain by g -> a g + b, so gains are an affine scan.
+    """
+    placed = total_in_order(levels.select(key, order, "dbfs"), [key], [F.col(order)], F.lit(1), "__p")
+    new = F.when(F.col("dbfs").isNotNull(), F.pow(F.lit(10.0), F.greatest(F.lit(-12.0), F.least(F.lit(12.0), target - F.col("dbfs"))) / 20))
+    placed = cut(placed.select(key, order, F.col("__p").cast("long").alias("__p"), new.alias("__new")))
+    there = F.col("__new").isNotNull()
+    gains = affine_scan(placed, [key], "__p", F.when(there, 0.7).otherwise(1.0), F.when(there, 0.3 * F.col("__new")).otherwise(0.0), F.col("__new"), "gain")
+    return placed.join(gains, [key, "__p"]).select(key, order, F.round("gain", 5).alias("gain"))
 
 
 def pitch_stats(frames: DataFrame) -> DataFrame:
@@ -288,8 +368,8 @@ def training_segments(segments: DataFrame, least_ms: int = 1000, most_ms: int =
 def merge_segments(segments: DataFrame, gap: int = 600, most: int = 14_000) -> DataFrame:
     """Neighbouring segments of an episode joined while pause and length allow; text joined, least score, `voice` unless all are `sdh`."""
     keys = ["character", "episode"]
-    fits = _joining(lambda first, end, s, e: 0 <= s - end <= gap and e - first <= most)
-    rows = in_turn(segments.select(*keys, "s_ms", "e_ms", "text", "score", "source"), keys, ["s_ms", "e_ms", "text"], ["s_ms", "e_ms"], "__i", T.LongType(), fits)
+    rows = joined_spans(segments.select(*keys, "s_ms", "e_ms", "text", "score", "source"), keys, lambda end, s, e: (s < end) | (s - end > gap), most, ["s_ms", "e_ms", "text"])
+    rows = rows.withColumnRenamed("island", "__i")
     texts = F.transform(F.array_sort(F.collect_list(F.struct("s_ms", "e_ms", "text"))), lambda x: F.rtrim(x["text"]))
     text = F.when(F.count(F.lit(1)) == 1, F.min("text")).otherwise(F.ltrim(F.array_join(F.filter(texts, lambda t: t != ""), " ")))
     joined = rows.groupBy(*keys, "__i").agg(

@@ -182,12 +182,34 @@ def _joined(u):
     return C.components(cast(u), same, _apart(u), established=10**6)
 
 
+def _torn(u):
+    """Pairs in the order of their rules, with main characters and one `different` pair in their way."""
+    ruled = pairs(u).select("book", "a", "b", F.array_position(F.array(*[F.lit(x) for x in C.RULES]), F.col("rule")).alias("seq"))
+    return C.components(cast(u), ruled, ruled.where("b = 'Tamsin Vale'").select("book", F.col("b").alias("a"), F.lit("Tam").alias("b")).distinct(), established=60)
+
+
 over("cast_components", _joined)
 _GROUPS = """ways as (select book, a, b from pairs where rule in ('nick', 'bigram') and 'Old Orrin' not in (a, b)),
 e as (select book, a, b from ways union select book, b, a from ways union select book, name, name from c),
 reach(book, a, b) as (select book, a, b from e union select r.book, r.a, e.b from reach r join e on e.book = r.book and e.a = r.b),
 grp as (select r.book, r.a as name, arg_max(r.b, (c.lines, r.b)) as grp from reach r join c on c.book = r.book and c.name = r.b group by 1, 2)"""
 ORACLES["cast_components"] = f'with recursive {CAST}, {_GROUPS} select book, name, grp as "group" from grp'
+over(
+    "cast_components_torn", _torn,
+    f"""with recursive {CAST}, same as (select book, a, b, row_number() over (partition by book order by list_position({list(C.RULES)}, rule), a, b) as n from pairs),
+r(book, n, names) as (
+  select book, 0, list({{'name': name, 'lines': lines, 'part': name}} order by name) from c group by book
+  union all
+  select book, n, case when x = y or len(list_filter(names, lambda e: e.lines >= 60 and e.part in (x, y))) > 1
+      or list_contains(meet, 'Tam') and list_contains(meet, 'Tamsin Vale') and has then names
+    else list_transform(names, lambda e: {{'name': e.name, 'lines': e.lines, 'part': case when e.part = x then y else e.part end}}) end
+  from (select s.book, s.n, r.names, list_filter(names, lambda e: e.name = s.a)[1].part as x, list_filter(names, lambda e: e.name = s.b)[1].part as y,
+          list_transform(list_filter(names, lambda e: e.part in (list_filter(r.names, lambda f: f.name = s.a)[1].part, list_filter(r.names, lambda f: f.name = s.b)[1].part)), lambda e: e.name) as meet,
+          exists (select 1 from pairs p where p.book = s.book and p.b = 'Tamsin Vale') as has
+        from r join same s on s.book = r.book and s.n = r.n + 1)),
+ended as (select book, unnest(arg_max(names, n)) as e from r group by book)
+select book, e.name as name, arg_max(e.name, (e.lines, e.name)) over (partition by book, e.part) as "group" from ended""",
+)
 over(
     "cast_canonical", lambda u: C.canonical_names(_joined(u), cast(u), _grams(u), main=10**6),
     f"""with recursive {CAST}, {_GROUPS}, m as (select g.book, g.grp, p.name, p.lines, p.single from grp g join c using (book, name) left
@@ -203,8 +225,27 @@ over(
 r as (select book, id, nxt from l union all select r.book, r.id, l.nxt from r join l on l.book = r.book and l.id = r.nxt)
 select book, 'N' || id as alias, 'N' || max(nxt) as final from r group by book, id""",
 )
-_links = lambda u: pairs(u).where("rule in ('nick', 'bigram')").select("book", F.col("a"), F.col("b"), F.lit(0).alias("seq"))
-over("cast_identity", lambda u: C.identities(_links(u)))
+def _links(u):
+    """All pairs, some of them in capitals or with marks, and a title that the other one has not."""
+    loud = F.when(F.length("b") % 2 == 0, F.upper("a")).when(F.length("a") % 3 == 0, F.concat(F.col("a"), F.lit("."))).otherwise(F.col("a"))
+    return pairs(u).select("book", loud.alias("a"), "b", F.length("a").cast("long").alias("seq"))
+
+
+_KEY = lambda c: f"trim(regexp_replace(lower({c}), '[^a-z0-9 ]', '', 'g'))"
+over(
+    "cast_identity", lambda u: C.identities(_links(u)).select("book", "name", "display"),
+    f"""with recursive {CAST}, loud as (select book, case when length(b) % 2 = 0 then upper(a) when length(a) % 3 = 0 then a || '.' else a end as a, b, length(a) as seq from pairs),
+links as (select *, {_KEY('a')} as ka, {_KEY('b')} as kb, row_number() over (partition by book order by seq, a, b) as n from loud),
+seen as (select book, ka as key, a as name, n, 0 as side from links union all select book, kb, b, n, 1 from links),
+first as (select book, key, arg_min(name, (n, side)) as shown from seen group by 1, 2),
+fold_(book, n, keys) as (
+  select book, 0, list({{'key': key, 'to': key}}) from first group by book
+  union all
+  select book, n, list_transform(keys, lambda e: {{'key': e.key, 'to': case when e.to = x then y else e.to end}})
+  from (select l.book, l.n, q.keys, list_filter(keys, lambda e: e.key = l.ka)[1].to as x, list_filter(keys, lambda e: e.key = l.kb)[1].to as y from fold_ q join links l on l.book = q.book and l.n = q.n + 1)),
+ends as (select book, unnest(arg_max(keys, n)) as e from fold_ group by book)
+select distinct s.book, s.name, f.shown as display from seen s join ends on ends.book = s.book and ends.e.key = s.key join first f on f.book = s.book and f.key = ends.e.to""",
+)
 
 
 def _moves(u):

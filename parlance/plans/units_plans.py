@@ -176,14 +176,20 @@ def _reveals(s, d):
     """Old Orrin turns out to be Orrin, and later on Orrin to be Vale."""
     first = units(s, d).where("speaker = 'Old Orrin'").groupBy("book").agg(F.min("para").alias("at"))
     step = lambda alias, real, after, seq: F.struct(F.lit(alias).alias("alias"), F.lit(real).alias("real"), (F.col("at") + after).alias("at"), F.lit(seq).alias("seq"))
-    return first.select("book", F.explode(F.array(step("Old Orrin", "Orrin", 40, 1), step("Orrin", "Vale", 200, 2))).alias("r")).select("book", "r.*")
+    return first.select("book", F.explode(F.array(step("OLD ORRIN.", "Orrin", 40, 1), step("orrin", "Vale", 200, 2))).alias("r")).select("book", "r.*")
+
+
+def _same_people(s, d):
+    """Tam is Tamsin, and Vale has a title."""
+    books = units(s, d).select("book").distinct()
+    return books.select("book", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(t).alias("display")) for n, t in (("TAM", "Tamsin"), ("Tamsin", "Tamsin"), ("Vale", "Captain Vale"))])).alias("k")).select("book", "k.*")
 
 
 add(
-    "join_reveal", lambda s, d: U.resolve_at(U.dialogue(units(s, d)), _reveals(s, d)),
+    "join_reveal", lambda s, d: U.resolve_at(U.dialogue(units(s, d)), _reveals(s, d), _same_people(s, d)),
     """f as (select book, min(para) as at0 from units where speaker = 'Old Orrin' group by 1)
-select u.book, id, para, speaker, case when speaker in ('Old Orrin', 'Orrin') and para >= at0 + 200 then 'Vale' when speaker = 'Old Orrin'
-  and para >= at0 + 40 then 'Orrin' else speaker end as who
+select u.book, id, para, speaker, case when speaker in ('Old Orrin', 'Orrin') and para >= at0 + 200 then 'Captain Vale' when speaker = 'Old Orrin'
+  and para >= at0 + 40 then 'Orrin' when speaker = 'Old Orrin' and at0 is not null then 'OLD ORRIN.' when speaker = 'Tam' then 'Tamsin' else speaker end as who
 from units u left join f on f.book = u.book where kind = 'dialogue'""",
 )
 

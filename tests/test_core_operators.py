@@ -16,7 +16,7 @@ from parlance.operators import layout as Y
 from parlance.operators import units as U
 from parlance.operators import validate as D
 from parlance.operators import voice as O
-from parlance.operators.ordered import in_turn, running_total, total_in_order, with_neighbours
+from parlance.operators.ordered import running_total, total_in_order, with_neighbours
 
 
 def test_running_total_and_neighbours(spark):
@@ -48,23 +48,6 @@ def test_totals_in_any_order(spark):
         total[g] = total.get(g, 0) + (v or 0)
 
 
-def test_state_machines_keep_to_their_key(spark):
-    rows = [(k % 3, k, 1) for k in range(100)]
-
-    def count():
-        n = 0
-
-        def step(v):
-            nonlocal n
-            n += v
-            return n
-
-        return step
-
-    got = in_turn(spark.createDataFrame(rows, "g long, id long, v long"), ["g"], ["id"], ["v"], "n", T.LongType(), count)
-    assert {(x["g"], x["id"], x["n"]) for x in got.collect()} == {(k % 3, k, k // 3 + 1) for k in range(100)}
-
-
 def utterances_plain(spans):
     utts = []
     for s, e in spans:
