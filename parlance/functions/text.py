@@ -119,13 +119,14 @@ def num_words(n: Column) -> Column:
 
 def norm_words(c: Column) -> Column:
     """Lower-case ASCII words with numbers spelt out."""
-    c = F.regexp_replace(F.lower(c), r"(\d),(\d)", "$1$2")
-    c = F.regexp_replace(c, "[^a-z0-9' ]+", " ")
-    c = F.regexp_replace(c, r"(?<=\d)(?=[a-z])|(?<=[a-z])(?=\d)", " ")
-    spelt = F.array_join(
-        F.transform(F.regexp_extract_all(c, F.lit("([0-9]+|[^0-9]+)"), F.lit(1)), lambda w: F.when(w.rlike("^[0-9]+$"), F.coalesce(num_words(w.try_cast("long")), w)).otherwise(w)), ""
-    )
-    return squeeze(F.when(c.rlike("[0-9]"), spelt).otherwise(c))
+    kept = lambda t: F.regexp_replace(t, "[^a-z0-9' ]+", " ")
+
+    def spelt(t):
+        t = F.regexp_replace(kept(F.regexp_replace(t, r"(\d),(\d)", "$1$2")), r"(?<=\d)(?=[a-z])|(?<=[a-z])(?=\d)", " ")
+        parts = F.regexp_extract_all(t, F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
+        return F.array_join(F.transform(parts, lambda w: F.when(w.rlike("^[0-9]+$"), F.coalesce(num_words(w.try_cast("long")), w)).otherwise(w)), "")
+
+    return let(F.lower(c), lambda t: squeeze(F.when(t.rlike("[0-9]"), spelt(t)).otherwise(kept(t))))
 
 
 def selection_form(c: Column) -> Column:

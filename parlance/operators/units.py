@@ -34,15 +34,33 @@ def first_seen(units: DataFrame) -> DataFrame:
     return dialogue(units).groupBy("book", F.col("speaker").alias("name")).agg(F.min("id").alias("first"))
 
 
-def coverage(units: DataFrame, read: Column) -> DataFrame:
-    """Lines read, lines in all, and whether all are read."""
-    return dialogue(units).groupBy("book").agg(F.count_if(read).alias("lines_read"), F.count(F.lit(1)).alias("lines_total"), F.every(read).alias("complete"))
+def coverage(units: DataFrame, read: Column, runs: DataFrame | None = None) -> DataFrame:
+    """Lines read, lines in all, and whether the book is complete.
+
+    It is if its run (book, stopped, percent, failed) was not stopped, asked for the whole
+    book and has no failed chunk; a book without a run is not. Without runs it is complete
+    where all lines are read.
+    """
+    lines = dialogue(units).groupBy("book").agg(F.count_if(read).alias("lines_read"), F.count(F.lit(1)).alias("lines_total"), F.every(read).alias("complete"))
+    if runs is None:
+        return lines
+    whole = ~F.coalesce("stopped", F.lit(False)) & (F.coalesce("percent", F.lit(100)) >= 100) & (F.coalesce("failed", F.lit(0)) == 0)
+    done = runs.groupBy("book").agg(F.every(whole).alias("__whole"))
+    return lines.join(done, "book", "left").select("book", "lines_read", "lines_total", F.coalesce("__whole", F.lit(False)).alias("complete"))
+
+
+#: Orders of a cast sheet; equals go by their first line.
+SHEET_ORDERS = {
+    "most": [F.desc, "lines"], "fewest": [F.asc, "lines"], "first": [F.asc, "first_unit"], "last": [F.desc, "last_unit"], "name": [F.asc, "name"], "name_desc": [F.desc, "name"],
+}
 
 
-def cast_sheet(units: DataFrame, casting: DataFrame) -> DataFrame:
-    """Lines, first and last unit and voice of each character; Unknown and Narrator are hidden."""
-    named = units.where(~F.col("speaker").isin("Unknown", "Narrator"))
+def cast_sheet(units: DataFrame, casting: DataFrame, order: str = "most") -> DataFrame:
+    """Lines, first and last unit, voice and place of each character in an order of SHEET_ORDERS; Unknown and Narrator are hidden."""
+    named = units.where(~F.col("speaker").isin("Unknown", "Narrator") & (F.lower("speaker") != "narrator") & (F.col("speaker") != ""))
     sheet = named.groupBy("book", F.col("speaker").alias("name")).agg(F.count(F.lit(1)).alias("lines"), F.min("id").alias("first_unit"), F.max("id").alias("last_unit"))
+    by, column = SHEET_ORDERS[order]
+    sheet = sheet.withColumn("place", F.row_number().over(Window.partitionBy("book").orderBy(by(column), "first_unit", "name")))
     return sheet.join(casting.select("book", F.col("role").alias("name"), "voice"), ["book", "name"], "left")
 
 

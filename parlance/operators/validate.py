@@ -28,6 +28,19 @@ def ceiling(a: Column, b: Column) -> Column:
     return F.when(both == 0, 1.0).otherwise(2.0 * F.least(F.length(a), F.length(b)) / both)
 
 
+def letter_ceiling(a: Column, b: Column, letters: str = "etaoinsr") -> Column:
+    """The greatest ratio that two texts with these letters can have.
+
+    Matching blocks can hold no letter more often than the text that has it more rarely.
+    The given letters are counted one by one, all others together.
+    """
+    both = F.length(a) + F.length(b)
+    count = lambda t, c: F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))
+    rest = lambda t: F.length(F.translate(t, letters, ""))
+    shared = sum((F.least(count(a, c), count(b, c)) for c in letters), F.least(rest(a), rest(b)))
+    return F.when(both == 0, 1.0).otherwise(2.0 * shared / both)
+
+
 @F.pandas_udf(T.DoubleType())
 def _ratio(first: pd.Series, second: pd.Series) -> pd.Series:
     """Ratios of the pairs that have both texts; null for the others."""
@@ -37,15 +50,21 @@ def _ratio(first: pd.Series, second: pd.Series) -> pd.Series:
     return out.astype(object).where(asked, None)
 
 
-def similarity(pairs: DataFrame, first: str, second: str, floor: float = 0.0) -> DataFrame:
-    """pairs with `score`: matching-block ratio of two text columns (null if one is null).
+def similarity(pairs: DataFrame, first: str, second: str, floor: float = 0.0, form: Callable[[Column], Column] | None = X.compare_form) -> DataFrame:
+    """pairs with `score`: matching-block ratio of the forms of two text columns (null if one is null).
 
-    Equal texts score 1, and pairs whose lengths alone keep them under `floor` score their
-    ceiling; only the texts of the others are compared, by numpy in batches.
+    form makes what is compared of a text, by default words without case, punctuation and
+    respellings; None compares texts as they are. Equal forms score 1. Pairs whose lengths,
+    or whose letters, alone keep them under `floor` score that ceiling; only the others are
+    compared, by numpy in batches, and only they leave the JVM.
     """
-    ask = (F.col(first) != F.col(second)) & (ceiling(F.col(first), F.col(second)) >= floor)
-    easy = F.when(F.col(first) == F.col(second), 1.0).otherwise(ceiling(F.col(first), F.col(second)))
-    return pairs.withColumn("score", F.coalesce(_ratio(F.when(ask, F.col(first)), F.when(ask, F.col(second))), easy))
+    make = form or (lambda c: c)
+    forms = pairs.withColumns({"__a": make(F.col(first)), "__b": make(F.col(second))})
+    a, b = F.col("__a"), F.col("__b")
+    ask = (a != b) & (ceiling(a, b) >= floor)
+    bound = F.when(a == b, 1.0).when(ceiling(a, b) < floor, ceiling(a, b)).otherwise(letter_ceiling(a, b))
+    known = forms.withColumn("__most", bound).withColumn("__ask", ask & (F.col("__most") >= floor))
+    return known.withColumn("score", F.coalesce(_ratio(F.when(F.col("__ask"), a), F.when(F.col("__ask"), b)), F.col("__most"))).drop("__a", "__b", "__most", "__ask")
 
 
 def gate(scored: DataFrame, first: float = 0.85, retry: float = 0.95, least_bytes: int = 1024) -> DataFrame:
@@ -73,11 +92,16 @@ def retry_queue(gated: DataFrame, most: int) -> DataFrame:
 
 
 def faithful(pairs: DataFrame, want: str, heard: str, least: float = 0.80) -> DataFrame:
-    """pairs with `score` and `ok`: close enough, and not much longer or shorter; an empty target passes."""
-    scored = similarity(pairs, want, heard, 0.0)
-    slack = F.greatest(F.lit(10), F.floor(F.length(want) * 0.2).cast("int"))
-    ok = (F.col("score") >= least) & (F.abs(F.length(heard) - F.length(want)) <= slack)
-    return scored.withColumn("ok", F.when(F.col(want) == "", True).otherwise(ok))
+    """pairs with `score` and `ok`: close enough, and not much longer or shorter, as spoken words with numbers spelt out.
+
+    A target without any spoken word passes with score 1; a null text gives null.
+    """
+    forms = pairs.withColumns({"__want": X.norm_words(F.col(want)), "__heard": X.norm_words(F.col(heard))})
+    scored = similarity(forms, "__want", "__heard", least, None)
+    slack = F.greatest(F.lit(10), F.floor(F.length("__want") * 0.2).cast("int"))
+    ok = (F.col("score") >= least) & (F.abs(F.length("__heard") - F.length("__want")) <= slack)
+    empty = F.col("__want") == ""
+    return scored.withColumn("score", F.when(empty, 1.0).otherwise(F.col("score"))).withColumn("ok", F.when(empty, True).otherwise(ok)).drop("__want", "__heard")
 
 
 def resplit(failed: DataFrame, text: str = "target", least: int = 25) -> DataFrame:

@@ -349,12 +349,33 @@ def longest(clips: DataFrame, k: int) -> DataFrame:
     return clips.withColumn("__r", rank).where(F.col("__r") <= k).select("clip", "seq", "dur_ms")
 
 
-def reference_plan(clips: DataFrame, target_ms: int = 45_000, cap_ms: int = 60_000) -> DataFrame:
-    """(clip, seq, before_ms, take_ms): the longest utterances until the target is reached; the last is cut at the cap."""
-    summed = total_in_order(clips, ["clip"], [F.desc("dur_ms"), F.asc("seq")], F.col("dur_ms"), "before_ms").where(F.col("before_ms") < target_ms)
+def reference_plan(clips: DataFrame, target_ms: int = 45_000, cap_ms: int = 60_000, by: str = "longest") -> DataFrame:
+    """(clip, seq, before_ms, take_ms): utterances until the target is reached; the last is cut at the cap.
+
+    by "longest": the longest first, the first of equals. by "name": in the order of `name`;
+    the first one's `rate` is the sample rate, and others at other rates, or without one, are skipped.
+    """
+    if by == "name":
+        rate = clips.where("rate is not null").groupBy("clip").agg(F.min_by("rate", F.struct("name", "seq")).alias("__rate"))
+        clips, order = clips.join(rate, "clip").where("rate = __rate").drop("__rate"), [F.asc("name"), F.asc("seq")]
+    else:
+        order = [F.desc("dur_ms"), F.asc("seq")]
+    summed = total_in_order(clips, ["clip"], order, F.col("dur_ms"), "before_ms").where(F.col("before_ms") < target_ms)
     return summed.select("clip", "seq", "before_ms", F.least(F.col("dur_ms"), cap_ms - F.col("before_ms")).alias("take_ms"))
 
 
+def passages(transcripts: DataFrame, key: str, order: str, k: int = 2, near: int = 120, most: int = 400) -> DataFrame:
+    """(key, passage): the k transcripts (key, order, text) of each key that are nearest to `near` characters, the first of equals, joined and cut at `most`.
+
+    Texts without characters count as none; a key without any has an empty passage.
+    """
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.abs(F.length("text") - near), order))
+    spoken = transcripts.where("text <> ''").withColumn("__r", rank).where(F.col("__r") <= k)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__r", "text"))), lambda x: x["text"]), " ")
+    best = spoken.groupBy(key).agg(F.substring(joined, 1, most).alias("passage"))
+    return transcripts.select(key).distinct().join(best, key, "left").select(key, F.coalesce("passage", F.lit("")).alias("passage"))
+
+
 def concat_spans(clips: DataFrame, gap_ms: int = 100) -> DataFrame:
     """(clip, seq, s_ms, e_ms): where utterances stand after they are joined with gaps, in the order of seq."""
     at = running_total(clips, ["clip"], "seq", "seq", F.col("dur_ms") + gap_ms, "s_ms")

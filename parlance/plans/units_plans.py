@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from parlance.functions import lexicon as L
 from parlance.operators import units as U
 from parlance.plans import views as V
+from parlance.sources.tables import cut
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -40,11 +41,40 @@ CASTING = """casting as (select book, case when role = 'Narrator' then 'narrator
 CAST = "c as (select book, speaker as name, count(*) as lines from units where kind = 'dialogue' group by 1, 2)"
 
 add("agg_cast", lambda s, d: U.cast_counts(units(s, d)), "select book, speaker as name, count(*) as lines from units where kind = 'dialogue' group by 1, 2")
-add("agg_coverage", lambda s, d: U.coverage(units(s, d), F.col("id") % 50 != 7), "select book, count(*) filter (where id % 50 <> 7) as lines_read, count(*) as lines_total, bool_and(id % 50 <> 7) as complete from units where kind = 'dialogue' group by 1")
+_READ = F.col("id") % 50 != 7
+
+
+def _finished(s, d):
+    """Runs of all books but one kind: stopped, in part, with failed chunks, or whole."""
+    n = F.substring("book", -1, 1).try_cast("int")
+    return units(s, d).select("book").distinct().where(F.coalesce(n, F.lit(0)) != 9).select(
+        "book", (n == 1).alias("stopped"), F.when(n == 2, 60).otherwise(100).alias("percent"), F.when(n == 3, 2).otherwise(0).alias("failed")
+    )
+
+
+add(
+    "agg_coverage", lambda s, d: U.coverage(units(s, d), _READ, _finished(s, d)),
+    """n as (select book, count(*) filter (where id % 50 <> 7) as lines_read, count(*) as lines_total, coalesce(try_cast(right(book, 1) as int), 0) as n from units where kind = 'dialogue' group by 1)
+select book, lines_read, lines_total, n not in (1, 2, 3, 9) as complete from n""",
+)
+_SHEET = "s as (select u.book, u.speaker as name, count(*) as lines, min(id) as first_unit, max(id) as last_unit, any_value(c.voice) as voice from units u left join casting c on c.book = u.book and c.role = u.speaker where u.speaker not in ('Unknown', 'Narrator') group by 1, 2)"
 add(
     "agg_cast_sheet", lambda s, d: U.cast_sheet(units(s, d), casting(s, d)),
-    f"{CASTING} select u.book, u.speaker as name, count(*) as lines, min(id) as first_unit, max(id) as last_unit, any_value(c.voice) as voice from units u left join casting c on c.book = u.book and c.role = u.speaker where u.speaker not in ('Unknown', 'Narrator') group by 1, 2",
+    f"{CASTING}, {_SHEET} select *, row_number() over (partition by book order by lines desc, first_unit)::int as place from s",
 )
+
+
+def _all_orders(s, d):
+    u, c = cut(units(s, d)), cut(casting(s, d))
+    out = None
+    for name in U.SHEET_ORDERS:
+        one = U.cast_sheet(u, c, name).select(F.lit(name).alias("by"), "book", "name", "place")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_BY = {"most": "lines desc", "fewest": "lines", "first": "first_unit", "last": "last_unit desc", "name": "name", "name_desc": "name desc"}
+add("agg_cast_orders", _all_orders, f"{CASTING}, {_SHEET} " + " union all ".join(f"select '{n}' as by, book, name, row_number() over (partition by book order by {o}, first_unit)::int as place from s" for n, o in _BY.items()))
 add("agg_narr_count", lambda s, d: U.role_counts(units(s, d)), "select book, case when kind = 'narration' then 'narrator' else speaker end as role, count(*) as n from units group by 1, 2")
 _T = ", ".join(f"'{t}'" for t in L.TITLES)
 _W = lambda k: f"regexp_replace(lower(string_split(surface, ' ')[{k}]), '[^a-z0-9 ]', '', 'g')"

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.operators.ordered import running_total
+from parlance.operators.ordered import carried_in_order, running_total
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,12 +56,13 @@ UNITS = (
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(clip, seq, gap_ms, dur_ms, s_ms, e_ms): speech bursts of each clip, from the events of a user."""
-    w = Window.partitionBy("clip").orderBy("ts", "event_id")
     e = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("clip"), "ts", "event_id", (F.col("event_id") * 37 % 20 * 100).alias("gap_ms"), (200 + F.col("event_id") * 53 % 60 * 100).alias("dur_ms")
     )
-    e = e.withColumn("seq", F.row_number().over(w).cast("long")).withColumn("e_ms", F.sum(F.col("gap_ms") + F.col("dur_ms")).over(w))
-    return e.select("clip", "seq", "gap_ms", "dur_ms", (F.col("e_ms") - F.col("dur_ms")).alias("s_ms"), "e_ms")
+    sums = {"__n": (F.sum, F.lit(1)), "__at": (F.sum, F.col("gap_ms") + F.col("dur_ms"))}
+    e = carried_in_order(e, ["clip"], [F.col("ts"), F.col("event_id")], sums)
+    s_ms = (F.coalesce("__at", F.lit(0)) + F.col("gap_ms")).cast("long")
+    return e.select("clip", (F.coalesce("__n", F.lit(0)) + 1).cast("long").alias("seq"), "gap_ms", "dur_ms", s_ms.alias("s_ms"), (s_ms + F.col("dur_ms")).alias("e_ms"))
 
 
 SPANS = """spans as (select clip, seq, gap_ms, dur_ms, cast(sum(gap_ms + dur_ms) over (partition by clip order by seq) - dur_ms as bigint) as s_ms,
@@ -73,7 +74,8 @@ SPANS = """spans as (select clip, seq, gap_ms, dur_ms, cast(sum(gap_ms + dur_ms)
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three takes of every line: exact, altered and cut to half (doc_id, chunk_idx, cand_idx, target, transcript, duration, bytes)."""
     lines = doc_lines(spark, sf_dir).where("length(line) > 0").select("doc_id", F.col("line_no").alias("chunk_idx"), F.col("line").alias("target"))
-    takes = lines.withColumn("cand_idx", F.explode(F.array(*[F.lit(k).cast("long") for k in range(3)])))
+    # takes of a chunk stand together, as choosing among them needs
+    takes = lines.repartition("doc_id", "chunk_idx").withColumn("cand_idx", F.explode(F.array(*[F.lit(k).cast("long") for k in range(3)])))
     heard = F.when(F.col("cand_idx") == 0, F.col("target")).when(F.col("cand_idx") == 1, F.replace("target", F.lit("en"), F.lit("an"))).otherwise(F.substring("target", F.lit(1), F.floor(F.length("target") / 2).cast("int")))
     return takes.select("doc_id", "chunk_idx", "cand_idx", "target", heard.alias("transcript"), (F.length("target") / 15.0 + F.col("cand_idx")).alias("duration"), (F.length("target") * 40 + F.col("cand_idx") * 100).cast("long").alias("bytes"))
 

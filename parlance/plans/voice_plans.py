@@ -128,6 +128,14 @@ add(
 )
 
 
+_named = lambda s, d: spans(s, d).withColumns({"name": F.concat(F.lit("u"), (F.col("seq") * 7 % 100).cast("string")), "rate": F.when(F.col("seq") % 5 > 0, F.when(F.col("seq") % 3 == 0, 16_000).otherwise(24_000))})
+add(
+    "win_ref_names", lambda s, d: O.reference_plan(_named(s, d), 45_000, 45_000, "name"),
+    f"""{S}, x as (select *, 'u' || seq * 7 % 100 as name, case when seq % 5 > 0 then case when seq % 3 = 0 then 16000 else 24000 end end as rate from spans),
+y as (select x.* from x join (select clip, arg_min(rate, (name, seq)) as first from x where rate is not null group by 1) f on f.clip = x.clip and f.first = x.rate),
+r as (select *, coalesce(sum(dur_ms) over (partition by clip order by name, seq rows between unbounded preceding and 1 preceding), 0)::bigint as before_ms from y)
+select clip, seq, before_ms, least(dur_ms, 45000 - before_ms) as take_ms from r where before_ms < 45000""",
+)
 add("ivl_clip_spans", lambda s, d: O.concat_spans(spans(s, d)), f"{S}, r as (select clip, seq, dur_ms, coalesce(sum(dur_ms + 100) over (partition by clip order by seq rows between unbounded preceding and 1 preceding), 0)::bigint as s_ms from spans) select clip, seq, s_ms, s_ms + dur_ms as e_ms from r")
 add(
     "ivl_gender", lambda s, d: O.gender_filter(spans(s, d).withColumn("f0", 50.0 + F.col("seq") * 37 % 400 + F.col("clip") % 3 * 400), 160.0, 330.0).select("clip", "seq", "f0"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,13 +18,35 @@ def merge_texts(rows: DataFrame, group: list[str], order: str, text: str = "text
     return rows.groupBy(*group).agg(F.array_join(F.transform(listed, lambda x: x["t"]), "\n\n").alias(text))
 
 
-def read_texts(spark: SparkSession, paths, merge: bool = False) -> DataFrame:
-    """(path, base, text) of whole text files; merged: (path, text), one text for each folder, in the order of the paths.
+def _there(spark: SparkSession, path: str, kind: str) -> DataFrame | None:
+    """A source, or None if nothing is at the path."""
+    try:
+        return spark.read.format(kind).options(ignoreMissingFiles=True, ignoreCorruptFiles=True).load(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
+
+def read_texts(spark: SparkSession, paths: str | list[str], merge: bool = False, marked: bool = False) -> DataFrame:
+    """(path, base, text) of whole UTF-8 text files; merged: (path, text), one text for each folder, in the order of the paths.
+
+    Paths where nothing is, files that go away or can't be read, empty ones, and files that
+    aren't UTF-8 are passed over; `marked` keeps the last kind as rows without text and adds `readable`.
     Merging gathers a folder's texts in one row, as it is asked for; keep folders to what a book is.
     """
-    base = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
-    rows = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), base.alias("base"), F.col("value").alias("text"))
+    found = [p for p in ([paths] if isinstance(paths, str) else paths) if _there(spark, p, "binaryFile") is not None]
+    schema = "path string, base string, text string, readable boolean"
+    if found:
+        files = spark.read.format("binaryFile").options(ignoreMissingFiles=True, ignoreCorruptFiles=True).load(found)
+        base = F.regexp_replace(F.substring_index("path", "/", -1), r"\.[^.]*$", "")
+        text = F.try_validate_utf8(F.col("content").cast("string"))
+        rows = files.select("path", base.alias("base"), text.alias("text"), text.isNotNull().alias("readable"))
+    else:
+        rows = spark.createDataFrame([], schema)
+    if marked and not merge:
+        return rows
+    rows = rows.where("readable").drop("readable")
     if not merge:
         return rows
     return merge_texts(rows.withColumn("folder", F.regexp_replace("path", "/[^/]*$", "")), ["folder"], "path").withColumnRenamed("folder", "path")
@@ -50,11 +73,12 @@ def read_dataset(rows: DataFrame, clips: DataFrame) -> DataFrame:
 
 
 def heteronyms(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """(word, opt, ipa, hint, say) from an editable JSON dictionary, or the built-in one."""
-    if path is None:
+    """(word, opt, ipa, hint, say) from an editable JSON dictionary; the built-in one where none is, or where it can't be read."""
+    parsed = F.from_json("text", "map<string,array<array<string>>>")
+    table = None if path is None else read_texts(spark, path).select(parsed.alias("m")).where("m is not null")
+    if table is None or table.isEmpty():
         rows = [(w, k + 1, *r) for w, readings in L.HETERONYMS.items() for k, r in enumerate(readings)]
         return spark.createDataFrame(rows, "word string, opt int, ipa string, hint string, say string")
-    table = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,array<array<string>>>").alias("m"))
     each = table.select(F.explode("m").alias("word", "readings")).select(F.lower("word").alias("word"), F.posexplode("readings").alias("k", "r"))
     return each.select("word", (F.col("k") + 1).alias("opt"), F.get("r", 0).alias("ipa"), F.get("r", 1).alias("hint"), F.get("r", 2).alias("say"))
 
@@ -94,10 +118,15 @@ def book_key(content: Column) -> Column:
     return F.substring(F.sha1(content), 1, 16)
 
 
-def progress(log: DataFrame) -> DataFrame:
-    """The last place in each book from an append-only log (book, ts, start, at)."""
+def progress(log: DataFrame, ended: Column | None = None) -> DataFrame:
+    """The last place in each book from an append-only log (book, ts, event_id, start, at).
+
+    A book whose last event is one where `ended` holds has been read to its end and has no place.
+    """
     place = F.greatest(F.lit(0).cast("long"), F.col("start") + F.col("at") - 1)
-    return log.groupBy("book").agg(F.max_by(place, F.struct("ts", "event_id")).alias("unit"))
+    over = F.lit(False) if ended is None else F.coalesce(ended, F.lit(False))
+    last = log.groupBy("book").agg(F.max_by(F.struct(place.alias("unit"), over.alias("over")), F.struct("ts", "event_id")).alias("l"))
+    return last.where("not l.over").select("book", F.col("l.unit").alias("unit"))
 
 
 def write_dataset(rows: DataFrame, path: str) -> None:
@@ -106,8 +135,29 @@ def write_dataset(rows: DataFrame, path: str) -> None:
     rows.select("voice", F.concat_ws("|", "utt_id", clean, clean).alias("value")).write.partitionBy("voice").text(path)
 
 
+def stored_analysis(spark: SparkSession, path: str) -> DataFrame | None:
+    """The units stored below a path, with their book_key; None where nothing is stored."""
+    return _there(spark, path, "parquet")
+
+
+def not_stored(books: DataFrame, path: str) -> DataFrame:
+    """Books (book_key, ..) whose analysis isn't stored below the path: the work that is left.
+
+    Keys lie in folders by their first two digits; only key columns are read.
+    """
+    stored = stored_analysis(books.sparkSession, path)
+    return books if stored is None else books.join(stored.select("book_key").distinct(), "book_key", "left_anti")
+
+
 def write_analysis(units: DataFrame, path: str) -> None:
-    units.write.partitionBy("book").parquet(path)
+    """Adds the units (book_key, ..) of books that aren't stored yet; what is stored stays as it is.
+
+    A key is made of a book's bytes, so a changed book is another one. Writing the same
+    units again writes nothing.
+    """
+    left = not_stored(units, path).withColumn("head", F.substring("book_key", 1, 2))
+    if not left.isEmpty():
+        left.repartition("head").write.mode("append").partitionBy("head").parquet(path)
 
 
 def available_voices(*tables: DataFrame) -> DataFrame:

@@ -237,6 +237,43 @@ def test_resuming(spark):
     assert sorted(x["id"] for x in U.pending(now, chunks, 50).collect()) == [4, 5, 7] and sorted(x["id"] for x in U.pending(now, chunks, 1).collect()) == []
 
 
+def test_scores_are_of_comparison_forms(spark):
+    rows = [("Hello, there!", "hello there"), ("In 1984.", "in one thousand nine hundred eighty four"), ("…", ""), (None, "x"), ("winned it", "wind it")]
+    df = spark.createDataFrame(rows, "w string, h string")
+    score = [x["score"] for x in D.similarity(df, "w", "h").collect()]
+    assert score[0] == 1.0 and score[3] is None and score[4] == 1.0
+    plain = [x["score"] for x in D.similarity(df, "w", "h", form=None).collect()]
+    assert plain[0] == difflib.SequenceMatcher(None, *rows[0]).ratio()
+    told = [(x["ok"], x["score"]) for x in D.faithful(df, "w", "h").collect()]
+    assert told[1] == (True, 1.0) and told[0] == (True, 1.0) and told[2] == (True, 1.0) and told[3] == (None, None)
+
+
+def test_letters_bound_the_ratio(spark):
+    r = random.Random(4)
+    rows = [("".join(r.choice("etaoinxyzé ") for _ in range(r.randint(0, 60))), "".join(r.choice("etaoinxyzé ") for _ in range(r.randint(0, 60)))) for _ in range(300)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    for x in df.withColumn("c", D.letter_ceiling(F.col("a"), F.col("b"))).withColumn("l", D.ceiling(F.col("a"), F.col("b"))).collect():
+        assert difflib.SequenceMatcher(None, x["a"], x["b"], False).ratio() <= x["c"] + 1e-12 and x["c"] <= x["l"] + 1e-12
+    scored = D.similarity(df, "a", "b", 0.6, None).collect()
+    for x in scored:
+        exact = difflib.SequenceMatcher(None, x["a"], x["b"]).ratio()
+        assert (x["score"] >= 0.6) == (exact >= 0.6) and (x["score"] < 0.6 or abs(x["score"] - exact) < 1e-12)
+
+
+def test_books_and_references(spark):
+    units = spark.createDataFrame([(b, i, i, "dialogue", "t", n) for b in "abcd" for i, n in enumerate(("Zoe", "Al", "Zoe", "narrator", "Bo", "Al", "Al"))], "book string, id long, para long, kind string, text string, speaker string")
+    runs = spark.createDataFrame([("a", False, 100, 0), ("b", True, 100, 0), ("c", False, 60, 0)], "book string, stopped boolean, percent int, failed int")
+    assert {(x["book"], x["complete"]) for x in U.coverage(units, F.lit(True), runs).collect()} == {("a", True), ("b", False), ("c", False), ("d", False)}
+    casting = spark.createDataFrame([("a", "Al", "v")], "book string, role string, voice string")
+    names = lambda order: [x["name"] for x in U.cast_sheet(units, casting, order).where("book = 'a'").orderBy("place").collect()]
+    assert [names(o) for o in U.SHEET_ORDERS] == [["Al", "Zoe", "Bo"], ["Bo", "Zoe", "Al"], ["Zoe", "Al", "Bo"], ["Al", "Bo", "Zoe"], ["Al", "Bo", "Zoe"], ["Zoe", "Bo", "Al"]]
+    clips = spark.createDataFrame([("v", 1, 20_000, "b", 24), ("v", 2, 30_000, "a", 24), ("v", 3, 50_000, "c", 16), ("v", 4, 9_000, "aa", None), ("v", 5, 9_000, "d", 24)], "clip string, seq long, dur_ms long, name string, rate int")
+    got = [(x["seq"], x["before_ms"], x["take_ms"]) for x in O.reference_plan(clips, 45_000, 45_000, "name").orderBy("before_ms").collect()]
+    assert got == [(2, 0, 30_000), (1, 30_000, 15_000)]
+    texts = spark.createDataFrame([(1, 1, "x" * 100), (1, 2, ""), (1, 3, "y" * 130), (1, 4, "z" * 140), (2, 1, ""), (3, 1, "w" * 500)], "k long, n long, text string")
+    assert {x["k"]: x["passage"] for x in O.passages(texts, "k", "n").collect()} == {1: "y" * 130 + " " + "x" * 100, 2: "", 3: "w" * 400}
+
+
 def test_validation(spark):
     rows = [("a" * 10, "a" * 10), ("abcd", "abxd"), ("ab" * 150, "c" + "ab" * 150), ("x", "y" * 50)]
     got = D.similarity(spark.createDataFrame(rows, "t string, w string"), "t", "w").collect()

@@ -56,3 +56,41 @@ def test_cut_needs_a_shared_folder():
     session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default: default))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scratch(session, "cut")
+
+
+def test_texts_that_cannot_be_read_are_passed_over(spark, tmp_path):
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "a.txt").write_text("eins über", encoding="utf-8")
+    (tmp_path / "one" / "broken.txt").write_bytes(b"\xff\xfe\x00 no text")
+    (tmp_path / "one" / "empty.txt").write_text("")
+    paths = [str(tmp_path / "one"), str(tmp_path / "nowhere"), str(tmp_path / "gone.txt")]
+    got = {r["base"]: r["text"] for r in S.read_texts(spark, paths).collect()}
+    assert got == {"a": "eins über"}
+    marked = {r["base"]: (r["text"], r["readable"]) for r in S.read_texts(spark, paths, marked=True).collect()}
+    assert marked == {"a": ("eins über", True), "broken": (None, False)}
+    assert S.read_texts(spark, paths[1:]).count() == 0 and S.read_texts(spark, paths[1:], merge=True).count() == 0
+
+
+def test_dictionary_falls_back(spark, tmp_path):
+    (tmp_path / "broken.json").write_text("{no json")
+    (tmp_path / "list.json").write_text("[1, 2]")
+    built_in = S.heteronyms(spark).count()
+    assert [S.heteronyms(spark, str(tmp_path / n)).count() for n in ("broken.json", "absent.json")] == [built_in] * 2
+
+
+def test_analysis_is_stored_once(spark, tmp_path):
+    path = str(tmp_path / "stored")
+    units = spark.createDataFrame([("k1", 0, "a"), ("k1", 1, "b"), ("k2", 0, "c")], "book_key string, id long, text string")
+    assert S.stored_analysis(spark, path) is None and S.not_stored(units, path).count() == 3
+    S.write_analysis(units.where("book_key = 'k1'"), path)
+    files = sorted(p.name for p in (tmp_path / "stored").rglob("*.parquet"))
+    S.write_analysis(units.where("book_key = 'k1'"), path)
+    assert sorted(p.name for p in (tmp_path / "stored").rglob("*.parquet")) == files
+    assert [r["book_key"] for r in S.not_stored(units, path).collect()] == ["k2"]
+    S.write_analysis(units, path)
+    assert sorted((r["book_key"], r["id"], r["text"]) for r in S.stored_analysis(spark, path).collect()) == [("k1", 0, "a"), ("k1", 1, "b"), ("k2", 0, "c")]
+
+
+def test_progress_ends_with_the_book(spark):
+    log = spark.createDataFrame([("a", 1, 1, 0, 5, False), ("a", 2, 2, 0, 9, True), ("b", 1, 3, 3, 0, True), ("b", 2, 4, 0, 0, None), ("c", 1, 5, 7, 2, False)], "book string, ts long, event_id long, start long, at long, over boolean")
+    assert {(r["book"], r["unit"]) for r in S.progress(log, F.col("over")).collect()} == {("b", 0), ("c", 8)}
