@@ -11,8 +11,8 @@ from parlance.llm.common import portions, utf8
 
 #: Bytes in a window, filter widths, filters of each width, dimensions of a byte.
 WINDOW, WIDTHS, FILTERS, DIM = 256, (2, 3, 4), 16, 8
-#: The bound of the fitted sample: at most so many labelled documents, drawn among those of at most so many bytes; all their windows are used.
-FIT_ROWS, FIT_BYTES = 2_000, 1 << 16
+#: The bound of the fitted sample: at most so many labelled documents, and of each at most so many windows, spread evenly over the whole text.
+FIT_ROWS, FIT_WINDOWS = 2_000, 256
 PASSES, BATCH, RATE = 3, 64, 0.004
 #: Windows handled at once inside a task.
 AT_ONCE = 1024
@@ -107,18 +107,36 @@ def _windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out.reshape(-1, WINDOW), count
 
 
+def _spread(data: np.ndarray) -> bytes:
+    """A text's bytes, or those of FIT_WINDOWS of its windows if it has more; the last window, which may be short, is among them."""
+    count = -(-len(data) // WINDOW)
+    if count <= FIT_WINDOWS:
+        return data.tobytes()
+    return b"".join(data[k * WINDOW : (k + 1) * WINDOW].tobytes() for k in np.linspace(0, count - 1, FIT_WINDOWS).astype(int))
+
+
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = FIT_ROWS) -> dict | None:
     """A network learnt from a bounded sample of labelled documents that aren't held out.
 
-    At most `rows` documents (smallest id hashes) of at most FIT_BYTES bytes reach the
-    driver, whole. Null and empty texts teach nothing; an id that repeats counts once, with
-    its first text and label in order. None where there is nothing to learn from.
+    At most `rows` documents (smallest id hashes) teach, whatever their length. All windows
+    of a text reach the driver, or FIT_WINDOWS of them, evenly spread, if it has more. Null
+    and empty texts teach nothing; an id that repeats counts once, with its first text and
+    label in order. None where there is nothing to learn from.
     """
-    own = docs.where(F.col(lang).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id)) & F.octet_length(text).between(1, FIT_BYTES))
+    own = docs.where(F.col(lang).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id)) & (F.octet_length(text) > 0))
     own = own.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     drawn = own.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     chosen = own.join(F.broadcast(drawn), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("x")).select("doc_id", "x.*")
-    got = sorted((r["doc_id"], r["lang"], r["text"].encode()) for r in chosen.collect())
+    kind = chosen.schema["doc_id"].dataType.simpleString()
+
+    def spread(batches):
+        for batch in batches:
+            data, offsets = utf8(batch.column(1))
+            some = [_spread(data[i:j]) for i, j in zip(offsets[:-1], offsets[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(some, pa.binary()), batch.column(2)], ["doc_id", "some", "lang"])
+
+    found = chosen.select("doc_id", "text", F.col("lang").cast("string")).mapInArrow(spread, f"doc_id {kind}, some binary, lang string")
+    got = sorted((r["doc_id"], r["lang"], bytes(r["some"])) for r in found.collect())
     if not got:
         return None
     names = sorted({lang for _, lang, _ in got})

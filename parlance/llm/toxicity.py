@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -21,7 +23,8 @@ ALPHA, BETA, L1, L2, PASSES = 0.5, 1.0, 6.0, 1.0, 5
 LEAST_DOCS = 6
 #: Score from which a text counts as toxic.
 TOXIC = 0.3
-REMEMBERED = 250_000
+#: Words whose hashes a task remembers, and texts whose bytes it copies at once.
+REMEMBERED, AT_ONCE = 250_000, 256
 
 #: Lower case, with ASCII punctuation as blanks.
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -114,28 +117,26 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: str = "text", out: str = "toxic_score") -> DataFrame:
     """docs with `out` (0 to 1), replaced if there. Every text is read whole; null and empty texts get the bias alone."""
-    spark = docs.sparkSession
-    docs = docs.drop(out)
-    sent = spark.sparkContext.broadcast(model)
-    at = docs.columns.index(text)
-    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())])
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def work(batches):
+    # only texts go to Python and only scores come back; the other columns wait in the JVM
+    @F.arrow_udf(T.DoubleType())
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         some, values, bias = sent.value
         dense = np.zeros(DIM, np.float32)
         dense[some] = values
         known = _Words()
-        for batch in batches:
-            data, offsets = utf8(batch.column(at))
-            total = np.full(batch.num_rows, bias)
-            for i in range(batch.num_rows):
-                x = features(data[offsets[i] : offsets[i + 1]].tobytes(), known)
-                x = np.unique(x[dense[x] != 0])
-                total[i] += float(dense[x].astype(np.float64).sum())
-            score = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, out])
-
-    return docs.mapInArrow(work, schema)
+        for texts in batches:
+            total = np.full(len(texts), bias)
+            for first in range(0, len(texts), AT_ONCE):
+                data, offsets = utf8(texts.slice(first, AT_ONCE))
+                for i in range(len(offsets) - 1):
+                    x = features(data[offsets[i] : offsets[i + 1]].tobytes(), known)
+                    x = np.unique(x[dense[x] != 0])
+                    total[first + i] += float(dense[x].astype(np.float64).sum())
+            yield pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))
+
+    return docs.drop(out).withColumn(out, score(F.col(text)))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
