@@ -279,19 +279,26 @@ def parse_reply(c: Column) -> Column:
 
 
 def merge_rects(rects: Column, tolerance: float = 2.0) -> Column:
-    """Word boxes to one box for each text line (the first line that fits within the tolerance)."""
-    kind = "array<struct<x0:double,y0:double,x1:double,y1:double>>"
-
-    def put(lines, r):
-        fits = lambda m: (F.abs(m["y0"] - r["y0"]) <= tolerance) & (F.abs(m["y1"] - r["y1"]) <= tolerance)
-        at = F.array_position(F.transform(lines, lambda m: F.coalesce(fits(m), F.lit(False))), F.lit(True))
-        joined = F.transform(
-            lines,
-            lambda m, i: F.when(
-                i + 1 == at,
-                F.struct(F.least(m["x0"], r["x0"]).alias("x0"), F.least(m["y0"], r["y0"]).alias("y0"), F.greatest(m["x1"], r["x1"]).alias("x1"), F.greatest(m["y1"], r["y1"]).alias("y1")),
-            ).otherwise(m),
-        )
-        return F.when(at > 0, joined).otherwise(F.concat(lines, F.array(r)))
+    """Word boxes to one box for each text line: a word joins the first line whose first word has its top and bottom within the tolerance.
+
+    A line keeps the top and bottom of its first word and grows to the sides. Only words
+    that begin a line are gathered while words are followed in turn, so nothing that grows
+    with the words is copied; which line a word is in is then a look-up.
+    """
+    edges = "array<struct<y0:double,y1:double>>"
+    fits = lambda m, r: F.coalesce((F.abs(m["y0"] - r["y0"]) <= tolerance) & (F.abs(m["y1"] - r["y1"]) <= tolerance), F.lit(False))
+    begin = lambda firsts, r: F.when(F.exists(firsts, lambda m: fits(m, r)), firsts).otherwise(F.concat(firsts, F.array(F.struct(r["y0"].cast("double").alias("y0"), r["y1"].cast("double").alias("y1")))))
+
+    def lines(firsts):
+        placed = F.transform(rects, lambda r: F.struct(F.array_position(F.transform(firsts, lambda m: fits(m, r)), F.lit(True)).alias("at"), r["x0"].alias("x0"), r["x1"].alias("x1")))
+
+        def box(of):
+            def one(m, k):
+                own = lambda c: F.transform(F.filter(of, lambda w: w["at"] == k + 1), lambda w: w[c])
+                return F.struct(F.array_min(own("x0")).alias("x0"), m["y0"].alias("y0"), F.array_max(own("x1")).alias("x1"), m["y1"].alias("y1"))
+
+            return F.transform(firsts, one)
+
+        return let(placed, box)
 
-    return F.aggregate(rects, F.array().cast(kind), put)
+    return let(F.aggregate(rects, F.array().cast(edges), begin), lines)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions import text as X
 from parlance.operators.evidence import evidence_lines
+from parlance.operators.graph import connected
 from parlance.operators.units import cast_line, companions, excerpts, in_scene, partner_text, resolve_at
 from parlance.sources.tables import cut
 
@@ -134,17 +135,8 @@ def resolve_aliases(links: DataFrame) -> DataFrame:
 
 
 def _linked(links: DataFrame) -> DataFrame:
-    """(book, name, part): the smallest name that links (book, a, b) reach from each name, by joins until no label changes."""
-    ways = cut(links.select("book", "a", "b").union(links.select("book", "b", "a")).distinct())
-    labels = cut(ways.groupBy("book", F.col("a").alias("name")).agg(F.min("b").alias("__b")).select("book", "name", F.least("name", "__b").alias("part")))
-    changed = 1
-    while changed:
-        jumped = labels.join(labels.select("book", F.col("name").alias("part"), F.col("part").alias("__to")), ["book", "part"])
-        near = ways.join(labels.select("book", F.col("name").alias("b"), "part"), ["book", "b"]).groupBy("book", F.col("a").alias("name")).agg(F.min("part").alias("__near"))
-        rows = cut(jumped.join(near, ["book", "name"]).select("book", "name", F.least("part", "__to", "__near").alias("__new"), "part"))
-        changed = rows.where("__new < part").count()
-        labels = rows.select("book", "name", F.col("__new").alias("part"))
-    return labels
+    """(book, name, part): the smallest name that links (book, a, b, ..) reach from each name."""
+    return connected(links, ["book"]).withColumnRenamed("node", "name")
 
 
 def _fold_links(t: pa.Table) -> pa.Table:

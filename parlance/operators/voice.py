@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parlance.operators.graph import connected
 from parlance.operators.ordered import carried_in_order, in_blocks, running_total, total_in_order, with_neighbours
 from parlance.sources.tables import cut
 
@@ -286,43 +287,121 @@ def stat_pool(vectors: DataFrame, keys: list[str]) -> DataFrame:
     return vectors.select(*keys, F.posexplode("embedding").alias("d", "x")).withColumn("d", F.col("d").cast("long")).groupBy(*keys, "d").agg(F.round(F.avg("x"), 5).alias("mean"), F.round(F.stddev_samp("x"), 5).alias("std"))
 
 
-def dominant_cluster(vectors: DataFrame, key: str, similarity: float = 0.55) -> DataFrame:
-    """(key, vec_id): members of the largest tight cluster of each key (average linkage), all if under four.
+def average_linkage(m: np.ndarray, similarity: float) -> np.ndarray:
+    """A cluster number for each row of unit vectors: average linkage by cosine, while the nearest clusters have `similarity` or more.
 
-    Linkage needs a key's similarities together; a key is one character's clips.
+    Nearest-neighbour chains: from any cluster go on to its nearest until two are each
+    other's nearest, which may be joined at once. A cluster whose nearest is too far is done,
+    as joins among the others bring none nearer. Time and memory are the square of the rows.
     """
-
-    def work(rows: pa.Table) -> pa.Table:
-        order = np.argsort(rows.column("vec_id").to_numpy())
-        ids = rows.column("vec_id").to_numpy()[order]
-        m = np.array(rows.column("embedding").to_pylist())[order]
-        groups = [[k] for k in range(len(m))]
-        if len(m) >= 4:
-            near = m @ m.T
-            total = near.copy()
-            np.fill_diagonal(total, -np.inf)
-            size = np.ones(len(m))
-            alive = np.ones(len(m), bool)
-            while True:
-                mean = np.where(alive[:, None] & alive[None], total / np.outer(size, size), -np.inf)
-                a, b = np.unravel_index(mean.argmax(), mean.shape)
-                if mean[a, b] < similarity:
-                    break
-                a, b = min(a, b), max(a, b)
-                total[a] += total[b]
-                total[:, a] += total[:, b]
-                total[a, a] = -np.inf
-                size[a] += size[b]
-                alive[b] = False
-                groups[a] += groups[b]
-            score = {k: np.linalg.norm(m[groups[k]].sum(0)) for k in np.flatnonzero(alive)}  # members times mean cosine to their centroid
-            best = groups[max(score, key=score.get)]
+    n = len(m)
+    near = m @ m.T
+    np.fill_diagonal(near, -np.inf)
+    size, label, open_ = np.ones(n), np.arange(n), np.ones(n, bool)
+    chain: list[int] = []
+    while True:
+        if not chain:
+            left = np.flatnonzero(open_)
+            if not len(left):
+                return label
+            chain = [int(left[0])]
+        at = chain[-1]
+        to = int(near[at].argmax())
+        if near[at, to] < similarity:
+            open_[at] = False
+            near[at] = near[:, at] = -np.inf
+            chain.pop()
+            continue
+        if len(chain) > 1 and near[at, chain[-2]] >= near[at, to]:
+            to = chain[-2]
+            row = (size[at] * near[at] + size[to] * near[to]) / (size[at] + size[to])
+            keep, gone = min(at, to), max(at, to)
+            near[keep] = near[:, keep] = row
+            near[keep, keep] = near[keep, gone] = near[gone, keep] = -np.inf
+            near[gone] = near[:, gone] = -np.inf
+            size[keep] += size[gone]
+            open_[gone] = False
+            label[label == gone] = keep
+            del chain[-2:]
         else:
-            best = list(range(len(m)))
-        return pa.table({key: rows.column(key).take(pa.array([0] * len(best))), "vec_id": pa.array(ids[sorted(best)], pa.int64())})
-
+            chain.append(to)
+
+
+def _matrix(rows: pa.Table) -> np.ndarray:
+    col = rows.column("embedding").combine_chunks()
+    return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows.num_rows, -1)
+
+
+def _forest(near: np.ndarray, similarity: float) -> np.ndarray:
+    """Row pairs that connect what pairs of `similarity` or more connect; fewer than there are rows."""
+    n, links = len(near), []
+    unseen = np.ones(n, bool)
+    for first in range(n):
+        if not unseen[first]:
+            continue
+        unseen[first] = False
+        todo = [first]
+        while todo:
+            at = todo.pop()
+            new = np.flatnonzero(unseen & (near[at] >= similarity))
+            unseen[new] = False
+            links += [(at, x) for x in new.tolist()]
+            todo += new.tolist()
+    return np.array(links, np.int64).reshape(-1, 2)
+
+
+def _parts(rows: DataFrame, key: str, similarity: float, block: int) -> DataFrame:
+    """rows (key, vec_id, embedding) with `part`: what pairs of `similarity` or more connect within a key, by blocks.
+
+    Vectors of a key are dealt into blocks, and every two blocks are compared in one task,
+    which gives only links that connect as much: no more than it has rows. A key of one
+    block is one part.
+    """
+    sizes = cut(rows.groupBy(key).count())
+    whole = rows.join(sizes.where(F.col("count") <= block).select(key), key, "left_semi").withColumn("part", F.lit(0).cast("long"))
+    large = sizes.where(F.col("count") > block)
+    if large.isEmpty():
+        return whole
+    kind = rows.schema[key].dataType.simpleString()
+    dealt = rows.join(large, key).withColumn("__of", F.ceil(2 * F.col("count") / block)).withColumn("__b", F.pmod(F.xxhash64("vec_id"), F.col("__of")))
+    dealt = cut(dealt.drop("count"))
+    pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("__of") - 1), lambda o: F.struct(F.least(o, F.col("__b")).alias("i"), F.greatest(o, F.col("__b")).alias("j")))
+    met = dealt.select(key, "vec_id", "embedding", F.explode(pair).alias("__p")).select(key, "vec_id", "embedding", "__p.i", "__p.j")
+
+    def work(t: pa.Table) -> pa.Table:
+        m, ids = _matrix(t), t.column("vec_id").to_numpy()
+        at = _forest(m @ m.T, similarity)
+        return pa.table({key: t.column(key).take(pa.array(np.zeros(len(at), np.int64))), "a": pa.array(ids[at[:, 0]]), "b": pa.array(ids[at[:, 1]])})
+
+    links = cut(met.groupBy(key, "i", "j").applyInArrow(work, f"{key} {kind}, a long, b long"))
+    labels = connected(links, [key]).withColumnRenamed("node", "vec_id")
+    split = dealt.select(key, "vec_id", "embedding").join(labels, [key, "vec_id"], "left")
+    return whole.unionByName(split.withColumn("part", F.coalesce("part", "vec_id")))
+
+
+def dominant_cluster(vectors: DataFrame, key: str, similarity: float = 0.55, block: int = 4096) -> DataFrame:
+    """(key, vec_id): members of the largest tight cluster of each key (average linkage), all if under four; of equals the one with the smallest id.
+
+    Clusters that average linkage joins are connected by single pairs that near, so a large
+    key is first split into what such pairs connect; linkage runs inside each part. A part
+    is one task, with the square of its vectors in memory.
+    """
     kind = vectors.schema[key].dataType.simpleString()
-    return vectors.select(key, "vec_id", "embedding").groupBy(key).applyInArrow(work, f"{key} {kind}, vec_id long")
+    rows = cut(vectors.select(key, F.col("vec_id").cast("long").alias("vec_id"), "embedding"))
+
+    def work(t: pa.Table) -> pa.Table:
+        t = t.sort_by("vec_id")
+        m, ids = _matrix(t), t.column("vec_id").to_numpy()
+        label = average_linkage(m, similarity)
+        names, of = np.unique(label, return_inverse=True)
+        sums = np.zeros((len(names), m.shape[1]))
+        np.add.at(sums, of, m)
+        score = np.linalg.norm(sums, axis=1)  # members times mean cosine to their centroid
+        return pa.table({key: t.column(key), "vec_id": pa.array(ids), "cluster": pa.array(ids[names][of]), "score": pa.array(score[of])})
+
+    linked = cut(_parts(rows, key, similarity, block).groupBy(key, "part").applyInArrow(work, f"{key} {kind}, vec_id long, cluster long, score double"))
+    best = linked.groupBy(key).agg(F.max(F.struct("score", (-F.col("cluster")).alias("c"))).alias("b"), F.count("*").alias("n"))
+    return linked.join(best, key).where((F.col("n") < 4) | (F.col("cluster") == -F.col("b.c"))).select(key, "vec_id")
 
 
 def rank_order() -> list:

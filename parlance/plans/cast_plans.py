@@ -266,6 +266,16 @@ over(
 )
 over("cast_prompts", lambda u: C.briefings(cut(evidence(u)), cut(told(u)), cut(cast(u))))
 
+
+
+def _line_prompts(u):
+    """What a judge reads about small entries that a pair has flagged."""
+    c, p = cut(cast(u)), cut(pairs(u))
+    return C.line_briefings(C.suspects(c, p, c.where("name = 'Tamsin'"), few=400), cut(told(u)), c)
+
+
+over("cast_line_prompts", _line_prompts)
+
 candidates = V.candidates
 add(
     "val_expand", lambda s, d: D.attempt_plan(V.doc_lines(s, d).where("length(line) > 0").select("doc_id", F.col("line_no").alias("chunk_idx")), 2, 2, 2, 12345),

@@ -141,10 +141,13 @@ add("agg_coref_name", lambda s, d: A.coref_names(entities(s, d)), f"with {TOKENS
 _PRONOUNS = ", ".join(f"'{w}'" for w in L.PRONOUNS)
 add(
     "att_classify", lambda s, d: A.classify_quotes(nlp_quotes(s, d), tokens(s, d)),
-    f"""with {TOKENS}, j as (select q.*, coalesce(h.pos = 'PROPN' or h.fine_pos = 'NNP', e.pos = 'PROPN' or e.fine_pos = 'NNP',
-    regexp_matches(q.mention_phrase, '^\\p{{Lu}}') and lower(q.mention_phrase) not in ({_PRONOUNS})) as named,
-  coalesce(least(abs(mention_start - quote_end), abs(quote_start - mention_end)) > 4, true) as far
-  from quotes q left join tokens h on h.doc_id = q.doc_id and h.token_id = q.mention_start left join tokens e on e.doc_id = q.doc_id and e.token_id = q.mention_end)
+    f"""with d as (select doc_id, string_split_regex(text, '[ \\n]+') as ws from documents), t as (select doc_id, unnest(range(len(ws))) as token_id, unnest(ws) as word from d),
+q0 as (select doc_id, token_id as q, token_id as quote_start, case when token_id // 20 % 4 = 1 then token_id + 18 else token_id + 6 end as quote_end, length(word) % 5 as char_id
+  from t where case when token_id // 20 % 4 = 1 then token_id % 20 = 0 else token_id % 20 in (2, 12) end),
+q as (select *, case when q % 7 <> 3 then quote_end + 1 + q % 8 end as mention_start, case when q % 7 <> 3 then quote_end + 1 + q % 8 + q % 2 end as mention_end,
+  case q % 3 when 0 then 'He' when 1 then 'Anna' else 'the man' end as phrase from q0),
+j as (select q.*, coalesce(regexp_matches(ws[mention_start + 1], '^[A-Z]'), regexp_matches(ws[mention_end + 1], '^[A-Z]'), regexp_matches(phrase, '^\\p{{Lu}}') and lower(phrase) not in ({_PRONOUNS})) as named,
+  coalesce(least(abs(mention_start - quote_end), abs(quote_start - mention_end)) > 4, true) as far from q join d on d.doc_id = q.doc_id)
 select doc_id, q, case when far then 'implicit' when named then 'explicit' else 'anaphoric' end as kind, case when not far then char_id end as coref from j""",
 )
 add("join_mention_outside", lambda s, d: A.outside_mentions(entities(s, d), nlp_quotes(s, d)).select("doc_id", "ent", "text"), f"with {TOKENS} select doc_id, ent, text from outside")

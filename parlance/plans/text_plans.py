@@ -265,7 +265,17 @@ QUERIES["seg_overlap"] = lambda spark, sf: V.documents(spark, sf).select("doc_id
 ORACLES["seg_overlap"] = 'select doc_id, start, least(1000, length(text) - start) as size from (select doc_id, text, unnest(range(0, length(text), 800)) as start from documents)'
 QUERIES["json_first"] = lambda spark, sf: V.table(spark, sf, "events").select("event_id", X.parse_reply(F.concat(F.lit("Sure: ```json\n{\"speakers\": {\"1\": \""), F.col("event_type"), F.lit("\"}, \"new_characters\": [\""), F.col("event_type"), F.lit("\"]}\n```"))).alias("r")).select("event_id", F.element_at("r.speakers", "1").alias("speaker"), F.get("r.new_characters", 0).alias("new_character"))
 ORACLES["json_first"] = "select event_id, event_type as speaker, event_type as new_character from events"
-QUERIES["rect_merge"] = lambda spark, sf: V.table(spark, sf, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct((F.col("event_id") % 40 * 1.0).alias("x0"), F.floor(F.col("event_id") % 200 / 10).cast("double").alias("y0"), (F.col("event_id") % 40 + 5.0).alias("x1"), (F.floor(F.col("event_id") % 200 / 10) + 8).cast("double").alias("y1")))).alias("r")).select("user_id", X.merge_rects(F.col("r")).alias("lines"))
+QUERIES["rect_merge"] = lambda spark, sf: V.table(spark, sf, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct((F.col("event_id") % 40 * 1.0).alias("x0"), F.floor(F.col("event_id") % 200 / 10).cast("double").alias("y0"), (F.col("event_id") % 40 + 5.0).alias("x1"), (F.floor(F.col("event_id") % 200 / 10) + 8).cast("double").alias("y1")))).alias("r")).select("user_id", F.posexplode(X.merge_rects(F.col("r"))).alias("line", "b")).select("user_id", "line", "b.*")
+ORACLES["rect_merge"] = """with recursive w as (select user_id, x0, y0, x0 + 5 as x1, y0 + 8 as y1, row_number() over (partition by user_id order by x0, y0) as n
+  from (select user_id, (event_id % 40)::double as x0, floor(event_id % 200 / 10)::double as y0 from events)),
+f(user_id, n, firsts) as (
+  select distinct user_id, 0, []::struct(y0 double, y1 double)[] from w
+  union all
+  select w.user_id, w.n, case when len(list_filter(firsts, lambda m: abs(m.y0 - w.y0) <= 2 and abs(m.y1 - w.y1) <= 2)) > 0 then firsts else list_append(firsts, {'y0': w.y0, 'y1': w.y1}) end
+  from f join w on w.user_id = f.user_id and w.n = f.n + 1),
+l as (select user_id, arg_max(firsts, n) as firsts from f group by 1),
+p as (select w.*, l.firsts, list_position(list_transform(firsts, lambda m: abs(m.y0 - w.y0) <= 2 and abs(m.y1 - w.y1) <= 2), true) as pos from w join l using (user_id))
+select user_id, (pos - 1)::integer as line, min(x0) as x0, any_value(firsts[pos].y0) as y0, max(x1) as x1, any_value(firsts[pos].y1) as y1 from p group by user_id, pos"""
 
 
 def _number_sql(n: str) -> str:

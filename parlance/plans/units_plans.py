@@ -41,7 +41,7 @@ CASTING = """casting as (select book, case when role = 'Narrator' then 'narrator
 CAST = "c as (select book, speaker as name, count(*) as lines from units where kind = 'dialogue' group by 1, 2)"
 
 add("agg_cast", lambda s, d: U.cast_counts(units(s, d)), "select book, speaker as name, count(*) as lines from units where kind = 'dialogue' group by 1, 2")
-_READ = F.col("id") % 50 != 7
+_read = lambda: F.col("id") % 50 != 7
 
 
 def _finished(s, d):
@@ -53,7 +53,7 @@ def _finished(s, d):
 
 
 add(
-    "agg_coverage", lambda s, d: U.coverage(units(s, d), _READ, _finished(s, d)),
+    "agg_coverage", lambda s, d: U.coverage(units(s, d), _read(), _finished(s, d)),
     """n as (select book, count(*) filter (where id % 50 <> 7) as lines_read, count(*) as lines_total, coalesce(try_cast(right(book, 1) as int), 0) as n from units where kind = 'dialogue' group by 1)
 select book, lines_read, lines_total, n not in (1, 2, 3, 9) as complete from n""",
 )

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import random
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,3 +183,45 @@ def test_a_long_group_is_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(U, "in_blocks", watched)
     got = U.context_chunks(df)
     assert seen and got.groupBy("chunk").count().where("chunk < 571 and count <> 35").count() == 0 and got.agg(F.max("chunk")).first()[0] == 20_000 // 35
+
+
+def plain_dominant(m, ids, similarity=0.55):
+    """Join the two nearest clusters again and again."""
+    if len(m) < 4:
+        return set(ids)
+    groups = [[k] for k in range(len(m))]
+    near = m @ m.T
+    while len(groups) > 1:
+        mean = {(i, j): near[np.ix_(groups[i], groups[j])].mean() for i in range(len(groups)) for j in range(i)}
+        i, j = max(mean, key=mean.get)
+        if mean[i, j] < similarity:
+            break
+        groups[j] += groups.pop(i)
+    return {ids[k] for k in max(groups, key=lambda g: (np.linalg.norm(m[g].sum(0)), -min(ids[k] for k in g)))}
+
+
+def voices(n, dim, seed, spread):
+    r = np.random.default_rng(seed)
+    centres = r.normal(size=(5, dim))
+    x = centres[r.integers(0, 5, n)] + r.normal(size=(n, dim)) * spread
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_dominant_clusters_equal_the_plain_rule(spark):
+    rows, want = [], set()
+    for who, (n, spread) in enumerate(((60, 0.6), (60, 1.0), (40, 0.9), (3, 2.0), (1, 1.0), (50, 0.1))):
+        m = voices(n, 12, who, spread)
+        ids = [who * 1000 + (k * 37) % 997 for k in range(n)]
+        rows += [(who, i, v.tolist()) for i, v in zip(ids, m)]
+        want |= {(who, i) for i in plain_dominant(m, ids)}
+    df = spark.createDataFrame(rows, "who long, vec_id long, embedding array<double>")
+    for block in (8, 4096):
+        assert {(x["who"], x["vec_id"]) for x in O.dominant_cluster(df, "who", block=block).collect()} == want
+    assert O.dominant_cluster(df.limit(0), "who").count() == 0
+
+
+def test_linkage_of_five_thousand_vectors():
+    m = voices(5000, 64, 1, 0.8)
+    began = time.perf_counter()
+    label = O.average_linkage(m, 0.55)
+    assert time.perf_counter() - began < 10 and len(np.unique(label)) < 5000

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -100,7 +101,7 @@ def test_seeds_and_boxes(spark):
     assert got == [1, ((2**32 - 1) * 1000003 + 5 * 10007 + 10009 + 202) % 2**32, 7 * 1000003 + 10007]
     boxes = [[(0.0, 0.0, 1.0, 10.0), (2.0, 1.5, 3.0, 11.0), (0.0, 20.0, 1.0, 30.0)]]
     got = one(spark, X.merge_rects, *boxes, kind="array<struct<x0:double,y0:double,x1:double,y1:double>>")
-    assert [tuple(r) for r in got[0]] == [(0.0, 0.0, 3.0, 11.0), (0.0, 20.0, 1.0, 30.0)]
+    assert [tuple(r) for r in got[0]] == [(0.0, 0.0, 3.0, 10.0), (0.0, 20.0, 1.0, 30.0)]  # a line keeps the top and bottom of its first word
     assert one(spark, X.parse_reply, '```json\n{"speakers": {"1": "Tam"}}\n``` ok', "none")[0]["speakers"] == {"1": "Tam"}
 
 
@@ -108,3 +109,24 @@ def test_seeds_and_boxes(spark):
 def test_overlap(spark, n, chunk, overlap):
     df = spark.createDataFrame([(n,)], "n long").select(S.overlap_plan(F.col("n"), chunk, overlap).alias("p"))
     assert [tuple(x) for x in df.first()["p"]] == [(s, min(chunk, n - s)) for s in range(0, n, chunk - overlap)]
+
+
+def plain_lines(rects, tolerance=2.0):
+    out = []
+    for x0, y0, x1, y1 in rects:
+        line = next((m for m in out if abs(m[1] - y0) <= tolerance and abs(m[3] - y1) <= tolerance), None)
+        if line is None:
+            out.append([x0, y0, x1, y1])
+        else:
+            line[0], line[2] = min(line[0], x0), max(line[2], x1)
+    return [tuple(m) for m in out]
+
+
+def test_boxes_of_a_large_page(spark):
+    r = random.Random(3)
+    page = [(float(r.randrange(600)), y := r.randrange(60) * 14.0 + r.choice([0.0, 1.0, 2.0, 2.5]), 700.0, y + 10 + r.choice([0.0, 1.5])) for _ in range(10_000)]
+    small = [(float(r.randrange(40)), y := float(r.randrange(12)), 50.0, y + 8) for _ in range(60)]
+    kind = "array<struct<x0:double,y0:double,x1:double,y1:double>>"
+    began = time.perf_counter()
+    got = one(spark, X.merge_rects, page, small, [], kind=kind)
+    assert [[tuple(x) for x in g] for g in got] == [plain_lines(page), plain_lines(small), []] and time.perf_counter() - began < 60
