@@ -45,7 +45,10 @@ add(
     "str_trigger", lambda s, d: V.messages(s, d).select("channel", "turn", C.addressed(F.col("content"), F.col("channel") % 4, ["the", "erin"]).alias("reply")),
     f"with {V.MESSAGES} select channel, turn, channel % 4 <= 1 or regexp_matches(regexp_replace(lower(content), '[^a-z0-9'' ]', ' ', 'g'), '(^|[^a-z0-9_])(the|erin)($|[^a-z0-9_])') as reply from messages",
 )
-add("win_history", lambda s, d: C.history(V.messages(s, d)).select("channel", "turn", F.size("context").cast("long").alias("n")), f"with {V.MESSAGES} select channel, turn, count(*) over (partition by channel order by turn rows between 23 preceding and current row) as n from messages")
+add(
+    "win_history", lambda s, d: C.history(V.messages(s, d)).select("channel", "turn", "context"),
+    f"with {V.MESSAGES} select channel, turn, list(speaker || ': ' || content) over (partition by channel order by turn rows between 23 preceding and current row) as context from messages",
+)
 add("str_reply_sent", lambda s, d: C.reply_sentences(V.messages(s, d)).select("channel", "turn", "n", "sentence"))
 add(
     "str_latency", lambda s, d: C.latency_stream(V.table(s, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") % 97 / 1000.0).alias("wait_s"))).select(_us(F.col("w.start")).alias("start_us"), "starved", "mean_wait", "n"),

@@ -6,7 +6,8 @@ with a watermark is our choice; later rows are dropped.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -70,8 +71,54 @@ def history(messages: DataFrame, k: int = 24) -> DataFrame:
     return messages.withColumn("context", F.collect_list(F.concat("speaker", F.lit(": "), "content")).over(w))
 
 
-def history_stream(messages: DataFrame, k: int = 24) -> DataFrame:
-    """Streaming: each message (channel, turn, speaker, content) with the last k of its channel as they came, itself included."""
+def in_event_order(rows: DataFrame, key: str, inputs: list[str], fields: str, step: Callable, ts: str = "ts", late: str = "10 seconds") -> DataFrame:
+    """Streaming: a rule that follows each key's rows in the order of their time, however batches deal them.
+
+    A row is held back until the watermark has passed its time; then no row before it can
+    come any more, and step(carry, row) gives what is carried on (None at first, as JSON
+    can hold it) and the columns of `fields`. rows of a key with equal times go by their
+    inputs. State holds the rows of the last `late` only. Rows later than that are dropped.
+    """
+    names = [f.split()[0] for f in fields.split(", ")]
+    plain = lambda v: None if v is None or v != v else v.item() if hasattr(v, "item") else v
+
+    def work(group: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        held, carry = (list(state.get[0]), json.loads(state.get[1])) if state.exists else ([], None)
+        if not state.hasTimedOut:
+            for f in frames:
+                at = f["__us"].tolist()
+                held += [json.dumps([t, [plain(v) for v in row]]) for t, row in zip(at, f[inputs].itertuples(index=False))]
+        now = state.getCurrentWatermarkMs()
+        waiting = sorted((json.loads(x) for x in held), key=lambda x: (x[0], [(v is not None, v) for v in x[1]]))
+        ready = [x for x in waiting if x[0] < now * 1000]
+        out = []
+        for _, row in ready:
+            carry, said = step(carry, row)
+            out.append((group[0], *said))
+        waiting = waiting[len(ready) :]
+        state.update(([json.dumps(x) for x in waiting], json.dumps(carry)))
+        if waiting:
+            state.setTimeoutTimestamp(max(waiting[0][0] // 1000 + 1, now + 1))
+        yield pd.DataFrame(out, columns=[key, *names])
+
+    timed = rows.withWatermark(ts, late).select(key, ts, F.unix_micros(ts).alias("__us"), *inputs)
+    kind = rows.schema[key].dataType.simpleString()
+    return timed.groupBy(key).applyInPandasWithState(work, f"{key} {kind}, {fields}", "held array<string>, carry string", "append", "EventTimeTimeout")
+
+
+def history_stream(messages: DataFrame, k: int = 24, ts: str | None = None, late: str = "10 seconds") -> DataFrame:
+    """Streaming: each message (channel, turn, speaker, content) with the last k of its channel, itself included.
+
+    In the order in which they came, or, if `ts` names their time, in that order (in_event_order).
+    """
+    if ts is not None:
+
+        def follow(kept, row):
+            turn, speaker, content = row
+            kept = [*(kept or []), f"{speaker}: {content}"][-k:]
+            return kept, (turn, kept)
+
+        return in_event_order(messages, "channel", ["turn", "speaker", "content"], "turn long, context array<string>", follow, ts, late)
 
     def work(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         kept = list(state.get[0]) if state.exists else []
@@ -91,8 +138,18 @@ def reply_sentences(replies: DataFrame, text: str = "content") -> DataFrame:
     return replies.select(*keep, F.posexplode(X.split_sentences(X.speakable(F.col(text)))).alias("n", "sentence"))
 
 
-def gain_stream(levels: DataFrame, target: float) -> DataFrame:
-    """Streaming: smoothed gain of each clip's chunks (clip, seq, dbfs)."""
+def gain_stream(levels: DataFrame, target: float, ts: str | None = None, late: str = "10 seconds") -> DataFrame:
+    """Streaming: smoothed gain of each clip's chunks (clip, seq, dbfs), as they came, or in the order of their time `ts` (in_event_order)."""
+    if ts is not None:
+
+        def follow(g, row):
+            seq, db = row
+            if db is not None:
+                new = 10 ** (max(-12.0, min(12.0, target - db)) / 20)
+                g = new if g is None else 0.7 * g + 0.3 * new
+            return g, (seq, None if g is None else round(g, 5))
+
+        return in_event_order(levels, "clip", ["seq", "dbfs"], "seq long, gain double", follow, ts, late)
 
     def work(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         g = state.get[0] if state.exists else None

@@ -65,3 +65,39 @@ def test_files_become_chunks(spark, tmp_path):
     q.stop()
     rows = spark.table("chunks").collect()
     assert rows[0]["file"] == "a.txt" and rows[0]["chunk"].startswith("One. Two. Three.")
+
+
+def dealt(spark, df, folder, batches, fn, name):
+    """Streams df in batches told by the column `batch`, one after the other."""
+    import os
+
+    for k in batches:
+        df.where(F.col("batch") == k).drop("batch").coalesce(1).write.parquet(f"{folder}/part{k}")
+        os.makedirs(f"{folder}/in", exist_ok=True)
+        for f in os.listdir(f"{folder}/part{k}"):
+            if f.endswith(".parquet"):
+                os.rename(f"{folder}/part{k}/{f}", f"{folder}/in/{k}.parquet")
+        stream = spark.readStream.schema(df.drop("batch").schema).parquet(f"{folder}/in")
+        q = fn(stream).writeStream.format("parquet").option("checkpointLocation", f"{folder}/cp").option("path", f"{folder}/out").trigger(availableNow=True).start()
+        q.awaitTermination()
+    return sorted(map(str, spark.read.parquet(f"{folder}/out").collect()))
+
+
+def test_batches_out_of_order_change_nothing(spark, tmp_path):
+    """Two batches that overlap in time, in both orders, and one batch of all give the same rows."""
+    at = lambda k: F.timestamp_micros(F.lit(1704067200000000) + k * 1_000_000)
+    rows = spark.range(40).select((F.col("id") % 2).alias("channel"), F.col("id").alias("turn"), F.lit("user").alias("speaker"), F.concat(F.lit("m"), F.col("id")).alias("content"), at(F.col("id")).alias("ts"), (F.col("id") * 7 % 3 == 0).cast("int").alias("batch"))
+    end = spark.createDataFrame([(9, 0, "user", "end", 2)], "channel long, turn long, speaker string, content string, batch int").withColumn("ts", F.to_timestamp(F.lit(FAR)))
+    df = rows.unionByName(end)
+    read = lambda s: C.history_stream(s, 3, "ts", "1 minute")
+    one = dealt(spark, df.withColumn("batch", F.when(F.col("batch") < 2, 0).otherwise(2)), tmp_path / "one", [0, 2], read, "one")
+    assert len(one) == 40
+    assert dealt(spark, df, tmp_path / "two", [0, 1, 2], read, "two") == one == dealt(spark, df, tmp_path / "three", [1, 0, 2], read, "three")
+    want = {r["turn"]: r["context"] for r in C.history(rows, 3).collect()}
+    assert {r["turn"]: r["context"] for r in spark.read.parquet(str(tmp_path / "one" / "out")).collect()} == want
+    levels = df.select(F.col("channel").alias("clip"), F.col("turn").alias("seq"), F.when(F.col("turn") % 5 > 0, -30.0 + F.col("turn")).alias("dbfs"), "ts", "batch")
+    gain = lambda s: C.gain_stream(s, -20.0, "ts", "1 minute")
+    from parlance.operators.voice import smooth_gain
+
+    got = dealt(spark, levels, tmp_path / "gain", [1, 0, 2], gain, "gain")
+    assert got == sorted(map(str, smooth_gain(levels.where("clip < 9"), -20.0).collect()))
