@@ -85,10 +85,17 @@ ORACLES["str_history"] = f"with {V.MESSAGES} select channel, turn, list(speaker
 ORACLES["src_nlp_tsv"] = "select doc_id, unnest(range(len(w))) as token_id, unnest(w) as word from (select doc_id, string_split_regex(text, '[ \\n\\t]+') as w from documents)"
 
 
+#: For each speaker the one it is asked about, and the word by which that one is mentioned.
+_ASKED = {
+    "Tam": ("Tamsin", "Tamsin"), "Tamsin": ("Tamsin Vale", "Vale"), "Tamsin Vale": ("Captain Vale", "Vale"), "Captain Vale": ("Tamsin", "Tamsin"),
+    "Orrin": ("Old Orrin", "Orrin"), "Old Orrin": ("Orrin", "Orrin"), "Hello": ("He", None), "He": ("Hello", "Hello"),
+}
+
+
 def _asked(spark, sf_dir):
-    """Tam, who may be Tamsin, and Orrin, who may be Old Orrin."""
-    two = V.book_units(spark, sf_dir).where("speaker in ('Tam', 'Orrin')").select("book", F.col("speaker").alias("name")).distinct()
-    return two.withColumn("other", F.when(F.col("name") == "Tam", "Tamsin").otherwise("Old Orrin"))
+    """Every speaker with one it may be."""
+    other = F.create_map(*[F.lit(x) for name, (to, _) in _ASKED.items() for x in (name, to)])
+    return V.book_units(spark, sf_dir).where("kind = 'dialogue'").select("book", F.col("speaker").alias("name")).distinct().withColumn("other", F.element_at(other, F.col("name")))
 
 
 def _named(spark, sf_dir):
@@ -103,8 +110,8 @@ def _evidence_sql(most: int, k: int, spread: bool) -> str:
     return f"""
 with {V.UNITS}, x as (select book, id, kind, speaker, case when (kind = 'narration' and id % 50 = 0) or (kind = 'dialogue'
   and id % 30 = 1) then 'Then Tamsin spoke. ' || text else text end as text from units),
-p as (select distinct book, speaker as name, case when speaker = 'Tam' then 'Tamsin' else 'Old Orrin' end as other, case
-  when speaker = 'Tam' then 'Tamsin' else 'Orrin' end as token from units where speaker in ('Tam', 'Orrin')),
+a(name, other, token) as (values {', '.join(f"('{n}', '{o}', {'null' if t is None else repr(t)})" for n, (o, t) in _ASKED.items())}),
+p as (select distinct u.book, a.name, a.other, a.token from units u join a on a.name = u.speaker where u.kind = 'dialogue'),
 o0 as (select p.*, u.id, u.text, {far} as close from p join x u on u.book = p.book and u.speaker = p.name and u.kind = 'dialogue'),
 own as (select * from (select *, bool_and(close) over (partition by book, name) as none from o0) where none or not close),
 st as (select distinct o.book, o.name, o.id from own o join x n on n.book = o.book and n.kind = 'narration' and n.id between o.id - 2 and o.id + 2 and {word('n.text')}),
