@@ -70,7 +70,36 @@ def units_of(words: Column) -> Column:
 
 
 def units(words: DataFrame) -> DataFrame:
-    """(book, page, para, n, kind, text): units of every paragraph, in order."""
-    placed = layout_words(words).join(paragraphs(words), ["book", "page", "block", "line"])
-    listed = placed.groupBy("book", "page", "para").agg(F.transform(F.array_sort(F.collect_list(F.struct("block", "line", "wno", "word"))), lambda w: w["word"]).alias("w"))
-    return listed.select("book", "page", "para", F.posexplode(units_of(F.col("w"))).alias("n", "u")).select("book", "page", "para", "n", "u.kind", "u.text")
+    """(book, page, para, n, kind, text): units of every paragraph, in order, by the rule of units_of.
+
+    What a word does to being inside a quote is one of four things: leave it, open, close,
+    or turn it (a lone straight mark). So the state before a word is what the last opening
+    or closing word left, turned as often as words since then turn it: two running values
+    of a paragraph's words, and no fold.
+    """
+    w = F.col("word")
+    closing, straight = w.rlike(f"[{L.CLOSING}]\\s*$"), w.rlike('"\\s*$')
+    opens = w.rlike(f'^[{L.OPENING}"]')
+    # what is left by a word outside of a quote, and inside of one
+    flags = {"__out": opens & ~closing & ~(straight & (F.length(w) > 1)), "__in": ~closing & ~straight, "__opens": opens, "__closes": closing | straight, "__lone": straight & ~closing & (F.length(w) == 1), "__ends": _sentence_end(w)}
+    placed = layout_words(words).join(paragraphs(words), ["book", "page", "block", "line"]).withColumns(flags)
+    by = Window.partitionBy("book", "page", "para").orderBy("block", "line", "wno")
+    before = by.rowsBetween(Window.unboundedPreceding, -1)
+    turns, sets = (F.col("__out") & ~F.col("__in")).cast("int"), F.col("__out") == F.col("__in")
+    rows = placed.withColumn("__turned", F.sum(turns).over(by))
+    last = F.last(F.when(sets, F.struct(F.col("__in").alias("v"), F.col("__turned").alias("t"))), ignorenulls=True).over(before)
+    rows = rows.withColumns({"__last": last, "__so_far": F.coalesce(F.lag("__turned").over(by), F.lit(0))})
+    odd = (F.col("__so_far") - F.coalesce(F.col("__last.t"), F.lit(0))) % 2 == 1
+    rows = rows.withColumn("__was", F.coalesce(F.col("__last.v"), F.lit(False)) != odd)
+    opened = ~F.col("__was") & F.col("__opens")
+    quoted = F.col("__was") | opened
+    done = F.when(quoted, F.col("__closes") & ~(opened & F.col("__lone"))).otherwise(F.col("__ends"))
+    rows = rows.withColumns({"__q": quoted, "__done": done, "__opened": opened})
+    begins = F.col("__opened") | F.coalesce(F.lag("__done").over(by), F.lit(True))
+    rows = rows.withColumn("__unit", F.sum(begins.cast("int")).over(by))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "line", "wno", "word"))), lambda x: x["word"]), " ")
+    each = rows.groupBy("book", "page", "para", "__unit").agg(F.trim(listed).alias("text"), F.first("__q").alias("__q"))
+    bare = F.trim(F.regexp_replace("text", f"^[{_QUOTES}]+|[{_QUOTES}]+$", ""))
+    each = each.withColumn("text", F.when(F.col("__q"), bare).otherwise(F.col("text"))).where("text <> ''")
+    n = F.row_number().over(Window.partitionBy("book", "page", "para").orderBy("__unit")) - 1
+    return each.select("book", "page", "para", n.alias("n"), F.when(F.col("__q"), "dialogue").otherwise("narration").alias("kind"), "text")

@@ -48,7 +48,24 @@ m as (select book, page, x as margin from (select book, page, round(x0) as x, ro
   from o group by book, page, round(x0)) where r = 1)
 select book, page, block, line, cast(sum(case when pos > 1 and (x0 > margin + 6.0 or top - pb > 16.0 or block <> pblock) then 1 else 0 end) over (partition by book, page order by block, line) as bigint) as para from o join m using (book, page)""",
 )
-add("seg_units", lambda s, d: Y.units(layout(s, d)))
+_END = "regexp_matches(b, '[.!?]$') and not regexp_matches(b, '(?i)(^|[^\\p{L}\\p{N}_])(?:" + L.ABBREVIATIONS + ")\\.$')"
+add(
+    "seg_units", lambda s, d: Y.units(layout(s, d)),
+    f"""with recursive para as ({ORACLES['seg_para']}), v as (select * from ({f"with {_LAYOUT} select * from w"})),
+k as (select v.book, v.page, para, word, row_number() over (partition by v.book, v.page, para order by v.block, v.line, wno) as i, regexp_replace(word, '[”’»"'')]+$', '') as b
+  from v join para on para.book = v.book and para.page = v.page and para.block = v.block and para.line = v.line where trim(word) <> ''),
+c as (select *, regexp_matches(word, '^[{L.OPENING}"]') as opens, regexp_matches(word, '[{L.CLOSING}]\\s*$') as closing, regexp_matches(word, '"\\s*$') as straight, {_END} as ends from k),
+l as (select book, page, para, list({{'w': word, 'o': opens, 'c': closing, 's': straight, 'e': ends}} order by i) as ws from c group by all),
+r as (select book, page, para, ws, 0 as i, false as q, 0 as unit, true as done, false as said from l
+  union all
+  select book, page, para, ws, i + 1, case when q or x.o then not (x.c or x.s and (q or length(x.w) > 1)) else false end,
+    unit + case when done or (not q and x.o) then 1 else 0 end,
+    case when q or x.o then x.c or x.s and (q or length(x.w) > 1) else x.e end, q or x.o
+  from (select *, ws[i + 1] as x from r where i < len(ws))),
+u as (select book, page, para, unit, any_value(said) as q, trim(string_agg(ws[i].w, ' ' order by i)) as t from r where i > 0 group by 1, 2, 3, 4),
+f as (select *, case when q then trim(regexp_replace(t, '^[{L.OPENING}{L.CLOSING}"]+|[{L.OPENING}{L.CLOSING}"]+$', '', 'g')) else t end as text from u)
+select book, page, para, (row_number() over (partition by book, page, para order by unit) - 1)::int as n, case when q then 'dialogue' else 'narration' end as kind, text from f where text <> ''""",
+)
 
 
 def _quote_spans(s, d):

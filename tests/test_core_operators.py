@@ -147,6 +147,21 @@ def test_layout_units(spark):
     assert [x["para"] for x in got.orderBy("block", "line").collect()] == [0, 0, 1, 1, 2, 3]
 
 
+def test_units_of_words_equal_the_fold(spark):
+    r = random.Random(12)
+    pick = lambda: r.choice(["a", "Mr.", "end.", "\"", "“", "”", "“so", "so”", "\"so", "so\"", "\"so\"", "“so”", "no.”", "«x»", "'tis", "e.g.", "why?)", "\"\""])
+    rows = [("b", page, 0, line, wno, 50.0 + wno, line * 12.0, 51.0 + wno, line * 12.0 + 10, pick()) for page in range(150) for line in range(r.randint(1, 4)) for wno in range(r.randint(1, 9))]
+    df = spark.createDataFrame(rows, "book string, page long, block long, line long, wno long, x0 double, y0 double, x1 double, y1 double, word string")
+    got: dict = {}
+    for x in Y.units(df).orderBy("page", "para", "n").collect():
+        assert x["n"] == len(got.setdefault((x["page"], x["para"]), []))
+        got[x["page"], x["para"]].append((x["kind"], x["text"]))
+    placed = Y.layout_words(df).join(Y.paragraphs(df), ["book", "page", "block", "line"])
+    words = placed.groupBy("page", "para").agg(F.transform(F.array_sort(F.collect_list(F.struct("line", "wno", "word"))), lambda w: w["word"]).alias("w"))
+    want = {(x["page"], x["para"]): [tuple(u) for u in x["u"]] for x in words.select("page", "para", Y.units_of(F.col("w")).alias("u")).collect()}
+    assert {k: v for k, v in want.items() if v} == got
+
+
 def test_cast_resolution(spark):
     cast = spark.createDataFrame([("b", "Tamsin", 120), ("b", "Tam", 20), ("b", "Captain Vale", 40), ("b", "Tamsin Vale", 5), ("b", "Orrin", 50), ("b", "Old Orrin", 3)], "book string, name string, lines long")
     grams = spark.createDataFrame([("b", "tamsin", "vale", 6, "Tamsin Vale")], "book string, first string, last string, n long, surface string")
