@@ -91,7 +91,7 @@ def in_blocks(df: DataFrame, group: list[str], order: list[str], fields: str, re
     hold; follow(effect, state) is the state after the block (state None: the group's start).
     Only effects pass through one task for each group, a row for a block; so every block
     learns its entry, and replay(rows, state) gives its rows the columns of `fields`. rows
-    are a pyarrow table of df's columns in order; replay returns a dict of arrays.
+    are a pyarrow table or batch of df's columns in order; replay returns a dict of arrays.
     """
     block = block or BLOCK_ROWS
     columns, names = df.columns, [f.split()[0] for f in fields.split(", ")]
@@ -128,16 +128,36 @@ def in_blocks(df: DataFrame, group: list[str], order: list[str], fields: str, re
         entries = cut(effects.repartition(*[F.col(g) for g in group]).sortWithinPartitions(*group, "__block").mapInArrow(chain, T.StructType([*keys.fields, T.StructField("__entry", T.StringType())])))
         dealt = dealt.join(long, group, "left_anti").unionByName(big.join(entries, [*group, "__block"]))
 
-    def work(table: pa.Table) -> pa.Table:
-        table = table.sort_by([(c, "ascending") for c in ("__at", *order)])
-        entry = table.column("__entry")[0].as_py()
-        got = replay(table, None if entry is None else json.loads(entry))
-        table = table.select(columns)
-        for n in names:
-            table = table.append_column(n, got[n])
-        return table
-
-    return dealt.select(*columns, "__at", "__block", "__entry").groupBy(*group, "__block").applyInArrow(work, schema)
+    key = [*group, "__block"]
+
+    def work(batches):
+        held: list[pa.RecordBatch] = []  # rows of the last key, which may go on in the next batch
+
+        def followed(rows: pa.RecordBatch, starts: list[int]) -> pa.RecordBatch:
+            made: dict[str, list] = {n: [] for n in names}
+            for i, j in zip(starts, [*starts[1:], rows.num_rows]):
+                part = rows.slice(i, j - i)
+                entry = part.column("__entry")[0].as_py()
+                got = replay(part, None if entry is None else json.loads(entry))
+                for n in names:
+                    made[n].append(got[n])
+            return pa.RecordBatch.from_arrays([*[rows.column(c) for c in columns], *[pa.concat_arrays(made[n]) for n in names]], [*columns, *names])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.concat_batches([*held, batch]) if held else batch
+            own = list(zip(*(rows.column(c).to_pylist() for c in key)))
+            starts = [i for i, k in enumerate(own) if not i or k != own[i - 1]]
+            if len(starts) > 1:
+                yield followed(rows.slice(0, starts[-1]), starts[:-1])
+            held = [rows.slice(starts[-1])]
+        if held:
+            yield followed(held[0], [0])
+
+    # a task holds the rows of one key: a block at most, or a short group
+    sorted_ = dealt.select(*columns, "__at", "__block", "__entry").repartition(*[F.col(c) for c in key]).sortWithinPartitions(*key, "__at", *order)
+    return sorted_.mapInArrow(work, schema)
 
 
 class Unknown:
