@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +22,35 @@ def _all(s: Column) -> Column:
     return F.when(s["cur"] != "", F.concat(s["done"], F.array(s["cur"]))).otherwise(s["done"])
 
 
+#: Items that one fold of a part follows, and parts of them that the next one follows.
+WIDTHS = (64, 64)
+
+
+def _parts(items: Column, width: int) -> Column:
+    """An array cut into arrays of `width` items, the last one shorter."""
+    last = F.greatest(F.lit(0), F.floor((F.size(items) - 1) / width).cast("int"))
+    return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(items, k * width + 1, F.lit(width)))
+
+
+def _in_parts(items: Column, put, widths=WIDTHS) -> Column:
+    """The state after a fold by put(state, item), which reads `cur` and only adds to `done`.
+
+    A fold copies its state at each step, all that is done with it. So parts are folded from
+    an empty `done`, and what they give is added once, so that the copies stay small however long the array is.
+    """
+
+    def one(part: Column, cur: Column, widths) -> Column:
+        if not widths:
+            return F.aggregate(part, _state(F.array(), cur), put)
+
+        def put_part(s, p):
+            return let(one(p, s["cur"], widths[1:]), lambda r: _state(F.concat(s["done"], r["done"]), r["cur"]))
+
+        return let(part, lambda p: F.aggregate(_parts(p, math.prod(widths)), _state(F.array(), cur), put_part))
+
+    return one(items, F.lit(""), widths)
+
+
 def pack(sentences: Column, most: int) -> Column:
     """Greedy packing: a sentence joins the chunk with a blank while the sum stays within `most`."""
 
@@ -28,7 +59,7 @@ def pack(sentences: Column, most: int) -> Column:
             _state(s["done"], F.trim(F.concat(s["cur"], F.lit(" "), x)))
         )
 
-    return F.aggregate(sentences, _empty(), put, _all)
+    return let(_in_parts(sentences, put), _all)
 
 
 def pack_250(c: Column, most: int = 250) -> Column:
