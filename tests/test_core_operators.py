@@ -303,3 +303,9 @@ def test_validation(spark):
     assert [x["chunk_idx"] for x in D.retry_queue(gated, 3).collect()] == [2]
     ok = D.faithful(spark.createDataFrame([("", "x"), ("hello there", "hello there"), ("hello", "completely other")], "w string, h string"), "w", "h").collect()
     assert [x["ok"] for x in ok] == [True, True, False]
+
+
+def test_centroids_keep_the_sign_of_small_values(spark):
+    rows = [(1, [1.0, -1e-6, 1e-6, 0.0])]
+    got = O.centroids(spark.createDataFrame(rows, "k long, embedding array<float>"), "k").first()["embedding"]
+    assert [str(x) for x in got] == ["1.0", "-0.0", "0.0", "0.0"]
