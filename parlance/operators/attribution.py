@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from parlance.functions import lexicon as L
 from parlance.functions import text as X
 from parlance.operators.ordered import Unknown, after_symbolic, in_blocks, running_total, symbolic_effect, with_neighbours
+from parlance.sources.tables import cut
 
 #: Fixed value: what a name in a speech tag looks like.
 NAME = r"[A-Z][a-zA-Z'’.-]+(?:\s+[A-Z][a-zA-Z'’.-]+)?"
@@ -132,13 +133,16 @@ def vocatives(quotes: DataFrame, roster: DataFrame) -> DataFrame:
     A name, or its first word, counts after the start, a comma, semicolon, dash, question or
     exclamation mark or `my dear`, and before punctuation or the end. A quote that is
     nothing but a name addresses its bearer and lists the name last. Names are in
-    alphabetical order; quotes that address nobody have no row.
+    alphabetical order; quotes that address nobody have no row. Words find their names
+    without the text, which then joins only what they found.
     """
     first_run = lambda c: F.lower(F.regexp_extract(c, "(\\p{L}+)", 1))
     names = roster.select("book", "name", F.substring_index("name", " ", 1).alias("__first"), first_run(F.col("name")).alias("__k")).where("__k <> ''").distinct()
+    names = cut(names)  # a roster is small, and joined by its real size
     text = F.trim(F.regexp_replace("text", "[“”]", ""))
     runs = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit("(\\p{L}+)"), F.lit(1)), F.lower))
-    rows = quotes.select("book", "id", text.alias("text")).withColumn("__k", F.explode(runs)).join(names, ["book", "__k"])
+    found = quotes.select("book", "id", F.explode(runs).alias("__k")).join(names, ["book", "__k"]).select("book", "id", "name", "__first")
+    rows = found.join(quotes.select("book", "id", text.alias("text")), ["book", "id"])
     either = F.concat(F.lit("(?:\\Q"), F.col("name"), F.lit("\\E|\\Q"), F.col("__first"), F.lit("\\E)"))
     called = F.regexp_like("text", F.concat(F.lit("(?:^|[,;!?—–-]\\s*|\\b[Mm]y dear\\s+)"), either, F.lit("\\s*(?:[,.!?;:—–-]|$)")))
     bare = F.lower(F.regexp_replace("text", "^[\\s.,!?—–\"'“”‘’-]+|[\\s.,!?—–\"'“”‘’-]+$", ""))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import time
 
+from parlance.operators import attribution as A
 from parlance.operators import cast as C
 from parlance.operators import units as U
 
@@ -112,3 +113,28 @@ def test_line_briefings_show_every_line(spark):
     assert set(got) == {"Tam", "Tamsin Vale"}
     assert [x for x in got["Tam"].split("\n") if x.startswith("--- line")] == ["--- line 0:", "--- line 6:"] and "Suspect entry: Tam (2 lines)" in got["Tam"]
     assert "Only me." in got["Tam"] and [x for x in got["Tamsin Vale"].split("\n") if x.startswith("--- line")] == ["--- line 2:"]
+
+
+def exploded(df):
+    """Columns of the rows that each explode of a plan makes."""
+    out, todo = [], [df._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        node = todo.pop()
+        todo += [node.children().apply(k) for k in range(node.children().size())]
+        if node.nodeName() == "Generate":
+            out.append({node.output().apply(k).name() for k in range(node.output().size())})
+    return out
+
+
+def test_words_find_vocatives_without_the_text(spark):
+    quotes = spark.createDataFrame([("b", 1, "Tam, come here now. Tam!"), ("b", 2, "Nobody here."), ("c", 1, "Tam?")], "book string, id long, text string")
+    df = A.vocatives(quotes, spark.createDataFrame([("b", "Tam"), ("c", "Orrin")], "book string, name string"))
+    assert [tuple(r) for r in df.collect()] == [("b", 1, ["Tam"], None)]
+    assert exploded(df) and not any("text" in columns for columns in exploded(df))
+
+
+def test_words_find_mentions_without_the_text(spark):
+    units = spark.createDataFrame([("b", 1, "Then Vale came, Vale of all."), ("b", 2, "No Valen."), ("c", 1, "Vale.")], "book string, id long, text string")
+    df = U.mentioned(units, spark.createDataFrame([("b", "Captain Vale"), ("b", "Vale")], "book string, name string"))
+    assert sorted(tuple(r) for r in df.collect()) == [("b", "Captain Vale", 1), ("b", "Vale", 1)]
+    assert exploded(df) and not any("text" in columns for columns in exploded(df))
