@@ -138,3 +138,11 @@ def test_words_find_mentions_without_the_text(spark):
     df = U.mentioned(units, spark.createDataFrame([("b", "Captain Vale"), ("b", "Vale")], "book string, name string"))
     assert sorted(tuple(r) for r in df.collect()) == [("b", "Captain Vale", 1), ("b", "Vale", 1)]
     assert exploded(df) and not any("text" in columns for columns in exploded(df))
+
+
+def test_keys_of_selections_travel_without_the_text(spark):
+    units = spark.createDataFrame([("b", 1, 0, "It was late. Nobody came."), ("b", 1, 1, "Go"), ("b", 2, 2, "Go")], "book string, para long, id long, text string")
+    asked = [("s1", "b", None, "was late."), ("s2", "b", None, "Go away now"), ("s3", "b", 2, "not there"), ("s4", "b", None, "nowhere at all"), ("s5", "b", None, "was late.")]
+    df = U.locate(spark.createDataFrame(asked, "sel_id string, book string, para long, sel string"), units)
+    assert sorted(tuple(r) for r in df.collect()) == [("s1", 0, 1), ("s2", 1, 2), ("s3", 2, 3), ("s4", None, None), ("s5", 0, 1)]
+    assert exploded(df) and not any({"__u", "__s", "__text"} & columns for columns in exploded(df))
