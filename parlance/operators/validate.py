@@ -111,9 +111,15 @@ def resplit(failed: DataFrame, text: str = "target", least: int = 25) -> DataFra
 
 
 def with_transcripts(candidates: DataFrame, transcripts: DataFrame) -> DataFrame:
-    """Candidates with what a transcriber heard (doc_id, chunk_idx, cand_idx, transcript); nothing heard is empty text."""
-    key = ["doc_id", "chunk_idx", "cand_idx"]
-    return candidates.join(transcripts.select(*key, "transcript"), key, "left").withColumn("transcript", F.coalesce("transcript", F.lit("")))
+    """Candidates with what a transcriber heard (doc_id, chunk_idx, cand_idx, transcript); nothing heard is empty text.
+
+    Chunks are joined, and a candidate then takes its own, so takes that stand together stay where they are.
+    """
+    chunk = ["doc_id", "chunk_idx"]
+    heard = transcripts.groupBy(*chunk).agg(F.collect_list(F.struct("cand_idx", "transcript")).alias("__heard"))
+    own = F.filter("__heard", lambda h: F.coalesce(h["cand_idx"] == F.col("cand_idx"), F.lit(False)))
+    rows = candidates.join(heard, chunk, "left").select(*candidates.columns, F.explode_outer(own).alias("__own"))
+    return rows.select(*candidates.columns, F.coalesce("__own.transcript", F.lit("")).alias("transcript"))
 
 
 def speak(chunks: DataFrame, attempt: Callable[[DataFrame], DataFrame], tries: int = 3, least: int = 25) -> DataFrame:

@@ -309,3 +309,23 @@ def test_centroids_keep_the_sign_of_small_values(spark):
     rows = [(1, [1.0, -1e-6, 1e-6, 0.0])]
     got = O.centroids(spark.createDataFrame(rows, "k long, embedding array<float>"), "k").first()["embedding"]
     assert [str(x) for x in got] == ["1.0", "-0.0", "0.0", "0.0"]
+
+
+def test_excerpts_without_a_join(spark):
+    units = spark.createDataFrame([("b", k, "X", f"t{k}" + "." * 200) for k in (0, 1, 5)], "book string, id long, speaker string, text string")
+    df = U.excerpts(units, spark.createDataFrame([("b", 1), ("b", 3), ("b", 9), ("c", 0)], "book string, id long"), 2)
+    line = lambda k: f"X: t{k}" + "." * 98
+    assert {r["centre"]: r["excerpt"] for r in df.collect()} == {1: f"   {line(0)}\n>> {line(1)}", 3: f"   {line(1)}\n   {line(5)}"}
+    assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()  # seven rows for each unit met in one
+
+
+def test_transcripts_join_chunks_where_they_are(spark):
+    there = lambda rows, schema: spark.createDataFrame(rows, schema).repartition("doc_id", "chunk_idx")
+    takes = there([(1, 0, 0, "a"), (1, 0, 1, "a"), (1, 1, 0, "b"), (None, 0, 0, "c")], "doc_id long, chunk_idx long, cand_idx long, target string")
+    heard = there([(1, 0, 0, "x"), (1, 0, 0, "y"), (1, 0, 1, None), (None, 0, 0, "z"), (7, 0, 0, "w")], "doc_id long, chunk_idx long, cand_idx long, transcript string")
+    df = D.with_transcripts(takes, heard)
+    assert df.columns == ["doc_id", "chunk_idx", "cand_idx", "target", "transcript"]
+    got = sorted((r[0] or 0, *r[1:]) for r in df.collect())
+    assert got == [(0, 0, 0, "c", ""), (1, 0, 0, "a", "x"), (1, 0, 0, "a", "y"), (1, 0, 1, "a", ""), (1, 1, 0, "b", "")]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Exchange" in x and "cand_idx" in x.split("ENSURE")[0].split("[plan_id")[0]]
