@@ -225,3 +225,12 @@ def test_linkage_of_five_thousand_vectors():
     began = time.perf_counter()
     label = O.average_linkage(m, 0.55)
     assert time.perf_counter() - began < 10 and len(np.unique(label)) < 5000
+
+
+def test_running_total_deals_rows_once(spark):
+    from parlance.operators.ordered import running_total
+
+    df = spark.createDataFrame([("a", m, k, "x") for m in range(9) for k in range(3)], "g string, major long, minor long, text string")
+    got = running_total(df, ["g"], "major", "minor", F.lit(1), "n", block=4)
+    assert sorted((r["major"], r["minor"], r["n"]) for r in got.collect()) == [(m, k, 3 * m + k) for m in range(9) for k in range(3)]
+    assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") <= 4
