@@ -15,6 +15,10 @@ from parlance.functions.segments import halve
 from parlance.sources.tables import cut
 
 
+#: Fixed value: the letters that are counted one by one.
+LETTERS = "etaoinsr"
+
+
 def attempt_plan(chunks: DataFrame, generations: int, candidates: int, tries: int, seed: int) -> DataFrame:
     """Every generation, candidate and attempt of each chunk with its seed."""
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
@@ -28,7 +32,7 @@ def ceiling(a: Column, b: Column) -> Column:
     return F.when(both == 0, 1.0).otherwise(2.0 * F.least(F.length(a), F.length(b)) / both)
 
 
-def letter_ceiling(a: Column, b: Column, letters: str = "etaoinsr") -> Column:
+def letter_ceiling(a: Column, b: Column, letters: str = LETTERS) -> Column:
     """The greatest ratio that two texts with these letters can have.
 
     Matching blocks can hold no letter more often than the text that has it more rarely.
@@ -41,30 +45,37 @@ def letter_ceiling(a: Column, b: Column, letters: str = "etaoinsr") -> Column:
     return F.when(both == 0, 1.0).otherwise(2.0 * shared / both)
 
 
-@F.pandas_udf(T.DoubleType())
-def _ratio(first: pd.Series, second: pd.Series) -> pd.Series:
-    """Ratios of the pairs that have both texts; null for the others."""
-    asked = (first.notna() & second.notna()).to_numpy()
-    out = pd.Series(float("nan"), index=first.index)
-    out[asked] = ratios(first[asked].tolist(), second[asked].tolist())
-    return out.astype(object).where(asked, None)
+def _ratio(floor: float) -> Callable[[Column, Column], Column]:
+    """Ratios of the pairs that have both texts, or what their letters allow if that is under floor; null for the others."""
+
+    @F.pandas_udf(T.DoubleType())
+    def of(first: pd.Series, second: pd.Series) -> pd.Series:
+        asked = (first.notna() & second.notna()).to_numpy()
+        out = pd.Series(float("nan"), index=first.index)
+        out[asked] = ratios(first[asked].tolist(), second[asked].tolist(), floor=floor, letters=LETTERS)
+        return out.astype(object).where(asked, None)
+
+    return of
 
 
-def similarity(pairs: DataFrame, first: str, second: str, floor: float = 0.0, form: Callable[[Column], Column] | None = X.compare_form) -> DataFrame:
+def similarity(pairs: DataFrame, first: str, second: str, floor: float = 0.0, form: Callable[[Column], Column] | None = X.compare_form, formed: dict[str, str] | None = None) -> DataFrame:
     """pairs with `score`: matching-block ratio of the forms of two text columns (null if one is null).
 
     form makes what is compared of a text, by default words without case, punctuation and
-    respellings; None compares texts as they are. Equal forms score 1. Pairs whose lengths,
-    or whose letters, alone keep them under `floor` score that ceiling; only the others are
-    compared, by numpy in batches, and only they leave the JVM.
+    respellings; None compares texts as they are. `formed` names columns that hold the form of
+    a text column already, as where many pairs share a text. Equal texts are formed once.
+    Equal forms score 1. Pairs whose lengths, or whose letters, alone keep them under `floor`
+    score that ceiling; pairs that lengths leave open leave the JVM, and those that letters
+    leave open too are compared, by numpy in batches.
     """
-    make = form or (lambda c: c)
-    forms = pairs.withColumns({"__a": make(F.col(first)), "__b": make(F.col(second))})
+    make, have = form or (lambda c: c), formed or {}
+    of = lambda name: F.col(have[name]) if name in have else make(F.col(name))
+    given, other, known, new = (first, second, "__a", "__b") if first in have else (second, first, "__b", "__a")
+    forms = pairs.withColumn(known, of(given)).withColumn(new, F.when(F.col(given) == F.col(other), F.col(known)).otherwise(of(other)))
     a, b = F.col("__a"), F.col("__b")
-    ask = (a != b) & (ceiling(a, b) >= floor)
-    bound = F.when(a == b, 1.0).when(ceiling(a, b) < floor, ceiling(a, b)).otherwise(letter_ceiling(a, b))
-    known = forms.withColumn("__most", bound).withColumn("__ask", ask & (F.col("__most") >= floor))
-    return known.withColumn("score", F.coalesce(_ratio(F.when(F.col("__ask"), a), F.when(F.col("__ask"), b)), F.col("__most"))).drop("__a", "__b", "__most", "__ask")
+    bound = F.when(a == b, 1.0).otherwise(ceiling(a, b))
+    sized = forms.withColumn("__most", bound).withColumn("__ask", (a != b) & (F.col("__most") >= floor))
+    return sized.withColumn("score", F.coalesce(_ratio(floor)(F.when(F.col("__ask"), a), F.when(F.col("__ask"), b)), F.col("__most"))).drop("__a", "__b", "__most", "__ask")
 
 
 def gate(scored: DataFrame, first: float = 0.85, retry: float = 0.95, least_bytes: int = 1024) -> DataFrame:
@@ -91,12 +102,19 @@ def retry_queue(gated: DataFrame, most: int) -> DataFrame:
     return at.where(~F.col("ok") & (F.col("attempts") < most)).select("doc_id", "chunk_idx", "attempts")
 
 
-def faithful(pairs: DataFrame, want: str, heard: str, least: float = 0.80) -> DataFrame:
+def faithful(pairs: DataFrame, want: str, heard: str, least: float = 0.80, formed: dict[str, str] | None = None) -> DataFrame:
     """pairs with `score` and `ok`: close enough, and not much longer or shorter, as spoken words with numbers spelt out.
 
-    A target without any spoken word passes with score 1; a null text gives null.
+    A target without any spoken word passes with score 1; a null text gives null. `formed`
+    names columns that hold X.norm_words of want, or of heard, already.
     """
-    forms = pairs.withColumns({"__want": X.norm_words(F.col(want)), "__heard": X.norm_words(F.col(heard))})
+    have = formed or {}
+    of = lambda name: F.col(have[name]) if name in have else X.norm_words(F.col(name))
+    same = F.col(want) == F.col(heard)
+    if heard in have:
+        forms = pairs.withColumn("__heard", of(heard)).withColumn("__want", F.when(same, F.col("__heard")).otherwise(of(want)))
+    else:
+        forms = pairs.withColumn("__want", of(want)).withColumn("__heard", F.when(same, F.col("__want")).otherwise(of(heard)))
     scored = similarity(forms, "__want", "__heard", least, None)
     slack = F.greatest(F.lit(10), F.floor(F.length("__want") * 0.2).cast("int"))
     ok = (F.col("score") >= least) & (F.abs(F.length("__heard") - F.length("__want")) <= slack)

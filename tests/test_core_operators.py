@@ -8,6 +8,7 @@ import random
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parlance.functions import text as X
 from parlance.functions.matching import ratios
 from parlance.operators import attribution as A
 from parlance.operators import cast as C
@@ -17,6 +18,7 @@ from parlance.operators import units as U
 from parlance.operators import validate as D
 from parlance.operators import voice as O
 from parlance.operators.ordered import running_total, total_in_order, with_neighbours
+from parlance.plans import registry
 
 
 def test_running_total_and_neighbours(spark):
@@ -275,6 +277,29 @@ def test_letters_bound_the_ratio(spark):
         assert (x["score"] >= 0.6) == (exact >= 0.6) and (x["score"] < 0.6 or abs(x["score"] - exact) < 1e-12)
 
 
+def test_given_forms_and_letters_give_the_same_scores(spark):
+    r = random.Random(9)
+    text = lambda: "".join(r.choice("etaoinsrhlmé,' A") for _ in range(r.choice((5, 40, 190, 420))))
+    rows = [(t, t if k % 4 == 0 else t.replace("en", "an").replace("t", "x", k % 3) if k % 4 < 3 else text()) for k, t in enumerate(text() for _ in range(120))] + [(None, "a"), ("a", None), ("", "")]
+    df = spark.createDataFrame(rows, "w string, h string").withColumns({"f": X.compare_form(F.col("w")), "n": X.norm_words(F.col("w"))})
+    got = {(x["w"], x["h"]): x["score"] for x in D.similarity(df, "h", "w", 0.85, formed={"w": "f"}).collect()}
+    forms = {(x["w"], x["h"]): (x["hf"], x["f"]) for x in df.withColumn("hf", X.compare_form(F.col("h"))).collect()}
+    for key, (a, b) in forms.items():
+        exact = None if a is None or b is None else difflib.SequenceMatcher(None, a, b).ratio()
+        assert got[key] == exact if exact is None or exact >= 0.85 else exact <= got[key] < 0.85 or got[key] == exact
+    plain, given = (sorted(map(str, D.faithful(df, "w", "h", formed=f).select("w", "h", "score", "ok").collect())) for f in (None, {"w": "n"}))
+    assert plain == given
+
+
+def test_targets_of_takes_are_formed_once(spark, tmp_path):
+    spark.createDataFrame([(1, "s", "It has 12 dezzurts.\nGone")], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("val_similarity",):
+        got = registry.queries()[name](spark, str(tmp_path))
+        takes = got._jdf.queryExecution().optimizedPlan().toString().split("Generate explode", 1)
+        assert "regexp_replace" in takes[1] and takes[0].count("regexp_replace(") < 2 * takes[1].count("regexp_replace(")
+        assert got.count() == 6
+
+
 def test_books_and_references(spark):
     units = spark.createDataFrame([(b, i, i, "dialogue", "t", n) for b in "abcd" for i, n in enumerate(("Zoe", "Al", "Zoe", "narrator", "Bo", "Al", "Al"))], "book string, id long, para long, kind string, text string, speaker string")
     runs = spark.createDataFrame([("a", False, 100, 0), ("b", True, 100, 0), ("c", False, 60, 0)], "book string, stopped boolean, percent int, failed int")
