@@ -310,7 +310,7 @@ add(
 )
 add("val_select_bypass", lambda s, d: D.select_first(cheap(s, d)).select("doc_id", "chunk_idx", "cand_idx"), f"with {V.CANDIDATES} select doc_id, chunk_idx, min(cand_idx) as cand_idx from candidates where bytes > 1024 group by 1, 2")
 add("val_retry_queue", lambda s, d: D.retry_queue(D.gate(cheap(s, d)), 3), f"{_SC} select doc_id, chunk_idx, 1 as attempts from p group by 1, 2 having not bool_or(passed)")
-add("val_faithful", lambda s, d: D.faithful(candidates(s, d), "target", "transcript").select("doc_id", "chunk_idx", "cand_idx", "ok"))
+add("val_faithful", lambda s, d: D.faithful(candidates(s, d, form=X.norm_words), "target", "transcript", formed={"target": "form"}).select("doc_id", "chunk_idx", "cand_idx", "ok"))
 
 
 def _lines(s, d):

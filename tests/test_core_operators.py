@@ -293,7 +293,7 @@ def test_given_forms_and_letters_give_the_same_scores(spark):
 
 def test_targets_of_takes_are_formed_once(spark, tmp_path):
     spark.createDataFrame([(1, "s", "It has 12 dezzurts.\nGone")], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    for name in ("val_similarity",):
+    for name in ("val_similarity", "val_faithful"):
         got = registry.queries()[name](spark, str(tmp_path))
         takes = got._jdf.queryExecution().optimizedPlan().toString().split("Generate explode", 1)
         assert "regexp_replace" in takes[1] and takes[0].count("regexp_replace(") < 2 * takes[1].count("regexp_replace(")
