@@ -15,28 +15,38 @@ def layout_words(words: DataFrame) -> DataFrame:
     return words.where(F.trim("word") != "")
 
 
+def _lines(words: DataFrame, *more: Column) -> DataFrame:
+    """(book, page, block, line, x0, top, bottom, ..) of words that have a book and a page."""
+    there = layout_words(words).where("book is not null and page is not null")
+    return there.groupBy("book", "page", "block", "line").agg(F.min("x0").alias("x0"), F.min("y0").alias("top"), F.max("y1").alias("bottom"), *more)
+
+
+def _numbered(lines: DataFrame) -> DataFrame:
+    """Lines with their paragraph's number on the page (para). Where they are dealt by page they are not dealt again."""
+    page = Window.partitionBy("book", "page")
+    order, alike = page.orderBy("block", "line"), Window.partitionBy("book", "page", "__x")
+    rows = lines.withColumns({"__pos": F.row_number().over(order), "__below": F.lag("bottom").over(order), "__other": F.lag("block").over(order), "__h": F.col("bottom") - F.col("top"), "__x": F.round("x0")})
+    rows = rows.withColumns({"__n": F.count(F.lit(1)).over(alike), "__first": F.min("__pos").over(alike)})
+    rows = rows.withColumns({"__r": F.row_number().over(page.orderBy("__h")), "__c": F.count(F.lit(1)).over(page)})
+    often, middle = F.struct("__n", -F.col("__first"), "__x"), F.col("__r") == F.floor(F.col("__c") / 2) + 1
+    rows = rows.withColumns({"__margin": F.max(often).over(page), "__line_h": F.max(F.when(middle, F.col("__h"))).over(page)})
+    new = (
+        (F.col("x0") > F.col("__margin.__x") + F.greatest(F.lit(4.0), F.col("__line_h") * 0.6))
+        | (F.col("top") - F.col("__below") > F.col("__line_h") * 1.6)
+        | (F.col("block") != F.col("__other"))
+    )
+    flag = F.when((F.col("__pos") > 1) & F.coalesce(new, F.lit(False)), 1).otherwise(0)
+    return rows.withColumn("__begins", flag).withColumn("para", F.sum("__begins").over(order))
+
+
 def paragraphs(words: DataFrame) -> DataFrame:
     """(book, page, block, line, para): lines with their paragraph's number on the page.
 
     A paragraph begins at an indented line, after a wide gap, or in a new block. The margin
     is the most frequent rounded start (the first seen of equals), the height the upper median.
+    Lines are dealt by page once.
     """
-    keys = ["book", "page"]
-    lines = layout_words(words).groupBy(*keys, "block", "line").agg(F.min("x0").alias("x0"), F.min("y0").alias("top"), F.max("y1").alias("bottom"))
-    order = Window.partitionBy(*keys).orderBy("block", "line")
-    lines = lines.withColumn("pos", F.row_number().over(order)).withColumn("h", F.col("bottom") - F.col("top"))
-    starts = lines.groupBy(*keys, F.round("x0").alias("x")).agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
-    margin = starts.groupBy(*keys).agg(F.max_by("x", F.struct(F.col("n"), -F.col("first"))).alias("margin"))
-    ranked = lines.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("h"))).withColumn("c", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    height = ranked.where(F.col("r") == F.floor(F.col("c") / 2) + 1).select(*keys, F.col("h").alias("line_h"))
-    rows = lines.join(margin, keys).join(height, keys)
-    new = (
-        (F.col("x0") > F.col("margin") + F.greatest(F.lit(4.0), F.col("line_h") * 0.6))
-        | (F.col("top") - F.lag("bottom").over(order) > F.col("line_h") * 1.6)
-        | (F.col("block") != F.lag("block").over(order))
-    )
-    flag = F.when((F.col("pos") > 1) & F.coalesce(new, F.lit(False)), 1).otherwise(0)
-    return rows.withColumn("__n", flag).withColumn("para", F.sum("__n").over(order)).select(*keys, "block", "line", "para")
+    return _numbered(_lines(words).repartition("book", "page")).select("book", "page", "block", "line", "para")
 
 
 def _sentence_end(word: Column) -> Column:
@@ -75,15 +85,19 @@ def units(words: DataFrame) -> DataFrame:
     What a word does to being inside a quote is one of four things: leave it, open, close,
     or turn it (a lone straight mark). So the state before a word is what the last opening
     or closing word left, turned as often as words since then turn it: two running values
-    of a paragraph's words, and no fold.
+    of a paragraph's words, and no fold. Words are dealt by page once, and stay with their
+    line until it has its paragraph.
     """
     w = F.col("word")
-    closing, straight = w.rlike(f"[{L.CLOSING}]\\s*$"), w.rlike('"\\s*$')
-    opens = w.rlike(f'^[{L.OPENING}"]')
+    # one pattern tells for most words that no other fits
+    asked = lambda c: F.when(w.rlike(f"[.!?{_QUOTES}]"), c).otherwise(False)
+    closing, straight = asked(w.rlike(f"[{L.CLOSING}]\\s*$")), asked(w.rlike('"\\s*$'))
+    opens = asked(w.rlike(f'^[{L.OPENING}"]'))
     # what is left by a word outside of a quote, and inside of one
-    flags = {"__out": opens & ~closing & ~(straight & (F.length(w) > 1)), "__in": ~closing & ~straight, "__opens": opens, "__closes": closing | straight, "__lone": straight & ~closing & (F.length(w) == 1), "__ends": _sentence_end(w)}
-    placed = layout_words(words).join(paragraphs(words), ["book", "page", "block", "line"]).withColumns(flags)
-    by = Window.partitionBy("book", "page", "para").orderBy("block", "line", "wno")
+    flags = {"__out": opens & ~closing & ~(straight & (F.length(w) > 1)), "__in": ~closing & ~straight, "__opens": opens, "__closes": closing | straight, "__lone": straight & ~closing & (F.length(w) == 1), "__ends": asked(_sentence_end(w))}
+    lines = _lines(words.repartition("book", "page"), F.collect_list(F.struct("wno", "word")).alias("__words")).where("block is not null and line is not null")
+    placed = _numbered(lines).select("book", "page", "block", "line", "para", F.inline("__words")).withColumns(flags)
+    by = Window.partitionBy("page", "book", "para").orderBy("block", "line", "wno")
     before = by.rowsBetween(Window.unboundedPreceding, -1)
     turns, sets = (F.col("__out") & ~F.col("__in")).cast("int"), F.col("__out") == F.col("__in")
     rows = placed.withColumn("__turned", F.sum(turns).over(by))
@@ -97,9 +111,9 @@ def units(words: DataFrame) -> DataFrame:
     rows = rows.withColumns({"__q": quoted, "__done": done, "__opened": opened})
     begins = F.col("__opened") | F.coalesce(F.lag("__done").over(by), F.lit(True))
     rows = rows.withColumn("__unit", F.sum(begins.cast("int")).over(by))
-    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "line", "wno", "word"))), lambda x: x["word"]), " ")
-    each = rows.groupBy("book", "page", "para", "__unit").agg(F.trim(listed).alias("text"), F.first("__q").alias("__q"))
+    listed = F.array_join(F.sort_array(F.collect_list(F.struct("block", "line", "wno", "word")))["word"], " ")
+    each = rows.groupBy("page", "book", "para", "__unit").agg(F.trim(listed).alias("text"), F.first("__q").alias("__q"))
     bare = F.trim(F.regexp_replace("text", f"^[{_QUOTES}]+|[{_QUOTES}]+$", ""))
     each = each.withColumn("text", F.when(F.col("__q"), bare).otherwise(F.col("text"))).where("text <> ''")
-    n = F.row_number().over(Window.partitionBy("book", "page", "para").orderBy("__unit")) - 1
+    n = F.row_number().over(Window.partitionBy("page", "book", "para").orderBy("__unit")) - 1
     return each.select("book", "page", "para", n.alias("n"), F.when(F.col("__q"), "dialogue").otherwise("narration").alias("kind"), "text")

@@ -277,6 +277,14 @@ def test_letters_bound_the_ratio(spark):
         assert (x["score"] >= 0.6) == (exact >= 0.6) and (x["score"] < 0.6 or abs(x["score"] - exact) < 1e-12)
 
 
+def test_units_deal_words_by_page_once(spark):
+    rows = [(b, p, k // 4, k // 2, k % 2, 50.0 + k % 2, 14.0 * k, 85.0, 14.0 * k + 10, w) for b in ("x", None) for p in (1, 2) for k, w in enumerate('He said, "Go on." And "now"? Then he went off.'.split())]
+    df = spark.createDataFrame(rows, "book string, page long, block long, line long, wno long, x0 double, y0 double, x1 double, y1 double, word string")
+    for got, most in ((Y.units(df), 1), (Y.paragraphs(df), 2)):
+        assert got._jdf.queryExecution().executedPlan().toString().count("Exchange ") <= most
+        assert {x["book"] for x in got.collect()} == {"x"}
+
+
 def test_given_forms_and_letters_give_the_same_scores(spark):
     r = random.Random(9)
     text = lambda: "".join(r.choice("etaoinsrhlmé,' A") for _ in range(r.choice((5, 40, 190, 420))))
