@@ -185,6 +185,13 @@ def test_a_long_group_is_many_tasks(spark, monkeypatch):
     assert seen and got.groupBy("chunk").count().where("chunk < 571 and count <> 35").count() == 0 and got.agg(F.max("chunk")).first()[0] == 20_000 // 35
 
 
+def test_gains_take_their_order_along(spark):
+    df = spark.createDataFrame([(c, s, -30.0 + s) for c in (1, 2) for s in range(5, 50, 3)], "clip long, seq long, dbfs double")
+    got = O.smooth_gain(df, -20.0)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((x["clip"], x["seq"]) for x in got.collect()) == sorted((x["clip"], x["seq"]) for x in df.collect())
+
+
 def plain_dominant(m, ids, similarity=0.55):
     """Join the two nearest clusters again and again."""
     if len(m) < 4:
