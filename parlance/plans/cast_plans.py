@@ -107,13 +107,14 @@ def told(u):
     return u.withColumn("text", text)
 
 
-def _short(u):
-    """(book, alias, name): short forms and what they may stand for."""
-    return pairs(u).where("rule = 'nick'").select("book", F.when(F.length("a") < F.length("b"), F.col("a")).otherwise(F.col("b")).alias("alias"), F.when(F.length("a") < F.length("b"), F.col("b")).otherwise(F.col("a")).alias("name"))
+def _short(pairs):
+    """(book, alias, name): short forms among pairs and what they may stand for."""
+    return pairs.where("rule = 'nick'").select("book", F.when(F.length("a") < F.length("b"), F.col("a")).otherwise(F.col("b")).alias("alias"), F.when(F.length("a") < F.length("b"), F.col("b")).otherwise(F.col("a")).alias("name"))
 
 
-def support(u):
-    return U.narration_support(U.near_narration(told(u), _short(u)), cast(u), small=10**6)
+def support(u, found=None):
+    """Aliases that narration supports, of the pairs found (by default searched for)."""
+    return U.narration_support(U.near_narration(told(u), _short(pairs(u) if found is None else found)), cast(u), small=10**6)
 
 
 _TITLES = "[" + ", ".join(f"'{t}'" for t in L.TITLES) + "]"
@@ -155,8 +156,9 @@ over("join_blocked_pairs", pairs, f"with {CAST} select * from pairs")
 
 
 def evidence(u):
-    told_of = support(u).select("book", F.col("alias").alias("a"), F.col("name").alias("b"), F.lit("narration").alias("rule"))
-    return C.evidence(pairs(u), told_of)
+    found = cut(pairs(u))
+    told_of = support(u, found).select("book", F.col("alias").alias("a"), F.col("name").alias("b"), F.lit("narration").alias("rule"))
+    return C.evidence(found, told_of)
 
 
 over("set_evidence", evidence, f"with {CAST} select * from ev")

@@ -146,3 +146,14 @@ def test_keys_of_selections_travel_without_the_text(spark):
     df = U.locate(spark.createDataFrame(asked, "sel_id string, book string, para long, sel string"), units)
     assert sorted(tuple(r) for r in df.collect()) == [("s1", 0, 1), ("s2", 1, 2), ("s3", 2, 3), ("s4", None, None), ("s5", 0, 1)]
     assert exploded(df) and not any({"__u", "__s", "__text"} & columns for columns in exploded(df))
+
+
+def test_evidence_looks_for_pairs_once(spark, monkeypatch):
+    from parlance.plans import cast_plans
+
+    seen, find = [], C.name_pairs
+    monkeypatch.setattr(C, "name_pairs", lambda *a: seen.append(a) or find(*a))
+    units = [("x", i, i, "dialogue", "Hello.", n) for i, n in enumerate(("Tam", "Tamsin", "Tamsin"))]
+    df = spark.createDataFrame(units, "book string, id long, para long, kind string, text string, speaker string")
+    cast_plans.evidence(df).collect()
+    assert len(seen) == 1
