@@ -192,18 +192,8 @@ def _matched(a: _Side, b: _Side, letters: int, frequent: bool) -> np.ndarray:
     return same
 
 
-def _most(a: _Side, b: _Side, letters: np.ndarray) -> np.ndarray:
-    """The most characters that matching blocks of each pair can hold, by counts of kinds: letters tells the kind of a character's number."""
-    kinds = int(letters.max()) + 1
-    count = lambda s: np.bincount(s.of * kinds + letters[s.ids], minlength=len(s.size) * kinds).reshape(-1, kinds)
-    return np.minimum(count(a), count(b)).sum(1)
-
-
-def ratios(first: list[str], second: list[str], frequent: bool = True, floor: float = 0.0, letters: str = "") -> np.ndarray:
-    """The ratio of each pair of texts; two empty texts have 1.
-
-    Pairs that counts of the given letters, and of all others together, keep under `floor` have that bound.
-    """
+def ratios(first: list[str], second: list[str], frequent: bool = True) -> np.ndarray:
+    """The ratio of each pair of texts; two empty texts have 1."""
     size_a, size_b = (np.array([len(t) for t in side], np.int64) for side in (first, second))
     same = np.zeros(len(first), np.int64)
     for x, y in _few_points(1 + size_a + size_b, CHARACTERS):
@@ -215,13 +205,8 @@ def ratios(first: list[str], second: list[str], frequent: bool = True, floor: fl
         ids, kinds = (np.cumsum(there) - 1)[codes], int(there.sum())
         cut = int(size_a[x:y].sum())
         a, b = _Side(ids[:cut], size_a[x:y]), _Side(ids[cut:], size_b[x:y])
-        ask = np.arange(y - x)
-        if floor > 0:
-            group = np.array([letters.find(chr(c)) + 1 for c in np.flatnonzero(there).tolist()], np.int64)
-            same[x:y] = _most(a, b, group)
-            ask = np.flatnonzero(2.0 * same[x:y] / np.maximum(size_a[x:y] + size_b[x:y], 1) >= floor)
-        for u, v in _few_points(np.full(len(ask), kinds), 1 << 22):  # a table of letters by pairs
-            of = ask[u:v]
+        for u, v in _few_points(np.full(y - x, kinds), 1 << 22):  # a table of letters by pairs
+            of = np.arange(u, v)
             same[x + of] = _matched(a.texts(of), b.texts(of), kinds, frequent)
     total = size_a + size_b
     return np.where(total > 0, 2.0 * same / np.maximum(total, 1), 1.0)

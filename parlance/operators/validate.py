@@ -45,17 +45,13 @@ def letter_ceiling(a: Column, b: Column, letters: str = LETTERS) -> Column:
     return F.when(both == 0, 1.0).otherwise(2.0 * shared / both)
 
 
-def _ratio(floor: float) -> Callable[[Column, Column], Column]:
-    """Ratios of the pairs that have both texts, or what their letters allow if that is under floor; null for the others."""
-
-    @F.pandas_udf(T.DoubleType())
-    def of(first: pd.Series, second: pd.Series) -> pd.Series:
-        asked = (first.notna() & second.notna()).to_numpy()
-        out = pd.Series(float("nan"), index=first.index)
-        out[asked] = ratios(first[asked].tolist(), second[asked].tolist(), floor=floor, letters=LETTERS)
-        return out.astype(object).where(asked, None)
-
-    return of
+@F.pandas_udf(T.DoubleType())
+def _ratio(first: pd.Series, second: pd.Series) -> pd.Series:
+    """Ratios of the pairs that have both texts; null for the others."""
+    asked = (first.notna() & second.notna()).to_numpy()
+    out = pd.Series(float("nan"), index=first.index)
+    out[asked] = ratios(first[asked].tolist(), second[asked].tolist())
+    return out.astype(object).where(asked, None)
 
 
 def similarity(pairs: DataFrame, first: str, second: str, floor: float = 0.0, form: Callable[[Column], Column] | None = X.compare_form, formed: dict[str, str] | None = None) -> DataFrame:
@@ -64,18 +60,18 @@ def similarity(pairs: DataFrame, first: str, second: str, floor: float = 0.0, fo
     form makes what is compared of a text, by default words without case, punctuation and
     respellings; None compares texts as they are. `formed` names columns that hold the form of
     a text column already, as where many pairs share a text. Equal texts are formed once.
-    Equal forms score 1. Pairs whose lengths, or whose letters, alone keep them under `floor`
-    score that ceiling; pairs that lengths leave open leave the JVM, and those that letters
-    leave open too are compared, by numpy in batches.
+    Every score is the exact one, whatever `floor` a caller goes by. Where one form begins with
+    all of the other, that one is the first matching block and nothing is left beside it, so
+    lengths tell the ratio; all other pairs leave the JVM and are compared, by numpy in batches.
     """
     make, have = form or (lambda c: c), formed or {}
     of = lambda name: F.col(have[name]) if name in have else make(F.col(name))
     given, other, known, new = (first, second, "__a", "__b") if first in have else (second, first, "__b", "__a")
     forms = pairs.withColumn(known, of(given)).withColumn(new, F.when(F.col(given) == F.col(other), F.col(known)).otherwise(of(other)))
     a, b = F.col("__a"), F.col("__b")
-    bound = F.when(a == b, 1.0).otherwise(ceiling(a, b))
-    sized = forms.withColumn("__most", bound).withColumn("__ask", (a != b) & (F.col("__most") >= floor))
-    return sized.withColumn("score", F.coalesce(_ratio(floor)(F.when(F.col("__ask"), a), F.when(F.col("__ask"), b)), F.col("__most"))).drop("__a", "__b", "__most", "__ask")
+    asked = forms.withColumn("__ask", ~(F.startswith(a, b) | F.startswith(b, a)))
+    told = F.when(~F.col("__ask"), ceiling(a, b))
+    return asked.withColumn("score", F.coalesce(_ratio(F.when(F.col("__ask"), a), F.when(F.col("__ask"), b)), told)).drop("__a", "__b", "__ask")
 
 
 def gate(scored: DataFrame, first: float = 0.85, retry: float = 0.95, least_bytes: int = 1024) -> DataFrame:
@@ -115,7 +111,7 @@ def faithful(pairs: DataFrame, want: str, heard: str, least: float = 0.80, forme
         forms = pairs.withColumn("__heard", of(heard)).withColumn("__want", F.when(same, F.col("__heard")).otherwise(of(want)))
     else:
         forms = pairs.withColumn("__want", of(want)).withColumn("__heard", F.when(same, F.col("__want")).otherwise(of(heard)))
-    scored = similarity(forms, "__want", "__heard", least, None)
+    scored = similarity(forms, "__want", "__heard", form=None)
     slack = F.greatest(F.lit(10), F.floor(F.length("__want") * 0.2).cast("int"))
     ok = (F.col("score") >= least) & (F.abs(F.length("__heard") - F.length("__want")) <= slack)
     empty = F.col("__want") == ""

@@ -301,7 +301,7 @@ add(
     "val_expand", lambda s, d: D.attempt_plan(V.doc_lines(s, d).where("length(line) > 0").select("doc_id", F.col("line_no").alias("chunk_idx")), 2, 2, 2, 12345),
     f"with {V.LINES} select doc_id, line_no as chunk_idx, gen, cand_idx, attempt, ((12345 + gen) * 1000003 + line_no * 10007 + cand_idx * 10009 + attempt * 101) % 4294967296 as seed from doc_lines, (select unnest([0, 1])::bigint as gen), (select unnest([0, 1])::bigint as cand_idx), (select unnest([0, 1])::bigint as attempt) where length(line) > 0",
 )
-scored = lambda s, d: D.similarity(candidates(s, d, form=X.compare_form), "transcript", "target", 0.85, formed={"target": "form"})
+scored = lambda s, d: D.similarity(candidates(s, d, form=X.compare_form), "transcript", "target", formed={"target": "form"})
 add("val_similarity", lambda s, d: scored(s, d).select("doc_id", "chunk_idx", "cand_idx", F.round("score", 5).alias("score")))
 cheap = lambda s, d: candidates(s, d).withColumn("score", F.round(D.ceiling(F.col("transcript"), F.col("target")) - F.col("cand_idx") % 2 * 0.1, 6)).withColumn("round", F.lit(1) + F.col("chunk_idx") % 2).withColumn("attempt", F.lit(1))
 _SC = f"with {V.CANDIDATES}, s as (select *, round(2.0::double * least(length(target), length(transcript)) / (length(target) + length(transcript)) - cand_idx % 2 * 0.1, 6) as raw, 1 + chunk_idx % 2 as round from candidates), g as (select *, case when bytes < 1024 then 0.0 else raw end as score from s), p as (select *, score >= case when round = 1 then 0.85 else 0.95 end as passed from g)"

@@ -299,6 +299,22 @@ def test_given_forms_and_letters_give_the_same_scores(spark):
     assert plain == given
 
 
+def test_scores_under_a_floor_are_exact(spark, tmp_path):
+    r = random.Random(11)
+    text = lambda n: "".join(r.choice("etaoinsrhlm ") for _ in range(n))
+    long = [text(n) for n in (1, 12, 150, 199, 200, 260, 900)] + ["ab" * 300, "a" * 250]
+    rows = [(t, t[: k * len(t) // 4]) for t in long for k in range(5)] + [(text(30), text(n)) for n in (0, 5, 30, 90, 400)] + [("abcdefgh", "hgfedcba")]
+    rows += [(b, a) for a, b in rows]
+    df = spark.createDataFrame(rows, "w string, h string")
+    for x in D.similarity(df, "w", "h", 0.85, None).collect():
+        assert x["score"] == difflib.SequenceMatcher(None, x["w"], x["h"]).ratio()
+    for x in D.faithful(df, "w", "h").withColumns({"a": X.norm_words(F.col("w")), "b": X.norm_words(F.col("h"))}).where("a <> ''").collect():
+        assert x["score"] == difflib.SequenceMatcher(None, x["a"], x["b"]).ratio()
+    spark.createDataFrame([(1, "s", "enen en,en")], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    score = {x["cand_idx"]: x["score"] for x in registry.queries()["val_similarity"](spark, str(tmp_path)).collect()}
+    assert score == {k: round(difflib.SequenceMatcher(None, h, "enen enen").ratio(), 5) for k, h in enumerate(("enen enen", "anan anan", "enen"))}
+
+
 def test_targets_of_takes_are_formed_once(spark, tmp_path):
     spark.createDataFrame([(1, "s", "It has 12 dezzurts.\nGone")], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     for name in ("val_similarity", "val_faithful"):
