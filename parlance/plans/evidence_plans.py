@@ -58,8 +58,9 @@ def str_files(spark, sf_dir):
 
 def src_nlp_tsv(spark, sf_dir):
     path = scratch(spark, "tokens")
-    V.documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "[ \\n\\t]+")).alias("token_id", "word")).write.csv(path, sep="\t", quote="", header=True)
-    return S.read_nlp(spark, path, ("doc_id", "token_id"))
+    words = V.documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "[ \\n\\t]+")).alias("token_id", "word"))
+    S.write_nlp(words, path)
+    return S.read_nlp(spark, path, ("doc_id", "token_id"), tuple(words.columns))
 
 
 QUERIES["str_maxlen"] = str_maxlen

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
+from parlance.plans import registry
 from parlance.sources import files as S
 from parlance.sources.tables import scratch
 
@@ -27,6 +29,23 @@ def test_nlp_and_dictionary(spark, tmp_path):
     assert S.heteronyms(spark).count() == 44
 
 
+def test_words_keep_all_their_characters(spark, tmp_path):
+    texts = ["", " ", "\n", "a\rb c\r", "\x0bq \x1fz\x1c", "\x00x\x00", '"" "a', "\\a\\ #b", "doc_id token_id word", "end ", "wa\xdf\u2028x\x85", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.queries()["src_nlp_tsv"](spark, str(tmp_path)).collect()
+    want = [(k, i, w) for k, t in enumerate(texts) if t is not None for i, w in enumerate(re.split("[ \n\t]+", t))]
+    assert sorted(tuple(r) for r in got) == want
+    (tmp_path / "two").mkdir()
+    for name, rows in (("a", "0\t\tx"), ("b", "1\t\x85"), ("c", "")):
+        (tmp_path / "two" / name).write_bytes(f"k\tw\tv\r\n{rows}\r\n".encode())
+    got = S.read_nlp(spark, str(tmp_path / "two"), ("k",)).where("k is not null")
+    assert got.columns == ["k", "w", "v"] and sorted(tuple(r) for r in got.collect()) == [(0, "", "x"), (1, "\x85", None)]
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    got = registry.queries()["src_nlp_tsv"](spark, f"{tmp_path}/none")
+    assert got.columns == ["doc_id", "token_id", "word"] and got.count() == 0
+
+
 def test_settings(spark):
     df = spark.createDataFrame([('{"temperature": "0.9", "candidates": "many"}',), ("{bad",), (None,)], "s string").select(S.load_settings(F.col("s")).alias("m"))
     got = [tuple(r) for r in df.select(*S.coerce_settings(F.col("m"))).collect()]
