@@ -10,10 +10,15 @@ from parlance.functions import text as X
 
 
 def _pattern(words) -> str:
-    either = "|".join(sorted(words, key=len, reverse=True))
+    """The words in any case; a capital with a dot (İ) is a capital i."""
+    either = "|".join(sorted(words, key=len, reverse=True)).replace("i", "[iİ]")
     return f"(?i)(?<!{X.C})({either})(?!{X.C})"
 
 
+def _lower(word: Column) -> Column:
+    return F.lower(F.replace(word, F.lit("İ"), F.lit("I")))
+
+
 def _parted(text: Column, words) -> tuple[Column, Column]:
     """What stands between the hits of a text (one more than hits), and the hits."""
     return F.split(text, _pattern(words), -1), F.regexp_extract_all(text, F.lit(_pattern(words)), F.lit(1))
@@ -38,7 +43,7 @@ def heteronym_hits(docs: DataFrame, dictionary: dict = L.HETERONYMS, around: int
     says = F.create_map(*[x for w, readings in dictionary.items() for x in (F.lit(w), F.array(*[F.lit(r[2]) for r in readings]))])
     begin = F.greatest(start - around, F.lit(0))
     end = start + F.length(word)
-    return each.select("doc_id", "hit_no", start.alias("start"), end.alias("end"), F.lower(word).alias("word"), F.substring("text", begin + 1, end + around - begin).alias("context"), F.element_at(says, F.lower(word)).alias("says"))
+    return each.select("doc_id", "hit_no", start.alias("start"), end.alias("end"), _lower(word).alias("word"), F.substring("text", begin + 1, end + around - begin).alias("context"), F.element_at(says, _lower(word)).alias("says"))
 
 
 def respell(docs: DataFrame, choices: DataFrame, dictionary: dict = L.HETERONYMS) -> DataFrame:
@@ -47,10 +52,10 @@ def respell(docs: DataFrame, choices: DataFrame, dictionary: dict = L.HETERONYMS
     Hits without a choice stay as they are; of several choices for a hit the first by
     spelling counts; choices for hits that are not there do nothing.
     """
-    one = choices.groupBy("doc_id", "hit_no").agg(F.min("say").alias("say"))
-    chosen = one.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("hit_no", "say"))).alias("__c"))
+    one = choices.groupBy(F.col("doc_id").alias("__id"), "hit_no").agg(F.min("say").alias("say"))
+    chosen = one.groupBy("__id").agg(F.map_from_entries(F.collect_list(F.struct("hit_no", "say"))).alias("__c"))
     between, hits = _parted(F.col("text"), dictionary)
-    rows = docs.join(chosen, "doc_id", "left").withColumns({"__b": between, "__h": hits})
+    rows = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")), "left").withColumns({"__b": between, "__h": hits})
     new = lambda i: F.element_at("__c", i)
     word = lambda i: F.get("__h", i)
     parts = F.transform("__b", lambda b, i: F.concat(b, F.coalesce(F.when(new(i).isNotNull(), X.keep_case(word(i), new(i))), word(i), F.lit(""))))

@@ -299,6 +299,15 @@ def test_given_forms_and_letters_give_the_same_scores(spark):
     assert plain == given
 
 
+def test_respelled_rows_are_the_sql_ones(spark, tmp_path):
+    rows = [(1, ""), (2, None), (3, "lİve İ WİND wİnd"), (None, "Lead wind LEAD"), (5, "none")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x["doc_id"]: x["text"] for x in registry.queries()["txt_respell"](spark, str(tmp_path)).collect()}
+    assert got == {3: "liv İ WİND wined", None: "Leed wind LED", 5: "none"}
+    hits = {(x["doc_id"], x["word"], x["says"] is None) for x in registry.queries()["seg_heteronym"](spark, str(tmp_path)).collect()}
+    assert hits == {(3, "live", False), (3, "wind", False), (None, "lead", False), (None, "wind", False)}
+
+
 def test_scores_under_a_floor_are_exact(spark, tmp_path):
     r = random.Random(11)
     text = lambda n: "".join(r.choice("etaoinsrhlm ") for _ in range(n))
