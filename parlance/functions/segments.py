@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -67,6 +68,43 @@ def pack_250(c: Column, most: int = 250) -> Column:
     return let(pack(split_sentences(c), most), lambda p: F.when(F.size(p) > 0, p).otherwise(F.array(strip(c))))
 
 
+def packed_lines(lines: Iterable[tuple[Sequence[str], bool, bool]], most: int = 250) -> Iterator[str]:
+    """The chunks that pack_250 gives for a normalized text, of its lines in order; only the chunk at hand is held.
+
+    A line is its sentences and whether white space begins and ends it. A sentence that a
+    line leaves open goes on in the next line with text, behind the line feed, or behind a
+    blank where that stood in longer white space.
+    """
+    chunk, open_, joint, any_ = "", None, "\n", False
+
+    def put(x: str) -> Iterator[str]:
+        nonlocal chunk
+        if chunk and len(chunk) + len(x) + 1 > most:
+            yield chunk
+            chunk = x
+        else:
+            chunk = f"{chunk} {x}" if chunk else x
+
+    for sentences, before, after in lines:
+        if not any(sentences):
+            joint = " "
+            continue
+        first, any_ = sentences[0], True
+        if open_ is not None:
+            first = f"{open_}{' ' if before else joint}{first}"
+        for x in (first, *sentences[1:])[:-1]:
+            yield from put(x)
+        open_ = sentences[-1] if len(sentences) > 1 else first
+        if open_[-1] in ".!?":
+            yield from put(open_)
+            open_ = None
+        joint = " " if after else "\n"
+    if open_ is not None:
+        yield from put(open_)
+    if chunk or not any_:
+        yield chunk
+
+
 def _cut_long(sep: str, most: int):
     """For one piece: itself if short enough, else its parts at `sep`, rejoined while they fit."""
 

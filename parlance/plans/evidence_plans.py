@@ -52,7 +52,8 @@ def str_history(spark, sf_dir):
 
 def str_files(spark, sf_dir):
     path = scratch(spark, "texts")
-    V.documents(spark, sf_dir).select(F.regexp_replace("text", "\n", " ").alias("value")).write.text(path)
+    # compressed files are read as they are written, each by one task
+    V.documents(spark, sf_dir).select(F.regexp_replace("text", "\n", " ").alias("value")).write.text(path, compression="gzip")
     return finished(C.chunk_stream(spark, path)).select("chunk_idx", "chunk")
 
 

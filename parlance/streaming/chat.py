@@ -7,14 +7,18 @@ with a watermark is our choice; later rows are dropped.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby, islice
+from operator import itemgetter
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parlance.functions import text as X
-from parlance.functions.segments import pack_250
+from parlance.functions.segments import packed_lines
 
 #: Bytes of a second of stereo 16-bit audio at 48 kHz.
 BYTES_A_SECOND = 48_000 * 4
@@ -171,7 +175,53 @@ def latency_stream(events: DataFrame, window: str = "1 hour", late: str = "10 se
     return rows.groupBy(F.window("ts", window).alias("w")).agg(F.count_if(F.col("wait_s") > starved_s).alias("starved"), F.round(F.avg("wait_s"), 4).alias("mean_wait"), F.count(F.lit(1)).alias("n"))
 
 
+#: Chunks that leave Python at once.
+CHUNKS = 10_000
+
+
+def _chunks_of(lines: Iterable[tuple[tuple, tuple]]) -> Iterator[tuple[str, int, str]]:
+    """(file, chunk_idx, chunk) of ((path, file), line) in the order of the files."""
+    for (_, file), own in groupby(lines, key=itemgetter(0)):
+        yield from ((file, k, chunk) for k, chunk in enumerate(packed_lines(line for _, line in own)))
+
+
 def chunk_stream(spark: SparkSession, path: str) -> DataFrame:
-    """Streaming: new text files to speakable chunks as they land."""
-    rows = spark.readStream.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
-    return rows.select("file", F.posexplode(pack_250(X.strip_ref_numbers(X.normalize_ws(F.col("text"))))).alias("chunk_idx", "chunk"))
+    """Streaming: new text files to speakable chunks as they land.
+
+    Lines are cleaned and parted where they are read, and a file's lines are followed in
+    order, so that a task holds some lines and never a file. A file that Spark parts into
+    several splits (plain text, large) is gathered by one task for its order; compressed
+    files are never parted.
+    """
+    columns, schema = ["path", "file", "sentences", "before", "after"], "file string, chunk_idx int, chunk string"
+    meta = {"path": "file_path", "file": "file_name", "at": "file_block_start", "length": "file_block_length", "size": "file_size"}
+
+    def lines(whole: bool) -> DataFrame:
+        rows = spark.readStream.text(path, lineSep="\n").select("value", *[F.col(f"_metadata.{m}").alias(c) for c, m in meta.items()])
+        rows = rows.where((F.col("length") == F.col("size")) == whole)
+        white = lambda at: F.col("value").rlike(at)
+        clean = X.strip_ref_numbers(X.normalize_ws(F.col("value")))
+        return rows.select("path", "file", "at", X.split_sentences(clean).alias("sentences"), white(f"^{X.W}").alias("before"), white(f"{X.W}\\z").alias("after"))
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for b in batches for row in zip(*(b.column(c).to_pylist() for c in columns)))
+        chunks = _chunks_of(((p, file), line) for p, file, *line in rows)
+        while some := list(islice(chunks, CHUNKS)):
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*some), (pa.string(), pa.int32(), pa.string()))], names=["file", "chunk_idx", "chunk"])
+
+    def gather(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        rows = sorted((r for f in frames for r in zip(f["at"], f["n"], f["file"], *(f[c] for c in columns[2:]))), key=itemgetter(0, 1))
+        chunks = _chunks_of(((key[0], file), (list(sentences), before, after)) for _, _, file, sentences, before, after in rows)
+        while some := list(islice(chunks, CHUNKS)):
+            yield pd.DataFrame(some, columns=["file", "chunk_idx", "chunk"])
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
+        for b in batches:
+            yield b.append_column("n", pa.array(range(n, n + b.num_rows), pa.int64()))
+            n += b.num_rows
+
+    parted = lines(False)
+    parted = parted.mapInArrow(number, T.StructType([*parted.schema.fields, T.StructField("n", T.LongType())]))
+    gathered = parted.groupBy("path").applyInPandasWithState(gather, schema, "none int", "append", "NoTimeout")
+    return lines(True).select(*columns).mapInArrow(follow, schema).unionByName(gathered)

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import gzip
+import random
+
 from pyspark.sql import functions as F
 
+from parlance.functions import text as X
+from parlance.functions.segments import pack_250, packed_lines
+from parlance.plans import registry
 from parlance.streaming import chat as C
 
 FAR = "2024-01-02 00:00:00"
@@ -67,6 +73,43 @@ def test_files_become_chunks(spark, tmp_path):
     assert rows[0]["file"] == "a.txt" and rows[0]["chunk"].startswith("One. Two. Three.")
 
 
+def test_chunks_of_lines_are_those_of_whole_files(spark, tmp_path):
+    r = random.Random(8)
+    glue = [" ", " ", " ", "  ", "\n", " \n", "\n\n", "\r\n", "\t", "\u2003", "\n\u00a0\n"]
+    for k in range(40):
+        words = [r.choice(["so", "Then", "end.", "End!12", 'said."3', "3.5", "why?", "x" * 90, "...", "gr\xfc\xdfe", "\u201chm.\u201d4"]) for _ in range(r.choice([0, 1, 30, 900]))]
+        text = "".join(w + r.choice(glue) for w in words)
+        with (gzip.open if k % 4 == 3 else open)(tmp_path / f"{k}.txt{'.gz' if k % 4 == 3 else ''}", "wt", newline="") as f:
+            f.write(r.choice(glue) + text)
+    whole = spark.read.text(str(tmp_path), wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(pack_250(X.strip_ref_numbers(X.normalize_ws(F.col("value"))))).alias("k", "chunk"))
+    want = sorted(map(tuple, whole.collect()))
+    conf = {"spark.sql.files.maxPartitionBytes": "700", "spark.sql.files.openCostInBytes": "1"}
+    for name, set_ in (("whole", {}), ("parted", conf)):
+        for k, v in set_.items():
+            spark.conf.set(k, v)
+        try:
+            q = C.chunk_stream(spark, str(tmp_path)).writeStream.format("memory").queryName(f"chunks_{name}").option("checkpointLocation", f"{tmp_path}-{name}").trigger(availableNow=True).start()
+            q.awaitTermination()
+        finally:
+            for k in set_:
+                spark.conf.unset(k)
+        assert sorted(map(tuple, spark.table(f"chunks_{name}").collect())) == want
+
+
+def test_large_files_are_followed_by_lines(spark, tmp_path):
+    """Chunks leave while later lines are still to come."""
+    lines = [((f"Line {k} ends.", "and it goes on"), False, k % 2 == 0) for k in range(200_000)]
+    given, got = iter(lines), 0
+    for chunk in packed_lines(given):
+        got += 1
+        assert len(chunk) < 300
+        if got == 10:
+            assert next(given)[0][0] != lines[-1][0][0]  # the first chunks come long before the last line is read
+    spark.createDataFrame([(k, f"Text {k}. It has\nlines. " * 9) for k in range(30)], "doc_id long, text string").repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.queries()["str_files"](spark, str(tmp_path))
+    assert got.columns == ["chunk_idx", "chunk"] and got.where("chunk_idx = 0").count() in (1, 2)
+
+
 def dealt(spark, df, folder, batches, fn, name):
     """Streams df in batches told by the column `batch`, one after the other."""
     import os
