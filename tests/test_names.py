@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 import time
 
+from pyspark.sql import functions as F
+
 from parlance.operators import attribution as A
 from parlance.operators import cast as C
 from parlance.operators import units as U
@@ -148,6 +150,27 @@ def test_keys_of_selections_travel_without_the_text(spark):
     assert exploded(df) and not any({"__u", "__s", "__text"} & columns for columns in exploded(df))
 
 
+def test_selections_meet_few_units_and_all_that_hold_them(spark, monkeypatch):
+    r = random.Random(5)
+    line = lambda n: " ".join("".join(r.choice("ab") for _ in range(r.randint(1, 4))) for _ in range(n))
+    texts = [(b, line(r.choice((1, 2, 3, 9)))) for b in "xy" for _ in range(60)]
+    units = spark.createDataFrame([(b, k, k, t) for k, (b, t) in enumerate(texts)], "book string, para long, id long, text string")
+    asked = [(f"s{k}", r.choice("xy"), r.choice((None, 3)), r.choice((line(1), line(4), t[r.randrange(len(t)) :][:30], t + " ab"))) for k, (_, t) in enumerate(texts)]
+
+    def plain(book, para, sel):
+        sel, own = sel.strip(), [(k, t) for k, (b, t) in enumerate(texts) if b == book]
+        rules = [(1, k) for k, t in own if para in (None, k) and sel[:60] in t] + [(2, k) for k, t in own if t in sel] + [(3, k) for k, _ in own if k == para]
+        return min(rules)[::-1] if sel and rules else (None, None)
+
+    for few in (64, 0):
+        monkeypatch.setattr(U, "_FEW", few)
+        got = U.locate(spark.createDataFrame(asked, "sel_id string, book string, para long, sel string"), units).collect()
+        assert {x["sel_id"]: (x["unit_id"], x["rule"]) for x in got} == {s: plain(*q) for s, *q in asked}
+    same = spark.createDataFrame([("x", f"x{k:03} everywhere y{k:03} z{k:03} w") for k in range(300)], "book string, __part string")
+    met = same.select(U._needle(F.col("__part")).alias("n")).groupBy("n").count().agg(F.max("count")).first()[0]
+    assert met < 12  # 300 where the longest inner word was the key: parts times texts met
+
+
 def test_evidence_looks_for_pairs_once(spark, monkeypatch):
     from parlance.plans import cast_plans
 
